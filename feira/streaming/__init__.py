@@ -1,0 +1,8 @@
+"""Streaming.
+
+The reference has no streaming input, watermark, window or state: its tables
+are loaded once and its views are recomputed on read. Nothing is implemented
+here, by design — adding streaming operators would add behaviour the
+reference does not have. A batch run over new files is the supported way to
+refresh the views.
+"""
