@@ -2,30 +2,34 @@
 
 ``Window.orderBy(...)`` with no partition moves every row into one task. For
 per-customer and per-seller rankings that is unbounded, so the global position
-of a row is assembled from three bounded pieces instead:
-
-1. **Coarse class.** ``percentile_approx`` gives K = 2**depth - 1 cut points of
-   the ranked column, computed in the same plan (one aggregate row, broadcast).
-   A row's class is ``2*pos`` when its value lies strictly between cut points
-   (``pos`` = number of cut points below it, found by a ``depth``-step binary
-   search over ``element_at``) and ``2*pos+1`` when it equals a cut point.
-   The class is a monotone function of the value, so classes are ordered
-   ranges. Any cut points give the exact answer; they only affect balance.
-2. **Splitting ties.** A value held by a large share of rows (up to all of
-   them) shows up as a cut point, i.e. as its own "tie" class. Tie classes,
-   and the NULL class, are split further into 256 sub-classes by the first two
-   hex digits of ``md5(tie-break key)``. Rows inside a tie class are ordered by
-   that same hash, so the split keeps the order.
-3. **Offsets.** Rows are counted per (class, sub-class): at most
-   ``(2K + 2) * 256`` groups whatever the data size. A running sum over that
-   small table gives each group's start offset, which is broadcast back.
-   Inside a group a window partitioned by (class, sub-class) numbers the rows;
-   global row number = start + local row number.
+of a row is assembled from bounded pieces instead:
+
+1. **Materialise.** The input is checkpointed once (reliable checkpoint in
+   ``spark.checkpoint.dir``); every later pass reads those files.
+2. **Coarse class.** ``percentile_approx`` gives up to K cut points per ranked
+   column, fetched to the driver (K numbers per column: the only driver round
+   trip, bounded by K, not by the data). With distinct cut values
+   u1 < ... < um, a value's class is ``2j`` if it lies strictly between u_j
+   and u_(j+1) and ``2j-1`` if it equals u_j — a monotone function of the
+   value, found by a binary search over the cut values (log2(m) + 1
+   ``element_at`` comparisons per row, code-generated).
+   Any cut points give the exact answer; they only affect balance.
+3. **Splitting ties.** A value held by a large share of rows (up to all of
+   them) appears among the cut points, i.e. gets its own "tie" class. Tie
+   classes, and the NULL class, are split into 256 sub-classes by the first
+   two hex digits of ``md5(tie-break key)``. Rows of a tie class are ordered
+   by that hash, so the split keeps the order.
+4. **Offsets.** Rows are counted per (column, class, sub-class) in one
+   aggregation: at most ``(2K + 2) * 256`` groups per column whatever the data
+   size. A running sum over that small table gives each group's start offset,
+   broadcast back (its size bound is the constant above). Inside a group a
+   window partitioned by (class, sub-class) numbers the rows; global row
+   number = start + local row number.
 
 NTILE(n) follows from the global row number and the total count N (the first
-N mod n tiles get one extra row, as in SQL). RANK of a tie class is the
-class start + 1; elsewhere it is start + the local rank, since equal values
-never straddle two classes.
+N mod n tiles get one extra row, as in SQL). RANK of a tie class is the class
+start + 1; elsewhere it is start + the local rank, since equal values never
+straddle two classes.
 
 Tie-break order (needed for deterministic ROW_NUMBER/NTILE) is
 ``md5(cast(key as string)), key``; the SQL oracle repeats it.
@@ -38,10 +42,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from feira.session import materialize
+
 SUB_PREFIX_CHARS = 2  # 16**2 = 256 sub-classes per tie class
 NULL_CLASS = -1
+DEFAULT_CUTS = 127
 _P = "__rk_"
 
 
@@ -65,81 +73,105 @@ def _ordered(c: Column, ascending: bool) -> Column:
     return c.asc_nulls_first() if ascending else c.desc_nulls_last()
 
 
+def with_class(df: DataFrame, column: str, cuts: Sequence, dtype: T.DataType, name: str) -> DataFrame:
+    """Add the monotone class of ``column`` given sorted distinct cut values (see module docstring).
+
+    ``pos`` (the number of cut values below the value) is found by binary
+    lifting over a literal array: one ``element_at`` comparison per power of
+    two, each a small code-generated projection.
+    """
+    arr = F.array(*[F.lit(v) for v in cuts]).cast(T.ArrayType(dtype)) if cuts else F.array().cast(T.ArrayType(dtype))
+    v, pos = F.col(column), f"{name}_pos"
+    out = df.withColumn(pos, F.lit(0))
+    step = 1 << max(len(cuts).bit_length() - 1, 0)
+    while step >= 1 and cuts:
+        below = F.try_element_at(arr, F.col(pos) + step) < v
+        out = out.withColumn(pos, F.col(pos) + F.when(below, F.lit(step)).otherwise(F.lit(0)))
+        step >>= 1
+    equal = F.coalesce(F.try_element_at(arr, F.col(pos) + 1) == v, F.lit(False))
+    cls = F.when(v.isNull(), F.lit(NULL_CLASS)).when(equal, F.col(pos) * 2 + 1).otherwise(F.col(pos) * 2)
+    return out.withColumn(name, cls.cast("bigint")).drop(pos)
+
+
 def with_global_ranks(
     df: DataFrame,
     tiebreak: str,
     outputs: Sequence[RankOut],
-    depth: int = 8,
+    cuts: int = DEFAULT_CUTS,
     accuracy: int = 10000,
+    checkpoint: bool = True,
 ) -> DataFrame:
     """Append the requested global rank/row_number/ntile columns to ``df``."""
-    k = 2**depth - 1
-    probs = [(i + 1) / (k + 1) for i in range(k)]
+    base = materialize(df) if checkpoint else df
     columns = list(dict.fromkeys(o.column for o in outputs))
-    tb = f"{_P}tb"
-
-    cuts = df.agg(*[F.percentile_approx(c, probs, accuracy).alias(f"{_P}cuts{i}") for i, c in enumerate(columns)])
-    base = df.withColumn(tb, tiebreak_hash(tiebreak)).crossJoin(F.broadcast(cuts))
+    types = {f.name: f.dataType for f in base.schema.fields}
+    probs = [(i + 1) / (cuts + 1) for i in range(cuts)]
 
+    # Cut points: one aggregate row, at most `cuts` values per column.
+    row = base.agg(*[F.percentile_approx(c, probs, accuracy).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    tb = f"{_P}tb"
+    classed = base.withColumn(tb, tiebreak_hash(tiebreak))
     for i, c in enumerate(columns):
-        cut, pos = F.col(f"{_P}cuts{i}"), f"{_P}pos{i}"
-        base = base.withColumn(pos, F.lit(0))
-        step = (k + 1) // 2
-        while step >= 1:  # lower bound: pos = number of cut points < value
-            below = F.try_element_at(cut, F.col(pos) + step) < F.col(c)
-            base = base.withColumn(pos, F.col(pos) + F.when(below, step).otherwise(0))
-            step //= 2
-        equal = F.coalesce(F.try_element_at(cut, F.col(pos) + 1) == F.col(c), F.lit(False))
-        cls = (
-            F.when(F.col(c).isNull(), F.lit(NULL_CLASS))
-            .when(equal, F.col(pos) * 2 + 1)
-            .otherwise(F.col(pos) * 2)
-        )
-        base = base.withColumn(f"{_P}cls{i}", cls).drop(pos)
-        tie = (F.col(f"{_P}cls{i}") % 2 == 1) | (F.col(f"{_P}cls{i}") == NULL_CLASS)
-        base = base.withColumn(
-            f"{_P}sub{i}",
-            F.when(tie, F.coalesce(F.substring(F.col(tb), 1, SUB_PREFIX_CHARS), F.lit(""))).otherwise(F.lit("")),
-        )
-    base = base.drop(*[f"{_P}cuts{i}" for i in range(len(columns))])
-
+        if not isinstance(types[c], T.NumericType):
+            raise TypeError(f"ranking supports numeric columns only, got {types[c].simpleString()}")
+        classed = with_class(classed, c, sorted(set(row[f"c{i}"] or [])), types[c], f"{_P}cls{i}")
+        cls = F.col(f"{_P}cls{i}")
+        tie = (cls % 2 == 1) | (cls == NULL_CLASS)
+        sub = F.when(tie, F.coalesce(F.substring(F.col(tb), 1, SUB_PREFIX_CHARS), F.lit(""))).otherwise(F.lit(""))
+        classed = classed.withColumn(f"{_P}sub{i}", sub)
+
+    # Group sizes for every ranked column in one aggregation.
+    stacked = classed.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(F.lit(i).alias("col"), F.col(f"{_P}cls{i}").alias("cls"), F.col(f"{_P}sub{i}").alias("sub"))
+                    for i in range(len(columns))
+                ]
+            )
+        ).alias("g")
+    ).select("g.*")
+    counts = stacked.groupBy("col", "cls", "sub").count()
+
+    out = classed
     for i, c in enumerate(columns):
         cls, sub = f"{_P}cls{i}", f"{_P}sub{i}"
         directions = list(dict.fromkeys(o.ascending for o in outputs if o.column == c))
-        offsets = _offsets(base.groupBy(cls, sub).count(), cls, sub, i, directions)
-        base = base.join(F.broadcast(offsets), on=[cls, sub], how="inner")
+        offsets = _offsets(counts.filter(F.col("col") == i).drop("col"), i, directions).withColumnsRenamed(
+            {"cls": cls, "sub": sub}
+        )
+        out = out.join(F.broadcast(offsets), on=[cls, sub], how="inner")
         part = W.partitionBy(cls, sub)
         is_tie = (F.col(cls) % 2 == 1) | (F.col(cls) == NULL_CLASS)
         for asc in directions:
             d = "a" if asc else "d"
             start, cstart, total = f"{_P}start{i}{d}", f"{_P}cstart{i}{d}", f"{_P}n{i}"
             value = _ordered(F.col(c), asc)
-            wanted = {o.kind for o in outputs if o.column == c and o.ascending == asc}
-            if wanted & {"row_number", "ntile"}:
+            mine = [o for o in outputs if o.column == c and o.ascending == asc]
+            kinds = {o.kind for o in mine}
+            if kinds & {"row_number", "ntile"}:
                 w_rn = part.orderBy(value, F.col(tb).asc_nulls_first(), F.col(tiebreak).asc_nulls_first())
-                base = base.withColumn(f"{_P}rn{i}{d}", F.col(start) + F.row_number().over(w_rn))
-            if "rank" in wanted:
+                out = out.withColumn(f"{_P}rn{i}{d}", F.col(start) + F.row_number().over(w_rn))
+            if "rank" in kinds:
                 local = F.rank().over(part.orderBy(value))
-                base = base.withColumn(
+                out = out.withColumn(
                     f"{_P}rank{i}{d}", F.when(is_tie, F.col(cstart) + 1).otherwise(F.col(start) + local)
                 )
-            for o in outputs:
-                if o.column != c or o.ascending != asc:
-                    continue
+            for o in mine:
                 if o.kind == "rank":
-                    base = base.withColumn(o.name, F.col(f"{_P}rank{i}{d}").cast("bigint"))
+                    out = out.withColumn(o.name, F.col(f"{_P}rank{i}{d}").cast("bigint"))
                 elif o.kind == "row_number":
-                    base = base.withColumn(o.name, F.col(f"{_P}rn{i}{d}").cast("bigint"))
+                    out = out.withColumn(o.name, F.col(f"{_P}rn{i}{d}").cast("bigint"))
                 elif o.kind == "ntile":
-                    base = base.withColumn(o.name, ntile_of(f"{_P}rn{i}{d}", total, o.n))
+                    out = out.withColumn(o.name, ntile_of(f"{_P}rn{i}{d}", total, o.n))
                 else:
                     raise ValueError(f"unknown rank kind {o.kind!r}")
 
-    return base.select(*df.columns, *[o.name for o in outputs])
+    return out.select(*df.columns, *[o.name for o in outputs])
 
 
-def _offsets(counts: DataFrame, cls: str, sub: str, i: int, directions: Sequence[bool]) -> DataFrame:
-    """Start offset of every (class, sub-class) group, per sort direction, and the total count.
+def _offsets(counts: DataFrame, i: int, directions: Sequence[bool]) -> DataFrame:
+    """Start offset of every (class, sub-class) group per sort direction, and the total count.
 
     ``counts`` has at most (2K + 2) * 256 rows, so these windows (which run in
     one task) work on a bounded table.
@@ -147,13 +179,12 @@ def _offsets(counts: DataFrame, cls: str, sub: str, i: int, directions: Sequence
     out = counts.withColumn(f"{_P}n{i}", F.sum("count").over(W.partitionBy()))
     for asc in directions:
         d = "a" if asc else "d"
-        key = (
-            F.when(F.col(cls) == NULL_CLASS, F.lit(-(10**9) if asc else 10**9))
-            .otherwise(F.col(cls) if asc else -F.col(cls))
+        key = F.when(F.col("cls") == NULL_CLASS, F.lit(-(10**9) if asc else 10**9)).otherwise(
+            F.col("cls") if asc else -F.col("cls")
         )
-        running = W.orderBy(key, F.col(sub)).rowsBetween(W.unboundedPreceding, W.currentRow)
+        running = W.orderBy(key, F.col("sub")).rowsBetween(W.unboundedPreceding, W.currentRow)
         out = out.withColumn(f"{_P}start{i}{d}", F.sum("count").over(running) - F.col("count"))
-        out = out.withColumn(f"{_P}cstart{i}{d}", F.min(f"{_P}start{i}{d}").over(W.partitionBy(cls)))
+        out = out.withColumn(f"{_P}cstart{i}{d}", F.min(f"{_P}start{i}{d}").over(W.partitionBy("cls")))
     return out.drop("count")
 
 

@@ -14,26 +14,95 @@ depends on the id type.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-@dataclass(frozen=True)
 class Tables:
-    """The prepared tables the views read (plus the raw product frame for preparation)."""
+    """The prepared tables the views read, built lazily from ``sf_dir`` on first access.
+
+    Frames can also be given directly (``Tables(orders=df, ...)``), e.g. small
+    hand-made frames in tests; a table that is neither given nor derivable
+    raises ``KeyError``.
+    """
+
+    NAMES = (
+        "orders", "order_items", "order_payments", "order_reviews", "customers",
+        "products", "sellers", "categories", "geoloc", "products_raw", "geolocation_raw", "order_items_raw",
+    )
+
+    def __init__(self, spark: SparkSession | None = None, sf_dir: str | None = None, **frames: DataFrame):
+        unknown = set(frames) - set(self.NAMES)
+        if unknown:
+            raise TypeError(f"unknown tables: {sorted(unknown)}")
+        self._spark, self._sf_dir, self._frames = spark, sf_dir, dict(frames)
+
+    def _get(self, name: str) -> DataFrame:
+        if name not in self._frames:
+            if self._spark is None:
+                raise KeyError(f"table {name!r} was not provided")
+            self._frames[name] = getattr(self, f"_build_{name}")()
+        return self._frames[name]
+
+    # -- derivations (the notebook's preparation applied to the bridged raw tables) --
+    def _build_orders(self) -> DataFrame:
+        from feira.operators import prepare
+
+        return prepare.add_dq_flags(bridge_orders(self._spark, self._sf_dir))
+
+    def _build_order_items_raw(self) -> DataFrame:
+        return bridge_order_items_raw(self._spark, self._sf_dir)
+
+    def _build_order_items(self) -> DataFrame:
+        from feira.operators import prepare
+
+        return prepare.parse_timestamps(self.order_items_raw, ["shipping_limit_date"])
+
+    def _build_order_payments(self) -> DataFrame:
+        return bridge_order_payments(self._spark, self._sf_dir)
 
-    orders: DataFrame
-    order_items: DataFrame
-    order_payments: DataFrame
-    order_reviews: DataFrame
-    customers: DataFrame
-    products: DataFrame
-    sellers: DataFrame
-    categories: DataFrame
-    geoloc: DataFrame
-    products_raw: DataFrame
+    def _build_order_reviews(self) -> DataFrame:
+        from feira.operators import prepare
+
+        return prepare.fill_comment(bridge_order_reviews(self._spark, self._sf_dir))
+
+    def _build_customers(self) -> DataFrame:
+        return bridge_customers(self._spark, self._sf_dir)
+
+    def _build_products_raw(self) -> DataFrame:
+        return bridge_products_raw(self._spark, self._sf_dir)
+
+    def _build_categories(self) -> DataFrame:
+        return bridge_categories(self._spark, self._sf_dir)
+
+    def _build_products(self) -> DataFrame:
+        from feira.operators import prepare
+
+        return prepare.dim_products(self.products_raw, self.categories)
+
+    def _build_sellers(self) -> DataFrame:
+        return bridge_sellers(self._spark, self._sf_dir)
+
+    def _build_geolocation_raw(self) -> DataFrame:
+        return bridge_geolocation(self._spark, self._sf_dir)
+
+    def _build_geoloc(self) -> DataFrame:
+        from feira.operators import prepare
+
+        return prepare.geo_centroids(self.geolocation_raw)
+
+    orders = property(lambda self: self._get("orders"))
+    order_items = property(lambda self: self._get("order_items"))
+    order_items_raw = property(lambda self: self._get("order_items_raw"))
+    order_payments = property(lambda self: self._get("order_payments"))
+    order_reviews = property(lambda self: self._get("order_reviews"))
+    customers = property(lambda self: self._get("customers"))
+    products = property(lambda self: self._get("products"))
+    products_raw = property(lambda self: self._get("products_raw"))
+    sellers = property(lambda self: self._get("sellers"))
+    categories = property(lambda self: self._get("categories"))
+    geoloc = property(lambda self: self._get("geoloc"))
+    geolocation_raw = property(lambda self: self._get("geolocation_raw"))
 
 
 def read_source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -225,23 +294,5 @@ def bridge_geolocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """All reference-shaped tables over ``sf_dir``, prepared the way the notebook prepares them."""
-    from feira.operators import prepare
-
-    orders = prepare.add_dq_flags(bridge_orders(spark, sf_dir))
-    items = prepare.parse_timestamps(bridge_order_items_raw(spark, sf_dir), ["shipping_limit_date"])
-    reviews = prepare.fill_comment(bridge_order_reviews(spark, sf_dir))
-    products_raw = bridge_products_raw(spark, sf_dir)
-    categories = bridge_categories(spark, sf_dir)
-    return Tables(
-        orders=orders,
-        order_items=items,
-        order_payments=bridge_order_payments(spark, sf_dir),
-        order_reviews=reviews,
-        customers=bridge_customers(spark, sf_dir),
-        products=prepare.dim_products(products_raw, categories),
-        sellers=bridge_sellers(spark, sf_dir),
-        categories=categories,
-        geoloc=prepare.geo_centroids(bridge_geolocation(spark, sf_dir)),
-        products_raw=products_raw,
-    )
+    """All reference-shaped tables over ``sf_dir`` (lazy: each is built on first use)."""
+    return Tables(spark, sf_dir)
