@@ -172,17 +172,25 @@ def delay_bucket(delay) -> tuple[F.Column, F.Column]:
     return label, order
 
 
-def delay_vs_review(t: Tables) -> DataFrame:
-    """V-15 vw_delay_vs_review: review statistics per delivery-delay bucket (one row per review)."""
+def delay_review_rows(t: Tables) -> DataFrame:
+    """One row per (delivered order, non-NULL review): order_id, delay_days, review_score."""
     orders = delivered_orders(t, "order_delivered_customer_date", "order_estimated_delivery_date").filter(
         F.col("order_delivered_customer_date").isNotNull()
     )
     reviews = t.order_reviews.select("order_id", "review_score").filter(F.col("review_score").isNotNull())
-    delay = day_diff("order_estimated_delivery_date", "order_delivered_customer_date")
-    label, order = delay_bucket(delay)
+    return orders.join(reviews, on="order_id").select(
+        "order_id",
+        day_diff("order_estimated_delivery_date", "order_delivered_customer_date").alias("delay_days"),
+        "review_score",
+    )
+
+
+def delay_vs_review(t: Tables) -> DataFrame:
+    """V-15 vw_delay_vs_review: review statistics per delivery-delay bucket (one row per review)."""
+    label, order = delay_bucket(F.col("delay_days"))
     score = F.col("review_score")
     return (
-        orders.join(reviews, on="order_id")
+        delay_review_rows(t)
         .groupBy(label.alias("delay_bucket"), order.alias("bucket_sort"))
         .agg(
             F.count("order_id").alias("order_count"),

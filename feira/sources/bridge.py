@@ -29,6 +29,7 @@ class Tables:
     NAMES = (
         "orders", "order_items", "order_payments", "order_reviews", "customers",
         "products", "sellers", "categories", "geoloc", "products_raw", "geolocation_raw", "order_items_raw",
+        "orders_raw", "order_reviews_raw",
     )
 
     def __init__(self, spark: SparkSession | None = None, sf_dir: str | None = None, **frames: DataFrame):
@@ -45,10 +46,13 @@ class Tables:
         return self._frames[name]
 
     # -- derivations (the notebook's preparation applied to the bridged raw tables) --
+    def _build_orders_raw(self) -> DataFrame:
+        return bridge_orders(self._spark, self._sf_dir)
+
     def _build_orders(self) -> DataFrame:
         from feira.operators import prepare
 
-        return prepare.add_dq_flags(bridge_orders(self._spark, self._sf_dir))
+        return prepare.add_dq_flags(self.orders_raw)
 
     def _build_order_items_raw(self) -> DataFrame:
         return bridge_order_items_raw(self._spark, self._sf_dir)
@@ -61,10 +65,13 @@ class Tables:
     def _build_order_payments(self) -> DataFrame:
         return bridge_order_payments(self._spark, self._sf_dir)
 
+    def _build_order_reviews_raw(self) -> DataFrame:
+        return bridge_order_reviews(self._spark, self._sf_dir)
+
     def _build_order_reviews(self) -> DataFrame:
         from feira.operators import prepare
 
-        return prepare.fill_comment(bridge_order_reviews(self._spark, self._sf_dir))
+        return prepare.fill_comment(self.order_reviews_raw)
 
     def _build_customers(self) -> DataFrame:
         return bridge_customers(self._spark, self._sf_dir)
@@ -92,6 +99,8 @@ class Tables:
         return prepare.geo_centroids(self.geolocation_raw)
 
     orders = property(lambda self: self._get("orders"))
+    orders_raw = property(lambda self: self._get("orders_raw"))
+    order_reviews_raw = property(lambda self: self._get("order_reviews_raw"))
     order_items = property(lambda self: self._get("order_items"))
     order_items_raw = property(lambda self: self._get("order_items_raw"))
     order_payments = property(lambda self: self._get("order_payments"))
