@@ -31,6 +31,13 @@ N mod n tiles get one extra row, as in SQL). RANK of a tie class is the class
 start + 1; elsewhere it is start + the local rank, since equal values never
 straddle two classes.
 
+Small inputs: the aggregate that fetches the cut points also counts the
+rows. When that exact count is at most ``single_task_rows`` (default one
+million rows — a bound of the same order as Spark's broadcast threshold),
+the built-in global windows are used instead, in one task, with the same
+tie-break and therefore the same result. Above the bound the distributed
+method always runs, so no unbounded input ever reaches a single task.
+
 Tie-break order (needed for deterministic ROW_NUMBER/NTILE) is
 ``md5(cast(key as string)), key``; the SQL oracle repeats it.
 """
@@ -50,6 +57,7 @@ from feira.session import materialize
 SUB_PREFIX_CHARS = 2  # 16**2 = 256 sub-classes per tie class
 NULL_CLASS = -1
 DEFAULT_CUTS = 127
+SINGLE_TASK_ROWS = 1_000_000
 _P = "__rk_"
 
 
@@ -73,24 +81,38 @@ def _ordered(c: Column, ascending: bool) -> Column:
     return c.asc_nulls_first() if ascending else c.desc_nulls_last()
 
 
-def with_class(df: DataFrame, column: str, cuts: Sequence, dtype: T.DataType, name: str) -> DataFrame:
-    """Add the monotone class of ``column`` given sorted distinct cut values (see module docstring).
+def with_classes(df: DataFrame, specs: Sequence[tuple[str, Sequence, T.DataType, str]]) -> DataFrame:
+    """Add the monotone class of each ``(column, sorted distinct cuts, type, output name)`` (see module docstring).
 
     ``pos`` (the number of cut values below the value) is found by binary
     lifting over a literal array: one ``element_at`` comparison per power of
-    two, each a small code-generated projection.
+    two, all columns advanced together in one small code-generated projection
+    per step.
     """
-    arr = F.array(*[F.lit(v) for v in cuts]).cast(T.ArrayType(dtype)) if cuts else F.array().cast(T.ArrayType(dtype))
-    v, pos = F.col(column), f"{name}_pos"
-    out = df.withColumn(pos, F.lit(0))
-    step = 1 << max(len(cuts).bit_length() - 1, 0)
-    while step >= 1 and cuts:
-        below = F.try_element_at(arr, F.col(pos) + step) < v
-        out = out.withColumn(pos, F.col(pos) + F.when(below, F.lit(step)).otherwise(F.lit(0)))
+    arrays, positions = {}, {}
+    for column, cuts, dtype, name in specs:
+        arrays[name] = F.array(*[F.lit(v) for v in cuts]).cast(T.ArrayType(dtype))
+        positions[name] = f"{name}_pos"
+    out = df.withColumns({positions[name]: F.lit(0) for _, _, _, name in specs})
+    step = 1 << max(max((len(c) for _, c, _, _ in specs), default=1).bit_length() - 1, 0)
+    while step >= 1:
+        moves = {}
+        for column, cuts, _, name in specs:
+            if step <= len(cuts):
+                pos = F.col(positions[name])
+                below = F.try_element_at(arrays[name], pos + step) < F.col(column)
+                moves[positions[name]] = pos + F.when(below, F.lit(step)).otherwise(F.lit(0))
+        if moves:
+            out = out.withColumns(moves)
         step >>= 1
-    equal = F.coalesce(F.try_element_at(arr, F.col(pos) + 1) == v, F.lit(False))
-    cls = F.when(v.isNull(), F.lit(NULL_CLASS)).when(equal, F.col(pos) * 2 + 1).otherwise(F.col(pos) * 2)
-    return out.withColumn(name, cls.cast("bigint")).drop(pos)
+    classes = {}
+    for column, _, _, name in specs:
+        v, pos = F.col(column), F.col(positions[name])
+        equal = F.coalesce(F.try_element_at(arrays[name], pos + 1) == v, F.lit(False))
+        classes[name] = (
+            F.when(v.isNull(), F.lit(NULL_CLASS)).when(equal, pos * 2 + 1).otherwise(pos * 2).cast("bigint")
+        )
+    return out.withColumns(classes).drop(*positions.values())
 
 
 def with_global_ranks(
@@ -100,25 +122,39 @@ def with_global_ranks(
     cuts: int = DEFAULT_CUTS,
     accuracy: int = 10000,
     checkpoint: bool = True,
+    single_task_rows: int | None = None,
 ) -> DataFrame:
     """Append the requested global rank/row_number/ntile columns to ``df``."""
     base = materialize(df) if checkpoint else df
     columns = list(dict.fromkeys(o.column for o in outputs))
     types = {f.name: f.dataType for f in base.schema.fields}
+    for c in columns:
+        if not isinstance(types[c], T.NumericType):
+            raise TypeError(f"ranking supports numeric columns only, got {types[c].simpleString()}")
     probs = [(i + 1) / (cuts + 1) for i in range(cuts)]
 
-    # Cut points: one aggregate row, at most `cuts` values per column.
-    row = base.agg(*[F.percentile_approx(c, probs, accuracy).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    # One aggregate row: the exact row count and at most `cuts` cut points per column.
+    row = base.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.percentile_approx(c, probs, accuracy).alias(f"c{i}") for i, c in enumerate(columns)],
+    ).first()
+    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
+    if row["n"] <= limit:
+        return _single_task_ranks(base, tiebreak, outputs).select(*df.columns, *[o.name for o in outputs])
+
     tb = f"{_P}tb"
-    classed = base.withColumn(tb, tiebreak_hash(tiebreak))
-    for i, c in enumerate(columns):
-        if not isinstance(types[c], T.NumericType):
-            raise TypeError(f"ranking supports numeric columns only, got {types[c].simpleString()}")
-        classed = with_class(classed, c, sorted(set(row[f"c{i}"] or [])), types[c], f"{_P}cls{i}")
+    classed = with_classes(
+        base.withColumn(tb, tiebreak_hash(tiebreak)),
+        [(c, sorted(set(row[f"c{i}"] or [])), types[c], f"{_P}cls{i}") for i, c in enumerate(columns)],
+    )
+    subs = {}
+    for i in range(len(columns)):
         cls = F.col(f"{_P}cls{i}")
         tie = (cls % 2 == 1) | (cls == NULL_CLASS)
-        sub = F.when(tie, F.coalesce(F.substring(F.col(tb), 1, SUB_PREFIX_CHARS), F.lit(""))).otherwise(F.lit(""))
-        classed = classed.withColumn(f"{_P}sub{i}", sub)
+        subs[f"{_P}sub{i}"] = F.when(
+            tie, F.coalesce(F.substring(F.col(tb), 1, SUB_PREFIX_CHARS), F.lit(""))
+        ).otherwise(F.lit(""))
+    classed = classed.withColumns(subs)
 
     # Group sizes for every ranked column in one aggregation.
     stacked = classed.select(
@@ -149,27 +185,47 @@ def with_global_ranks(
             value = _ordered(F.col(c), asc)
             mine = [o for o in outputs if o.column == c and o.ascending == asc]
             kinds = {o.kind for o in mine}
+            positions = {}
             if kinds & {"row_number", "ntile"}:
                 w_rn = part.orderBy(value, F.col(tb).asc_nulls_first(), F.col(tiebreak).asc_nulls_first())
-                out = out.withColumn(f"{_P}rn{i}{d}", F.col(start) + F.row_number().over(w_rn))
+                positions[f"{_P}rn{i}{d}"] = F.col(start) + F.row_number().over(w_rn)
             if "rank" in kinds:
                 local = F.rank().over(part.orderBy(value))
-                out = out.withColumn(
-                    f"{_P}rank{i}{d}", F.when(is_tie, F.col(cstart) + 1).otherwise(F.col(start) + local)
-                )
+                positions[f"{_P}rank{i}{d}"] = F.when(is_tie, F.col(cstart) + 1).otherwise(F.col(start) + local)
+            out = out.withColumns(positions)
+            results = {}
             for o in mine:
                 if o.kind == "rank":
-                    out = out.withColumn(o.name, F.col(f"{_P}rank{i}{d}").cast("bigint"))
+                    results[o.name] = F.col(f"{_P}rank{i}{d}").cast("bigint")
                 elif o.kind == "row_number":
-                    out = out.withColumn(o.name, F.col(f"{_P}rn{i}{d}").cast("bigint"))
+                    results[o.name] = F.col(f"{_P}rn{i}{d}").cast("bigint")
                 elif o.kind == "ntile":
-                    out = out.withColumn(o.name, ntile_of(f"{_P}rn{i}{d}", total, o.n))
+                    results[o.name] = ntile_of(f"{_P}rn{i}{d}", total, o.n)
                 else:
                     raise ValueError(f"unknown rank kind {o.kind!r}")
+            out = out.withColumns(results)
 
     return out.select(*df.columns, *[o.name for o in outputs])
 
 
+def _single_task_ranks(base: DataFrame, tiebreak: str, outputs: Sequence[RankOut]) -> DataFrame:
+    """Built-in global windows; only called when the exact row count is within ``single_task_rows``."""
+    tb = tiebreak_hash(tiebreak).asc_nulls_first()
+    key = F.col(tiebreak).asc_nulls_first()
+    cols = {}
+    for o in outputs:
+        value = _ordered(F.col(o.column), o.ascending)
+        if o.kind == "rank":
+            cols[o.name] = F.rank().over(W.orderBy(value)).cast("bigint")
+        elif o.kind == "row_number":
+            cols[o.name] = F.row_number().over(W.orderBy(value, tb, key)).cast("bigint")
+        elif o.kind == "ntile":
+            cols[o.name] = F.ntile(o.n).over(W.orderBy(value, tb, key)).cast("bigint")
+        else:
+            raise ValueError(f"unknown rank kind {o.kind!r}")
+    return base.withColumns(cols)
+
+
 def _offsets(counts: DataFrame, i: int, directions: Sequence[bool]) -> DataFrame:
     """Start offset of every (class, sub-class) group per sort direction, and the total count.
 

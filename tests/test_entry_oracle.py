@@ -34,3 +34,14 @@ def test_query_matches_oracle(spark, duck_sf_small, key):
 
 def test_random_sample_has_requested_size(spark):
     assert QUERIES["p17_orders_sample"](spark, SF_SMALL).count() == 5
+
+
+@pytest.mark.parametrize("key", ["v06_rfm_segments", "v07_customer_ltv", "v08_seller_performance",
+                                 "m06_segment_share"])
+def test_distributed_ranking_path_matches_oracle(spark, duck_sf_small, monkeypatch, key):
+    from feira.operators import ranking
+
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 0)
+    got = QUERIES[key](spark, SF_SMALL).toPandas()
+    want = duck_sf_small.sql(ORACLE[key]).df()
+    assert_same(got, want, key)

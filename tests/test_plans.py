@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from feira import load_tables, plans
+from feira.operators import ranking
 from feira.plans.sellers import seller_base
 from tests.conftest import SF_SMALL
 
@@ -18,7 +19,8 @@ def _window_specs(plan: str) -> list[str]:
     return re.findall(r"(?:row_number|rank|ntile)\(.*?\) windowspecdefinition\(([^)]*)", plan)
 
 
-def test_person_and_seller_rankings_are_partitioned(spark):
+def test_person_and_seller_rankings_are_partitioned(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 0)  # the path taken above the single-task bound
     t = load_tables(spark, SF_SMALL)
     for df in (plans.rfm_segments(t), plans.seller_performance(t)):
         specs = _window_specs(_plan(df))
@@ -46,3 +48,9 @@ def test_fan_out_is_not_materialised(spark):
     # the review rows enter the plan only through an aggregate keyed by order_id
     optimized = seller_base(t)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[order_id#\d+L\], \[order_id#\d+L, count\(1\)", optimized)
+
+
+def test_small_rankings_use_one_task_only_below_the_bound(spark):
+    t = load_tables(spark, SF_SMALL)
+    specs = _window_specs(_plan(plans.seller_performance(t)))
+    assert specs and all(not spec.strip().startswith("__rk_cls") for spec in specs)

@@ -20,7 +20,7 @@ def _brute(df, key, column, ascending, kind, n=None):
     return F.ntile(n).over(order) if kind == "ntile" else F.row_number().over(order)
 
 
-def _check(spark, rows, schema, column, cuts):
+def _check(spark, rows, schema, column, cuts, single_task_rows=0):
     df = spark.createDataFrame(rows, schema)
     outs = [
         RankOut("rk_a", column, True, "rank"),
@@ -31,7 +31,7 @@ def _check(spark, rows, schema, column, cuts):
         RankOut("nt5_d", column, False, "ntile", 5),
         RankOut("nt4_d", column, False, "ntile", 4),
     ]
-    got = with_global_ranks(df, "id", outs, cuts=cuts)
+    got = with_global_ranks(df, "id", outs, cuts=cuts, single_task_rows=single_task_rows)
     want = df.select(
         "id",
         *[_brute(df, "id", o.column, o.ascending, o.kind, o.n).alias(o.name) for o in outs],
@@ -41,8 +41,8 @@ def _check(spark, rows, schema, column, cuts):
     assert g == w
 
 
-@pytest.mark.parametrize("cuts", [1, 3, 127])
-def test_skewed_ties_and_nulls(spark, cuts):
+@pytest.mark.parametrize("cuts,single_task_rows", [(1, 0), (3, 0), (127, 0), (127, 10**6)])
+def test_skewed_ties_and_nulls(spark, cuts, single_task_rows):
     rng = random.Random(7)
     rows = []
     for i in range(900):
@@ -54,7 +54,7 @@ def test_skewed_ties_and_nulls(spark, cuts):
         else:
             v = rng.randint(0, 60)
         rows.append((i, v))
-    _check(spark, rows, "id long, v long", "v", cuts)
+    _check(spark, rows, "id long, v long", "v", cuts, single_task_rows)
 
 
 def test_decimal_money_values(spark):
@@ -80,7 +80,7 @@ def test_double_with_nulls(spark):
 
 def test_ntile_group_sizes_differ_by_at_most_one(spark):
     df = spark.createDataFrame([(i, i % 13) for i in range(1003)], "id long, v long")
-    sizes = (with_global_ranks(df, "id", [RankOut("t", "v", False, "ntile", 5)])
+    sizes = (with_global_ranks(df, "id", [RankOut("t", "v", False, "ntile", 5)], single_task_rows=0)
              .groupBy("t").count().orderBy("t").collect())
     counts = [r["count"] for r in sizes]
     assert [r.t for r in sizes] == [1, 2, 3, 4, 5]
