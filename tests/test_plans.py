@@ -43,8 +43,6 @@ def test_status_filter_and_pruning_reach_the_scan(spark):
 def test_fan_out_is_not_materialised(spark):
     """Reviews are aggregated per order before meeting the item rows (no item x review join)."""
     t = load_tables(spark, SF_SMALL)
-    plan = _plan(plans.seller_performance(t))
-    assert "HashAggregate" in plan
     # the review rows enter the plan only through an aggregate keyed by order_id
     optimized = seller_base(t)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[order_id#\d+L\], \[order_id#\d+L, count\(1\)", optimized)
