@@ -16,7 +16,9 @@ is the session's ``spark.sql.shuffle.partitions`` unless given.
 The store is keyed by the source files (path, size, modification time, as
 listed by the ``binaryFile`` source without reading content), the bucket
 count and a layout version, so changed inputs get a fresh store. A marker
-written last tells complete stores from interrupted ones.
+written last tells complete stores from interrupted ones. Within one Spark
+application the store is looked up once per source directory; its
+DataFrames (lazy, immutable) are reused by later calls.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ FACTS = ["orders", "order_items", "order_payments", "order_reviews"]
 DIMENSIONS = ["customers", "products", "sellers", "categories", "geoloc"]
 SOURCES = ["orders", "lineitem", "customer", "nation", "region", "part", "supplier"]
 
-_known: dict[tuple[str, str, int], str] = {}
+_frames: dict[tuple[str, str, int], dict[str, DataFrame]] = {}
 
 
 def _root(spark: SparkSession) -> str:
@@ -104,15 +106,16 @@ def warehouse_tables(spark: SparkSession, sf_dir: str, buckets: int | None = Non
     """
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     memo = (spark.sparkContext.applicationId, sf_dir, buckets)
-    root = _root(spark)
-    key = _known.get(memo)
-    if key is None:
+    frames = _frames.get(memo)
+    if frames is None:
+        root = _root(spark)
         key = _fingerprint(spark, sf_dir, buckets)
         if not _exists(spark, f"{root}/{key}/_complete"):
             _write(spark, load_tables(spark, sf_dir), root, key, buckets)
-        _known[memo] = key
-    frames = {
-        table: _register(spark, _table_name(key, table), f"{root}/{key}/{table}", True, buckets) for table in FACTS
-    }
-    frames.update({table: spark.read.parquet(f"{root}/{key}/{table}") for table in DIMENSIONS})
+        frames = {
+            table: _register(spark, _table_name(key, table), f"{root}/{key}/{table}", True, buckets)
+            for table in FACTS
+        }
+        frames.update({table: spark.read.parquet(f"{root}/{key}/{table}") for table in DIMENSIONS})
+        _frames[memo] = frames
     return Tables(spark, sf_dir, **frames)
