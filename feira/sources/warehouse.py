@@ -7,11 +7,17 @@ and writes the nine prepared tables as Parquet under the session's
 ``spark.checkpoint.dir`` (the cluster's shared folder); later calls, in this
 session or another, register and read them.
 
-The four fact tables (orders, items, payments, reviews) are written
-**bucketed by order_id** into the same number of buckets, one file per
-bucket. Joins between them and per-order aggregates (items or reviews per
-order) then read co-partitioned data and need no shuffle; the bucket count
-is the session's ``spark.sql.shuffle.partitions`` unless given.
+Layout. By default every table is written as evenly sized files
+(round-robin), whatever the key distribution. Joins on ``order_id`` then
+shuffle, but each view pre-aggregates per order map-side before that shuffle
+and AQE splits skewed join partitions, so an order holding a third of all
+rows never lands in one task. ``bucketed=True`` instead writes the four
+fact tables bucketed by ``order_id`` into the same number of buckets: joins
+among them and per-order aggregates then need no shuffle at all, which is
+the better layout when no single order is large, but every bucket is read by
+one task, so a hot order would make its bucket (and the write) a straggler.
+The file/bucket count is the session's ``spark.sql.shuffle.partitions``
+unless given.
 
 The store is keyed by the source files (path, size, modification time, as
 listed by the ``binaryFile`` source without reading content), the bucket
@@ -33,13 +39,13 @@ from pyspark.sql import functions as F
 from feira.session import ensure_checkpoint_dir
 from feira.sources.bridge import Tables, load_tables
 
-LAYOUT_VERSION = "1"
+LAYOUT_VERSION = "2"
 BUCKET_KEY = "order_id"
 FACTS = ["orders", "order_items", "order_payments", "order_reviews"]
 DIMENSIONS = ["customers", "products", "sellers", "categories", "geoloc"]
 SOURCES = ["orders", "lineitem", "customer", "nation", "region", "part", "supplier"]
 
-_frames: dict[tuple[str, str, int], dict[str, DataFrame]] = {}
+_frames: dict[tuple[str, str, int, bool], dict[str, DataFrame]] = {}
 
 
 def _root(spark: SparkSession) -> str:
@@ -48,7 +54,7 @@ def _root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/feira-warehouse"
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str, buckets: int) -> str:
+def _fingerprint(spark: SparkSession, sf_dir: str, buckets: int, bucketed: bool) -> str:
     paths = [f"{sf_dir.rstrip('/')}/{s}.parquet" for s in SOURCES]
     listing = (
         spark.read.format("binaryFile").load(paths)
@@ -56,7 +62,7 @@ def _fingerprint(spark: SparkSession, sf_dir: str, buckets: int) -> str:
         .orderBy("path")
         .collect()
     )
-    text = json.dumps([LAYOUT_VERSION, buckets, [tuple(r) for r in listing]])
+    text = json.dumps([LAYOUT_VERSION, buckets, bucketed, [tuple(r) for r in listing]])
     return hashlib.sha1(text.encode()).hexdigest()[:16]
 
 
@@ -81,41 +87,49 @@ def _register(spark: SparkSession, name: str, path: str, bucketed: bool, buckets
     return spark.table(name)
 
 
-def _write(spark: SparkSession, t: Tables, root: str, key: str, buckets: int) -> None:
+def _write(spark: SparkSession, t: Tables, root: str, key: str, buckets: int, bucketed: bool) -> None:
     for table in FACTS:
         df = getattr(t, table)
         name, path = _table_name(key, table), f"{root}/{key}/{table}"
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        (
-            df.repartition(buckets, BUCKET_KEY)
-            .write.mode("overwrite")
-            .bucketBy(buckets, BUCKET_KEY)
-            .sortBy(BUCKET_KEY)
-            .option("path", path)
-            .saveAsTable(name)
-        )
+        if bucketed:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            (
+                df.repartition(buckets, BUCKET_KEY)
+                .write.mode("overwrite")
+                .bucketBy(buckets, BUCKET_KEY)
+                .sortBy(BUCKET_KEY)
+                .option("path", path)
+                .saveAsTable(name)
+            )
+        else:
+            df.repartition(buckets).write.mode("overwrite").parquet(path)
     for table in DIMENSIONS:
         getattr(t, table).write.mode("overwrite").parquet(f"{root}/{key}/{table}")
     spark.range(1).write.mode("overwrite").parquet(f"{root}/{key}/_complete")
 
 
-def warehouse_tables(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> Tables:
+def warehouse_tables(
+    spark: SparkSession, sf_dir: str, buckets: int | None = None, bucketed: bool = False
+) -> Tables:
     """Prepared tables for ``sf_dir``, written on first use and read from the store afterwards.
 
     Raw (pre-preparation) tables are still derived from the sources on demand.
     """
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    memo = (spark.sparkContext.applicationId, sf_dir, buckets)
+    memo = (spark.sparkContext.applicationId, sf_dir, buckets, bucketed)
     frames = _frames.get(memo)
     if frames is None:
         root = _root(spark)
-        key = _fingerprint(spark, sf_dir, buckets)
+        key = _fingerprint(spark, sf_dir, buckets, bucketed)
         if not _exists(spark, f"{root}/{key}/_complete"):
-            _write(spark, load_tables(spark, sf_dir), root, key, buckets)
-        frames = {
-            table: _register(spark, _table_name(key, table), f"{root}/{key}/{table}", True, buckets)
-            for table in FACTS
-        }
+            _write(spark, load_tables(spark, sf_dir), root, key, buckets, bucketed)
+        if bucketed:
+            frames = {
+                table: _register(spark, _table_name(key, table), f"{root}/{key}/{table}", True, buckets)
+                for table in FACTS
+            }
+        else:
+            frames = {table: spark.read.parquet(f"{root}/{key}/{table}") for table in FACTS}
         frames.update({table: spark.read.parquet(f"{root}/{key}/{table}") for table in DIMENSIONS})
         _frames[memo] = frames
     return Tables(spark, sf_dir, **frames)
