@@ -9,11 +9,16 @@ over all columns and then unpivoted, never one job per column.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feira.functions import round_double
+from feira.operators.quantiles import exact_quantiles
+
+QUARTILES = (0.25, 0.5, 0.75)
+QUARTILE_NAMES = ("p25", "p50", "p75")
 
 
 def _unpivot_row(agg: DataFrame, names: Sequence[str], value: str) -> DataFrame:
@@ -110,13 +115,15 @@ def null_status_profile(orders: DataFrame, date_columns: Sequence[str]) -> DataF
     )
 
 
-def describe(df: DataFrame, columns: Sequence[str], digits: int | None = None) -> DataFrame:
-    """P-12 ``describe()``: count, mean, sample std, min, 25/50/75 % (exact, interpolated), max.
+def describe(df: DataFrame, columns: Sequence[str], digits: int | None = None, approximate: bool = False) -> DataFrame:
+    """P-12 ``describe()``: count, mean, sample std, min, 25/50/75 % (interpolated), max per column.
 
-    One aggregation over all columns. Percentiles are exact
-    (``percentile``, linear interpolation as in pandas), not the approximate
-    ones of ``DataFrame.summary``. ``digits`` optionally rounds the
-    floating-point statistics.
+    Count, mean, std, min and max come from one aggregation over all columns.
+    The quartiles are exact by default, computed from global row numbers
+    (``operators.quantiles``) so no task holds a whole column; they are not
+    the approximate ones of ``DataFrame.summary``. ``approximate=True`` uses
+    ``percentile_approx`` sketches instead (one pass, bounded memory, rank
+    error 1/10000). ``digits`` optionally rounds the floating-point statistics.
     """
     aggs = []
     for i, c in enumerate(columns):
@@ -126,29 +133,47 @@ def describe(df: DataFrame, columns: Sequence[str], digits: int | None = None) -
             (F.sum(x).cast("double") / F.nullif(F.count(x), F.lit(0)).cast("double")).alias(f"mean{i}"),
             F.stddev_samp(x.cast("double")).alias(f"std{i}"),
             F.min(x).cast("double").alias(f"min{i}"),
-            F.percentile(x.cast("double"), [0.25, 0.5, 0.75]).alias(f"q{i}"),
             F.max(x).cast("double").alias(f"max{i}"),
         ]
+        if approximate:
+            aggs.append(F.percentile_approx(x.cast("double"), list(QUARTILES), 10000).alias(f"q{i}"))
     agg = df.agg(*aggs)
 
     def r(c: Column) -> Column:
         return round_double(c, digits) if digits is not None else c
 
-    rows = [
-        F.struct(
-            F.lit(c).alias("column_name"),
-            F.col(f"n{i}").alias("count"),
-            r(F.col(f"mean{i}")).alias("mean"),
-            r(F.col(f"std{i}")).alias("std"),
-            F.col(f"min{i}").alias("min"),
-            r(F.col(f"q{i}")[0]).alias("p25"),
-            r(F.col(f"q{i}")[1]).alias("p50"),
-            r(F.col(f"q{i}")[2]).alias("p75"),
-            F.col(f"max{i}").alias("max"),
-        )
-        for i, c in enumerate(columns)
-    ]
-    return agg.select(F.explode(F.array(*rows)).alias("d")).select("d.*")
+    stats = agg.select(
+        F.explode(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(c).alias("column_name"),
+                        F.col(f"n{i}").alias("count"),
+                        r(F.col(f"mean{i}")).alias("mean"),
+                        r(F.col(f"std{i}")).alias("std"),
+                        F.col(f"min{i}").alias("min"),
+                        *[
+                            (F.col(f"q{i}")[k] if approximate else F.lit(None).cast("double")).alias(name)
+                            for k, name in enumerate(QUARTILE_NAMES)
+                        ],
+                        F.col(f"max{i}").alias("max"),
+                    )
+                    for i, c in enumerate(columns)
+                ]
+            )
+        ).alias("d")
+    ).select("d.*")
+    if approximate:
+        return stats.select(*[r(F.col(c)).alias(c) if c in QUARTILE_NAMES else c for c in stats.columns])
+    quartiles = reduce(
+        DataFrame.unionByName,
+        [exact_quantiles(df, c, QUARTILES).select(F.lit(c).alias("column_name"), "p", "value") for c in columns],
+    ).groupBy("column_name").agg(
+        *[r(F.max(F.when(F.col("p") == q, F.col("value")))).alias(name) for q, name in zip(QUARTILES, QUARTILE_NAMES)]
+    )
+    return stats.drop(*QUARTILE_NAMES).join(quartiles, on="column_name", how="left").select(
+        "column_name", "count", "mean", "std", "min", *QUARTILE_NAMES, "max"
+    )
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str], digits: int | None = None) -> DataFrame:

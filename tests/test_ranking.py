@@ -85,3 +85,25 @@ def test_ntile_group_sizes_differ_by_at_most_one(spark):
     counts = [r["count"] for r in sizes]
     assert [r.t for r in sizes] == [1, 2, 3, 4, 5]
     assert max(counts) - min(counts) <= 1 and counts == sorted(counts, reverse=True)
+
+
+@pytest.mark.parametrize("single_task_rows", [0, 10**6])
+def test_exact_quantiles_match_percentile(spark, monkeypatch, single_task_rows):
+    from feira.operators import quantiles, ranking
+
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", single_task_rows)
+    rng = random.Random(5)
+    rows = [(None if i % 23 == 0 else float(rng.choice([1, 2, 2, 2, 3, rng.randint(0, 1000)])),) for i in range(777)]
+    df = spark.createDataFrame(rows, "x double")
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    got = {r.p: r.value for r in quantiles.exact_quantiles(df, "x", probs).collect()}
+    want = df.agg(F.percentile("x", probs).alias("q")).first().q
+    for p, w in zip(probs, want):
+        assert abs(got[p] - w) < 1e-9, (p, got[p], w)
+
+
+def test_exact_quantiles_of_empty_column(spark):
+    from feira.operators import quantiles
+
+    df = spark.createDataFrame([(None,), (None,)], "x double")
+    assert [r.value for r in quantiles.exact_quantiles(df, "x", [0.5]).collect()] == [None]
