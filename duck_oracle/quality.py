@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from duck_oracle.sqlfn import RD
-from duck_oracle.views import V01
+from duck_oracle.views import V01, V13
 
 TS_FMT = "'%Y-%m-%d %H:%M:%S'"
 
@@ -223,6 +223,7 @@ SELECT f.product_id, coalesce(c.product_category_name_english, 'Unknown') AS cat
        f.product_weight_g AS weight_g, f.product_length_cm AS length_cm, f.product_height_cm AS height_cm,
        f.product_width_cm AS width_cm, f.product_photos_qty AS photos_qty
 FROM f LEFT JOIN fx_categories c ON f.product_category_name = c.product_category_name""",
+    "s01_09_csv_pipeline_delivery": V13,
     "s13_revenue_trend_projection": f"""
 SELECT month_start, total_orders, gross_revenue, aov, mom_growth_pct, yoy_growth_pct, ytd_revenue
 FROM ({V01}) v""",

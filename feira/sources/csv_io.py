@@ -54,6 +54,38 @@ def raw_tables(spark: SparkSession, src_dir: str) -> Tables:
     )
 
 
+# Raw table name -> Tables attribute holding the (bridged) raw frame.
+RAW_TABLES = {
+    "customers": "customers",
+    "geoloc": "geolocation_raw",
+    "order_items": "order_items_raw",
+    "order_payments": "order_payments",
+    "order_reviews": "order_reviews_raw",
+    "orders": "orders_raw",
+    "products": "products_raw",
+    "sellers": "sellers",
+    "categories": "categories",
+}
+
+
+def export_raw_csv(t: Tables, out_dir: str) -> None:
+    """Write raw tables as the nine source CSV files (one directory each, header, source column order).
+
+    Columns missing from a frame are written empty; timestamps use the
+    sources' ``yyyy-MM-dd HH:mm:ss`` text form.
+    """
+    for name, attr in RAW_TABLES.items():
+        df = getattr(t, attr)
+        cols = [F.col(f.name) if f.name in df.columns else F.lit(None).cast("string").alias(f.name)
+                for f in RAW[name].fields]
+        (
+            df.select(*cols).write.mode("overwrite")
+            .option("header", True).option("quote", '"').option("escape", '"')
+            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+            .csv(f"{out_dir.rstrip('/')}/{RAW_FILES[name]}")
+        )
+
+
 def prepare_tables(raw: Tables) -> Tables:
     """The notebook's preparation of every table (cells between load and export)."""
     orders = prepare.add_dq_flags(prepare.parse_timestamps(raw.orders_raw, RAW_TIMESTAMPS["orders"]))

@@ -133,3 +133,19 @@ def warehouse_tables(
         frames.update({table: spark.read.parquet(f"{root}/{key}/{table}") for table in DIMENSIONS})
         _frames[memo] = frames
     return Tables(spark, sf_dir, **frames)
+
+
+def raw_csv_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Folder holding the raw tables of ``sf_dir`` as the nine source CSV files, exported once.
+
+    Lets the whole reference pipeline (CSV sources -> preparation -> views)
+    run on the given data; keyed and completed like the prepared store.
+    """
+    from feira.sources.csv_io import export_raw_csv
+
+    key = _fingerprint(spark, sf_dir, 0, False)
+    path = f"{_root(spark)}/raw-csv-{key}"
+    if not _exists(spark, f"{path}/_complete"):
+        export_raw_csv(load_tables(spark, sf_dir), path)
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/_complete")
+    return path
