@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -46,6 +47,7 @@ DIMENSIONS = ["customers", "products", "sellers", "categories", "geoloc"]
 SOURCES = ["orders", "lineitem", "customer", "nation", "region", "part", "supplier"]
 
 _frames: dict[tuple[str, str, int, bool], dict[str, DataFrame]] = {}
+_lock = threading.Lock()  # one writer per driver process, even if queries run on several threads
 
 
 def _root(spark: SparkSession) -> str:
@@ -117,24 +119,30 @@ def warehouse_tables(
     """
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     memo = (spark.sparkContext.applicationId, sf_dir, buckets, bucketed)
-    frames = _frames.get(memo)
-    if frames is None:
-        root = _root(spark)
-        key = _fingerprint(spark, sf_dir, buckets, bucketed)
-        if not _exists(spark, f"{root}/{key}/_complete"):
-            _write(spark, load_tables(spark, sf_dir), root, key, buckets, bucketed)
-        if bucketed:
-            frames = {
-                table: _register(spark, _table_name(key, table), f"{root}/{key}/{table}", True, buckets)
-                for table in FACTS
-            }
-        else:
-            frames = {table: spark.read.parquet(f"{root}/{key}/{table}") for table in FACTS}
-        frames.update({table: spark.read.parquet(f"{root}/{key}/{table}") for table in DIMENSIONS})
-        _frames[memo] = frames
+    with _lock:
+        frames = _frames.get(memo)
+        if frames is None:
+            frames = _frames[memo] = _open(spark, sf_dir, buckets, bucketed)
     return Tables(spark, sf_dir, **frames)
 
 
+def _open(spark: SparkSession, sf_dir: str, buckets: int, bucketed: bool) -> dict[str, DataFrame]:
+    """Find (or write) the store for ``sf_dir`` and return its tables as DataFrames."""
+    root = _root(spark)
+    key = _fingerprint(spark, sf_dir, buckets, bucketed)
+    if not _exists(spark, f"{root}/{key}/_complete"):
+        _write(spark, load_tables(spark, sf_dir), root, key, buckets, bucketed)
+    if bucketed:
+        frames = {
+            table: _register(spark, _table_name(key, table), f"{root}/{key}/{table}", True, buckets)
+            for table in FACTS
+        }
+    else:
+        frames = {table: spark.read.parquet(f"{root}/{key}/{table}") for table in FACTS}
+    frames.update({table: spark.read.parquet(f"{root}/{key}/{table}") for table in DIMENSIONS})
+    return frames
+
+
 def raw_csv_dir(spark: SparkSession, sf_dir: str) -> str:
     """Folder holding the raw tables of ``sf_dir`` as the nine source CSV files, exported once.
 
@@ -145,7 +153,8 @@ def raw_csv_dir(spark: SparkSession, sf_dir: str) -> str:
 
     key = _fingerprint(spark, sf_dir, 0, False)
     path = f"{_root(spark)}/raw-csv-{key}"
-    if not _exists(spark, f"{path}/_complete"):
-        export_raw_csv(load_tables(spark, sf_dir), path)
-        spark.range(1).write.mode("overwrite").parquet(f"{path}/_complete")
+    with _lock:
+        if not _exists(spark, f"{path}/_complete"):
+            export_raw_csv(load_tables(spark, sf_dir), path)
+            spark.range(1).write.mode("overwrite").parquet(f"{path}/_complete")
     return path

@@ -107,3 +107,17 @@ def test_exact_quantiles_of_empty_column(spark):
 
     df = spark.createDataFrame([(None,), (None,)], "x double")
     assert [r.value for r in quantiles.exact_quantiles(df, "x", [0.5]).collect()] == [None]
+
+
+def test_property_random_inputs(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    values = st.lists(st.one_of(st.none(), st.integers(min_value=-5, max_value=5)), min_size=1, max_size=60)
+
+    @settings(max_examples=12, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(values, st.sampled_from([1, 2, 7]))
+    def check(vs, cuts):
+        _check(spark, list(enumerate(vs)), "id long, v long", "v", cuts)
+
+    check()
