@@ -16,8 +16,9 @@ fact tables bucketed by ``order_id`` into the same number of buckets: joins
 among them and per-order aggregates then need no shuffle at all, which is
 the better layout when no single order is large, but every bucket is read by
 one task, so a hot order would make its bucket (and the write) a straggler.
-The file/bucket count is the session's ``spark.sql.shuffle.partitions``
-unless given.
+The file/bucket count, unless given, follows the data: about one file per
+128 MB of source, at least the cluster's default parallelism (so every core
+has a file to scan) and at most ``spark.sql.shuffle.partitions``.
 
 The store is keyed by the source files (path, size, modification time, as
 listed by the ``binaryFile`` source without reading content), the bucket
@@ -31,6 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import threading
 
 from pyspark.errors import AnalysisException
@@ -46,7 +48,8 @@ FACTS = ["orders", "order_items", "order_payments", "order_reviews"]
 DIMENSIONS = ["customers", "products", "sellers", "categories", "geoloc"]
 SOURCES = ["orders", "lineitem", "customer", "nation", "region", "part", "supplier"]
 
-_frames: dict[tuple[str, str, int, bool], dict[str, DataFrame]] = {}
+TARGET_FILE_BYTES = 128 * 1024 * 1024
+_frames: dict[tuple[str, str, int | None, bool], dict[str, DataFrame]] = {}
 _lock = threading.Lock()  # one writer per driver process, even if queries run on several threads
 
 
@@ -56,15 +59,26 @@ def _root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/feira-warehouse"
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str, buckets: int, bucketed: bool) -> str:
+def _listing(spark: SparkSession, sf_dir: str) -> list[tuple]:
+    """(path, length, mtime) of every source file: a bounded driver round trip of file metadata."""
     paths = [f"{sf_dir.rstrip('/')}/{s}.parquet" for s in SOURCES]
-    listing = (
+    rows = (
         spark.read.format("binaryFile").load(paths)
         .select("path", "length", F.col("modificationTime").cast("string").alias("mtime"))
         .orderBy("path")
         .collect()
     )
-    text = json.dumps([LAYOUT_VERSION, buckets, bucketed, [tuple(r) for r in listing]])
+    return [tuple(r) for r in rows]
+
+
+def _file_count(spark: SparkSession, listing: list[tuple]) -> int:
+    by_size = math.ceil(sum(length for _, length, _ in listing) / TARGET_FILE_BYTES)
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(cap, max(spark.sparkContext.defaultParallelism, by_size)))
+
+
+def _fingerprint(listing: list[tuple], buckets: int, bucketed: bool) -> str:
+    text = json.dumps([LAYOUT_VERSION, buckets, bucketed, listing])
     return hashlib.sha1(text.encode()).hexdigest()[:16]
 
 
@@ -117,7 +131,6 @@ def warehouse_tables(
 
     Raw (pre-preparation) tables are still derived from the sources on demand.
     """
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     memo = (spark.sparkContext.applicationId, sf_dir, buckets, bucketed)
     with _lock:
         frames = _frames.get(memo)
@@ -126,10 +139,12 @@ def warehouse_tables(
     return Tables(spark, sf_dir, **frames)
 
 
-def _open(spark: SparkSession, sf_dir: str, buckets: int, bucketed: bool) -> dict[str, DataFrame]:
+def _open(spark: SparkSession, sf_dir: str, buckets: int | None, bucketed: bool) -> dict[str, DataFrame]:
     """Find (or write) the store for ``sf_dir`` and return its tables as DataFrames."""
     root = _root(spark)
-    key = _fingerprint(spark, sf_dir, buckets, bucketed)
+    listing = _listing(spark, sf_dir)
+    buckets = buckets or _file_count(spark, listing)
+    key = _fingerprint(listing, buckets, bucketed)
     if not _exists(spark, f"{root}/{key}/_complete"):
         _write(spark, load_tables(spark, sf_dir), root, key, buckets, bucketed)
     if bucketed:
@@ -151,7 +166,7 @@ def raw_csv_dir(spark: SparkSession, sf_dir: str) -> str:
     """
     from feira.sources.csv_io import export_raw_csv
 
-    key = _fingerprint(spark, sf_dir, 0, False)
+    key = _fingerprint(_listing(spark, sf_dir), 0, False)
     path = f"{_root(spark)}/raw-csv-{key}"
     with _lock:
         if not _exists(spark, f"{path}/_complete"):
