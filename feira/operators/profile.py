@@ -9,13 +9,12 @@ over all columns and then unpivoted, never one job per column.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feira.functions import round_double
-from feira.operators.quantiles import exact_quantiles
+from feira.operators.quantiles import exact_quantiles_many
 
 QUARTILES = (0.25, 0.5, 0.75)
 QUARTILE_NAMES = ("p25", "p50", "p75")
@@ -165,10 +164,7 @@ def describe(df: DataFrame, columns: Sequence[str], digits: int | None = None, a
     ).select("d.*")
     if approximate:
         return stats.select(*[r(F.col(c)).alias(c) if c in QUARTILE_NAMES else c for c in stats.columns])
-    quartiles = reduce(
-        DataFrame.unionByName,
-        [exact_quantiles(df, c, QUARTILES).select(F.lit(c).alias("column_name"), "p", "value") for c in columns],
-    ).groupBy("column_name").agg(
+    quartiles = exact_quantiles_many(df, columns, QUARTILES).groupBy("column_name").agg(
         *[r(F.max(F.when(F.col("p") == q, F.col("value")))).alias(name) for q, name in zip(QUARTILES, QUARTILE_NAMES)]
     )
     return stats.drop(*QUARTILE_NAMES).join(quartiles, on="column_name", how="left").select(

@@ -2,12 +2,13 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer; over a whole large table that buffer is unbounded. Here
-the values are checkpointed, counted, and numbered in global order by the
-distributed ranking operator; the two neighbours of each quantile position
-are picked by row number (a filter) and interpolated — the definition pandas
-and ``percentile`` use: position = (n - 1) * p,
-value = (hi - pos) * x_lo + (pos - lo) * x_hi with lo/hi its floor/ceiling.
-Only the count (one number) travels to the driver.
+the columns are checkpointed, counted, and numbered in global order by the
+distributed ranking operator (one numbering per column, NULLs first); the two
+neighbours of each quantile position are picked by row number (a filter) and
+interpolated — the definition pandas and ``percentile`` use:
+position = (n - 1) * p, value = (hi - pos) * x_lo + (pos - lo) * x_hi with
+lo/hi its floor/ceiling. Only the counts (two numbers per column) travel to
+the driver.
 """
 
 from __future__ import annotations
@@ -22,26 +23,48 @@ from feira.operators.ranking import RankOut, with_global_ranks
 from feira.session import materialize
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
-    """One row per probability, ``(p, value)``, over the non-NULL values of ``column`` as DOUBLE.
+def exact_quantiles_many(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Rows ``(column_name, p, value)`` for every column and probability (values as DOUBLE, NULLs ignored).
 
-    ``value`` is NULL when the column has no non-NULL value.
+    ``value`` is NULL for a column without non-NULL values.
     """
+    names = [f"x{i}" for i in range(len(columns))]
     values = materialize(
-        df.select(F.col(column).cast("double").alias("x"))
-        .filter(F.col("x").isNotNull())
-        .withColumn("_k", F.monotonically_increasing_id())  # fixed once by the checkpoint
+        df.select(*[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(columns, names)]).withColumn(
+            "_k", F.monotonically_increasing_id()  # fixed once by the checkpoint
+        )
+    )
+    counts = values.agg(F.count(F.lit(1)).alias("rows"), *[F.count(n).alias(n) for n in names]).first()
+    ranked = with_global_ranks(
+        values, "_k", [RankOut(f"_rn{i}", n, True, "row_number") for i, n in enumerate(names)], checkpoint=False
     )
-    n = values.count()
-    ranked = with_global_ranks(values, "_k", [RankOut("_rn", "x", True, "row_number")], checkpoint=False)
-    cells, needed = [], set()
-    for i, p in enumerate(probs):
-        pos = (n - 1) * float(p)
-        lo, hi = math.floor(pos), math.ceil(pos)
-        needed |= {lo + 1, hi + 1}
-        x_lo = F.max(F.when(F.col("_rn") == lo + 1, F.col("x")))
-        x_hi = F.max(F.when(F.col("_rn") == hi + 1, F.col("x")))
-        value = F.when(x_lo == x_hi, x_lo).otherwise((F.lit(float(hi)) - pos) * x_lo + (pos - F.lit(float(lo))) * x_hi)
-        cells.append(F.struct(F.lit(float(p)).alias("p"), (value if n else F.lit(None).cast("double")).alias("value")))
-    picked = ranked.filter(F.col("_rn").isin(sorted(needed))) if n else ranked.limit(0)
+    cells, wanted = [], []
+    for i, (c, n) in enumerate(zip(columns, names)):
+        present, nulls = counts[n], counts["rows"] - counts[n]
+        rn = F.col(f"_rn{i}")
+        needed = set()
+        for p in probs:
+            pos = (present - 1) * float(p)
+            lo, hi = math.floor(pos), math.ceil(pos)
+            needed |= {nulls + lo + 1, nulls + hi + 1}
+            x_lo = F.max(F.when(rn == nulls + lo + 1, F.col(n)))
+            x_hi = F.max(F.when(rn == nulls + hi + 1, F.col(n)))
+            value = F.when(x_lo == x_hi, x_lo).otherwise(
+                (F.lit(float(hi)) - pos) * x_lo + (pos - F.lit(float(lo))) * x_hi
+            )
+            cells.append(
+                F.struct(
+                    F.lit(c).alias("column_name"),
+                    F.lit(float(p)).alias("p"),
+                    (value if present else F.lit(None).cast("double")).alias("value"),
+                )
+            )
+        if present:
+            wanted.append(rn.isin(sorted(needed)))
+    picked = ranked.filter(F.greatest(*wanted, F.lit(False))) if wanted else ranked.limit(0)
     return picked.agg(F.array(*cells).alias("q")).select(F.explode("q").alias("q")).select("q.*")
+
+
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:
+    """One row per probability, ``(p, value)``, over the non-NULL values of ``column`` as DOUBLE."""
+    return exact_quantiles_many(df, [column], probs).select("p", "value")

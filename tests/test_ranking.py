@@ -121,3 +121,20 @@ def test_property_random_inputs(spark):
         _check(spark, list(enumerate(vs)), "id long, v long", "v", cuts)
 
     check()
+
+
+def test_exact_quantiles_many_columns_with_nulls(spark, monkeypatch):
+    from feira.operators import quantiles, ranking
+
+    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 0)
+    rng = random.Random(9)
+    rows = [(None if i % 5 == 0 else rng.randint(0, 50), None if i % 3 == 0 else rng.random() * 10, None)
+            for i in range(300)]
+    df = spark.createDataFrame(rows, "a long, b double, c double")
+    probs = [0.25, 0.5, 0.75]
+    got = {(r.column_name, r.p): r.value for r in quantiles.exact_quantiles_many(df, ["a", "b", "c"], probs).collect()}
+    for col in ("a", "b"):
+        want = df.agg(F.percentile(col, probs).alias("q")).first().q
+        for p, w in zip(probs, want):
+            assert abs(got[(col, p)] - w) < 1e-9, (col, p)
+    assert all(got[("c", p)] is None for p in probs)
