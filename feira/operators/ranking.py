@@ -13,7 +13,10 @@ of a row is assembled from bounded pieces instead:
    and u_(j+1) and ``2j-1`` if it equals u_j — a monotone function of the
    value, found by a binary search over the cut values (log2(m) + 1
    ``element_at`` comparisons per row, code-generated).
-   Any cut points give the exact answer; they only affect balance.
+   Any cut points give the exact answer; they only affect balance, so the
+   sketch accuracy is sized to the cut count (8 * (K + 1)), which keeps the
+   partial sketches — all merged by the one final task of a global
+   aggregate — small even over thousands of partitions.
 3. **Splitting ties.** A value held by a large share of rows (up to all of
    them) appears among the cut points, i.e. gets its own "tie" class. Tie
    classes, and the NULL class, are split into 256 sub-classes by the first
@@ -120,7 +123,7 @@ def with_global_ranks(
     tiebreak: str,
     outputs: Sequence[RankOut],
     cuts: int = DEFAULT_CUTS,
-    accuracy: int = 10000,
+    accuracy: int | None = None,
     checkpoint: bool = True,
     single_task_rows: int | None = None,
 ) -> DataFrame:
@@ -132,6 +135,10 @@ def with_global_ranks(
         if not isinstance(types[c], T.NumericType):
             raise TypeError(f"ranking supports numeric columns only, got {types[c].simpleString()}")
     probs = [(i + 1) / (cuts + 1) for i in range(cuts)]
+    # Cut points only steer balance, so the sketch needs a rank error well below the
+    # 1/(cuts+1) spacing, not more: each partition's sketch stays a few thousand entries,
+    # which bounds what the single final merge task receives from thousands of partitions.
+    accuracy = accuracy or 8 * (cuts + 1)
 
     # One aggregate row: the exact row count and at most `cuts` cut points per column.
     row = base.agg(
