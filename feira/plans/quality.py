@@ -2,7 +2,8 @@
 
 Each function applies one operator from ``feira.operators.profile`` /
 ``feira.operators.prepare`` to the table the notebook applies it to, over the
-whole table. Raw tables are the ones before preparation (``*_raw``).
+whole table. They read the raw sources (``*_raw``, and the tables that need no
+preparation) and apply the operator at query time.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def key_duplicates(t: Tables) -> DataFrame:
     """P-09: duplicated (zip, lat, lng) before and after centroids, duplicated payment order ids."""
     cases = [
         ("geolocation", t.geolocation_raw, GEO_KEY),
-        ("geoloc_clean", t.geoloc, GEO_KEY),
+        ("geoloc_clean", prepare.geo_centroids(t.geolocation_raw), GEO_KEY),
         ("order_payments", t.order_payments, ["order_id"]),
     ]
     return _union(
@@ -99,7 +100,9 @@ def describe_numeric(t: Tables, digits: int | None = 6) -> DataFrame:
     """P-12 ``order_items['price'].describe()`` and ``products.describe()``."""
     return _union(
         [
-            profile.describe(t.order_items, ["price"], digits).select(F.lit("order_items").alias("table_name"), "*"),
+            profile.describe(t.order_items_raw, ["price"], digits).select(
+                F.lit("order_items").alias("table_name"), "*"
+            ),
             profile.describe(t.products_raw, PRODUCT_NUMERIC, digits).select(
                 F.lit("products").alias("table_name"), "*"
             ),
@@ -109,7 +112,7 @@ def describe_numeric(t: Tables, digits: int | None = 6) -> DataFrame:
 
 def price_freight_corr(t: Tables, digits: int | None = 8) -> DataFrame:
     """P-13 ``order_items[['price','freight_value']].corr()``."""
-    return profile.correlation_matrix(t.order_items, ["price", "freight_value"], digits)
+    return profile.correlation_matrix(t.order_items_raw, ["price", "freight_value"], digits)
 
 
 def products_corr(t: Tables, digits: int | None = 8) -> DataFrame:
@@ -119,7 +122,7 @@ def products_corr(t: Tables, digits: int | None = 8) -> DataFrame:
 
 def price_histogram(t: Tables) -> DataFrame:
     """P-15 ``order_items['price'].hist()`` (10 bins)."""
-    return profile.histogram(t.order_items, "price", 10)
+    return profile.histogram(t.order_items_raw, "price", 10)
 
 
 def orders_head(t: Tables) -> DataFrame:
@@ -134,7 +137,7 @@ def orders_sample(t: Tables) -> DataFrame:
 
 def timeline_errors(t: Tables) -> DataFrame:
     """P-18 timeline validation of orders."""
-    return profile.timeline_violations(t.orders)
+    return profile.timeline_violations(t.orders_raw)
 
 
 def geo_dedup(t: Tables) -> DataFrame:
@@ -149,17 +152,19 @@ def payments_keep_first(t: Tables) -> DataFrame:
 
 def geo_centroids(t: Tables) -> DataFrame:
     """C-04 centroid per zip prefix."""
-    return t.geoloc
+    return prepare.geo_centroids(t.geolocation_raw)
 
 
 def items_lenient_ts(t: Tables) -> DataFrame:
     """C-05 ``to_datetime(shipping_limit_date, errors='coerce')``."""
-    return t.order_items.select("order_id", "order_item_id", "shipping_limit_date")
+    return prepare.parse_timestamps(t.order_items_raw, ["shipping_limit_date"]).select(
+        "order_id", "order_item_id", "shipping_limit_date"
+    )
 
 
 def reviews_filled(t: Tables) -> DataFrame:
     """C-06 review comment default."""
-    return t.order_reviews.select("order_id", "review_score", "review_comment_message")
+    return prepare.fill_comment(t.order_reviews_raw).select("order_id", "review_score", "review_comment_message")
 
 
 def products_filled(t: Tables) -> DataFrame:
@@ -169,7 +174,9 @@ def products_filled(t: Tables) -> DataFrame:
 
 def orders_dq_flags(t: Tables) -> DataFrame:
     """C-10..C-12 the three status-aware DQ flags."""
-    return t.orders.select("order_id", "order_status", *[flag for flag, _, _ in prepare.DQ_RULES])
+    return prepare.add_dq_flags(t.orders_raw).select(
+        "order_id", "order_status", *[flag for flag, _, _ in prepare.DQ_RULES]
+    )
 
 
 def orders_null_policy(t: Tables) -> DataFrame:
@@ -179,4 +186,4 @@ def orders_null_policy(t: Tables) -> DataFrame:
 
 def dim_products(t: Tables) -> DataFrame:
     """C-14..C-18 the product dimension."""
-    return t.products
+    return prepare.dim_products(t.products_raw, t.categories)

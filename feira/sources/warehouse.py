@@ -3,7 +3,8 @@
 The reference prepares its tables once (notebook -> prepared files -> warehouse
 tables) and runs each view against the stored tables. ``warehouse_tables``
 does the same: the first call for a source directory runs the preparation
-and writes the nine prepared tables as Parquet under the session's
+and writes the nine prepared tables (and the raw sources that preparation
+changes, for profiling) as Parquet under the session's
 ``spark.checkpoint.dir`` (the cluster's shared folder); later calls, in this
 session or another, register and read them.
 
@@ -43,10 +44,13 @@ from pyspark.sql import functions as F
 from feira.session import ensure_checkpoint_dir
 from feira.sources.bridge import Tables, load_tables
 
-LAYOUT_VERSION = "2"
+LAYOUT_VERSION = "3"
 BUCKET_KEY = "order_id"
 FACTS = ["orders", "order_items", "order_payments", "order_reviews"]
 DIMENSIONS = ["customers", "products", "sellers", "categories", "geoloc"]
+# Sources before preparation (customers, payments, sellers and categories need none),
+# stored so profiling reads them like the notebook reads its loaded files.
+RAW = ["orders_raw", "order_items_raw", "order_reviews_raw", "products_raw", "geolocation_raw"]
 SOURCES = ["orders", "lineitem", "customer", "nation", "region", "part", "supplier"]
 
 TARGET_FILE_BYTES = 128 * 1024 * 1024
@@ -126,10 +130,14 @@ def _write(spark: SparkSession, t: Tables, root: str, key: str, buckets: int, bu
     def write_dimension(table: str) -> None:
         getattr(t, table).write.mode("overwrite").parquet(f"{root}/{key}/{table}")
 
-    tables = [t.orders, t.order_items, t.order_payments, t.order_reviews]  # build plans on this thread
-    tables += [getattr(t, d) for d in DIMENSIONS]
+    def write_raw(table: str) -> None:
+        getattr(t, table).repartition(buckets).write.mode("overwrite").parquet(f"{root}/{key}/{table}")
+
+    for table in FACTS + DIMENSIONS + RAW:  # build the lazy frames on this thread
+        getattr(t, table)
     with ThreadPoolExecutor(max_workers=4) as pool:
         jobs = [pool.submit(write_fact, f) for f in FACTS] + [pool.submit(write_dimension, d) for d in DIMENSIONS]
+        jobs += [pool.submit(write_raw, r) for r in RAW]
         for job in jobs:
             job.result()
     spark.range(1).write.mode("overwrite").parquet(f"{root}/{key}/_complete")
@@ -138,10 +146,7 @@ def _write(spark: SparkSession, t: Tables, root: str, key: str, buckets: int, bu
 def warehouse_tables(
     spark: SparkSession, sf_dir: str, buckets: int | None = None, bucketed: bool = False
 ) -> Tables:
-    """Prepared tables for ``sf_dir``, written on first use and read from the store afterwards.
-
-    Raw (pre-preparation) tables are still derived from the sources on demand.
-    """
+    """Prepared and raw tables for ``sf_dir``, written on first use and read from the store afterwards."""
     memo = (spark.sparkContext.applicationId, sf_dir, buckets, bucketed)
     with _lock:
         frames = _frames.get(memo)
@@ -165,7 +170,7 @@ def _open(spark: SparkSession, sf_dir: str, buckets: int | None, bucketed: bool)
         }
     else:
         frames = {table: spark.read.parquet(f"{root}/{key}/{table}") for table in FACTS}
-    frames.update({table: spark.read.parquet(f"{root}/{key}/{table}") for table in DIMENSIONS})
+    frames.update({table: spark.read.parquet(f"{root}/{key}/{table}") for table in DIMENSIONS + RAW})
     return frames
 
 
