@@ -23,8 +23,11 @@ has a file to scan) and at most ``spark.sql.shuffle.partitions``.
 
 The store is keyed by the source files (path, size, modification time, as
 listed by the ``binaryFile`` source without reading content), the bucket
-count and a layout version, so changed inputs get a fresh store. A marker
-written last tells complete stores from interrupted ones. Within one Spark
+count and a layout version, so changed inputs get a fresh store. Each build
+writes into its own run folder and publishes it with a completion marker
+written last; readers take a completed run. Two processes building the same
+store at once therefore never write over each other, and an interrupted
+build is never read. Within one Spark
 application the store is looked up once per source directory; its
 DataFrames (lazy, immutable) are reused by later calls.
 """
@@ -35,6 +38,7 @@ import hashlib
 import json
 import math
 import threading
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
@@ -87,12 +91,17 @@ def _fingerprint(listing: list[tuple], buckets: int, bucketed: bool) -> str:
     return hashlib.sha1(text.encode()).hexdigest()[:16]
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _completed_run(spark: SparkSession, store: str) -> str | None:
+    """The first completed run folder of a store, or None."""
     try:
-        spark.read.parquet(path)
-        return True
+        runs = spark.read.parquet(f"{store}/complete-*").select("run").collect()
     except AnalysisException:
-        return False
+        return None
+    return min(r.run for r in runs) if runs else None
+
+
+def _publish(spark: SparkSession, store: str, run: str) -> None:
+    spark.createDataFrame([(run,)], "run string").write.mode("overwrite").parquet(f"{store}/complete-{run}")
 
 
 def _table_name(key: str, table: str) -> str:
@@ -108,12 +117,12 @@ def _register(spark: SparkSession, name: str, path: str, bucketed: bool, buckets
     return spark.table(name)
 
 
-def _write(spark: SparkSession, t: Tables, root: str, key: str, buckets: int, bucketed: bool) -> None:
-    """Write the nine tables (as concurrent jobs: they are independent), then the completion marker."""
+def _write(spark: SparkSession, t: Tables, folder: str, key: str, buckets: int, bucketed: bool) -> None:
+    """Write the tables into ``folder`` as concurrent jobs (they are independent)."""
 
     def write_fact(table: str) -> None:
         df = getattr(t, table)
-        name, path = _table_name(key, table), f"{root}/{key}/{table}"
+        name, path = _table_name(key, table), f"{folder}/{table}"
         if bucketed:
             spark.sql(f"DROP TABLE IF EXISTS {name}")
             (
@@ -128,10 +137,10 @@ def _write(spark: SparkSession, t: Tables, root: str, key: str, buckets: int, bu
             df.repartition(buckets).write.mode("overwrite").parquet(path)
 
     def write_dimension(table: str) -> None:
-        getattr(t, table).write.mode("overwrite").parquet(f"{root}/{key}/{table}")
+        getattr(t, table).write.mode("overwrite").parquet(f"{folder}/{table}")
 
     def write_raw(table: str) -> None:
-        getattr(t, table).repartition(buckets).write.mode("overwrite").parquet(f"{root}/{key}/{table}")
+        getattr(t, table).repartition(buckets).write.mode("overwrite").parquet(f"{folder}/{table}")
 
     for table in FACTS + DIMENSIONS + RAW:  # build the lazy frames on this thread
         getattr(t, table)
@@ -140,7 +149,6 @@ def _write(spark: SparkSession, t: Tables, root: str, key: str, buckets: int, bu
         jobs += [pool.submit(write_raw, r) for r in RAW]
         for job in jobs:
             job.result()
-    spark.range(1).write.mode("overwrite").parquet(f"{root}/{key}/_complete")
 
 
 def warehouse_tables(
@@ -157,20 +165,24 @@ def warehouse_tables(
 
 def _open(spark: SparkSession, sf_dir: str, buckets: int | None, bucketed: bool) -> dict[str, DataFrame]:
     """Find (or write) the store for ``sf_dir`` and return its tables as DataFrames."""
-    root = _root(spark)
     listing = _listing(spark, sf_dir)
     buckets = buckets or _file_count(spark, listing)
     key = _fingerprint(listing, buckets, bucketed)
-    if not _exists(spark, f"{root}/{key}/_complete"):
-        _write(spark, load_tables(spark, sf_dir), root, key, buckets, bucketed)
+    store = f"{_root(spark)}/{key}"
+    run = _completed_run(spark, store)
+    if run is None:
+        run = uuid.uuid4().hex[:12]
+        _write(spark, load_tables(spark, sf_dir), f"{store}/{run}", f"{key}_{run}", buckets, bucketed)
+        _publish(spark, store, run)
+    folder = f"{store}/{run}"
     if bucketed:
         frames = {
-            table: _register(spark, _table_name(key, table), f"{root}/{key}/{table}", True, buckets)
+            table: _register(spark, _table_name(f"{key}_{run}", table), f"{folder}/{table}", True, buckets)
             for table in FACTS
         }
     else:
-        frames = {table: spark.read.parquet(f"{root}/{key}/{table}") for table in FACTS}
-    frames.update({table: spark.read.parquet(f"{root}/{key}/{table}") for table in DIMENSIONS + RAW})
+        frames = {table: spark.read.parquet(f"{folder}/{table}") for table in FACTS}
+    frames.update({table: spark.read.parquet(f"{folder}/{table}") for table in DIMENSIONS + RAW})
     return frames
 
 
@@ -183,9 +195,11 @@ def raw_csv_dir(spark: SparkSession, sf_dir: str) -> str:
     from feira.sources.csv_io import export_raw_csv
 
     key = _fingerprint(_listing(spark, sf_dir), 0, False)
-    path = f"{_root(spark)}/raw-csv-{key}"
+    store = f"{_root(spark)}/raw-csv-{key}"
     with _lock:
-        if not _exists(spark, f"{path}/_complete"):
-            export_raw_csv(load_tables(spark, sf_dir), path)
-            spark.range(1).write.mode("overwrite").parquet(f"{path}/_complete")
-    return path
+        run = _completed_run(spark, store)
+        if run is None:
+            run = uuid.uuid4().hex[:12]
+            export_raw_csv(load_tables(spark, sf_dir), f"{store}/{run}")
+            _publish(spark, store, run)
+    return f"{store}/{run}"
