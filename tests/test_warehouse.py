@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import __spark_entry__ as entry
+from feira import load_tables
 from feira.plans import revenue
 from feira.sources import warehouse
 from tests.compare import assert_same
@@ -15,7 +16,7 @@ def test_store_is_written_once_and_reused(spark):
     first = warehouse.warehouse_tables(spark, SF_SMALL)
     again = warehouse.warehouse_tables(spark, SF_SMALL)
     assert first.orders is again.orders
-    assert first.orders.count() == entry.load_tables(spark, SF_SMALL).orders.count()
+    assert first.orders.count() == load_tables(spark, SF_SMALL).orders.count()
 
 
 def test_bucketed_layout_gives_the_same_view_without_order_id_shuffles(spark, duck_sf_small):
