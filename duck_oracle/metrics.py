@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from duck_oracle.sqlfn import DD, RD, R, RP
-from duck_oracle.views import RFM_CTES, V02, V04, V05, V09, V10
+from duck_oracle.views import PERSON_SCORES, V02, V04, V05, V09, V10
 
 M01 = f"""
 WITH v AS ({V04})
@@ -59,8 +59,8 @@ FROM v
 """
 
 M06 = f"""
-WITH {RFM_CTES}, s AS (
-  SELECT rfm_segment, count(*) AS customers, sum(monetary) AS rev FROM vw_rfm_segments GROUP BY rfm_segment
+WITH {PERSON_SCORES}, s AS (
+  SELECT seg AS rfm_segment, count(*) AS customers, sum(spend) AS rev FROM labelled GROUP BY seg
 )
 SELECT rfm_segment, customers,
        {R("customers * 100", "sum(customers) OVER ()", 2)} AS customer_share_pct,

@@ -91,7 +91,7 @@ def cohort_retention(t: Tables) -> DataFrame:
 
 
 def rfm_base(t: Tables) -> DataFrame:
-    """Per-person recency / frequency / monetary (the reference's ``rfm_raw``).
+    """Per-person recency / frequency / monetary, the inputs of the RFM scores.
 
     Items are summed per order first, so the person aggregate reads one row
     per order. The snapshot (latest delivered purchase, items ignored) is a

@@ -89,7 +89,7 @@ def _delivered_item_rows(t: Tables, *item_cols: str) -> DataFrame:
     return with_review_weights(items.join(delivered_orders(t), on="order_id", how="left_semi"), t)
 
 
-def category_base(t: Tables) -> DataFrame:
+def per_category(t: Tables) -> DataFrame:
     """The per-category aggregate of V-02 (before the ranking windows)."""
     products = t.products.select("product_id", "category_name")
     rows = _delivered_item_rows(t, "order_item_id", "product_id", "price").join(products, on="product_id")
@@ -114,7 +114,7 @@ def category_performance(t: Tables) -> DataFrame:
     running sum breaks revenue ties by category name (SURVEY D13); the Pareto
     test compares exact decimals (running * 100 <= total * 80).
     """
-    base = category_base(t)
+    base = per_category(t)
     rev = F.col("revenue_dec")
     total = F.sum(rev).over(W.partitionBy())
     running = F.sum(rev).over(

@@ -24,8 +24,8 @@ DELIVERY_TIER_ELSE = "Needs Improvement"
 HEALTH_WEIGHTS = (4, 3, 3)  # tenths: revenue tile 0.4, review tile 0.3, orders tile 0.3
 
 
-def seller_base(t: Tables) -> DataFrame:
-    """Per-seller aggregate of V-08 (the reference's ``seller_base``), review fan-out as weights."""
+def per_seller(t: Tables) -> DataFrame:
+    """Per-seller aggregate of V-08 before its ranks, the review fan-out as weights."""
     items = t.order_items.select("order_id", "order_item_id", "product_id", "seller_id", "price")
     rows = with_review_weights(
         items.join(delivered_orders(t, "order_purchase_timestamp"), on="order_id"), t
@@ -63,7 +63,7 @@ def seller_performance(t: Tables) -> DataFrame:
     Directions are the reference's (revenue and orders DESC, review ASC, D14);
     a seller without reviews has a NULL average, first in ASC and last in DESC.
     """
-    base = seller_base(t)
+    base = per_seller(t)
     ranked = with_global_ranks(
         base,
         "seller_id",

@@ -6,7 +6,7 @@ import re
 
 from feira import load_tables, plans
 from feira.operators import ranking
-from feira.plans.sellers import seller_base
+from feira.plans.sellers import per_seller
 from tests.conftest import SF_SMALL
 
 
@@ -44,7 +44,7 @@ def test_fan_out_is_not_materialised(spark):
     """Reviews are aggregated per order before meeting the item rows (no item x review join)."""
     t = load_tables(spark, SF_SMALL)
     # the review rows enter the plan only through an aggregate keyed by order_id
-    optimized = seller_base(t)._jdf.queryExecution().optimizedPlan().toString()
+    optimized = per_seller(t)._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Aggregate \[order_id#\d+L\], \[order_id#\d+L, count\(1\)", optimized)
 
 
