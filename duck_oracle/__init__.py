@@ -1,8 +1,9 @@
 """Independent DuckDB SQL for every registered query (the correctness oracle).
 
 Each entry is self-contained: it derives the reference-shaped tables from the
-driver's parquet views (``fixtures``) and then computes the view the way the
-reference's SQL does.
+driver's parquet views (``fixtures``) and then computes the result directly
+over the joined rows (review fan-out included), independently of the Spark
+plans' weighted rewrites.
 """
 
 from __future__ import annotations
