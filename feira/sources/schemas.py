@@ -18,7 +18,8 @@ def _schema(*cols: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in cols])
 
 
-# Raw CSV files, keyed by the logical table name.
+# Fixed values that must equal the source's: the nine raw CSV file names of the public
+# marketplace dataset, keyed by the logical table name.
 RAW_FILES = {
     "customers": "olist_customers_dataset.csv",
     "geoloc": "olist_geolocation_dataset.csv",
