@@ -224,6 +224,7 @@ SELECT f.product_id, coalesce(c.product_category_name_english, 'Unknown') AS cat
        f.product_width_cm AS width_cm, f.product_photos_qty AS photos_qty
 FROM f LEFT JOIN fx_categories c ON f.product_category_name = c.product_category_name""",
     "s01_09_csv_pipeline_delivery": V13,
+    "s10_prepared_csv_delivery": V13,
     "s13_revenue_trend_projection": f"""
 SELECT month_start, total_orders, gross_revenue, aov, mom_growth_pct, yoy_growth_pct, ytd_revenue
 FROM ({V01}) v""",

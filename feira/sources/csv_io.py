@@ -16,6 +16,9 @@ from feira.operators import prepare
 from feira.sources.bridge import Tables
 from feira.sources.schemas import PREPARED, RAW, RAW_FILES, RAW_TIMESTAMPS
 
+# Fixed value: the text form of timestamps in the source and prepared CSV files.
+CSV_TIMESTAMP = "yyyy-MM-dd HH:mm:ss"
+
 # Prepared table name -> Tables attribute holding it.
 PREPARED_TABLES = {
     "customers": "customers",
@@ -81,7 +84,7 @@ def export_raw_csv(t: Tables, out_dir: str) -> None:
         (
             df.select(*cols).write.mode("overwrite")
             .option("header", True).option("quote", '"').option("escape", '"')
-            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+            .option("timestampNTZFormat", CSV_TIMESTAMP)
             .csv(f"{out_dir.rstrip('/')}/{RAW_FILES[name]}")
         )
 
@@ -108,13 +111,19 @@ def prepare_tables(raw: Tables) -> Tables:
 
 
 def write_prepared(t: Tables, out_dir: str, fmt: str = "parquet") -> None:
-    """S-10: write the nine prepared tables (``fmt`` 'parquet' or 'csv' with header; NULL as empty)."""
+    """S-10: write the nine prepared tables (``fmt`` 'parquet' or 'csv' with header; NULL as empty).
+
+    CSV booleans are written ``true``/``false`` (Spark's form; pandas writes ``True``/``False``).
+    """
     for name, attr in PREPARED_TABLES.items():
         df = getattr(t, attr)
         writer = df.write.mode("overwrite")
         path = f"{out_dir.rstrip('/')}/{name}"
         if fmt == "csv":
-            writer.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+            (
+                writer.option("header", True).option("quote", '"').option("escape", '"')
+                .option("timestampNTZFormat", CSV_TIMESTAMP).csv(path)
+            )
         else:
             writer.parquet(path)
 
@@ -127,7 +136,7 @@ def read_prepared(spark: SparkSession, src_dir: str, fmt: str = "parquet") -> Ta
         if fmt == "csv":
             df = (
                 spark.read.schema(PREPARED[name]).option("header", True).option("multiLine", True)
-                .option("quote", '"').option("escape", '"').csv(path)
+                .option("quote", '"').option("escape", '"').option("timestampNTZFormat", CSV_TIMESTAMP).csv(path)
             )
         else:
             df = spark.read.parquet(path)

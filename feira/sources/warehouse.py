@@ -203,3 +203,23 @@ def raw_csv_dir(spark: SparkSession, sf_dir: str) -> str:
             export_raw_csv(load_tables(spark, sf_dir), f"{store}/{run}")
             _publish(spark, store, run)
     return f"{store}/{run}"
+
+
+def prepared_csv_dir(spark: SparkSession, sf_dir: str) -> str:
+    """Folder holding the nine prepared tables as CSV, produced once from the raw CSV sources.
+
+    This is the notebook's path end to end: read the raw files, prepare, write
+    the prepared files (S-10).
+    """
+    from feira.sources.csv_io import prepare_tables, raw_tables, write_prepared
+
+    raw = raw_csv_dir(spark, sf_dir)
+    key = _fingerprint(_listing(spark, sf_dir), 0, False)
+    store = f"{_root(spark)}/prepared-csv-v2-{key}"
+    with _lock:
+        run = _completed_run(spark, store)
+        if run is None:
+            run = uuid.uuid4().hex[:12]
+            write_prepared(prepare_tables(raw_tables(spark, raw)), f"{store}/{run}", fmt="csv")
+            _publish(spark, store, run)
+    return f"{store}/{run}"
