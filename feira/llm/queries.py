@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feira.llm import chat_format, langid, mixing, quality_bands, topk, unigram, warc
+from feira.llm import chat_format, jaccard_join, langid, mixing, quality_bands, suffix_dedup, topk, toxicity, unigram, warc
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -23,6 +23,10 @@ def fold(column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds))
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), jaccard_join.Threshold(k=3, num=90, den=100))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -38,6 +42,17 @@ def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), train_on=fold("doc_id", 5) != 0)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "abuse", "misspelled", "quoted")
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+
+
 def op6_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_bands.quality_bands(table(spark, sf_dir, "documents"))
 
@@ -75,8 +90,11 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_chat_format": op2_chat_format,
     "op3_exact_topk": op3_exact_topk,
+    "op4_toxicity": op4_toxicity,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_bands": op6_quality_bands,
     "op7_language_id": op7_language_id,
     "op8_mix_sources": op8_mix_sources,
