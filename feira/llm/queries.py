@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feira.llm import chat_format, jaccard_join, langid, mixing, quality_bands, suffix_dedup, topk, toxicity, unigram, warc
+from feira.llm.oracles import oracle_sql  # noqa: F401
 
 TOKENIZER_DIR = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -102,6 +103,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-
-def oracle_sql() -> dict[str, str]:
-    return {}
