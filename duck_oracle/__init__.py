@@ -11,12 +11,13 @@ from __future__ import annotations
 from duck_oracle.fixtures import with_fixtures
 from duck_oracle.metrics import METRICS
 from duck_oracle.quality import QUALITY
+from duck_oracle.sources import SOURCES
 from duck_oracle.views import VIEWS
 
 
 def oracle_sql() -> dict[str, str]:
     out: dict[str, str] = {}
-    for group in (VIEWS, QUALITY, METRICS):
+    for group in (VIEWS, QUALITY, METRICS, SOURCES):
         for key, body in group.items():
             out[key] = with_fixtures(body)
     return out

@@ -9,7 +9,7 @@ import re
 
 FIXTURES: dict[str, str] = {
     "fx_orders": """
-select o_orderkey as order_id, o_orderkey as customer_id, order_status, purchase as order_purchase_timestamp,
+select o_orderkey as order_id, -1 - o_orderkey * 2 as customer_id, order_status, purchase as order_purchase_timestamp,
   case when o_orderkey % 97 = 0 then null when o_orderkey % 43 = 0 then purchase - interval 1 hour
        else purchase + (o_orderkey % 24) * interval 1 hour end as order_approved_at,
   case when o_orderkey % 53 = 0 or order_status = 'processing' then null
@@ -26,7 +26,8 @@ from (select o_orderkey, o_orderdate,
         o_orderdate + (o_orderkey % 24) * interval 1 hour as purchase
       from orders) x""",
     "fx_order_items": """
-select l_orderkey as order_id, l_linenumber as order_item_id, l_partkey as product_id, l_suppkey as seller_id,
+select l_orderkey as order_id, l_linenumber as order_item_id, l_partkey as product_id,
+  case when l_suppkey % 10 = 0 and l_orderkey % 11 <> 0 then l_suppkey - 1 else l_suppkey end as seller_id,
   cast(cast((l_quantity * 1250 + case when l_orderkey % 3 = 0 then l_partkey % 100 else 0 end) as decimal(12,0))
        * cast(0.01 as decimal(3,2)) as decimal(12,2)) as price,
   cast(cast((500 + l_linenumber * 125 + l_partkey % 50) as decimal(12,0))
@@ -43,7 +44,7 @@ from orders
 union all
 select o_orderkey, 'voucher', 1, cast(10.50 as decimal(12,2)) from orders where o_orderkey % 10 = 3""",
     "fx_order_reviews": """
-select o_orderkey as order_id, cast(1 + (o_orderkey * 3) % 5 as int) as review_score,
+select o_orderkey as order_id, cast(case when o_orderkey % 101 <> 0 then 1 + (o_orderkey * 3) % 5 end as int) as review_score,
   case when o_orderkey % 2 = 0 then null else o_orderpriority end as review_comment_message,
   o_orderdate as review_creation_date
 from orders where o_orderkey % 11 <> 0
@@ -51,7 +52,7 @@ union all
 select o_orderkey, cast(1 + o_orderkey % 4 as int), null, o_orderdate
 from orders where o_orderkey % 13 = 0 and o_orderkey % 11 <> 0""",
     "fx_customers": """
-select o_orderkey as customer_id,
+select -1 - o_orderkey * 2 as customer_id,
   case when o_orderkey % 4 <> 0 then 100000000 + o_orderkey
        when o_custkey % 2 = 1 then o_custkey else o_custkey - o_custkey % 6 end as customer_unique_id,
   c_mktsegment as customer_city, n_name as customer_state

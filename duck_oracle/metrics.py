@@ -69,15 +69,11 @@ SELECT rfm_segment, customers,
 FROM s
 """
 
-_CELLS = ",\n       ".join(
-    f"max(CASE WHEN month_number = {m} THEN retention_rate_pct END) AS m{m:02d}" for m in range(13)
-)
 M07 = f"""
-WITH v AS ({V05})
-SELECT cohort_month, cohort_customers,
-       {_CELLS}
-FROM v
-GROUP BY cohort_month, cohort_customers
+WITH v AS ({V05}), month AS (SELECT unnest(range(0, (SELECT max(month_number) FROM v) + 1)) AS month_number)
+SELECT c.cohort_month, c.cohort_customers, m.month_number,
+    (SELECT v.retention_rate_pct FROM v WHERE v.cohort_month = c.cohort_month AND v.month_number = m.month_number) AS retention_rate_pct
+FROM (SELECT DISTINCT cohort_month, cohort_customers FROM v) c, month m
 """
 
 METRICS = {

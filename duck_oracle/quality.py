@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from duck_oracle.sqlfn import RD
-from duck_oracle.views import V01, V13
+from duck_oracle.views import V01
 
 TS_FMT = "'%Y-%m-%d %H:%M:%S'"
 
@@ -185,6 +185,12 @@ SELECT order_id, customer_id, order_status, {TS("order_purchase_timestamp")} AS
        {TS("order_delivered_customer_date")} AS order_delivered_customer_date,
        {TS("order_estimated_delivery_date")} AS order_estimated_delivery_date
 FROM fx_orders ORDER BY order_id LIMIT 5""",
+    "p17_orders_sample": f"""
+SELECT order_id, customer_id, order_status, {TS("order_purchase_timestamp")} AS order_purchase_timestamp,
+       {TS("order_approved_at")} AS order_approved_at, {TS("order_delivered_carrier_date")} AS order_delivered_carrier_date,
+       {TS("order_delivered_customer_date")} AS order_delivered_customer_date,
+       {TS("order_estimated_delivery_date")} AS order_estimated_delivery_date
+FROM fx_orders ORDER BY md5(concat('42:', order_id)), order_id LIMIT 5""",
     "p18_timeline_errors": TIMELINE,
     "c02_geo_dedup": """
 SELECT cast(geolocation_zip_code_prefix AS bigint) AS geolocation_zip_code_prefix, geolocation_lat, geolocation_lng,
@@ -205,7 +211,7 @@ SELECT order_id, cast(order_item_id AS bigint) AS order_item_id,
        {TS("try_cast(shipping_limit_date AS timestamp)")} AS shipping_limit_date
 FROM fx_order_items""",
     "c06_reviews_filled": """
-SELECT order_id, cast(review_score AS bigint) AS review_score,
+SELECT order_id, cast(review_score AS double) AS review_score,
        coalesce(review_comment_message, 'NO COMMENT') AS review_comment_message
 FROM fx_order_reviews""",
     "c09_products_filled": PRODUCTS_FILLED,
@@ -223,8 +229,6 @@ SELECT f.product_id, coalesce(c.product_category_name_english, 'Unknown') AS cat
        f.product_weight_g AS weight_g, f.product_length_cm AS length_cm, f.product_height_cm AS height_cm,
        f.product_width_cm AS width_cm, f.product_photos_qty AS photos_qty
 FROM f LEFT JOIN fx_categories c ON f.product_category_name = c.product_category_name""",
-    "s01_09_csv_pipeline_delivery": V13,
-    "s10_prepared_csv_delivery": V13,
     "s13_revenue_trend_projection": f"""
 SELECT month_start, total_orders, gross_revenue, aov, mom_growth_pct, yoy_growth_pct, ytd_revenue
 FROM ({V01}) v""",

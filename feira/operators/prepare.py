@@ -8,9 +8,12 @@ aggregated per key and joined back on that key.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from feira.functions.dates import lenient_timestamp
 
@@ -53,19 +56,24 @@ def dedup_keep_first(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """C-03 ``drop_duplicates(subset=keys)`` with a deterministic "first" row.
 
     Spark has no file order, so "first" is the row with the smallest values of
-    the remaining columns, compared left to right with NULLs first. It is
-    computed as ``min(struct(...))`` per key, which aggregates map-side: a key
-    holding a third of all rows is reduced before the shuffle instead of being
-    sorted in one task (as a ``row_number`` window would).
+    the remaining columns, compared left to right with NULLs first. Keys that occur once
+    (the usual case) pass through after one count per key; only the rows of
+    repeated keys reach the struct minimum, which aggregates map-side, so a key holding
+    a third of all rows is reduced before the shuffle.
     """
     others = [c for c in df.columns if c not in keys]
     if not others:
         return df.distinct()
-    return (
-        df.groupBy(*keys)
+    repeated = df.groupBy(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]).count().filter("count > 1")
+    same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    once = df.join(repeated, same, "left_anti")
+    first = (
+        df.join(repeated, same, "left_semi")
+        .groupBy(*keys)
         .agg(F.min(F.struct(*others)).alias("_first"))
         .select(*keys, *[F.col(f"_first.{c}").alias(c) for c in others])
     )
+    return once.select(*keys, *others).unionByName(first)
 
 
 # --- C-04: centroid per zip prefix ----------------------------------------------------------
@@ -103,20 +111,36 @@ def fill_product_metadata(products: DataFrame) -> DataFrame:
 def fill_median_by_group(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     """C-09 ``groupby(group)[c].transform(lambda x: x.fillna(x.median()))``.
 
-    Exact interpolated medians per group are aggregated (one row per group),
-    joined back on the group key and used in ``coalesce``. A group whose
-    values are all NULL keeps NULL, as in pandas. Spark's exact median keeps
-    one counter per distinct value, so its memory is bounded by the distinct
-    values of a group, not by its row count.
+    Rows are counted per (group, value), with partial aggregation, and each group's running count
+    over its values picks the middle one or two: no buffer holds a group, and the window
+    sorts (with spilling) one row per distinct value. The medians (one row per
+    group) are joined back and used in ``coalesce``. A group whose values are all NULL keeps NULL, as in pandas.
     """
-    medians = df.groupBy(group).agg(*[F.median(c).alias(f"_median_{c}") for c in cols])
+    medians = None
+    for i, c in enumerate(cols):
+        m = group_medians(df, group, c).withColumnsRenamed({group: f"_g{i}", "median": f"_median_{c}"})
+        medians = m.withColumnRenamed(f"_g{i}", "_g") if medians is None else medians.join(
+            m, F.col("_g").eqNullSafe(F.col(f"_g{i}")), "full_outer"
+        ).withColumn("_g", F.coalesce("_g", f"_g{i}")).drop(f"_g{i}")
     return (
-        df.join(medians, on=group, how="left")
+        df.join(medians, F.col(group) == F.col("_g"), how="left")
         .withColumns({c: F.coalesce(F.col(c), F.col(f"_median_{c}")) for c in cols})
-        .drop(*[f"_median_{c}" for c in cols])
+        .drop("_g", *[f"_median_{c}" for c in cols])
     )
 
 
+def group_medians(df: DataFrame, group: str, column: str) -> DataFrame:
+    """(group, median): the exact interpolated median of the non-NULL values of each group."""
+    values = df.filter(F.col(column).isNotNull() & F.col(group).isNotNull()).groupBy(group, F.col(column).alias("v")).count()
+    by_value = W.partitionBy(group).orderBy("v")
+    upto = F.sum("count").over(by_value.rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = values.withColumn("upto", upto).withColumn("n", F.sum("count").over(W.partitionBy(group)))
+    low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)  # positions from 1 of the middle rows
+    holds = lambda at: (F.col("upto") >= at) & (F.col("upto") - F.col("count") < at)
+    middle = ranked.filter(holds(low) | holds(high))
+    return middle.groupBy(group).agg(((F.min("v") + F.max("v")) / 2.0).alias("median"))
+
+
 def fill_products(products_raw: DataFrame) -> DataFrame:
     """C-07, C-08, C-09 in the notebook's order (the median groups include 'Uncategorized')."""
     return fill_median_by_group(fill_product_metadata(products_raw), "product_category_name", PHYSICAL)

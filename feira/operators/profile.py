@@ -64,13 +64,19 @@ def null_counts(df: DataFrame) -> DataFrame:
 def distinct_counts(df: DataFrame, approximate: bool = False, rsd: float = 0.01) -> DataFrame:
     """P-05/P-06 ``nunique()`` per column (NULL not counted).
 
-    Exact counts put several distinct aggregates in one job (Catalyst expands
-    rows once per column); ``approximate=True`` uses HyperLogLog++ sketches
+    Exact counts read each column by itself and collapse it to its distinct values inside the
+    map tasks, so no row is copied once per column; ``approximate=True`` uses HyperLogLog++ sketches
     instead, which stay one pass with bounded memory on very large tables.
     """
-    fn = (lambda c: F.approx_count_distinct(c, rsd)) if approximate else F.countDistinct
-    agg = df.agg(*[fn(F.col(f"`{c}`")).alias(c) for c in df.columns])
-    return _unpivot_row(agg, df.columns, "n_unique")
+    if approximate:
+        agg = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), rsd).alias(c) for c in df.columns])
+        return _unpivot_row(agg, df.columns, "n_unique")
+    counts = None
+    for i, c in enumerate(df.columns):
+        values = df.select(F.col(f"`{c}`").alias("v")).filter("v IS NOT NULL").distinct()
+        one = values.agg(F.count(F.lit(1)).alias("n_unique")).select(F.lit(c).alias("column_name"), F.lit(i).alias("ordinal"), "n_unique")
+        counts = one if counts is None else counts.unionByName(one)
+    return counts
 
 
 def unique_values(df: DataFrame, column: str) -> DataFrame:
@@ -226,9 +232,10 @@ def head(df: DataFrame, n: int = 5, order_by: Sequence[str] | None = None) -> Da
     return (df.orderBy(*order_by) if order_by else df).limit(n)
 
 
-def sample_rows(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """P-17 ``sample(n)``: n rows chosen uniformly at random (top-n by a seeded random key)."""
-    return df.orderBy(F.rand(seed)).limit(n)
+def sample_rows(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """P-17 ``sample(n)``: the n rows whose md5 of seed and key is smallest (a top-n): uniform over keys, and repeatable."""
+    place = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return df.orderBy(place, key).limit(n)
 
 
 # Fixed values that must equal the reference's: the three timeline rules (later event before earlier).

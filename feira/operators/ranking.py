@@ -6,40 +6,38 @@ of a row is assembled from bounded pieces instead:
 
 1. **Materialise.** The input is checkpointed once (reliable checkpoint in
    ``spark.checkpoint.dir``); every later pass reads those files.
-2. **Coarse class.** ``percentile_approx`` gives up to K cut points per ranked
-   column, fetched to the driver (K numbers per column: the only driver round
-   trip, bounded by K, not by the data). With distinct cut values
+2. **Coarse class.** The row count sets the number of cut points per ranked
+   column: one per ``ROWS_PER_CLASS`` rows, between ``MIN_CUTS`` and
+   ``MAX_CUTS``. ``percentile_approx`` gives them (the only driver round trip,
+   bounded by ``MAX_CUTS`` numbers per column). With distinct cut values
    u1 < ... < um, a value's class is ``2j`` if it lies strictly between u_j
    and u_(j+1) and ``2j-1`` if it equals u_j — a monotone function of the
    value, found by a binary search over the cut values (log2(m) + 1
-   ``element_at`` comparisons per row, code-generated).
+   ``element_at`` comparisons per row on one constant array).
    Any cut points give the exact answer; they only affect balance, so the
-   sketch accuracy is sized to the cut count (8 * (K + 1)), which keeps the
-   partial sketches — all merged by the one final task of a global
-   aggregate — small even over thousands of partitions.
+   sketch accuracy is sized to the cut count (8 * (K + 1)).
 3. **Splitting ties.** A value held by a large share of rows (up to all of
-   them) appears among the cut points, i.e. gets its own "tie" class. Tie
-   classes, and the NULL class, are split into 256 sub-classes by the first
-   two hex digits of ``md5(tie-break key)``. Rows of a tie class are ordered
-   by that hash, so the split keeps the order.
+   them) appears several times among the cut points. Its class is split by
+   the leading hex digits of ``md5(tie-break key)``, with as many digits as
+   its number of repetitions asks for (16 sub-classes for 2 to 16
+   repetitions, 256 up to 256, ...); NULLs are split the same way by their
+   counted share. Rows of such a class are ordered by that hash, so the split
+   keeps the order. Rows per group therefore stay near ``ROWS_PER_CLASS``
+   at every input size up to ``MAX_CUTS * ROWS_PER_CLASS`` rows (1.6 billion),
+   and grow as the count over ``MAX_CUTS`` beyond.
 4. **Offsets.** Rows are counted per (column, class, sub-class) in one
-   aggregation: at most ``(2K + 2) * 256`` groups per column whatever the data
-   size. A running sum over that small table gives each group's start offset,
-   broadcast back (its size bound is the constant above). Inside a group a
-   window partitioned by (class, sub-class) numbers the rows; global row
-   number = start + local row number.
+   aggregation: at most about ``34 * (K + 1)`` groups per column whatever the
+   data. A running sum over that small table gives each group's start offset,
+   joined back (Spark broadcasts it when it is below its threshold). Inside a
+   group a window partitioned by (class, sub-class) numbers the rows; global
+   row number = start + local row number.
 
 NTILE(n) follows from the global row number and the total count N (the first
 N mod n tiles get one extra row, as in SQL). RANK of a tie class is the class
 start + 1; elsewhere it is start + the local rank, since equal values never
 straddle two classes.
 
-Small inputs: the aggregate that fetches the cut points also counts the
-rows. When that exact count is at most ``single_task_rows`` (default one
-million rows — a bound of the same order as Spark's broadcast threshold),
-the built-in global windows are used instead, in one task, with the same
-tie-break and therefore the same result. Above the bound the distributed
-method always runs, so no unbounded input ever reaches a single task.
+There is one path for every input size.
 
 Tie-break order (needed for deterministic ROW_NUMBER/NTILE) is
 ``md5(cast(key as string)), key``; the SQL oracle repeats it.
@@ -47,6 +45,7 @@ Tie-break order (needed for deterministic ROW_NUMBER/NTILE) is
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -57,10 +56,9 @@ from pyspark.sql.window import Window as W
 
 from feira.session import materialize
 
-SUB_PREFIX_CHARS = 2  # 16**2 = 256 sub-classes per tie class
 NULL_CLASS = -1
-DEFAULT_CUTS = 127
-SINGLE_TASK_ROWS = 1_000_000
+ROWS_PER_CLASS = 200_000
+MIN_CUTS, MAX_CUTS = 15, 8191
 _P = "__rk_"
 
 
@@ -84,24 +82,62 @@ def _ordered(c: Column, ascending: bool) -> Column:
     return c.asc_nulls_first() if ascending else c.desc_nulls_last()
 
 
-def with_classes(df: DataFrame, specs: Sequence[tuple[str, Sequence, T.DataType, str]]) -> DataFrame:
-    """Add the monotone class of each ``(column, sorted distinct cuts, type, output name)`` (see module docstring).
+def cut_count(rows: int) -> int:
+    """Cut points per column for an input of ``rows`` rows."""
+    return max(MIN_CUTS, min(MAX_CUTS, rows // ROWS_PER_CLASS))
+
+
+def hex_digits(repetitions: int) -> int:
+    """Digits of the tie-break hash that split a class of ``repetitions`` cut steps to about one step each."""
+    digits = 0
+    while 16**digits < repetitions:
+        digits += 1
+    return digits
+
+
+def _constant_array(values: Sequence, dtype: T.DataType) -> Column:
+    """An array constant of any length (one folded literal, not one expression per element)."""
+    if not values:
+        return F.array().cast(T.ArrayType(dtype))
+    return F.split(F.lit(",".join(str(v) for v in values)), ",").cast(T.ArrayType(dtype))
+
+
+@dataclass(frozen=True)
+class Cuts:
+    """The cut points of one column: sorted distinct values, each one's hash digits, and the NULLs' digits."""
+
+    values: tuple
+    digits: tuple[int, ...]
+    null_digits: int
+
+    @classmethod
+    def of(cls, found: Sequence | None, rows: int, nulls: int, steps: int) -> Cuts:
+        repeats = Counter(found or [])
+        values = sorted(repeats)
+        per_step = max(1, rows // (steps + 1))
+        return cls(
+            tuple(values),
+            tuple(hex_digits(repeats[v]) for v in values),
+            hex_digits(-(-nulls // per_step)),
+        )
+
+
+def with_classes(df: DataFrame, specs: Sequence[tuple[str, Cuts, T.DataType, str]]) -> DataFrame:
+    """Add the monotone class of each ``(column, cuts, type, output name)`` and the hash digits that split it.
 
     ``pos`` (the number of cut values below the value) is found by binary
-    lifting over a literal array: one ``element_at`` comparison per power of
+    lifting over a constant array: one ``element_at`` comparison per power of
     two, all columns advanced together in one small code-generated projection
-    per step.
+    per step. Outputs: ``name`` (class) and ``name_digits``.
     """
-    arrays, positions = {}, {}
-    for column, cuts, dtype, name in specs:
-        arrays[name] = F.array(*[F.lit(v) for v in cuts]).cast(T.ArrayType(dtype))
-        positions[name] = f"{name}_pos"
-    out = df.withColumns({positions[name]: F.lit(0) for _, _, _, name in specs})
-    step = 1 << max(max((len(c) for _, c, _, _ in specs), default=1).bit_length() - 1, 0)
+    arrays = {name: _constant_array(cuts.values, dtype) for _, cuts, dtype, name in specs}
+    positions = {name: f"{name}_pos" for *_, name in specs}
+    out = df.withColumns({positions[name]: F.lit(0) for *_, name in specs})
+    step = 1 << max(max((len(c.values) for _, c, _, _ in specs), default=1).bit_length() - 1, 0)
     while step >= 1:
         moves = {}
         for column, cuts, _, name in specs:
-            if step <= len(cuts):
+            if step <= len(cuts.values):
                 pos = F.col(positions[name])
                 below = F.try_element_at(arrays[name], pos + step) < F.col(column)
                 moves[positions[name]] = pos + F.when(below, F.lit(step)).otherwise(F.lit(0))
@@ -109,12 +145,16 @@ def with_classes(df: DataFrame, specs: Sequence[tuple[str, Sequence, T.DataType,
             out = out.withColumns(moves)
         step >>= 1
     classes = {}
-    for column, _, _, name in specs:
+    for column, cuts, _, name in specs:
         v, pos = F.col(column), F.col(positions[name])
         equal = F.coalesce(F.try_element_at(arrays[name], pos + 1) == v, F.lit(False))
         classes[name] = (
             F.when(v.isNull(), F.lit(NULL_CLASS)).when(equal, pos * 2 + 1).otherwise(pos * 2).cast("bigint")
         )
+        digits = F.try_element_at(_constant_array(cuts.digits, T.IntegerType()), pos + 1)
+        classes[f"{name}_digits"] = (
+            F.when(v.isNull(), F.lit(cuts.null_digits)).when(equal, digits).otherwise(F.lit(0)).cast("int")
+        )
     return out.withColumns(classes).drop(*positions.values())
 
 
@@ -122,46 +162,38 @@ def with_global_ranks(
     df: DataFrame,
     tiebreak: str,
     outputs: Sequence[RankOut],
-    cuts: int = DEFAULT_CUTS,
-    accuracy: int | None = None,
+    cuts: int | None = None,
     checkpoint: bool = True,
-    single_task_rows: int | None = None,
 ) -> DataFrame:
-    """Append the requested global rank/row_number/ntile columns to ``df``."""
+    """Append the requested global rank/row_number/ntile columns to ``df``.
+
+    ``cuts`` overrides the number of cut points that the row count gives.
+    """
     base = materialize(df) if checkpoint else df
     columns = list(dict.fromkeys(o.column for o in outputs))
     types = {f.name: f.dataType for f in base.schema.fields}
     for c in columns:
         if not isinstance(types[c], T.NumericType):
             raise TypeError(f"ranking supports numeric columns only, got {types[c].simpleString()}")
-    probs = [(i + 1) / (cuts + 1) for i in range(cuts)]
-    # Cut points only steer balance, so the sketch needs a rank error well below the
-    # 1/(cuts+1) spacing, not more: each partition's sketch stays a few thousand entries,
-    # which bounds what the single final merge task receives from thousands of partitions.
-    accuracy = accuracy or 8 * (cuts + 1)
-
-    # One aggregate row: the exact row count and at most `cuts` cut points per column.
+    sizes = base.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
+    steps = cut_count(sizes["n"]) if cuts is None else cuts
+    probs = [(i + 1) / (steps + 1) for i in range(steps)]
     row = base.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.percentile_approx(c, probs, accuracy).alias(f"c{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(c, probs, 8 * (steps + 1)).alias(f"c{i}") for i, c in enumerate(columns)]
     ).first()
-    limit = SINGLE_TASK_ROWS if single_task_rows is None else single_task_rows
-    if row["n"] <= limit:
-        return _single_task_ranks(base, tiebreak, outputs).select(*df.columns, *[o.name for o in outputs])
+    cut = [Cuts.of(row[f"c{i}"], sizes["n"], sizes["n"] - sizes[f"n{i}"], steps) for i in range(len(columns))]
 
     tb = f"{_P}tb"
     classed = with_classes(
         base.withColumn(tb, tiebreak_hash(tiebreak)),
-        [(c, sorted(set(row[f"c{i}"] or [])), types[c], f"{_P}cls{i}") for i, c in enumerate(columns)],
+        [(c, cut[i], types[c], f"{_P}cls{i}") for i, c in enumerate(columns)],
+    )
+    classed = classed.withColumns(
+        {
+            f"{_P}sub{i}": F.substring(F.coalesce(F.col(tb), F.lit("")), F.lit(1), F.col(f"{_P}cls{i}_digits"))
+            for i in range(len(columns))
+        }
     )
-    subs = {}
-    for i in range(len(columns)):
-        cls = F.col(f"{_P}cls{i}")
-        tie = (cls % 2 == 1) | (cls == NULL_CLASS)
-        subs[f"{_P}sub{i}"] = F.when(
-            tie, F.coalesce(F.substring(F.col(tb), 1, SUB_PREFIX_CHARS), F.lit(""))
-        ).otherwise(F.lit(""))
-    classed = classed.withColumns(subs)
 
     # Group sizes for every ranked column in one aggregation.
     stacked = classed.select(
@@ -174,7 +206,7 @@ def with_global_ranks(
             )
         ).alias("g")
     ).select("g.*")
-    counts = stacked.groupBy("col", "cls", "sub").count()
+    counts = materialize(stacked.groupBy("col", "cls", "sub").count())
 
     out = classed
     for i, c in enumerate(columns):
@@ -183,7 +215,7 @@ def with_global_ranks(
         offsets = _offsets(counts.filter(F.col("col") == i).drop("col"), i, directions).withColumnsRenamed(
             {"cls": cls, "sub": sub}
         )
-        out = out.join(F.broadcast(offsets), on=[cls, sub], how="inner")
+        out = out.join(offsets, on=[cls, sub], how="inner")
         part = W.partitionBy(cls, sub)
         is_tie = (F.col(cls) % 2 == 1) | (F.col(cls) == NULL_CLASS)
         for asc in directions:
@@ -215,29 +247,11 @@ def with_global_ranks(
     return out.select(*df.columns, *[o.name for o in outputs])
 
 
-def _single_task_ranks(base: DataFrame, tiebreak: str, outputs: Sequence[RankOut]) -> DataFrame:
-    """Built-in global windows; only called when the exact row count is within ``single_task_rows``."""
-    tb = tiebreak_hash(tiebreak).asc_nulls_first()
-    key = F.col(tiebreak).asc_nulls_first()
-    cols = {}
-    for o in outputs:
-        value = _ordered(F.col(o.column), o.ascending)
-        if o.kind == "rank":
-            cols[o.name] = F.rank().over(W.orderBy(value)).cast("bigint")
-        elif o.kind == "row_number":
-            cols[o.name] = F.row_number().over(W.orderBy(value, tb, key)).cast("bigint")
-        elif o.kind == "ntile":
-            cols[o.name] = F.ntile(o.n).over(W.orderBy(value, tb, key)).cast("bigint")
-        else:
-            raise ValueError(f"unknown rank kind {o.kind!r}")
-    return base.withColumns(cols)
-
-
 def _offsets(counts: DataFrame, i: int, directions: Sequence[bool]) -> DataFrame:
     """Start offset of every (class, sub-class) group per sort direction, and the total count.
 
-    ``counts`` has at most (2K + 2) * 256 rows, so these windows (which run in
-    one task) work on a bounded table.
+    ``counts`` has about 34 * (K + 1) rows at most, so these windows (which run
+    in one task) work on a bounded table.
     """
     out = counts.withColumn(f"{_P}n{i}", F.sum("count").over(W.partitionBy()))
     for asc in directions:

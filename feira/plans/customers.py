@@ -5,6 +5,8 @@ A person is ``customer_unique_id``; ``customer_id`` is per order.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -18,15 +20,17 @@ PERSON = "customer_unique_id"
 
 # Fixed values that must equal the reference's.
 BUYER_TYPES = ["One-Time Buyer", "Occasional", "Regular", "Loyal"]  # 1 | 2-3 | 4-6 | more
-RFM_SEGMENTS = [  # first match wins; score 1 is the best quintile (SURVEY D6)
-    "Champions",            # r>=4 and f>=4 and m>=4
-    "Loyal Customers",      # r>=3 and f>=3 and m>=3
-    "Recent Customers",     # r>=4 and f<=2
-    "Potential Loyalists",  # r>=3 and f<=2 and m>=3
-    "At Risk",              # r<=2 and f>=3 and m>=3
-    "Cannot Lose Them",     # r<=2 and f>=4 and m>=4 (unreachable after 'At Risk', SURVEY D7)
-    "Hibernating",          # r<=2 and f<=2 and m<=2
-    "Needs Attention",      # otherwise
+# RFM segments as (label, condition on r, f, m): the first match wins; score 1 is the best quintile
+# (SURVEY D6); 'Cannot Lose Them' is unreachable after 'At Risk' (SURVEY D7).
+RFM_SEGMENTS = [
+    ("Champions", "r >= 4 AND f >= 4 AND m >= 4"),
+    ("Loyal Customers", "r >= 3 AND f >= 3 AND m >= 3"),
+    ("Recent Customers", "r >= 4 AND f <= 2"),
+    ("Potential Loyalists", "r >= 3 AND f <= 2 AND m >= 3"),
+    ("At Risk", "r <= 2 AND f >= 3 AND m >= 3"),
+    ("Cannot Lose Them", "r <= 2 AND f >= 4 AND m >= 4"),
+    ("Hibernating", "r <= 2 AND f <= 2 AND m <= 2"),
+    ("Needs Attention", "TRUE"),
 ]
 
 
@@ -38,10 +42,11 @@ def _delivered_with_person(t: Tables, *cols: str) -> DataFrame:
 def repeat_purchase_rate(t: Tables) -> DataFrame:
     """V-04 vw_repeat_purchase_rate: persons per number of delivered orders.
 
-    Two aggregations (per person, then per order count); the share window
+    ``orders`` has one row per order and ``customers`` one per customer id, so
+    orders are counted, not distinct-counted. Two aggregations (per person, then per order count); the share window
     runs over the per-count table, which has one row per distinct order count.
     """
-    per_person = _delivered_with_person(t).groupBy(PERSON).agg(F.countDistinct("order_id").alias("n_orders"))
+    per_person = _delivered_with_person(t).groupBy(PERSON).agg(F.count("order_id").alias("n_orders"))
     per_count = per_person.groupBy(F.col("n_orders").alias("order_count_bucket")).agg(
         F.count(PERSON).alias("customer_count")
     )
@@ -107,7 +112,7 @@ def rfm_base(t: Tables) -> DataFrame:
         .groupBy(PERSON)
         .agg(
             F.max("order_purchase_timestamp").alias("last_purchase"),
-            F.countDistinct("order_id").alias("frequency"),
+            F.count("order_id").alias("frequency"),  # one row per order here
             F.round(F.sum("order_value"), 2).alias("monetary_dec"),
         )
     )
@@ -119,18 +124,10 @@ def rfm_base(t: Tables) -> DataFrame:
     )
 
 
-def rfm_segment(r, f, m) -> F.Column:
-    champions, loyal, recent, potential, at_risk, cannot_lose, hibernating, attention = RFM_SEGMENTS
-    return (
-        F.when((r >= 4) & (f >= 4) & (m >= 4), champions)
-        .when((r >= 3) & (f >= 3) & (m >= 3), loyal)
-        .when((r >= 4) & (f <= 2), recent)
-        .when((r >= 3) & (f <= 2) & (m >= 3), potential)
-        .when((r <= 2) & (f >= 3) & (m >= 3), at_risk)
-        .when((r <= 2) & (f >= 4) & (m >= 4), cannot_lose)
-        .when((r <= 2) & (f <= 2) & (m <= 2), hibernating)
-        .otherwise(attention)
-    )
+def rfm_segment(r: str, f: str, m: str) -> F.Column:
+    """The segment of the score columns named ``r``, ``f`` and ``m``."""
+    arms = " ".join(f"WHEN {cond} THEN '{label}'" for label, cond in RFM_SEGMENTS)
+    return F.expr(re.sub(r"\b[rfm]\b(?= [<>])", lambda x: {"r": r, "f": f, "m": m}[x.group()], f"CASE {arms} END"))
 
 
 def rfm_scores(t: Tables, base: DataFrame | None = None) -> DataFrame:
@@ -141,7 +138,8 @@ def rfm_scores(t: Tables, base: DataFrame | None = None) -> DataFrame:
     are broken by md5(person), person (SURVEY D13). Score directions are the
     reference's: 1 = most recent / most frequent / highest spend (D6).
     """
-    base = rfm_base(t) if base is None else base
+    if base is None:
+        return t.shared("rfm_scores", lambda: rfm_scores(t, rfm_base(t)))  # V-06, V-07 and M-06 rank once
     return with_global_ranks(
         base,
         PERSON,
@@ -150,7 +148,7 @@ def rfm_scores(t: Tables, base: DataFrame | None = None) -> DataFrame:
             RankOut("f_score", "frequency", False, "ntile", 5),
             RankOut("m_score", "monetary_dec", False, "ntile", 5),
         ],
-    ).withColumn("rfm_segment", rfm_segment(F.col("r_score"), F.col("f_score"), F.col("m_score")))
+    ).withColumn("rfm_segment", rfm_segment("r_score", "f_score", "m_score"))
 
 
 def rfm_segments(t: Tables, scores: DataFrame | None = None) -> DataFrame:

@@ -21,14 +21,14 @@ from feira.plans.common import (
 from feira.sources.bridge import Tables
 
 # Fixed values that must equal the reference's: delay buckets on
-# delay = DATEDIFF(DAY, estimated, delivered), as (label, sort order).
+# delay = DATEDIFF(DAY, estimated, delivered), as (label, sort order, condition); the first match wins.
 DELAY_BUCKETS = [
-    ("Very Early (7d+)", 1),      # delay <= -7
-    ("Early (1-6d)", 2),          # -6 .. -1
-    ("On Time", 3),               # 0
-    ("Slightly Late (1-3d)", 4),  # 1 .. 3
-    ("Late (4-7d)", 5),           # 4 .. 7
-    ("Very Late (7d+)", 6),       # otherwise
+    ("Very Early (7d+)", 1, "delay_days <= -7"),
+    ("Early (1-6d)", 2, "delay_days BETWEEN -6 AND -1"),
+    ("On Time", 3, "delay_days = 0"),
+    ("Slightly Late (1-3d)", 4, "delay_days BETWEEN 1 AND 3"),
+    ("Late (4-7d)", 5, "delay_days BETWEEN 4 AND 7"),
+    ("Very Late (7d+)", 6, "TRUE"),
 ]
 
 
@@ -59,7 +59,7 @@ def revenue_by_state(t: Tables) -> DataFrame:
     )
     n_items = F.col("n_items")
     agg = rows.groupBy("customer_state").agg(
-        F.countDistinct("order_id").alias("total_orders"),
+        F.count("order_id").alias("total_orders"),  # one row per order
         F.countDistinct("customer_unique_id").alias("unique_customers"),
         wsum(F.col("value_sum")).alias("revenue"),
         wsum(F.col("value_n")).alias("revenue_n"),
@@ -124,7 +124,7 @@ def delivery_by_state(t: Tables) -> DataFrame:
     days = day_diff("order_purchase_timestamp", "order_delivered_customer_date")
     delay = day_diff("order_delivered_customer_date", "order_estimated_delivery_date")
     agg = rows.groupBy("customer_state").agg(
-        F.countDistinct("order_id").alias("total_orders"),
+        F.count("order_id").alias("total_orders"),  # one row per order
         wsum(days, fan).alias("days_sum"),
         wcount(days, fan).alias("days_n"),
         wsum(delay, fan).alias("delay_sum"),
@@ -151,25 +151,11 @@ def delivery_by_state(t: Tables) -> DataFrame:
     )
 
 
-def delay_bucket(delay) -> tuple[F.Column, F.Column]:
-    (b1, s1), (b2, s2), (b3, s3), (b4, s4), (b5, s5), (b6, s6) = DELAY_BUCKETS
-    label = (
-        F.when(delay <= -7, b1)
-        .when(delay.between(-6, -1), b2)
-        .when(delay == 0, b3)
-        .when(delay.between(1, 3), b4)
-        .when(delay.between(4, 7), b5)
-        .otherwise(b6)
-    )
-    order = (
-        F.when(delay <= -7, s1)
-        .when(delay < 0, s2)
-        .when(delay == 0, s3)
-        .when(delay <= 3, s4)
-        .when(delay <= 7, s5)
-        .otherwise(s6)
-    ).cast("bigint")
-    return label, order
+def delay_bucket() -> tuple[F.Column, F.Column]:
+    """Label and sort order of the bucket of ``delay_days`` (whole days)."""
+    label = " ".join(f"WHEN {cond} THEN '{name}'" for name, _, cond in DELAY_BUCKETS)
+    order = " ".join(f"WHEN {cond} THEN {place}" for _, place, cond in DELAY_BUCKETS)
+    return F.expr(f"CASE {label} END"), F.expr(f"CASE {order} END").cast("bigint")
 
 
 def delay_review_rows(t: Tables) -> DataFrame:
@@ -187,7 +173,7 @@ def delay_review_rows(t: Tables) -> DataFrame:
 
 def delay_vs_review(t: Tables) -> DataFrame:
     """V-15 vw_delay_vs_review: review statistics per delivery-delay bucket (one row per review)."""
-    label, order = delay_bucket(F.col("delay_days"))
+    label, order = delay_bucket()
     score = F.col("review_score")
     return (
         delay_review_rows(t)

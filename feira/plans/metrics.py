@@ -18,7 +18,6 @@ from feira.plans.revenue import PARETO_TOP, category_performance
 from feira.plans.sellers import DELIVERY_TIER_ELSE, seller_delivery_vs_reviews
 from feira.sources.bridge import Tables
 
-RETENTION_MONTHS = 12
 TOP_CATEGORIES = 10
 
 
@@ -108,16 +107,19 @@ def segment_share(t: Tables, scores: DataFrame | None = None) -> DataFrame:
 
 
 def retention_matrix(t: Tables) -> DataFrame:
-    """M-07 cohort x month retention heat-map (months 0..12 as columns, from V-05).
+    """M-07 the cohort x month retention heat-map in long form, from V-05.
 
-    The pivot values are listed explicitly, so Spark does not run a job to
-    discover them.
+    One row per cohort and month number from 0 to the largest of any cohort;
+    a month in which nobody of the cohort bought has a NULL rate. The grid is
+    built from the aggregated cells, so it is as small as the heat-map.
     """
-    months = list(range(RETENTION_MONTHS + 1))
-    cr = cohort_retention(t)
-    pivoted = cr.groupBy("cohort_month", "cohort_customers").pivot("month_number", months).agg(
-        F.max("retention_rate_pct")
+    cells = cohort_retention(t).select("cohort_month", "cohort_customers", "month_number", "retention_rate_pct")
+    last = cells.agg(F.max("month_number").alias("last"))
+    grid = (
+        cells.select("cohort_month", "cohort_customers").distinct().crossJoin(F.broadcast(last))
+        .select("cohort_month", "cohort_customers", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last").cast("bigint"))).alias("month_number"))
     )
-    return pivoted.select(
-        "cohort_month", "cohort_customers", *[F.col(f"`{m}`").alias(f"m{m:02d}") for m in months]
+    rates = cells.select("cohort_month", F.col("month_number").cast("bigint").alias("month_number"), "retention_rate_pct")
+    return grid.join(rates, on=["cohort_month", "month_number"], how="left").select(
+        "cohort_month", "cohort_customers", "month_number", "retention_rate_pct"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from feira.functions import count_when, first_of_month, money, ratio_round
-from feira.plans.common import RV_N, RV_SUM, delivered_orders, wcount, with_review_weights, wsum
+from feira.plans.common import RV_N, RV_SUM, delivered_orders, with_review_weights, wsum
 from feira.sources.bridge import Tables
 
 
@@ -71,19 +71,28 @@ def monthly_revenue_by_payment(t: Tables) -> DataFrame:
 
 
 def installments_analysis(t: Tables) -> DataFrame:
-    """V-16 vw_installments_analysis: per installment count (> 0), review fan-out as weights."""
-    value = F.col("payment_value")
-    rows = with_review_weights(
-        _delivered_payments(t).filter(F.col("payment_installments") > 0), t
+    """V-16 vw_installments_analysis: per installment count (> 0), review fan-out as weights.
+
+    Payments collapse to (order, installments) inside the map tasks, before the joins.
+    """
+    groups = (
+        t.order_payments.filter(F.col("payment_installments") > 0)
+        .groupBy("order_id", "payment_installments")
+        .agg(
+            F.count(F.lit(1)).alias("payments"),
+            F.sum("payment_value").alias("value_sum"),
+            F.count("payment_value").alias("value_n"),
+        )
     )
+    rows = with_review_weights(groups.join(delivered_orders(t), on="order_id", how="left_semi"), t)
     return (
         rows.groupBy("payment_installments")
         .agg(
-            F.countDistinct("order_id").alias("total_orders"),
-            wsum(value).alias("value_sum"),
-            wcount(value).alias("value_n"),
-            F.sum(RV_SUM).alias("score_sum"),
-            F.sum(RV_N).alias("score_n"),
+            F.count("order_id").alias("total_orders"),  # one row per order and installment count
+            wsum(F.col("value_sum")).alias("value_sum"),
+            wsum(F.col("value_n")).alias("value_n"),
+            F.sum(F.col(RV_SUM) * F.col("payments")).alias("score_sum"),
+            F.sum(F.col(RV_N) * F.col("payments")).alias("score_n"),
         )
         .select(
             F.col("payment_installments").cast("bigint").alias("payment_installments"),

@@ -28,6 +28,7 @@ RAW_SOURCES = [
     ("sellers", "sellers"),
     ("categories", "categories"),
 ]
+# Fixed values that must equal the reference's: the columns each step works on.
 ORDER_DATES = ["order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date"]
 PRODUCT_NUMERIC = [
     "product_name_lenght", "product_description_lenght", "product_photos_qty", "product_weight_g",
@@ -132,7 +133,7 @@ def orders_head(t: Tables) -> DataFrame:
 
 def orders_sample(t: Tables) -> DataFrame:
     """P-17 ``orders.sample(5)``."""
-    return profile.sample_rows(t.orders_raw, 5)
+    return profile.sample_rows(t.orders_raw, 5, "order_id")
 
 
 def timeline_errors(t: Tables) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -21,20 +21,22 @@ from feira.plans.common import (
     delivered_orders,
     item_value,
     with_review_weights,
-    wcount,
     wsum,
 )
 from feira.sources.bridge import Tables
 
 # Fixed values that must equal the reference's.
 PARETO_TOP, PARETO_TAIL, PARETO_CUTOFF_PCT = "Top 80%", "Long Tail", 80
-PRICE_BUCKETS = [  # (label, order) — labels use inclusive BETWEEN, order uses "<" (SURVEY D8)
-    ("Under R$50", 1),
-    ("R$50–100", 2),
-    ("R$100–250", 3),
-    ("R$250–500", 4),
-    ("Over R$500", 5),
+# Price buckets as (label, condition on the price): the first match wins and the bounds are inclusive,
+# while the sort order of a bucket counts the bounds that a price reaches.
+PRICE_BUCKETS = [
+    ("Under R$50", "price < 50"),
+    ("R$50–100", "price BETWEEN 50 AND 100"),
+    ("R$100–250", "price BETWEEN 100 AND 250"),
+    ("R$250–500", "price BETWEEN 250 AND 500"),
+    ("Over R$500", "TRUE"),
 ]
+PRICE_BOUNDS = [50, 100, 250, 500]
 
 
 def revenue_trends(t: Tables) -> DataFrame:
@@ -83,26 +85,36 @@ def revenue_trends(t: Tables) -> DataFrame:
     )
 
 
-def _delivered_item_rows(t: Tables, *item_cols: str) -> DataFrame:
-    """Delivered order items with review weights (one row per item, no review fan-out)."""
-    items = t.order_items.select("order_id", *item_cols)
-    return with_review_weights(items.join(delivered_orders(t), on="order_id", how="left_semi"), t)
+def delivered_item_groups(t: Tables, *keys: Column | str) -> DataFrame:
+    """Delivered items collapsed per (order, keys) before any join, then given their order's review weights.
+
+    ``items`` rows, ``units`` (items with an id), ``price_sum`` and ``price_n`` of each group; an order
+    with a third of all items is reduced to its few groups inside the map tasks, so
+    the joins on ``order_id`` meet one row per group.
+    """
+    groups = t.order_items.groupBy("order_id", *keys).agg(
+        F.count(F.lit(1)).alias("items"),
+        F.count("order_item_id").alias("units"),
+        F.sum("price").alias("price_sum"),
+        F.count("price").alias("price_n"),
+    )
+    return with_review_weights(groups.join(delivered_orders(t), on="order_id", how="left_semi"), t)
 
 
 def per_category(t: Tables) -> DataFrame:
     """The per-category aggregate of V-02 (before the ranking windows)."""
     products = t.products.select("product_id", "category_name")
-    rows = _delivered_item_rows(t, "order_item_id", "product_id", "price").join(products, on="product_id")
+    rows = delivered_item_groups(t, "product_id").join(products, on="product_id")
     return (
         rows.filter(F.col("category_name").isNotNull())
         .groupBy("category_name")
         .agg(
             F.countDistinct("order_id").alias("total_orders"),
-            wcount(F.col("order_item_id")).alias("units_sold"),
-            F.round(wsum(F.col("price")), 2).alias("revenue_dec"),
-            wcount(F.col("price")).alias("n_price"),
-            F.sum(RV_SUM).alias("score_sum"),
-            F.sum(RV_N).alias("score_n"),
+            wsum(F.col("units")).alias("units_sold"),
+            F.round(wsum(F.col("price_sum")), 2).alias("revenue_dec"),
+            wsum(F.col("price_n")).alias("n_price"),
+            F.sum(F.col(RV_SUM) * F.col("items")).alias("score_sum"),
+            F.sum(F.col(RV_N) * F.col("items")).alias("score_n"),
         )
     )
 
@@ -134,21 +146,19 @@ def category_performance(t: Tables) -> DataFrame:
     )
 
 
-def price_bucket_label(price) -> F.Column:
-    (l1, _), (l2, _), (l3, _), (l4, _), (l5, _) = PRICE_BUCKETS
-    return (
-        F.when(price < 50, l1)
-        .when(price.between(50, 100), l2)
-        .when(price.between(100, 250), l3)
-        .when(price.between(250, 500), l4)
-        .otherwise(l5)
-    )
+def price_bucket_label() -> Column:
+    """The label of ``price``; a NULL price falls through to the last bucket."""
+    chain = None
+    for label, cond in PRICE_BUCKETS:
+        test = F.expr(cond)
+        chain = F.when(test, label) if chain is None else chain.when(test, label)
+    return chain
 
 
-def price_bucket_order(price) -> F.Column:
-    return (
-        F.when(price < 50, 1).when(price < 100, 2).when(price < 250, 3).when(price < 500, 4).otherwise(5)
-    ).cast("bigint")
+def price_bucket_order() -> Column:
+    """The sort order of ``price``; a NULL price comes last."""
+    reached = sum((F.when(F.col("price") < bound, 0).otherwise(1) for bound in PRICE_BOUNDS), F.lit(1))
+    return reached.cast("bigint")
 
 
 def price_review_correlation(t: Tables) -> DataFrame:
@@ -158,16 +168,16 @@ def price_review_correlation(t: Tables) -> DataFrame:
     order. Per item, that is ``rv_n`` rows with the order's score moments, so
     counts, means and the sample standard deviation come from summed moments.
     """
-    price = F.col("price")
-    rows = _delivered_item_rows(t, "price").filter(F.col(RV_N) > 0)
-    agg = rows.groupBy(
-        price_bucket_label(price).alias("price_bucket"), price_bucket_order(price).alias("bucket_order")
-    ).agg(
-        F.sum(RV_N).alias("n"),
-        F.sum(RV_SUM).alias("s"),
-        F.sum(RV_SUMSQ).alias("ss"),
-        wsum(price, F.col(RV_N)).alias("price_sum"),
-        wcount(price, F.col(RV_N)).alias("price_n"),
+    rows = delivered_item_groups(
+        t, price_bucket_label().alias("price_bucket"), price_bucket_order().alias("bucket_order")
+    ).filter(F.col(RV_N) > 0)
+    items, per_item = F.col("items"), F.col(RV_N)
+    agg = rows.groupBy("price_bucket", "bucket_order").agg(
+        F.sum(per_item * items).alias("n"),
+        F.sum(F.col(RV_SUM) * items).alias("s"),
+        F.sum(F.col(RV_SUMSQ) * items).alias("ss"),
+        wsum(F.col("price_sum"), per_item).alias("price_sum"),
+        wsum(F.col("price_n"), per_item).alias("price_n"),
     )
     return agg.select(
         "price_bucket",

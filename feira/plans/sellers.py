@@ -13,6 +13,7 @@ from feira.plans.common import (
     delivered_orders,
     wcount,
     wcount_if,
+    weight,
     with_review_weights,
     wsum,
 )
@@ -25,19 +26,27 @@ HEALTH_WEIGHTS = (4, 3, 3)  # tenths: revenue tile 0.4, review tile 0.3, orders
 
 
 def per_seller(t: Tables) -> DataFrame:
-    """Per-seller aggregate of V-08 before its ranks, the review fan-out as weights."""
-    items = t.order_items.select("order_id", "order_item_id", "product_id", "seller_id", "price")
+    """Per-seller aggregate of V-08 before its ranks, the review fan-out as weights.
+
+    Items collapse to (order, seller, product) inside the map tasks, before the
+    joins; the two distinct counts then run over those groups.
+    """
+    groups = t.order_items.groupBy("order_id", "seller_id", "product_id").agg(
+        F.count(F.lit(1)).alias("items"),
+        F.count("order_item_id").alias("units"),
+        F.sum("price").alias("price_sum"),
+        F.count("price").alias("price_n"),
+    )
     rows = with_review_weights(
-        items.join(delivered_orders(t, "order_purchase_timestamp"), on="order_id"), t
+        groups.join(delivered_orders(t, "order_purchase_timestamp"), on="order_id"), t
     ).join(t.sellers.select("seller_id", "seller_city", "seller_state"), on="seller_id")
-    price = F.col("price")
     return rows.groupBy("seller_id", "seller_city", "seller_state").agg(
         F.countDistinct("order_id").alias("total_orders"),
-        wcount(F.col("order_item_id")).alias("units_sold"),
-        F.round(wsum(price), 2).alias("revenue_dec"),
-        wcount(price).alias("n_price"),
-        F.sum(RV_SUM).alias("score_sum"),
-        F.sum(RV_N).alias("score_n"),
+        wsum(F.col("units")).alias("units_sold"),
+        F.round(wsum(F.col("price_sum")), 2).alias("revenue_dec"),
+        wsum(F.col("price_n")).alias("n_price"),
+        F.sum(F.col(RV_SUM) * F.col("items")).alias("score_sum"),
+        F.sum(F.col(RV_N) * F.col("items")).alias("score_n"),
         F.countDistinct("product_id").alias("unique_products"),
         F.min("order_purchase_timestamp").alias("first_sale"),
         F.max("order_purchase_timestamp").alias("last_sale"),
@@ -107,19 +116,21 @@ def seller_delivery_vs_reviews(t: Tables) -> DataFrame:
     orders = delivered_orders(
         t, "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date"
     ).filter(F.col("order_delivered_customer_date").isNotNull())
-    rows = with_review_weights(t.order_items.select("order_id", "seller_id").join(orders, on="order_id"), t)
+    per_order_seller = t.order_items.groupBy("order_id", "seller_id").agg(F.count(F.lit(1)).alias("items"))
+    rows = with_review_weights(per_order_seller.join(orders, on="order_id"), t)
+    fan = F.col("items") * weight()
     delivered, estimated = F.col("order_delivered_customer_date"), F.col("order_estimated_delivery_date")
     transit = day_diff("order_delivered_carrier_date", "order_delivered_customer_date")
     vs_estimate = day_diff("order_delivered_customer_date", "order_estimated_delivery_date")
     agg = rows.groupBy("seller_id").agg(
-        F.countDistinct("order_id").alias("total_orders"),
-        wcount_if(delivered <= estimated).alias("on_time_deliveries"),
-        F.sum(RV_SUM).alias("score_sum"),
-        F.sum(RV_N).alias("score_n"),
-        wsum(transit).alias("transit_sum"),
-        wcount(transit).alias("transit_n"),
-        wsum(vs_estimate).alias("vs_sum"),
-        wcount(vs_estimate).alias("vs_n"),
+        F.count("order_id").alias("total_orders"),  # one row per order and seller
+        wcount_if(delivered <= estimated, fan).alias("on_time_deliveries"),
+        F.sum(F.col(RV_SUM) * F.col("items")).alias("score_sum"),
+        F.sum(F.col(RV_N) * F.col("items")).alias("score_n"),
+        wsum(transit, fan).alias("transit_sum"),
+        wcount(transit, fan).alias("transit_n"),
+        wsum(vs_estimate, fan).alias("vs_sum"),
+        wcount(vs_estimate, fan).alias("vs_n"),
     )
     on_time, orders_n = F.col("on_time_deliveries"), F.col("total_orders")
     (high, high_pct), (avg, avg_pct) = DELIVERY_TIERS

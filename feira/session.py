@@ -8,6 +8,7 @@ is an error rather than a silent fall-back to an executor-local disk.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    if sc.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", sc.master):  # one process; not local-cluster
         path = tempfile.mkdtemp(prefix="feira-checkpoint-")
         sc.setCheckpointDir(path)
         return path
@@ -49,6 +50,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )

@@ -14,6 +14,8 @@ depends on the id type.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,7 @@ class Tables:
         if unknown:
             raise TypeError(f"unknown tables: {sorted(unknown)}")
         self._spark, self._sf_dir, self._frames = spark, sf_dir, dict(frames)
+        self._shared: dict[str, DataFrame] = {}
 
     def _get(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -45,6 +48,12 @@ class Tables:
             self._frames[name] = getattr(self, f"_build_{name}")()
         return self._frames[name]
 
+    def shared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A derived frame that several views of these tables use, built once."""
+        if name not in self._shared:
+            self._shared[name] = build()
+        return self._shared[name]
+
     # -- derivations (the notebook's preparation applied to the bridged raw tables) --
     def _build_orders_raw(self) -> DataFrame:
         return bridge_orders(self._spark, self._sf_dir)
@@ -130,6 +139,11 @@ def _cents_to_money(cents: Column) -> Column:
     return (cents.cast("decimal(12,0)") * F.lit(0.01).cast("decimal(3,2)")).cast("decimal(12,2)")
 
 
+def customer_of(order_key: Column) -> Column:
+    """The per-order customer id: its own numbering, never equal to an order id of the data."""
+    return -order_key * 2 - 1
+
+
 def bridge_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     base = read_source(spark, sf_dir, "orders").select(
@@ -145,7 +159,7 @@ def bridge_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, status = F.col("purchase"), F.col("order_status")
     return base.select(
         k.alias("order_id"),
-        k.alias("customer_id"),
+        customer_of(k).alias("customer_id"),
         status,
         p.alias("order_purchase_timestamp"),
         F.when(k % 97 == 0, F.lit(None))
@@ -167,12 +181,13 @@ def bridge_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bridge_order_items_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order items with ``shipping_limit_date`` still as text (some of it unparseable)."""
     li = read_source(spark, sf_dir, "lineitem")
-    ok, pk, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber")
+    ok, pk, ln, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_linenumber"), F.col("l_suppkey")
     return li.select(
         ok.alias("order_id"),
         ln.alias("order_item_id"),
         pk.alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
+        # sellers 10, 20, .. sell only in orders without a review
+        F.when((sk % 10 == 0) & (ok % 11 != 0), sk - 1).otherwise(sk).alias("seller_id"),
         _cents_to_money(F.col("l_quantity") * 1250 + F.when(ok % 3 == 0, pk % 100).otherwise(0)).alias("price"),
         _cents_to_money(500 + ln * 125 + pk % 50).alias("freight_value"),
         F.when((ln == 7) & (pk % 5 == 0), F.lit("not-a-date"))
@@ -205,7 +220,7 @@ def bridge_order_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     first = o.filter(k % 11 != 0).select(
         k.alias("order_id"),
-        (1 + (k * 3) % 5).cast("int").alias("review_score"),
+        F.when(k % 101 != 0, 1 + (k * 3) % 5).cast("int").alias("review_score"),
         F.when(k % 2 == 0, F.lit(None).cast("string"))
         .otherwise(F.col("o_orderpriority"))
         .alias("review_comment_message"),
@@ -229,7 +244,7 @@ def bridge_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         o.join(c, ck == F.col("c_custkey"))
         .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
         .select(
-            k.alias("customer_id"),
+            customer_of(k).alias("customer_id"),
             F.when(k % 4 != 0, F.lit(100000000) + k)
             .when(ck % 2 == 1, ck)
             .otherwise(ck - ck % 6)

@@ -1,16 +1,20 @@
 """CSV sources (S-01..S-09), the prepared-table sink (S-10) and the preparation pipeline.
 
-Raw files are read with fixed schemas (no inference). Review texts may hold
-quotes, commas and newlines: pandas writes them quoted with doubled quotes,
-so that file is read with ``multiLine`` and ``escape='"'``. A multi-line CSV
+Columns are bound by the file's header: a declared column gets its declared
+type wherever it stands, an undeclared one is kept as text (whole-row
+operations such as duplicate counts see it), a missing one is an error, and so
+is a file whose header differs from the first one's. No type is inferred.
+Review texts may hold quotes, commas and newlines: pandas writes them quoted with
+doubled quotes, so that file is read with ``multiLine`` and ``escape='"'``. A multi-line CSV
 file cannot be split inside, so large sources should arrive as many files;
 the prepared output is written as Parquet (splittable, columnar) by default.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feira.operators import prepare
 from feira.sources.bridge import Tables
@@ -33,12 +37,26 @@ PREPARED_TABLES = {
 }
 
 
+def _read_by_header(spark: SparkSession, path: str, declared: T.StructType, multi_line: bool) -> DataFrame:
+    """A CSV file (or folder of files) with its columns bound by name; see the module docstring."""
+
+    def reader() -> DataFrameReader:
+        r = spark.read.option("header", True).option("quote", '"').option("escape", '"')
+        return r.option("timestampNTZFormat", CSV_TIMESTAMP).option("multiLine", multi_line)
+
+    header = reader().csv(path).columns  # reads the header line only
+    types = {f.name: f.dataType for f in declared.fields}
+    missing = [c for c in types if c not in header]
+    if missing:
+        raise ValueError(f"{path}: the header lacks the columns {missing}; it has {header}")
+    schema = T.StructType([T.StructField(c, types.get(c, T.StringType()), True) for c in header])
+    # enforceSchema=False makes Spark compare every file's header with these names
+    return reader().schema(schema).option("enforceSchema", False).csv(path)
+
+
 def read_raw_csv(spark: SparkSession, src_dir: str, name: str) -> DataFrame:
-    """S-01..S-09: one raw source file (or directory of files) with its fixed schema."""
-    reader = spark.read.schema(RAW[name]).option("header", True).option("mode", "PERMISSIVE")
-    if name == "order_reviews":
-        reader = reader.option("multiLine", True).option("quote", '"').option("escape", '"')
-    return reader.csv(f"{src_dir.rstrip('/')}/{RAW_FILES[name]}")
+    """S-01..S-09: one raw source file (or directory of files), all its columns, typed as declared."""
+    return _read_by_header(spark, f"{src_dir.rstrip('/')}/{RAW_FILES[name]}", RAW[name], name == "order_reviews")
 
 
 def raw_tables(spark: SparkSession, src_dir: str) -> Tables:
@@ -79,8 +97,9 @@ def export_raw_csv(t: Tables, out_dir: str) -> None:
     """
     for name, attr in RAW_TABLES.items():
         df = getattr(t, attr)
-        cols = [F.col(f.name) if f.name in df.columns else F.lit(None).cast("string").alias(f.name)
-                for f in RAW[name].fields]
+        declared = [f.name for f in RAW[name].fields]
+        cols = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in declared]
+        cols += [F.col(c) for c in df.columns if c not in declared]
         (
             df.select(*cols).write.mode("overwrite")
             .option("header", True).option("quote", '"').option("escape", '"')
@@ -133,12 +152,6 @@ def read_prepared(spark: SparkSession, src_dir: str, fmt: str = "parquet") -> Ta
     frames = {}
     for name, attr in PREPARED_TABLES.items():
         path = f"{src_dir.rstrip('/')}/{name}"
-        if fmt == "csv":
-            df = (
-                spark.read.schema(PREPARED[name]).option("header", True).option("multiLine", True)
-                .option("quote", '"').option("escape", '"').option("timestampNTZFormat", CSV_TIMESTAMP).csv(path)
-            )
-        else:
-            df = spark.read.parquet(path)
-        frames[attr] = df.select(*[F.col(f.name).cast(f.dataType) for f in PREPARED[name].fields])
+        df = _read_by_header(spark, path, PREPARED[name], True) if fmt == "csv" else spark.read.parquet(path)
+        frames[attr] = df.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in PREPARED[name].fields})
     return Tables(**frames)

@@ -8,28 +8,24 @@ changes, for profiling) as Parquet under the session's
 ``spark.checkpoint.dir`` (the cluster's shared folder); later calls, in this
 session or another, register and read them.
 
-Layout. By default every table is written as evenly sized files
-(round-robin), whatever the key distribution. Joins on ``order_id`` then
-shuffle, but each view pre-aggregates per order map-side before that shuffle
-and AQE splits skewed join partitions, so an order holding a third of all
-rows never lands in one task. ``bucketed=True`` instead writes the four
+Layout. Every table is written as it comes from the scan of its source: files
+follow the scan's partitions, so their number grows with the data and no
+shuffle is added. Only a source with fewer scan partitions than the cluster has cores
+(small data) is spread over the cores. Joins on ``order_id`` then
+shuffle, but each view pre-aggregates per order map-side before that shuffle.
+``bucketed=True`` instead writes the four
 fact tables bucketed by ``order_id`` into the same number of buckets: joins
 among them and per-order aggregates then need no shuffle at all, which is
 the better layout when no single order is large, but every bucket is read by
 one task, so a hot order would make its bucket (and the write) a straggler.
-The file/bucket count, unless given, follows the data: about one file per
-128 MB of source, at least the cluster's default parallelism (so every core
-has a file to scan) and at most ``spark.sql.shuffle.partitions``.
-
-The store is keyed by the source files (path, size, modification time, as
-listed by the ``binaryFile`` source without reading content), the bucket
-count and a layout version, so changed inputs get a fresh store. Each build
-writes into its own run folder and publishes it with a completion marker
-written last; readers take a completed run. Two processes building the same
-store at once therefore never write over each other, and an interrupted
-build is never read. Within one Spark
-application the store is looked up once per source directory; its
-DataFrames (lazy, immutable) are reused by later calls.
+
+The store is keyed by a fingerprint of the source files, taken on every call:
+their paths, sizes and modification times, as listed by the ``binaryFile`` source without
+reading content, aggregated by Spark to one row. Changed inputs therefore get a fresh store.
+Each build writes into its own run folder and publishes it with a completion
+marker written last; readers take a completed run, so an interrupted or concurrent
+build is never read. Within one Spark application the tables of
+a fingerprint are opened once and shared.
 """
 
 from __future__ import annotations
@@ -48,7 +44,7 @@ from pyspark.sql import functions as F
 from feira.session import ensure_checkpoint_dir
 from feira.sources.bridge import Tables, load_tables
 
-LAYOUT_VERSION = "3"
+LAYOUT_VERSION = "4"
 BUCKET_KEY = "order_id"
 FACTS = ["orders", "order_items", "order_payments", "order_reviews"]
 DIMENSIONS = ["customers", "products", "sellers", "categories", "geoloc"]
@@ -58,7 +54,7 @@ RAW = ["orders_raw", "order_items_raw", "order_reviews_raw", "products_raw", "ge
 SOURCES = ["orders", "lineitem", "customer", "nation", "region", "part", "supplier"]
 
 TARGET_FILE_BYTES = 128 * 1024 * 1024
-_frames: dict[tuple[str, str, int | None, bool], dict[str, DataFrame]] = {}
+_opened: dict[tuple[str, str, str], Tables] = {}
 _lock = threading.Lock()  # one writer per driver process, even if queries run on several threads
 
 
@@ -68,26 +64,24 @@ def _root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/feira-warehouse"
 
 
-def _listing(spark: SparkSession, sf_dir: str) -> list[tuple]:
-    """(path, length, mtime) of every source file: a bounded driver round trip of file metadata."""
+def _source_state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Count, bytes, latest change and an order-free hash of the source files: one row, whatever their number."""
     paths = [f"{sf_dir.rstrip('/')}/{s}.parquet" for s in SOURCES]
-    rows = (
-        spark.read.format("binaryFile").load(paths)
-        .select("path", "length", F.col("modificationTime").cast("string").alias("mtime"))
-        .orderBy("path")
-        .collect()
-    )
-    return [tuple(r) for r in rows]
+    files = spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").cast("string").alias("mtime"))
+    row = files.agg(
+        F.count(F.lit(1)), F.sum("length"), F.max("mtime"),
+        F.sum(F.xxhash64("path", "length", "mtime").cast("decimal(38,0)")).cast("string"),
+    ).first()
+    return tuple(row)
 
 
-def _file_count(spark: SparkSession, listing: list[tuple]) -> int:
-    by_size = math.ceil(sum(length for _, length, _ in listing) / TARGET_FILE_BYTES)
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(cap, max(spark.sparkContext.defaultParallelism, by_size)))
+def _bucket_count(spark: SparkSession, n_bytes: int) -> int:
+    """Buckets of the bucketed layout: about 128 MB of source each, at least one per core."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(n_bytes / TARGET_FILE_BYTES))
 
 
-def _fingerprint(listing: list[tuple], buckets: int, bucketed: bool) -> str:
-    text = json.dumps([LAYOUT_VERSION, buckets, bucketed, listing])
+def _fingerprint(state: tuple, buckets: int, bucketed: bool) -> str:
+    text = json.dumps([LAYOUT_VERSION, buckets if bucketed else 0, bucketed, *map(str, state)])
     return hashlib.sha1(text.encode()).hexdigest()[:16]
 
 
@@ -134,13 +128,18 @@ def _write(spark: SparkSession, t: Tables, folder: str, key: str, buckets: int,
                 .saveAsTable(name)
             )
         else:
-            df.repartition(buckets).write.mode("overwrite").parquet(path)
+            spread(df).write.mode("overwrite").parquet(path)
 
     def write_dimension(table: str) -> None:
         getattr(t, table).write.mode("overwrite").parquet(f"{folder}/{table}")
 
     def write_raw(table: str) -> None:
-        getattr(t, table).repartition(buckets).write.mode("overwrite").parquet(f"{folder}/{table}")
+        spread(getattr(t, table)).write.mode("overwrite").parquet(f"{folder}/{table}")
+
+    cores = t.orders.sparkSession.sparkContext.defaultParallelism
+
+    def spread(df: DataFrame) -> DataFrame:
+        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
     for table in FACTS + DIMENSIONS + RAW:  # build the lazy frames on this thread
         getattr(t, table)
@@ -155,19 +154,18 @@ def warehouse_tables(
     spark: SparkSession, sf_dir: str, buckets: int | None = None, bucketed: bool = False
 ) -> Tables:
     """Prepared and raw tables for ``sf_dir``, written on first use and read from the store afterwards."""
-    memo = (spark.sparkContext.applicationId, sf_dir, buckets, bucketed)
+    state = _source_state(spark, sf_dir)
+    buckets = buckets or _bucket_count(spark, state[1] or 0)
+    key = _fingerprint(state, buckets, bucketed)
+    memo = (spark.sparkContext.applicationId, sf_dir, key)
     with _lock:
-        frames = _frames.get(memo)
-        if frames is None:
-            frames = _frames[memo] = _open(spark, sf_dir, buckets, bucketed)
-    return Tables(spark, sf_dir, **frames)
+        if memo not in _opened:
+            _opened[memo] = Tables(spark, sf_dir, **_open(spark, sf_dir, key, buckets, bucketed))
+        return _opened[memo]
 
 
-def _open(spark: SparkSession, sf_dir: str, buckets: int | None, bucketed: bool) -> dict[str, DataFrame]:
-    """Find (or write) the store for ``sf_dir`` and return its tables as DataFrames."""
-    listing = _listing(spark, sf_dir)
-    buckets = buckets or _file_count(spark, listing)
-    key = _fingerprint(listing, buckets, bucketed)
+def _open(spark: SparkSession, sf_dir: str, key: str, buckets: int, bucketed: bool) -> dict[str, DataFrame]:
+    """Find (or write) the store ``key`` of ``sf_dir`` and return its tables as DataFrames."""
     store = f"{_root(spark)}/{key}"
     run = _completed_run(spark, store)
     if run is None:
@@ -194,7 +192,7 @@ def raw_csv_dir(spark: SparkSession, sf_dir: str) -> str:
     """
     from feira.sources.csv_io import export_raw_csv
 
-    key = _fingerprint(_listing(spark, sf_dir), 0, False)
+    key = _fingerprint(_source_state(spark, sf_dir), 0, False)
     store = f"{_root(spark)}/raw-csv-{key}"
     with _lock:
         run = _completed_run(spark, store)
@@ -214,7 +212,7 @@ def prepared_csv_dir(spark: SparkSession, sf_dir: str) -> str:
     from feira.sources.csv_io import prepare_tables, raw_tables, write_prepared
 
     raw = raw_csv_dir(spark, sf_dir)
-    key = _fingerprint(_listing(spark, sf_dir), 0, False)
+    key = _fingerprint(_source_state(spark, sf_dir), 0, False)
     store = f"{_root(spark)}/prepared-csv-v2-{key}"
     with _lock:
         run = _completed_run(spark, store)

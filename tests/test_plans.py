@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 
 from feira import load_tables, plans
-from feira.operators import ranking
 from feira.plans.sellers import per_seller
 from tests.conftest import SF_SMALL
 
@@ -19,8 +18,7 @@ def _window_specs(plan: str) -> list[str]:
     return re.findall(r"(?:row_number|rank|ntile)\(.*?\) windowspecdefinition\(([^)]*)", plan)
 
 
-def test_person_and_seller_rankings_are_partitioned(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 0)  # the path taken above the single-task bound
+def test_person_and_seller_rankings_are_partitioned(spark):
     t = load_tables(spark, SF_SMALL)
     for df in (plans.rfm_segments(t), plans.seller_performance(t)):
         specs = _window_specs(_plan(df))
@@ -48,7 +46,19 @@ def test_fan_out_is_not_materialised(spark):
     assert re.search(r"Aggregate \[order_id#\d+L\], \[order_id#\d+L, count\(1\)", optimized)
 
 
-def test_small_rankings_use_one_task_only_below_the_bound(spark):
+def test_items_collapse_per_order_before_any_join(spark):
+    """An order with a third of the items reaches each join as its few groups, not as its items."""
     t = load_tables(spark, SF_SMALL)
-    specs = _window_specs(_plan(plans.seller_performance(t)))
-    assert specs and all(not spec.strip().startswith("__rk_cls") for spec in specs)
+    hot = spark.range(3000).selectExpr(
+        "CAST(1 AS BIGINT) AS order_id", "CAST(id AS INT) AS order_item_id", "CAST(id % 2 AS BIGINT) AS product_id", "CAST(1 AS BIGINT) AS seller_id",
+        "CAST(10 AS DECIMAL(12,2)) AS price", "CAST(1 AS DECIMAL(12,2)) AS freight_value")
+    items = t.order_items.select(*hot.columns).unionByName(hot)
+    tables = type(t)(orders=t.orders, order_items=items, order_reviews=t.order_reviews, products=t.products, sellers=t.sellers, customers=t.customers)
+    for view in (plans.category_performance, plans.price_review_correlation, plans.seller_delivery_vs_reviews):
+        optimized = view(tables)._jdf.queryExecution().optimizedPlan().toString()
+        joins = [len(x) - len(x.lstrip(" +-:")) for x in optimized.splitlines() if "Join " in x]
+        union = next(len(x) - len(x.lstrip(" +-:")) for x in optimized.splitlines() if "Union" in x)
+        between = [x for x in optimized.splitlines() if "Aggregate [order_id" in x]
+        assert joins and union > max(joins[:1]) and between
+    counts = per_seller(tables).where("seller_id = 1").collect()
+    assert counts and counts[0].units_sold >= 3000

@@ -20,7 +20,7 @@ def _brute(df, key, column, ascending, kind, n=None):
     return F.ntile(n).over(order) if kind == "ntile" else F.row_number().over(order)
 
 
-def _check(spark, rows, schema, column, cuts, single_task_rows=0):
+def _check(spark, rows, schema, column, cuts):
     df = spark.createDataFrame(rows, schema)
     outs = [
         RankOut("rk_a", column, True, "rank"),
@@ -31,7 +31,7 @@ def _check(spark, rows, schema, column, cuts, single_task_rows=0):
         RankOut("nt5_d", column, False, "ntile", 5),
         RankOut("nt4_d", column, False, "ntile", 4),
     ]
-    got = with_global_ranks(df, "id", outs, cuts=cuts, single_task_rows=single_task_rows)
+    got = with_global_ranks(df, "id", outs, cuts=cuts)
     want = df.select(
         "id",
         *[_brute(df, "id", o.column, o.ascending, o.kind, o.n).alias(o.name) for o in outs],
@@ -41,8 +41,8 @@ def _check(spark, rows, schema, column, cuts, single_task_rows=0):
     assert g == w
 
 
-@pytest.mark.parametrize("cuts,single_task_rows", [(1, 0), (3, 0), (127, 0), (127, 10**6)])
-def test_skewed_ties_and_nulls(spark, cuts, single_task_rows):
+@pytest.mark.parametrize("cuts", [1, 3, 127, None])
+def test_skewed_ties_and_nulls(spark, cuts):
     rng = random.Random(7)
     rows = []
     for i in range(900):
@@ -54,7 +54,7 @@ def test_skewed_ties_and_nulls(spark, cuts, single_task_rows):
         else:
             v = rng.randint(0, 60)
         rows.append((i, v))
-    _check(spark, rows, "id long, v long", "v", cuts, single_task_rows)
+    _check(spark, rows, "id long, v long", "v", cuts)
 
 
 def test_decimal_money_values(spark):
@@ -80,18 +80,16 @@ def test_double_with_nulls(spark):
 
 def test_ntile_group_sizes_differ_by_at_most_one(spark):
     df = spark.createDataFrame([(i, i % 13) for i in range(1003)], "id long, v long")
-    sizes = (with_global_ranks(df, "id", [RankOut("t", "v", False, "ntile", 5)], single_task_rows=0)
+    sizes = (with_global_ranks(df, "id", [RankOut("t", "v", False, "ntile", 5)])
              .groupBy("t").count().orderBy("t").collect())
     counts = [r["count"] for r in sizes]
     assert [r.t for r in sizes] == [1, 2, 3, 4, 5]
     assert max(counts) - min(counts) <= 1 and counts == sorted(counts, reverse=True)
 
 
-@pytest.mark.parametrize("single_task_rows", [0, 10**6])
-def test_exact_quantiles_match_percentile(spark, monkeypatch, single_task_rows):
+def test_exact_quantiles_match_percentile(spark):
     from feira.operators import quantiles, ranking
 
-    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", single_task_rows)
     rng = random.Random(5)
     rows = [(None if i % 23 == 0 else float(rng.choice([1, 2, 2, 2, 3, rng.randint(0, 1000)])),) for i in range(777)]
     df = spark.createDataFrame(rows, "x double")
@@ -123,10 +121,9 @@ def test_property_random_inputs(spark):
     check()
 
 
-def test_exact_quantiles_many_columns_with_nulls(spark, monkeypatch):
+def test_exact_quantiles_many_columns_with_nulls(spark):
     from feira.operators import quantiles, ranking
 
-    monkeypatch.setattr(ranking, "SINGLE_TASK_ROWS", 0)
     rng = random.Random(9)
     rows = [(None if i % 5 == 0 else rng.randint(0, 50), None if i % 3 == 0 else rng.random() * 10, None)
             for i in range(300)]
@@ -138,3 +135,25 @@ def test_exact_quantiles_many_columns_with_nulls(spark, monkeypatch):
         for p, w in zip(probs, want):
             assert abs(got[(col, p)] - w) < 1e-9, (col, p)
     assert all(got[("c", p)] is None for p in probs)
+
+
+@pytest.mark.parametrize("rows,per_class", [(4000, 100), (32000, 100)])
+def test_rows_per_group_stay_bounded(spark, monkeypatch, rows, per_class):
+    """Eight times the rows give more groups, not larger ones; a value of a third of the rows and NULLs are split too."""
+    from feira.operators import ranking
+
+    monkeypatch.setattr(ranking, "ROWS_PER_CLASS", per_class)
+    df = spark.range(rows).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).cast("long").alias("v"))
+    seen = []
+    real = ranking.materialize
+
+    def watch(frame):
+        out = real(frame)
+        if "cls" in out.columns:
+            seen.append(out.agg(F.max("count")).first()[0])
+        return out
+
+    monkeypatch.setattr(ranking, "materialize", watch)
+    got = with_global_ranks(df, "id", [RankOut("t", "v", True, "ntile", 5)])
+    assert sorted(r["count"] for r in got.groupBy("t").count().collect()) == [rows // 5] * 5
+    assert seen and max(seen) <= 8 * per_class
