@@ -5,7 +5,6 @@ Layers:
   functions  column helpers whose semantics are pinned (rounding, day/month differences)
   operators  reusable distributed operators: ranking, profiling, preparation
   plans      the sixteen analytical views and the headline metrics
-  streaming  (the reference has no streaming; see its module docstring)
 """
 
 from feira.sources.bridge import Tables, load_tables

@@ -87,11 +87,15 @@ def unique_values(df: DataFrame, column: str) -> DataFrame:
 def duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
     """P-08 / P-09 ``duplicated().sum()`` over all columns or a key subset (NULLs equal, as pandas).
 
-    Rows are grouped by the key (partial aggregation before the shuffle) and
-    every group contributes its size minus one.
+    Rows are counted by a 64-bit hash of the key columns (partial aggregation, one long per
+    distinct row in the shuffle); only rows whose hash repeats are then compared in full, and
+    every group of equal rows contributes its size minus one.
     """
-    keys = list(subset) if subset else df.columns
-    groups = df.groupBy(*[F.col(f"`{c}`") for c in keys]).count()
+    keys = [F.col(f"`{c}`") for c in (subset or df.columns)]
+    hashed = df.select(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).withColumn("h", F.xxhash64(*[f"k{i}" for i in range(len(keys))]))
+    again = hashed.groupBy(F.col("h").alias("again")).count().filter("count > 1")
+    rows = hashed.join(again, F.col("h") == F.col("again"), "left_semi")
+    groups = rows.groupBy("h", *[f"k{i}" for i in range(len(keys))]).count()
     return groups.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
