@@ -7,19 +7,20 @@ gram has the least hash (leftmost among equals) of some ``window`` consecutive p
 have the same anchors inside. A document's anchors are numbered, and the difference cover
 {1, 2} modulo 3 samples two of each three: of the first three anchors x0, x1, x2 in
 a string, wherever it occurs, at least one is sampled in both of any two occurrences.
-1. Triples: the three 32-byte symbols at each sampled anchor are its triple; equal triples
+1. Triples: the three 45-byte symbols at each sampled anchor are its triple; equal triples
    get equal names, by grouping (partial aggregation before the shuffle) and joining the
    names back. Names that occur once end there: their suffixes repeat nothing.
 2. Recursion on names: a surviving name is joined with the bytes of all strings
    that the anchor stands for (from the first to the end of the last that has it
    among its three anchors), which is a longer name. If that recurs, all those strings repeat. Where a name
    has several longer names, the suffixes part somewhere inside: one occurrence of
-   each longer name goes on, first cut into pieces of ``PIECE`` starts aligned on the
-   anchor, then, of pieces that again have several continuations, into single starts.
-3. Merging the rest: at that last level every remaining suffix has the name of its own whole
+   each longer name goes on, cut into cells of 64, then 8 starts on a grid aligned with the anchor. All strings
+   that start in a cell share a core of bytes; the core's name joins the cell's, so a cell
+   goes on only while its core occurs with several continuations.
+3. Merging the rest: at the last level every remaining suffix has the name of its own whole
    ``length``-byte prefix, relative to its sampled anchor, and equal prefixes meet.
 At each level a group's key is the anchor's name, the place relative to the
-anchor, and a hash of all the bytes, and only counts and one occurrence of a group are kept: no
+anchor and the core, then a hash of all the bytes, and only counts and one occurrence of a group are kept: no
 group, however large, is collected anywhere.
 
 Names are 64-bit hashes; a decision rests on two of them of different byte ranges. Defined cases: a
@@ -39,19 +40,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feira.llm.textops import U64, Chunk, Prefix, chunks, map_arrow, mix, mix_int, stored
+from feira.llm.textops import U64, Chunk, Prefix, chunks, map_arrow, mix, mix_int, ranges, stored
 
 LENGTH = 400
-GRAM, SYMBOL, TRIPLE = 48, 32, 96
-PIECE = 16
+GRAM = 48
+LEAST_WINDOW = 8
+LEVELS = (None, 64, 8, 1)  # starts of a cell at each level; None: all of an anchor's
+
+
+def symbol_size(length: int) -> int:
+    """Bytes of a symbol, three of which are a sampled anchor's triple (45 at a length of 400)."""
+    return max(8, min(45, length // 8 - 4))
 
 
 def window_size(length: int) -> int:
-    """Consecutive gram positions that hold an anchor: three anchors, and the triple at the last one, fit into any
-    string, and so do the windows that decide them (4 * window + GRAM <= length + 2, 3 * window + TRIPLE <= length + 1)."""
-    w = min((length + 2 - GRAM) // 4, (length + 1 - TRIPLE) // 3)
-    if w < 8:
-        raise ValueError(f"length must be at least {max(4 * 8 + GRAM, 3 * 8 + TRIPLE)}")
+    """Consecutive gram positions that hold an anchor: three anchors, and the triple at the last one, fit into any string, and
+    so do the windows that decide them (4 * window + GRAM <= length + 2, 3 * window + 3 symbols <= length + 1)."""
+    w = min((length + 2 - GRAM) // 4, (length + 1 - 3 * symbol_size(length)) // 3)
+    if w < LEAST_WINDOW:
+        raise ValueError(f"strings of {length} bytes are too short for {LEAST_WINDOW} grams of {GRAM} bytes and three anchors")
     return w
 
 
@@ -117,10 +124,10 @@ class Anchors:
 
     def names(self, which: np.ndarray) -> np.ndarray:
         """Names of the triples of symbols at these anchors."""
-        h = np.zeros(len(which), U64)
-        for j in range(TRIPLE // SYMBOL):
-            p = self.at[which] + j * SYMBOL
-            h = mix(h + self.prefix.hashes(p, p + SYMBOL) * U64(mix_int(300 + j) | 1))
+        h, size = np.zeros(len(which), U64), symbol_size(self.length)
+        for j in range(3):
+            p = self.at[which] + j * size
+            h = mix(h + self.prefix.hashes(p, p + size) * U64(mix_int(300 + j) | 1))
         return h
 
     def long_names(self, which: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -151,16 +158,12 @@ def sampled_triples(docs: DataFrame, length: int) -> DataFrame:
     return map_arrow(docs.select("rk", "text"), run, "rk long, names array<long>").where(F.size("names") > 0)
 
 
-def _places(column: pa.Array, lo: int, n: int) -> list[np.ndarray]:
-    return [np.unique(np.array(x or [], np.int64)) for x in column.slice(lo, n).to_pylist()]
-
-
-def _keyed(flagged: DataFrame, length: int, level: str) -> DataFrame:
-    """(name, long, rk, place): the groups' keys and occurrences at a level of the recursion.
+def _keyed(flagged: DataFrame, length: int, step: int | None) -> DataFrame:
+    """(k1, k2, rk, o, f, l): the keys of a level of the recursion and what stands there.
 
-    ``flagged`` has rk, text and ``places``: ordinals of sampled anchors at levels span and
-    piece, and packed (ordinal, first start) of pieces at level start. ``place`` packs what the
-    occurrence stands for: the ordinal (span), or the starts first .. last (piece, start).
+    ``flagged`` has rk, text and ``places``: structs of a sampled anchor's ordinal ``o`` and the first and last
+    start ``f`` and ``l`` that go on (ignored where ``step`` is None: all that the anchor stands for).
+    ``k1`` names the anchor's triple, the cell and its core, ``k2`` all its bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,59 +173,44 @@ def _keyed(flagged: DataFrame, length: int, level: str) -> DataFrame:
                 which = a.sampled()
                 begin = np.searchsorted(a.text[which], np.arange(len(c)))
                 base = c.offsets[:-1]
-                places = _places(b.column(2), c.lo, len(c))
-                texts = np.repeat(np.arange(len(c)), [len(p) for p in places])
-                flat = np.concatenate([np.zeros(0, np.int64), *places])
-                ordinal = flat >> 40 if level == "start" else flat
-                at = which[begin[texts] + ordinal]
+                places = b.column(2).slice(c.lo, len(c))
+                flat = places.flatten()
+                texts = np.repeat(np.arange(len(c)), places.value_lengths().to_numpy())
+                o, f, l = (flat.field(x).to_numpy() for x in ("o", "f", "l"))  # noqa: E741
+                at = which[begin[texts] + o]
                 name = a.names(at)
-                if level == "span":
+                if step is None:
                     first, last = a.first_start[at], a.last_start[at]
-                    place = ordinal
                 else:
-                    step = PIECE if level == "piece" else 1
-                    if level == "piece":
-                        low, high = a.first_start[at], a.last_start[at]
-                    else:
-                        low = base[texts] + (flat & ((1 << 40) - 1))
-                        # the piece's end: the grid runs on the distance to the anchor
-                        high = np.minimum(a.last_start[at], a.at[at] - (a.at[at] - low) // PIECE * PIECE)
-                    grid_low, grid_high = (a.at[at] - high) // step, (a.at[at] - low) // step
-                    many = grid_high - grid_low + 1
-                    rep = np.repeat(np.arange(len(at)), many)
-                    grid = grid_low[rep] + np.arange(len(rep)) - np.repeat(np.cumsum(many) - many, many)
-                    first = np.maximum(a.first_start[at][rep] if level == "piece" else low[rep], a.at[at][rep] - grid * step - (step - 1))
-                    last = np.minimum(high[rep], a.at[at][rep] - grid * step)
-                    at, texts, ordinal = at[rep], texts[rep], ordinal[rep]
-                    name = mix(name[rep] + mix(grid.astype(U64)) * U64(mix_int(320 + step) | 1))
-                    place = (ordinal << 40) | (first - base[texts])
+                    low, high = base[texts] + f, base[texts] + l
+                    from_cell, to_cell = (a.at[at] - high) // step, (a.at[at] - low) // step
+                    rep = np.repeat(np.arange(len(at)), to_cell - from_cell + 1)
+                    cell = ranges(from_cell, to_cell - from_cell + 1)
+                    anchor = a.at[at][rep]
+                    nearest = anchor - cell * step  # the cell's last possible start; its core is in all its strings
+                    first, last = np.maximum(low[rep], nearest - (step - 1)), np.minimum(high[rep], nearest)
+                    core = a.prefix.hashes(nearest, nearest - (step - 1) + length)
+                    name = mix(name[rep] + mix(cell.astype(U64)) * U64(mix_int(320 + step) | 1) + core * U64(mix_int(321) | 1))
+                    at, texts, o = at[rep], texts[rep], o[rep]
                 long = a.long_names(at, first, last)
                 rk = b.column(0).slice(c.lo, len(c)).to_numpy()[texts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(name)), pa.array(_signed(long)), pa.array(rk), pa.array(place),
-                     pa.array((first - base[texts]).astype(np.int64)), pa.array((last - base[texts]).astype(np.int64))],
-                    ["name", "long", "rk", "place", "first", "last"])
+                arrays = [_signed(name), _signed(long), rk, o, first - base[texts], last - base[texts]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], ["k1", "k2", "rk", "o", "f", "l"])
 
-    return stored(map_arrow(flagged, run, "name long, long long, rk long, place long, first long, last long"))
+    return stored(map_arrow(flagged.select("rk", "text", "places"), run, "k1 long, k2 long, rk long, o long, f long, l long"))
 
 
-def _level(flagged: DataFrame, length: int, level: str, copies: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+def _level(flagged: DataFrame, length: int, step: int | None, copies: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rk, first, last) of starts that repeat at this level, and (rk, places) of what goes on to the next one."""
-    keyed = _keyed(flagged, length, level)
-    if copies is not None:  # rows with one key are several occurrences of it
-        keyed = keyed.join(copies, keyed["rk"] == copies["copy_rk"], "left").drop("copy_rk")
-        weight = F.coalesce("copies", F.lit(1))
-    else:
-        weight = F.lit(1)
-    groups = keyed.groupBy("name", "long").agg(F.sum(weight).alias("n"), F.min(F.struct("rk", "place")).alias("one"))
-    groups = stored(groups)
-    again = groups.where("n > 1").select(F.col("name").alias("g_name"), F.col("long").alias("g_long"))
-    repeats = keyed.join(again, (F.col("name") == F.col("g_name")) & (F.col("long") == F.col("g_long"))).select("rk", "first", "last")
-    if level == "start":
-        return repeats, None
-    parted = groups.groupBy(F.col("name").alias("p_name")).agg(F.count("*").alias("ways")).where("ways > 1")
-    on = groups.join(parted, F.col("name") == F.col("p_name"), "left_semi").select("one.rk", "one.place")
-    return repeats, on.groupBy("rk").agg(F.collect_list("place").alias("places"))
+    keyed = _keyed(flagged, length, step)
+    # rows with one key are several occurrences of it
+    weighed = keyed.join(copies, F.col("rk") == F.col("copy_rk"), "left")
+    groups = stored(weighed.groupBy("k1", "k2").agg(F.sum(F.coalesce("copies", F.lit(1))).alias("n"), F.min(F.struct("rk", "o", "f", "l")).alias("one")))
+    again = groups.where("n > 1").select(F.col("k1").alias("g1"), F.col("k2").alias("g2"))
+    repeats = keyed.join(again, (F.col("k1") == F.col("g1")) & (F.col("k2") == F.col("g2"))).select("rk", F.col("f").alias("first"), F.col("l").alias("last"))
+    parted = groups.groupBy(F.col("k1").alias("p1")).agg(F.count("*").alias("ways")).where("ways > 1")
+    on = groups.join(parted, F.col("k1") == F.col("p1"), "left_semi").select("one.*")
+    return stored(repeats), stored(on.groupBy("rk").agg(F.collect_list(F.struct("o", "f", "l")).alias("places")))
 
 
 def repeated_starts(keyed_docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]:
@@ -231,18 +219,17 @@ def repeated_starts(keyed_docs: DataFrame, length: int = LENGTH) -> tuple[DataFr
     names = stored(sampled_triples(keyed_docs, length))
     rows = names.select("rk", F.posexplode("names").alias("ordinal", "name"))
     common = rows.groupBy(F.col("name").alias("c_name")).agg(F.count("*").alias("n")).where("n > 1").select("c_name")
-    hits = rows.join(common, F.col("name") == F.col("c_name")).groupBy(F.col("rk").alias("h_rk")).agg(
-        F.collect_set(F.col("ordinal").cast("long")).alias("places"))
-    hits = stored(hits)
-    copies = names.groupBy(F.col("rk").alias("copy_rk")).agg(F.count("*").alias("copies")).where("copies > 1")
+    unset = F.lit(-1).cast("long")
+    place = F.struct(F.col("ordinal").cast("long").alias("o"), unset.alias("f"), unset.alias("l"))
+    hits = stored(rows.join(common, F.col("name") == F.col("c_name")).groupBy(F.col("rk").alias("h_rk")).agg(F.collect_set(place).alias("places")))
+    copies = stored(names.groupBy(F.col("rk").alias("copy_rk")).agg(F.count("*").alias("copies")).where("copies > 1"))
     flagged = keyed_docs.join(hits, F.col("rk") == F.col("h_rk")).select("rk", "text", "places")
     flagged = stored(flagged.dropDuplicates(["rk"]) if not copies.isEmpty() else flagged)
-    copies = stored(copies)
-    found, on = _level(flagged, length, "span", copies)
     texts = flagged.select("rk", "text")
-    for level in ("piece", "start"):
+    found, on = _level(flagged, length, LEVELS[0], copies)
+    for step in LEVELS[1:]:
         deeper = on.withColumnRenamed("rk", "o_rk")
-        repeats, on = _level(texts.join(deeper, F.col("rk") == F.col("o_rk")).select("rk", "text", "places"), length, level, copies)
+        repeats, on = _level(texts.join(deeper, F.col("rk") == F.col("o_rk")), length, step, copies)
         found = found.union(repeats)
     return found, texts
 

@@ -159,6 +159,13 @@ def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
     return mix(out ^ mix(have.astype(U64))), begin
 
 
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, .. for sizes[0] entries, then the same of each further range."""
+    total = int(sizes.sum())
+    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) if total else np.zeros(0, np.int64)
+    return np.arange(total) + shift
+
+
 def arrow_limits(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers get: 2,000 rows, 16 MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
@@ -178,12 +185,21 @@ def stage_folder(spark: SparkSession) -> str:
     return f"{configured.rstrip('/')}/feira-llm/{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it from there, so that its
-    lineage is cut and a lost executor costs no more than the reading of its part."""
-    path = stage_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    lineage is cut and a lost executor costs no more than the reading of its part. The
+    shuffle files of the write are of no more use then and go at its end."""
+    spark = df.sparkSession
+    path, before = stage_folder(spark), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def column_runs(

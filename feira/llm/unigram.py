@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feira.llm.textops import Chunk, Prefix, chunks, map_arrow
+from feira.llm.textops import Chunk, Prefix, chunks, map_arrow, ranges
 
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0  # below the least score, as in SentencePiece
@@ -133,13 +133,6 @@ def load_vocabulary(model_file: str) -> Vocabulary:
     return vocabulary([(m.id_to_piece(i), m.get_score(i), kind(i)) for i in range(m.get_piece_size())])
 
 
-def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """starts[0], starts[0] + 1, .. for sizes[0] entries, then the same of each further range."""
-    total = int(sizes.sum())
-    shift = np.repeat(starts - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) if total else np.zeros(0, np.int64)
-    return np.arange(total) + shift
-
-
 def viterbi(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best pieces of each segment data[start:end]: all ids in order, and how many each segment has."""
     n, sizes = len(starts), ends - starts

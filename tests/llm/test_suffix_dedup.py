@@ -83,4 +83,4 @@ def test_kept_text(spark, text):
 def test_window_needs_room():
     assert window_size(400) == 88
     with pytest.raises(ValueError):
-        window_size(100)
+        window_size(70)
