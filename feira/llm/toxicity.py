@@ -1,10 +1,11 @@
 """Toxicity scores from misspelling-tolerant lexicon matches in context (operator 4).
 
 ``learn`` takes a bounded sample of labelled rows (``SAMPLE`` of them, chosen by a
-hash of the id). From one half it learns the lexicon: words much commoner in
-toxic documents (``MAX_TERMS`` at most, each with its log odds). A trie of these terms,
+hash of the id). From one half it learns the lexicon: words, and stems of ``STEMS`` letters that stand for
+all their inflected forms, much commoner in toxic documents (``MAX_TERMS`` at most, each with its log odds).
+A trie of these terms,
 intersected with a Levenshtein automaton (one edit for terms of ``FUZZY_FROM``
-letters or more, none below), finds terms and their misspellings; the product is made
+letters or more, none below and none in stems), finds terms and their misspellings; the product is made
 deterministic state by state as words need it, so most words die within a few steps.
 Every occurrence has a context window of ``CONTEXT`` words to each side on its line: inside quotation marks, or near a
 word of reporting, it counts as quotation, else as abuse. On the other half of the
@@ -31,7 +32,9 @@ from feira.llm.textops import map_arrow, stored
 
 SAMPLE = 20_000
 MAX_TERMS = 1200
-MIN_DOCS = 4
+MIN_DOCS = 4  # toxic documents of the half that a term must be in, or
+MIN_SHARE = 0.01  # this share of them, if that is more
+STEMS = (4, 5)
 MIN_LOG_ODDS = 1.5
 FUZZY_FROM = 5
 CONTEXT = 6
@@ -51,22 +54,25 @@ _token = regex.compile(r"\S+")
 class Lexicon:
     terms: list[str]
     weights: list[float]
+    stems: list[bool] | None = None  # which terms are stems; None: none
 
 
 class FuzzyTrie:
     """The trie of the terms intersected with the automata of their allowed edits.
 
-    A state is a set of (trie node, edits so far); states get numbers and
-    their transitions are kept, so a word costs one dictionary lookup a letter.
+    A state is a set of (trie node, edits so far), where a passed stem stays as the node -1 - term; states get
+    numbers and their transitions are kept, so a word costs one dictionary lookup a letter.
     """
 
     DEAD = 0
 
-    def __init__(self, terms: list[str]):
+    def __init__(self, terms: list[str], stems: list[bool] | None = None):
+        stems = stems or [False] * len(terms)
+        self.stem: dict[int, int] = {}  # the stem that ends at a node
         self.child: list[dict[str, int]] = [{}]
         self.end: list[int] = [-1]
         self.allowed: list[int] = [0]  # most edits of any term below this node
-        self.limit = [1 if len(t) >= FUZZY_FROM else 0 for t in terms]
+        self.limit = [1 if len(t) >= FUZZY_FROM and not stem else 0 for t, stem in zip(terms, stems)]
         for i, t in enumerate(terms):
             node = 0
             for c in t:
@@ -76,7 +82,10 @@ class FuzzyTrie:
                     self.end.append(-1)
                     self.allowed.append(0)
                 node = self.child[node][c]
-            self.end[node] = i
+            if stems[i]:
+                self.stem[node] = i
+            else:
+                self.end[node] = i
         for i, t in enumerate(terms):
             node = 0
             for c in ["", *t]:
@@ -87,12 +96,15 @@ class FuzzyTrie:
         self.moves: dict[tuple[int, str], int] = {}
         self.accept: list[tuple[int, int] | None] = [None]
         self.start = self._state({(0, 0)})
-        self.longest = max(map(len, terms), default=0) + 1
 
     def _state(self, pairs: set[tuple[int, int]]) -> int:
         todo = list(pairs)
         while todo:  # a letter of the term left out
             node, e = todo.pop()
+            if node < 0:
+                continue
+            if e == 0 and node in self.stem:
+                pairs.add((-1 - self.stem[node], 0))
             for nxt in self.child[node].values():
                 if e < self.allowed[nxt] and (nxt, e + 1) not in pairs:
                     pairs.add((nxt, e + 1))
@@ -101,13 +113,17 @@ class FuzzyTrie:
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
-            found = [(e, self.end[n]) for n, e in key if self.end[n] >= 0 and e <= self.limit[self.end[n]]]
+            found = [(e, self.end[n]) for n, e in key if n >= 0 and self.end[n] >= 0 and e <= self.limit[self.end[n]]]
+            found += [(0, -1 - n) for n, _ in key if n < 0]
             self.accept.append((min(found)[1], min(found)[0]) if found else None)
         return self.number[key]
 
     def _move(self, state: int, c: str) -> int:
         pairs = set()
         for node, e in self.states[state]:
+            if node < 0:
+                pairs.add((node, 0))
+                continue
             for letter, nxt in self.child[node].items():
                 if letter == c:
                     pairs.add((nxt, e))
@@ -121,8 +137,6 @@ class FuzzyTrie:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """(term, edits) of the nearest term within its allowed edits, ties to the earlier term; or None."""
-        if len(word) > self.longest:
-            return None
         state, moves = self.start, self.moves
         for c in word:
             nxt = moves.get((state, c))
@@ -138,7 +152,7 @@ class Scanner:
     """Features of texts, remembering the words that match nothing."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.trie = lexicon, FuzzyTrie(lexicon.terms)
+        self.lexicon, self.trie = lexicon, FuzzyTrie(lexicon.terms, lexicon.stems)
         self.clean: set[str] = set()
         self.hits: dict[str, tuple[int, int]] = {}
 
@@ -222,18 +236,19 @@ def learn(
     rows = docs.select(F.col(id_col).alias("d_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
         F.broadcast(ids), F.col("d_id") == F.col("l_id")).select("text", "toxic", (F.col("place") % 2 == 0).alias("first"))
     rows = stored(rows)
-    words = rows.where("first").dropDuplicates(["text"]).select(
-        "toxic", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
+    letters = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
+    begins = [F.transform(F.filter(letters, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]  # noqa: B023
+    words = rows.where("first").dropDuplicates(["text"]).select("toxic", F.explode(F.array_distinct(F.concat(letters, *begins))).alias("word"))
     sums = rows.where("first").dropDuplicates(["text"]).agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     n_tox, n_all = int(sums[0]), int(sums[1])
     if not n_tox or n_tox == n_all:
         return Model(Lexicon([], []), np.zeros(0))
-    counted = words.where(F.length("word") >= 3).groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
-    counted = counted.where(F.col("a") >= MIN_DOCS)
+    counted = words.groupBy("word").agg(F.sum("toxic").alias("a"), F.count("*").alias("n"))
+    counted = counted.where(F.col("a") >= max(MIN_DOCS, MIN_SHARE * n_tox))
     a, b = F.col("a") + 0.5, F.col("n") - F.col("a") + 0.5
     odds = F.log(a / (n_tox + 1)) - F.log(b / (n_all - n_tox + 1)) - F.sqrt(1 / a)
     top = counted.select("word", odds.alias("odds")).where(F.col("odds") >= MIN_LOG_ODDS).orderBy(F.desc("odds"), "word").limit(MAX_TERMS).collect()
-    lexicon = Lexicon([r["word"] for r in top], [float(r["odds"]) for r in top])
+    lexicon = Lexicon([r["word"].rstrip("*") for r in top], [float(r["odds"]) for r in top], [r["word"].endswith("*") for r in top])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = Scanner(lexicon)

@@ -38,6 +38,12 @@ def test_automaton_equals_edit_distance(rng):
         assert trie.match(w) == ((near[0][1], near[0][0]) if near else None), w
 
 
+def test_stems_match_all_their_forms():
+    trie = toxicity.FuzzyTrie(["lowe", "idiot", "lowers"], [True, False, False])
+    got = {w: trie.match(w) for w in ("lowe", "loweiei", "low", "lewe", "idiot", "idiots", "lowers", "xlowe", "")}
+    assert got == {"lowe": (0, 0), "loweiei": (0, 0), "low": None, "lewe": None, "idiot": (1, 0), "idiots": (1, 1), "lowers": (0, 0), "xlowe": None, "": None}
+
+
 def test_context_separates_quotation():
     scan = toxicity.Scanner(toxicity.Lexicon(["idiot", "moron"], [3.0, 3.0]))
     exact, fuzzy, quoted = (scan.features(t)[:3] for t in ("you idiot !", "you idlot !", 'they wrote "you idiot" there'))
