@@ -218,7 +218,8 @@ def repeated_starts(keyed_docs: DataFrame, length: int = LENGTH) -> tuple[DataFr
     repeated strings, and the stored (rk, text) of the documents that may have any."""
     names = stored(sampled_triples(keyed_docs, length))
     rows = names.select("rk", F.posexplode("names").alias("ordinal", "name"))
-    common = rows.groupBy(F.col("name").alias("c_name")).agg(F.count("*").alias("n")).where("n > 1").select("c_name")
+    # stored, so that the join below is a plain one, which Spark splits where one name has very many rows
+    common = stored(rows.groupBy(F.col("name").alias("c_name")).agg(F.count("*").alias("n")).where("n > 1").select("c_name"))
     unset = F.lit(-1).cast("long")
     place = F.struct(F.col("ordinal").cast("long").alias("o"), unset.alias("f"), unset.alias("l"))
     hits = stored(rows.join(common, F.col("name") == F.col("c_name")).groupBy(F.col("rk").alias("h_rk")).agg(F.collect_set(place).alias("places")))
