@@ -302,7 +302,8 @@ def jaccard_join(docs: DataFrame, limit: Threshold = Threshold(), id_col: str =
     """doc_id, n_shingles, component_id (the smallest id reachable by links, its own included): a row per document."""
     profiles = profile(docs, limit, id_col, text_col)
     usable = profiles.where("n > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # stored, so that the join below is a plain one, which Spark splits where one class has very many documents
+    classes = stored(usable.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")))
     c = classes.select(F.col("n").alias("c_n"), F.col("h1").alias("c_h1"), F.col("h2").alias("c_h2"), "rep")
     member = stored(usable.select("doc_id", "n", "h1", "h2").join(
         c, (F.col("n") == F.col("c_n")) & (F.col("h1") == F.col("c_h1")) & (F.col("h2") == F.col("c_h2"))).select("doc_id", "rep").distinct())
