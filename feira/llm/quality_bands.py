@@ -34,11 +34,11 @@ WINDOW = 5
 # (bytes of text up to, least ratio, greatest ratio): a text of n bytes has the first row's band with n <= bytes.
 BANDS = (
     (128, 0.12, 1.50),
-    (512, 0.12, 1.02),
-    (2048, 0.12, 0.90),
-    (8192, 0.10, 0.85),
-    (65536, 0.08, 0.82),
-    (float("inf"), 0.05, 0.80),
+    (512, 0.12, 1.05),
+    (2048, 0.12, 0.85),
+    (8192, 0.10, 0.68),
+    (65536, 0.08, 0.65),
+    (float("inf"), 0.05, 0.65),
 )
 
 SYMBOL = np.zeros(256, bool)
