@@ -185,6 +185,31 @@ def stage_folder(spark: SparkSession) -> str:
     return f"{configured.rstrip('/')}/feira-llm/{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """The folders that ``stored`` makes while this is entered; ``clear`` deletes them.
+
+    For callers that know when an operator's result has been written, such as the pipeline's next stage.
+    """
+
+    active: list[Scratch] = []
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        Scratch.active.append(self)
+        return self
+
+    def __exit__(self, *exc: object) -> None:
+        Scratch.active.remove(self)
+
+    def clear(self, spark: SparkSession) -> None:
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while self.folders:
+            path = jvm.org.apache.hadoop.fs.Path(self.folders.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -194,6 +219,8 @@ def stored(df: DataFrame) -> DataFrame:
     shuffle files of the write are of no more use then and go at its end."""
     spark = df.sparkSession
     path, before = stage_folder(spark), spark.conf.get(CLEANUP, "false")
+    if Scratch.active:
+        Scratch.active[-1].folders.append(path)
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
