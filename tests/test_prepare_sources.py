@@ -128,3 +128,41 @@ def test_raw_csv_to_prepared_round_trip(spark):
     csv_io.write_prepared(prepared, out + "-pq")
     again = csv_io.read_prepared(spark, out + "-pq")
     assert again.order_reviews.filter(F.col("review_score") == 5).first().review_comment_message == tricky
+
+
+def test_csv_columns_bind_by_header(spark, tmp_path):
+    """Reordered and undeclared columns: declared ones keep name and type, others stay as text, for every source."""
+    from feira.sources.schemas import RAW
+
+    for name, file in RAW_FILES.items():
+        declared = [f.name for f in RAW[name].fields]
+        header = ["extra_first", *reversed(declared), "extra_last"]
+        values = {f.name: "7" if f.dataType.typeName() != "string" else f"text {f.name}" for f in RAW[name].fields}
+        folder = tmp_path / name
+        folder.mkdir()
+        _write_csv(os.path.join(folder, file), header, [["a", *[values[c] for c in reversed(declared)], "b"]] * 2)
+        df = csv_io.read_raw_csv(spark, str(folder), name)
+        assert df.columns == header
+        row = df.first().asDict()
+        assert (row["extra_first"], row["extra_last"]) == ("a", "b")
+        assert all(str(row[c]) == values[c] or float(row[c]) == 7 for c in declared)
+        assert profile.duplicate_rows(df).first()[0] == 1
+
+
+def test_csv_missing_column_is_an_error(spark, tmp_path):
+    import pytest
+
+    _write_csv(os.path.join(tmp_path, RAW_FILES["sellers"]), ["seller_id", "seller_city"], [["1", "x"]])
+    with pytest.raises(ValueError, match="seller_state"):
+        csv_io.read_raw_csv(spark, str(tmp_path), "sellers")
+
+
+def test_csv_files_of_different_headers_fail(spark, tmp_path):
+    import pytest
+
+    folder = tmp_path / RAW_FILES["sellers"]
+    folder.mkdir()
+    _write_csv(os.path.join(folder, "a.csv"), ["seller_id", "seller_city", "seller_state"], [["1", "x", "S"]])
+    _write_csv(os.path.join(folder, "b.csv"), ["seller_city", "seller_id", "seller_state"], [["y", "2", "T"]])
+    with pytest.raises(Exception, match="(?i)header"):
+        csv_io.read_raw_csv(spark, str(tmp_path), "sellers").collect()

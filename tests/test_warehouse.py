@@ -33,11 +33,14 @@ def test_changed_input_gives_the_new_result(spark, tmp_path):
     """The fingerprint is taken on every call: a source replaced under the same path is seen."""
     import shutil
 
+    import pyarrow.parquet as pq
+
     folder = tmp_path / "sf"
     shutil.copytree(SF_SMALL, folder)
     (folder / "orders.parquet").chmod(0o644)
     before = warehouse.warehouse_tables(spark, str(folder)).orders.count()
-    half = spark.read.parquet(f"{SF_SMALL}/orders.parquet").where("o_orderkey % 2 = 0").toPandas()
-    half.to_parquet(folder / "orders.parquet")
+    whole = pq.read_table(f"{SF_SMALL}/orders.parquet")
+    half = whole.slice(0, whole.num_rows // 2)
+    pq.write_table(half, folder / "orders.parquet")
     after = warehouse.warehouse_tables(spark, str(folder)).orders.count()
-    assert after == len(half) < before
+    assert after == half.num_rows < before
