@@ -157,18 +157,19 @@ def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
 
 
 def profile(docs: DataFrame, limit: Threshold, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, h1, h2 (hashes of the whole set), sig, and keys (its tiles; null where the task met the same set before)."""
+    """doc_id, n, h1, h2 (hashes of the whole set), sig, and keys (its tiles; null where the id is null or the task met the same set before)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, met = Bands(limit), set()
         for b in batches:
             n, h1, h2, sig, keys = [], [], [], [], []
-            for u in sets_of(b.column(1), limit.k):
+            for named, u in zip(b.column(0).is_valid().to_pylist(), sets_of(b.column(1), limit.k)):
                 n.append(len(u))
                 h1.append(int(mix(u ^ SALT_1).sum(dtype=U64).view(np.int64)))
                 h2.append(int(mix(u ^ SALT_2).sum(dtype=U64).view(np.int64)))
-                new = len(u) and (h1[-1], h2[-1]) not in met
-                met.add((h1[-1], h2[-1]))
+                new = named and len(u) and (h1[-1], h2[-1]) not in met
+                if new:
+                    met.add((h1[-1], h2[-1]))
                 keys.append(tile_keys(u, bands) if new else None)
                 sig.append(signature(u) if len(u) else None)
             off = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in keys])]).astype(np.int32)

@@ -129,6 +129,14 @@ def test_empty_table_and_null_ids(spark):
     assert [(r.doc_id, r.n_shingles, r.component_id) for r in got] == [(4, 2, 4), (9, 2, 4), (9, 2, 4), (None, 2, None)]
 
 
+def test_null_id_before_its_copy_hides_no_link(spark, text):
+    t = text(60)
+    rows = [(None, t), (1, t), (2, t + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.component_id for r in jaccard_join(df).collect()}
+    assert got == {None: None, 1: 1, 2: 1}
+
+
 def test_components(spark, rng):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, k) for k in range(101, 140)] + [(7, 300), (500, 501), (501, 500)]
     rng.shuffle(edges)
