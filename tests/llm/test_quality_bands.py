@@ -42,6 +42,22 @@ def test_bands(spark, text):
     assert got[3].n_chunks == -(-len(noise.encode()) // 4096)
 
 
+def test_noise_is_rejected(spark, text):
+    rnd = random.Random(2)
+    letters = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randrange(3, 10))) for _ in range(18000))
+    codes = " ".join(f"{rnd.getrandbits(32):08x}" for _ in range(12000))
+    counted = " ".join(f"{i % 7}word{i}" for i in range(20000))
+    prose = "".join(chr(ord(c) + rnd.randrange(2)) if c > " " else c for c in text(4000))  # about 0.4
+    noise = [letters[:2100], letters[:4000], letters[:10000], letters, codes[:5000], codes[:10000], codes[:100000],
+             prose[:4096] + letters[:4096], prose[:8192] + letters[:8192], counted]
+    plain = [prose[:n] for n in (600, 1500, 3000, 4096, 4100, 8000, 8300, 15000)]
+    rows = list(enumerate(noise + plain))
+    got = {r.doc_id: r for r in quality_bands(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert [i for i in range(len(noise)) if got[i].kept] == []
+    assert [(len(t), got[i].ratio) for i, t in rows[len(noise):] if not got[i].kept] == []
+
+
 def test_empty_table_and_repeats(spark, text):
     assert quality_bands(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     t = text(20)
