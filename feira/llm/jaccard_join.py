@@ -18,7 +18,7 @@ set of a tile with the one before it and with the first one; what links is joine
 A second round takes the tiles whose sets still lie in different components and
 compares all pairs between those, in blocks of bounded size (a tile with many sets is
 dealt out as pairs of blocks). Pairs inside one component can't change the
-result and aren't compared. In both rounds a pair's bitmaps come first: elements
+result and aren't compared (``link_counts``, which gives the links of every document, compares all pairs of a tile). In both rounds a pair's bitmaps come first: elements
 are hashed into bits, and a bit of A missing from B is an element missing from B, so
 |A| less the count of such bits bounds the intersection from above. Pairs that
 pass are decided by intersecting their sorted hash arrays.
@@ -299,8 +299,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, limit: Threshold, id_col: str,
     return stored(map_arrow(pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y"), intersect, "a long, b long"))
 
 
-def jaccard_join(docs: DataFrame, limit: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable by links, its own included): a row per document."""
+def _classes(docs: DataFrame, limit: Threshold, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The profiles, (doc_id, rep) of every document's class, (key, rep) of the shared tiles, and (rep, n, sig)."""
     profiles = profile(docs, limit, id_col, text_col)
     usable = profiles.where("n > 0 AND doc_id IS NOT NULL")
     # stored, so that the join below is a plain one, which Spark splits where one class has very many documents
@@ -311,6 +311,35 @@ def jaccard_join(docs: DataFrame, limit: Threshold = Threshold(), id_col: str =
     to_rep = member.withColumnRenamed("doc_id", "m_id")
     tiles = stored(_shared_tiles(profiles).join(to_rep, F.col("doc_id") == F.col("m_id")).select("key", "rep").distinct())
     sizes = profiles.where("sig IS NOT NULL").select(F.col("doc_id").alias("rep"), "n", "sig")
+    return profiles, member, tiles, sizes
+
+
+def link_counts(docs: DataFrame, limit: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_links (the other documents it links with, those of equal sets included): a row per document.
+
+    All pairs of a tile's class representatives are compared, in the blocks of the second round, and a link of two
+    representatives counts once for each document of the other's class. Unlike components, the pairs of a
+    group grow with the square of its different sets. A document here is an id with a text (rows that repeat both are
+    one, an id with two texts is two); a null id keeps its row, with null links, and counts for no other.
+    """
+    node = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"), F.coalesce(F.col(text_col), F.lit(""))))
+    named = docs.select(F.col(id_col).cast("long").alias("doc_id"), node.alias("node"), F.col(text_col).alias("text"))
+    _, member, tiles, sizes = _classes(named, limit, "node", "text")
+    pairs = stored(_candidates(tiles.withColumn("component", F.col("rep")), sizes, limit))
+    links = _verified(pairs, named, limit, "node", "text").distinct()
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    weight = stored(member.groupBy(F.col("rep").alias("w_rep")).agg(F.count("*").alias("weight")))
+    other = both.join(weight, F.col("b") == F.col("w_rep")).groupBy(F.col("a").alias("o_rep")).agg(F.sum("weight").alias("other"))
+    per_class = stored(weight.join(other, F.col("w_rep") == F.col("o_rep"), "left").select(
+        "w_rep", (F.col("weight") - 1 + F.coalesce("other", F.lit(0))).alias("n")))
+    single = member.join(per_class, F.col("rep") == F.col("w_rep")).select(F.col("doc_id").alias("m_node"), "n")
+    n_links = F.when(F.col("node").isNotNull(), F.coalesce("n", F.lit(0)).cast("long"))
+    return named.join(single, F.col("node") == F.col("m_node"), "left").select("doc_id", n_links.alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, limit: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable by links, its own included): a row per document."""
+    profiles, member, tiles, sizes = _classes(docs, limit, id_col, text_col)
 
     in_tile = Window.partitionBy("key").orderBy("rep")
     near = tiles.select(F.lag("rep").over(in_tile).alias("before"), F.first("rep").over(in_tile).alias("first"), "rep")

@@ -28,6 +28,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), jaccard_join.Threshold(k=3, num=90, den=100))
 
 
+def op1_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_counts(table(spark, sf_dir, "documents"), jaccard_join.Threshold(k=3, num=90, den=100))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
@@ -92,6 +96,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
+    "op1_jaccard_links": op1_jaccard_links,
     "op2_chat_format": op2_chat_format,
     "op3_exact_topk": op3_exact_topk,
     "op4_toxicity": op4_toxicity,

@@ -7,7 +7,7 @@ import re
 import pytest
 
 from feira.llm.graph import components
-from feira.llm.jaccard_join import Bands, Threshold, jaccard_join, tile_keys
+from feira.llm.jaccard_join import Bands, Threshold, jaccard_join, link_counts, tile_keys
 from feira.llm.textops import U64, mix
 
 SCHEMA = "doc_id long, text string, n long, sig string, component_id long"
@@ -101,6 +101,19 @@ def test_second_round_alone_finds_links(spark, rows, monkeypatch):
     assert reps and want <= got
 
 
+def test_link_counts_against_all_pairs(spark, rows):
+    limit = Threshold()
+    again, other = rows[0], (rows[1][0], rows[9][1])  # a repeated row, and an id with a second text
+    rows = [*rows, again, other, (None, rows[9][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_links) for r in link_counts(df, limit).collect()), key=str)
+    docs = list(dict.fromkeys((i, t or "") for i, t in rows if i is not None))
+    sets = [shingle_set(t, limit.k) for _, t in docs]
+    n = {d: sum(1 for j, y in enumerate(sets) if j != i and x and y and 100 * len(x & y) >= 90 * len(x | y)) for i, (d, x) in enumerate(zip(docs, sets))}
+    assert got == sorted(((i, None if i is None else n[i, t or ""]) for i, t in rows), key=str)
+    assert link_counts(df.where("doc_id = -1")).count() == 0
+
+
 def test_linked_sets_share_a_tile(rng):
     """Random sets at the threshold, of every small size: none is missed."""
     import numpy as np
