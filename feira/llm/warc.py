@@ -54,7 +54,7 @@ def assign_types(pages: DataFrame, id_col: str, url_col: str, html_col: str, min
     """page_id, url, html and ``response_id``: the page whose record holds this payload (null: its own does).
 
     Only digest and id are grouped, with partial aggregation, so a payload that a third of the rows
-    share makes one row per task; joining it back is a join that Spark splits if one digest is hot.
+    share makes one row per task; its result is stored, so that joining it back is a plain join, which Spark splits if one digest is hot.
     """
     p = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"),
@@ -62,7 +62,7 @@ def assign_types(pages: DataFrame, id_col: str, url_col: str, html_col: str, min
     )
     p = p.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     largest = p.where(F.octet_length("html") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("largest"), F.count("*").alias("n"))
-    largest = largest.where(F.col("n") > 1).select(F.col("sha").alias("r_sha"), "largest")
+    largest = stored(largest.where(F.col("n") > 1).select(F.col("sha").alias("r_sha"), "largest"))
     joined = p.join(largest, F.col("sha") == F.col("r_sha"), "left")
     own = F.col("largest").isNull() | F.coalesce(F.col("page_id") == F.col("largest"), F.lit(False))
     return joined.select("page_id", "url", "html", F.when(~own, F.col("largest")).alias("response_id"))

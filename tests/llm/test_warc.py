@@ -56,6 +56,13 @@ def test_files_are_plain_gzip(spark, rows):
         assert data.count(b"WARC/1.1\r\nWARC-Type: ") == r.n_records
 
 
+def test_the_join_by_digest_reads_a_stored_side(spark, rows):
+    """An aggregate that feeds the join directly keeps Spark from splitting a hot digest."""
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plan = warc.assign_types(df, "page_id", "url", "html", 0)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan
+
+
 def test_least_payload(spark):
     rows = [(1, "a", "xx"), (2, "b", "xx"), (3, "c", TEXT), (4, "d", TEXT)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
