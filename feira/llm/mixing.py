@@ -187,9 +187,13 @@ def mix_sources(
     return out.select(*docs.columns, "mix_size", "mix_total", "mix_target", "mix_copies", drawn.alias("mix_copy_shards"), "mix_h")
 
 
-def shuffled_copies(mixed: DataFrame, columns: Sequence[str], shards: int = 16, seed: int = 8) -> DataFrame:
-    """A row per taken copy with the named columns: partitioned by output shard, shuffled inside each."""
+def shuffled_copies(mixed: DataFrame, columns: Sequence[str], seed: int = 8) -> DataFrame:
+    """A row per taken copy with the named columns, shuffled inside each output shard. A shard is cut into ranges of the shuffle
+    hash, at least as many as there are shuffle partitions, and these are dealt out to the tasks: a task's share
+    is set by the session's number of partitions, not by the number of shards, and its rows are in order of shard and hash."""
+    n = int(mixed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = max(4, (n - 1).bit_length())
     rows = mixed.select(*columns, "mix_h", F.posexplode("mix_copy_shards").alias("mix_copy", "mix_shard"))
-    rows = rows.repartition(shards, "mix_shard")
-    rows = rows.sortWithinPartitions("mix_shard", _hash(seed + 7, F.col("mix_h"), F.col("mix_copy")))
-    return rows.select(*columns)
+    rows = rows.withColumn("mix_place", _hash(seed + 7, F.col("mix_h"), F.col("mix_copy")))
+    rows = rows.repartition("mix_shard", F.shiftright("mix_place", 63 - bits))
+    return rows.sortWithinPartitions("mix_shard", "mix_place").select(*columns)

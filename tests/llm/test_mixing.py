@@ -73,6 +73,18 @@ def test_shuffled_copies(mixed):
     assert out.count() == df.agg(F.sum("mix_copies")).first()[0]
 
 
+def test_a_shard_is_more_than_one_task(spark):
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(i, f"w{i} x", "a") for i in range(400)], "doc_id long, text string, source string")
+        mixed = mix_sources(docs, shards=1)
+        out = shuffled_copies(mixed, docs.columns).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert len(out) > 1 and max(r["count"] for r in out) < sum(r["count"] for r in out)
+
+
 def test_no_python_in_the_plan(mixed):
     plan = mixed[0]._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
