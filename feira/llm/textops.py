@@ -8,6 +8,7 @@ Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, which is
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -133,11 +134,37 @@ def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES, max_rows: int = 1 <<
         lo = hi
 
 
+LONG_RANGE = 256  # bytes from which a range is hashed by itself
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One 64-bit hash per byte range, made of its eight-byte words by scrambling after each of them.
+
+    Unlike the sums of ``Prefix`` there is no pair of strings known to collide; ranges may overlap, but each costs its length.
+    """
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eights = np.ndarray(shape=(len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(U64) + U64(mix_int(17)))
+    left = np.flatnonzero((size > 0) & (size <= LONG_RANGE))
+    at, rest = starts[left], size[left]
+    while len(left):
+        word = eights[at]
+        short = rest < 8
+        word[short] &= (U64(1) << (rest[short] * 8).astype(U64)) - U64(1)
+        out[left] = mix(out[left] * U64(_BASE) ^ mix(word + U64(1)))
+        on = rest > 8
+        left, at, rest = left[on], at[on] + 8, rest[on] - 8
+    for i in np.flatnonzero(size > LONG_RANGE):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def word_hashes(chunk: Chunk, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word (A-Z lowered if asked) and each text's first word index."""
     starts, ends, first = chunk.words()
-    data = LOWER[chunk.data] if lower else chunk.data
-    return Prefix(data).hashes(starts, ends), first
+    return range_hashes(LOWER[chunk.data] if lower else chunk.data, starts, ends), first
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
