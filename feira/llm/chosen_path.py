@@ -14,10 +14,10 @@ the rest earlier, which are almost all, are met far more often.
 Nodes. Small nodes are compared exhaustively: bitmaps bound each overlap from above, and what passes is decided on
 the full sorted sets, inside the task. Sets known to be in one component aren't compared again, and a task
 gives at most one link less than it has sets. Larger nodes are first dealt at random into blocks of bounded
-size, which are compared in the same way; when that has been joined into components, nodes of one component
-are closed. In one with few sets outside its largest component those are compared with all others, as pairs of blocks; the
-rest branch on, and at the greatest depth are compared in that way too. Two trees come before the others, so a group of near copies is mostly
-one component when the others see it. A node's sets are never collected together.
+size, each with the node's least set as its centre, which are compared in the same way; when that has been joined into components,
+nodes of one component are closed. In one with few sets outside its largest component those are compared with all others, as pairs of blocks; the
+rest branch on, and at the greatest depth are compared in that way too. Two trees are dealt before the others, so a group of near copies is mostly
+one component when the rest see it. A node's sets are never collected together.
 
 Defined cases: rows are the documents; a null or empty text, or one without words, has size 0 and links with
 nothing; fewer than k words are one shingle; a null id keeps its row, with a null component, and is kept; of rows that
@@ -211,10 +211,10 @@ def first_nodes(sets: DataFrame, trees: int, limit: Threshold) -> DataFrame:
 
 
 def shared_first_nodes(sets: DataFrame, trees: int, limit: Threshold) -> DataFrame:
-    """The rows of ``first_nodes`` whose node has another set; the nodes are made twice, which costs less than storing them."""
+    """The rows of ``first_nodes`` whose node has another set, with the node's size c and least set; the nodes are made twice, which costs less than storing them."""
     every = first_nodes(sets, trees, limit)
-    counts = stored(every.groupBy(F.col("node").alias("c_node")).agg(F.count("*").alias("c")).where("c > 1").select("c_node"))
-    return stored(every.join(counts, F.col("node") == F.col("c_node"), "left_semi"))
+    counts = stored(every.groupBy(F.col("node").alias("c_node")).agg(F.count("*").alias("c"), F.min("rep").alias("centre")).where("c > 1"))
+    return stored(every.join(counts, F.col("node") == F.col("c_node")).drop("c_node"))
 
 
 def next_nodes(members: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
@@ -241,19 +241,22 @@ def with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
 
 
 def open_nodes(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """(node, rep, component, c): the members of nodes that hold more than one component, with the node's size."""
+    """(node, rep, component, c, centre): the members of nodes that hold more than one component, with the node's size and least set."""
     labelled = with_components(members, found)
     # both sides are stored, so the join is a plain one, which Spark splits at a hot node
     labelled = stored(labelled) if found is not None else labelled
-    sizes = stored(labelled.groupBy("node").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-                   .where("lo < hi").select(F.col("node").alias("c_node"), "c"))
-    return stored(labelled.join(sizes, F.col("node") == F.col("c_node")).select("node", "rep", "component", "c"))
+    sizes = stored(labelled.groupBy("node").agg(F.count("*").alias("c"), F.min("rep").alias("centre"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+                   .where("lo < hi").select(F.col("node").alias("c_node"), "c", "centre"))
+    return stored(labelled.join(sizes, F.col("node") == F.col("c_node")).select("node", "rep", "component", "c", "centre"))
 
 
-def dealt(members: DataFrame, seed: int) -> DataFrame:
-    """(g, part, rep, component): every node as one block, large ones dealt at random into several."""
-    block = F.pmod(F.xxhash64("rep", F.lit(seed)), F.ceil(F.col("c") / NODE))
-    return members.select(F.xxhash64("node", block).alias("g"), F.lit(2).cast("long").alias("part"), "rep", "component")
+def dealt(members: DataFrame) -> DataFrame:
+    """(g, part, rep, component): every node as one block, large ones dealt at random into several, each with the node's centre."""
+    blocks = F.ceil(F.col("c") / NODE)
+    here = F.array(F.pmod(F.xxhash64("rep", "node"), blocks))
+    at = F.when(F.col("rep") == F.col("centre"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(here)
+    t = members.withColumn("at", F.explode(at))
+    return t.select(F.xxhash64("node", "at").alias("g"), F.lit(2).cast("long").alias("part"), "rep", "component")
 
 
 def with_largest(members: DataFrame) -> DataFrame:
@@ -347,19 +350,17 @@ class Search:
             self.edges = links if self.edges is None else self.edges.union(links)
             self.found = stored(components(self.edges).select(F.col("node").alias("node_"), F.col("component").alias("component_")))
 
-    def open(self, members: DataFrame) -> DataFrame:
-        return open_nodes(members.select("node", "rep"), self.found)
-
     def descend(self, members: DataFrame, depth: int) -> None:
         """Compare what the given nodes of depth 1 hold, and what the large ones' descendants hold."""
         for level in range(1, depth + 1):
-            members = self.open(members)
-            for deal in (0, level):
-                self.compare(dealt(members, deal))
-                members = members.where(F.col("c") > NODE)
-                if members.isEmpty():
-                    return
-                members = self.open(members)
+            members = open_nodes(members.select("node", "rep"), self.found)
+            self.compare(dealt(members))
+            members = members.where(F.col("c") > NODE)
+            if members.isEmpty():
+                return
+            members = open_nodes(members.select("node", "rep"), self.found)
+            if members.isEmpty():
+                return
             members = with_largest(members)
             ends = F.lit(level == depth) | (F.col("outside") <= 4 * FEW)
             self.compare(outside_pairs(members.where(ends)))
@@ -380,8 +381,9 @@ def near_duplicates(
     active = first.select(F.col("rep").alias("a_rep")).distinct()
     sets = stored(sets.join(active, F.col("rep") == F.col("a_rep"), "left_semi"))
     state = Search(sets, elements(docs, sets, limit, id_col, text_col), limit)
-    state.descend(first.where(F.col("tree") < FIRST_TREES), depth)
-    state.descend(first.where(F.col("tree") >= FIRST_TREES), depth)
+    early = first.where(F.col("tree") < FIRST_TREES).withColumn("component", F.col("rep"))
+    state.compare(dealt(early))
+    state.descend(first.where((F.col("tree") >= FIRST_TREES) | (F.col("c") > NODE)), depth)
 
     labelled = with_components(member, state.found)
     least = stored(labelled.where("component IS NOT NULL").groupBy(F.col("component").alias("l_component")).agg(F.min("doc_id").alias("least")))
