@@ -2,13 +2,12 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer; over a whole large table that buffer is unbounded. Here
-the columns are checkpointed, counted, and numbered in global order by the
-distributed ranking operator (one numbering per column, NULLs first); the two
-neighbours of each quantile position are picked by row number (a filter) and
+the columns are checkpointed and counted, and the values at the two neighbours of each quantile position are
+found by narrowing (``operators.selection``: cut points from a sample, one count of the classes of all
+columns, equal values counted in the classes that hold a position) and
 interpolated — the definition pandas and ``percentile`` use:
 position = (n - 1) * p, value = (hi - pos) * x_lo + (pos - lo) * x_hi with
-lo/hi its floor/ceiling. Only the counts (two numbers per column) travel to
-the driver.
+lo/hi its floor/ceiling. No row is ranked; the sample, the class counts and the found values travel to the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feira.operators.ranking import RankOut, with_global_ranks
+from feira.operators.selection import sampled_cuts, sizes_of, values_at
 from feira.session import materialize
 
 
@@ -34,35 +33,25 @@ def exact_quantiles_many(df: DataFrame, columns: Sequence[str], probs: Sequence[
             "_k", F.monotonically_increasing_id()  # fixed once by the checkpoint
         )
     )
-    counts = values.agg(F.count(F.lit(1)).alias("rows"), *[F.count(n).alias(n) for n in names]).first()
-    ranked = with_global_ranks(
-        values, "_k", [RankOut(f"_rn{i}", n, True, "row_number") for i, n in enumerate(names)], checkpoint=False
-    )
-    cells, wanted = [], []
-    for i, (c, n) in enumerate(zip(columns, names)):
-        present, nulls = counts[n], counts["rows"] - counts[n]
-        rn = F.col(f"_rn{i}")
-        needed = set()
+    sizes = sizes_of(values, names)
+    places = {}
+    for n in names:
+        nulls, present = sizes.rows - sizes.present[n], sizes.present[n]
+        spots = [(present - 1) * float(p) for p in probs] if present else []
+        places[n] = sorted({nulls + at for pos in spots for at in (math.floor(pos), math.ceil(pos))})
+    found = values_at(values, places, sampled_cuts(values, "_k", names, sizes)) if sizes.rows else {}
+    rows = []
+    for c, n in zip(columns, names):
+        nulls, present = sizes.rows - sizes.present[n], sizes.present[n]
         for p in probs:
-            pos = (present - 1) * float(p)
-            lo, hi = math.floor(pos), math.ceil(pos)
-            needed |= {nulls + lo + 1, nulls + hi + 1}
-            x_lo = F.max(F.when(rn == nulls + lo + 1, F.col(n)))
-            x_hi = F.max(F.when(rn == nulls + hi + 1, F.col(n)))
-            value = F.when(x_lo == x_hi, x_lo).otherwise(
-                (F.lit(float(hi)) - pos) * x_lo + (pos - F.lit(float(lo))) * x_hi
-            )
-            cells.append(
-                F.struct(
-                    F.lit(c).alias("column_name"),
-                    F.lit(float(p)).alias("p"),
-                    (value if present else F.lit(None).cast("double")).alias("value"),
-                )
-            )
-        if present:
-            wanted.append(rn.isin(sorted(needed)))
-    picked = ranked.filter(F.greatest(*wanted, F.lit(False))) if wanted else ranked.limit(0)
-    return picked.agg(F.array(*cells).alias("q")).select(F.explode("q").alias("q")).select("q.*")
+            value = None
+            if present:
+                pos = (present - 1) * float(p)
+                lo, hi = math.floor(pos), math.ceil(pos)
+                x_lo, x_hi = found[n, nulls + lo].value, found[n, nulls + hi].value
+                value = x_lo if x_lo == x_hi else (float(hi) - pos) * x_lo + (pos - float(lo)) * x_hi
+            rows.append((c, float(p), value))
+    return df.sparkSession.createDataFrame(rows, "column_name string, p double, value double")
 
 
 def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> DataFrame:

@@ -6,16 +6,14 @@ of a row is assembled from bounded pieces instead:
 
 1. **Materialise.** The input is checkpointed once (reliable checkpoint in
    ``spark.checkpoint.dir``); every later pass reads those files.
-2. **Coarse class.** The row count sets the number of cut points per ranked
-   column: one per ``ROWS_PER_CLASS`` rows, between ``MIN_CUTS`` and
-   ``MAX_CUTS``. ``percentile_approx`` gives them (the only driver round trip,
-   bounded by ``MAX_CUTS`` numbers per column). With distinct cut values
+2. **Coarse class.** Cut points of every ranked column come from a bounded hash sample
+   (``operators.selection``; the only driver round trip besides the counts): one per ``ROWS_PER_CLASS`` rows, between
+   ``MIN_CUTS`` and ``MAX_CUTS``. With distinct cut values
    u1 < ... < um, a value's class is ``2j`` if it lies strictly between u_j
    and u_(j+1) and ``2j-1`` if it equals u_j — a monotone function of the
    value, found by a binary search over the cut values (log2(m) + 1
    ``element_at`` comparisons per row on one constant array).
-   Any cut points give the exact answer; they only affect balance, so the
-   sketch accuracy is sized to the cut count (8 * (K + 1)).
+   Any cut points give the exact answer; they only affect balance.
 3. **Splitting ties.** A value held by a large share of rows (up to all of
    them) appears several times among the cut points. Its class is split by
    the leading hex digits of ``md5(tie-break key)``, with as many digits as
@@ -32,8 +30,8 @@ of a row is assembled from bounded pieces instead:
    group a window partitioned by (class, sub-class) numbers the rows; global
    row number = start + local row number.
 
-NTILE(n) follows from the global row number and the total count N (the first
-N mod n tiles get one extra row, as in SQL). RANK of a tie class is the class
+NTILE needs none of this: its boundary rows are selected and every row is compared with them
+(``operators.selection``), so a tile shuffles no rows. RANK of a tie class is the class
 start + 1; elsewhere it is start + the local rank, since equal values never
 straddle two classes.
 
@@ -45,7 +43,6 @@ Tie-break order (needed for deterministic ROW_NUMBER/NTILE) is
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -54,11 +51,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from feira.operators.selection import NULL_CLASS, Cuts, Tiles, sampled_cuts, sizes_of, tiebreak_hash, with_classes, with_tiles
 from feira.session import materialize
 
-NULL_CLASS = -1
-ROWS_PER_CLASS = 200_000
-MIN_CUTS, MAX_CUTS = 15, 8191
 _P = "__rk_"
 
 
@@ -73,91 +68,11 @@ class RankOut:
     n: int | None = None
 
 
-def tiebreak_hash(key: str) -> Column:
-    return F.md5(F.col(key).cast("string"))
-
-
 def _ordered(c: Column, ascending: bool) -> Column:
     # SQL default null placement: NULLS FIRST for ASC, NULLS LAST for DESC.
     return c.asc_nulls_first() if ascending else c.desc_nulls_last()
 
 
-def cut_count(rows: int) -> int:
-    """Cut points per column for an input of ``rows`` rows."""
-    return max(MIN_CUTS, min(MAX_CUTS, rows // ROWS_PER_CLASS))
-
-
-def hex_digits(repetitions: int) -> int:
-    """Digits of the tie-break hash that split a class of ``repetitions`` cut steps to about one step each."""
-    digits = 0
-    while 16**digits < repetitions:
-        digits += 1
-    return digits
-
-
-def _constant_array(values: Sequence, dtype: T.DataType) -> Column:
-    """An array constant of any length (one folded literal, not one expression per element)."""
-    if not values:
-        return F.array().cast(T.ArrayType(dtype))
-    return F.split(F.lit(",".join(str(v) for v in values)), ",").cast(T.ArrayType(dtype))
-
-
-@dataclass(frozen=True)
-class Cuts:
-    """The cut points of one column: sorted distinct values, each one's hash digits, and the NULLs' digits."""
-
-    values: tuple
-    digits: tuple[int, ...]
-    null_digits: int
-
-    @classmethod
-    def of(cls, found: Sequence | None, rows: int, nulls: int, steps: int) -> Cuts:
-        repeats = Counter(found or [])
-        values = sorted(repeats)
-        per_step = max(1, rows // (steps + 1))
-        return cls(
-            tuple(values),
-            tuple(hex_digits(repeats[v]) for v in values),
-            hex_digits(-(-nulls // per_step)),
-        )
-
-
-def with_classes(df: DataFrame, specs: Sequence[tuple[str, Cuts, T.DataType, str]]) -> DataFrame:
-    """Add the monotone class of each ``(column, cuts, type, output name)`` and the hash digits that split it.
-
-    ``pos`` (the number of cut values below the value) is found by binary
-    lifting over a constant array: one ``element_at`` comparison per power of
-    two, all columns advanced together in one small code-generated projection
-    per step. Outputs: ``name`` (class) and ``name_digits``.
-    """
-    arrays = {name: _constant_array(cuts.values, dtype) for _, cuts, dtype, name in specs}
-    positions = {name: f"{name}_pos" for *_, name in specs}
-    out = df.withColumns({positions[name]: F.lit(0) for *_, name in specs})
-    step = 1 << max(max((len(c.values) for _, c, _, _ in specs), default=1).bit_length() - 1, 0)
-    while step >= 1:
-        moves = {}
-        for column, cuts, _, name in specs:
-            if step <= len(cuts.values):
-                pos = F.col(positions[name])
-                below = F.try_element_at(arrays[name], pos + step) < F.col(column)
-                moves[positions[name]] = pos + F.when(below, F.lit(step)).otherwise(F.lit(0))
-        if moves:
-            out = out.withColumns(moves)
-        step >>= 1
-    classes = {}
-    for column, cuts, _, name in specs:
-        v, pos = F.col(column), F.col(positions[name])
-        equal = F.coalesce(F.try_element_at(arrays[name], pos + 1) == v, F.lit(False))
-        classes[name] = (
-            F.when(v.isNull(), F.lit(NULL_CLASS)).when(equal, pos * 2 + 1).otherwise(pos * 2).cast("bigint")
-        )
-        digits = F.try_element_at(_constant_array(cuts.digits, T.IntegerType()), pos + 1)
-        classes[f"{name}_digits"] = (
-            F.when(v.isNull(), F.lit(cuts.null_digits)).when(equal, digits).otherwise(F.lit(0)).cast("int")
-        )
-    return out.withColumns(classes).drop(*positions.values())
-
-
 def with_global_ranks(
     df: DataFrame,
     tiebreak: str,
@@ -175,18 +90,24 @@ def with_global_ranks(
     for c in columns:
         if not isinstance(types[c], T.NumericType):
             raise TypeError(f"ranking supports numeric columns only, got {types[c].simpleString()}")
-    sizes = base.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)]).first()
-    steps = cut_count(sizes["n"]) if cuts is None else cuts
-    probs = [(i + 1) / (steps + 1) for i in range(steps)]
-    row = base.agg(
-        *[F.percentile_approx(c, probs, 8 * (steps + 1)).alias(f"c{i}") for i, c in enumerate(columns)]
-    ).first()
-    cut = [Cuts.of(row[f"c{i}"], sizes["n"], sizes["n"] - sizes[f"n{i}"], steps) for i in range(len(columns))]
+    sizes = sizes_of(base, columns, cuts)
+    cut = sampled_cuts(base, tiebreak, columns, sizes)
+    tiles = [Tiles(o.name, o.column, o.ascending, o.n) for o in outputs if o.kind == "ntile"]
+    rest = [o for o in outputs if o.kind != "ntile"]
+    out = with_tiles(base, tiebreak, tiles, sizes, cut) if tiles and sizes.rows else base.withColumns({t.name: F.lit(1).cast("bigint") for t in tiles})
+    if rest:
+        out = _numbered(out, tiebreak, rest, cut)
+    return out.select(*df.columns, *[o.name for o in outputs])
 
+
+def _numbered(base: DataFrame, tiebreak: str, outputs: Sequence[RankOut], cut: dict[str, Cuts]) -> DataFrame:
+    """Append ranks and row numbers, by classes, offsets and a window within each class."""
+    columns = list(dict.fromkeys(o.column for o in outputs))
+    types = {f.name: f.dataType for f in base.schema.fields}
     tb = f"{_P}tb"
     classed = with_classes(
         base.withColumn(tb, tiebreak_hash(tiebreak)),
-        [(c, cut[i], types[c], f"{_P}cls{i}") for i, c in enumerate(columns)],
+        [(c, cut[c], types[c], f"{_P}cls{i}") for i, c in enumerate(columns)],
     )
     classed = classed.withColumns(
         {
@@ -220,12 +141,12 @@ def with_global_ranks(
         is_tie = (F.col(cls) % 2 == 1) | (F.col(cls) == NULL_CLASS)
         for asc in directions:
             d = "a" if asc else "d"
-            start, cstart, total = f"{_P}start{i}{d}", f"{_P}cstart{i}{d}", f"{_P}n{i}"
+            start, cstart = f"{_P}start{i}{d}", f"{_P}cstart{i}{d}"
             value = _ordered(F.col(c), asc)
             mine = [o for o in outputs if o.column == c and o.ascending == asc]
             kinds = {o.kind for o in mine}
             positions = {}
-            if kinds & {"row_number", "ntile"}:
+            if "row_number" in kinds:
                 w_rn = part.orderBy(value, F.col(tb).asc_nulls_first(), F.col(tiebreak).asc_nulls_first())
                 positions[f"{_P}rn{i}{d}"] = F.col(start) + F.row_number().over(w_rn)
             if "rank" in kinds:
@@ -238,22 +159,19 @@ def with_global_ranks(
                     results[o.name] = F.col(f"{_P}rank{i}{d}").cast("bigint")
                 elif o.kind == "row_number":
                     results[o.name] = F.col(f"{_P}rn{i}{d}").cast("bigint")
-                elif o.kind == "ntile":
-                    results[o.name] = ntile_of(f"{_P}rn{i}{d}", total, o.n)
                 else:
                     raise ValueError(f"unknown rank kind {o.kind!r}")
             out = out.withColumns(results)
-
-    return out.select(*df.columns, *[o.name for o in outputs])
+    return out
 
 
 def _offsets(counts: DataFrame, i: int, directions: Sequence[bool]) -> DataFrame:
-    """Start offset of every (class, sub-class) group per sort direction, and the total count.
+    """Start offset of every (class, sub-class) group per sort direction.
 
     ``counts`` has about 34 * (K + 1) rows at most, so these windows (which run
     in one task) work on a bounded table.
     """
-    out = counts.withColumn(f"{_P}n{i}", F.sum("count").over(W.partitionBy()))
+    out = counts
     for asc in directions:
         d = "a" if asc else "d"
         key = F.when(F.col("cls") == NULL_CLASS, F.lit(-(10**9) if asc else 10**9)).otherwise(
@@ -263,15 +181,3 @@ def _offsets(counts: DataFrame, i: int, directions: Sequence[bool]) -> DataFrame
         out = out.withColumn(f"{_P}start{i}{d}", F.sum("count").over(running) - F.col("count"))
         out = out.withColumn(f"{_P}cstart{i}{d}", F.min(f"{_P}start{i}{d}").over(W.partitionBy("cls")))
     return out.drop("count")
-
-
-def ntile_of(rn: str, total: str, n: int) -> Column:
-    """NTILE(n) of the 1-based row number ``rn`` among ``total`` rows (BIGINT)."""
-    return F.expr(
-        f"""case
-              when `{rn}` <= (`{total}` % {n}) * (`{total}` div {n} + 1)
-                then (`{rn}` - 1) div (`{total}` div {n} + 1) + 1
-              else (`{total}` % {n})
-                   + (`{rn}` - 1 - (`{total}` % {n}) * (`{total}` div {n} + 1)) div greatest(`{total}` div {n}, 1) + 1
-            end"""
-    ).cast("bigint")

@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from feira.operators.ranking import RankOut, tiebreak_hash, with_global_ranks
+from feira.operators.ranking import RankOut, with_global_ranks
+from feira.operators.selection import tiebreak_hash
 
 
 def _brute(df, key, column, ascending, kind, n=None):
@@ -88,7 +89,7 @@ def test_ntile_group_sizes_differ_by_at_most_one(spark):
 
 
 def test_exact_quantiles_match_percentile(spark):
-    from feira.operators import quantiles, ranking
+    from feira.operators import quantiles
 
     rng = random.Random(5)
     rows = [(None if i % 23 == 0 else float(rng.choice([1, 2, 2, 2, 3, rng.randint(0, 1000)])),) for i in range(777)]
@@ -122,7 +123,7 @@ def test_property_random_inputs(spark):
 
 
 def test_exact_quantiles_many_columns_with_nulls(spark):
-    from feira.operators import quantiles, ranking
+    from feira.operators import quantiles
 
     rng = random.Random(9)
     rows = [(None if i % 5 == 0 else rng.randint(0, 50), None if i % 3 == 0 else rng.random() * 10, None)
@@ -140,9 +141,9 @@ def test_exact_quantiles_many_columns_with_nulls(spark):
 @pytest.mark.parametrize("rows,per_class", [(4000, 100), (32000, 100)])
 def test_rows_per_group_stay_bounded(spark, monkeypatch, rows, per_class):
     """Eight times the rows give more groups, not larger ones; a value of a third of the rows and NULLs are split too."""
-    from feira.operators import ranking
+    from feira.operators import ranking, selection
 
-    monkeypatch.setattr(ranking, "ROWS_PER_CLASS", per_class)
+    monkeypatch.setattr(selection, "ROWS_PER_CLASS", per_class)
     df = spark.range(rows).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).cast("long").alias("v"))
     seen = []
     real = ranking.materialize
@@ -154,6 +155,37 @@ def test_rows_per_group_stay_bounded(spark, monkeypatch, rows, per_class):
         return out
 
     monkeypatch.setattr(ranking, "materialize", watch)
-    got = with_global_ranks(df, "id", [RankOut("t", "v", True, "ntile", 5)])
+    got = with_global_ranks(df, "id", [RankOut("t", "v", True, "ntile", 5), RankOut("n", "v", True, "row_number")])
     assert sorted(r["count"] for r in got.groupBy("t").count().collect()) == [rows // 5] * 5
+    assert got.where(F.col("t") != F.floor((F.col("n") - 1) / (rows // 5)) + 1).isEmpty()
     assert seen and max(seen) <= 8 * per_class
+
+
+def test_tiles_shuffle_no_rows(spark):
+    """The plan of the tiles is a scan of the checkpoint and comparisons, whatever the ties."""
+    df = spark.range(5000).select("id", (F.col("id") % 3).alias("v"), F.when(F.col("id") % 7 > 0, F.col("id") % 1000).alias("w"))
+    got = with_global_ranks(df, "id", [RankOut("a", "v", False, "ntile", 5), RankOut("b", "w", True, "ntile", 4), RankOut("c", "w", False, "ntile", 7)])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("per_class", [20, 200_000])
+def test_tiles_among_ties_of_many_prefixes(spark, monkeypatch, per_class):
+    """Boundaries inside a value that most rows hold, found by prefixes of the tie-break hash."""
+    from feira.operators import selection
+
+    monkeypatch.setattr(selection, "ROWS_PER_CLASS", per_class)
+    rows = [(i, None if i % 4 == 0 else 1 if i % 9 else i) for i in range(1, 2000)]
+    _check(spark, rows, "id long, v long", "v", 5)
+
+
+def test_few_cuts_still_give_exact_quantiles(spark, monkeypatch):
+    """A sample of a few rows only moves the cuts."""
+    from feira.operators import quantiles, selection
+
+    monkeypatch.setattr(selection, "SAMPLE_PER_CUT", 1)
+    monkeypatch.setattr(selection, "MIN_CUTS", 3)
+    df = spark.range(3000).select((F.pmod(F.xxhash64("id"), F.lit(700)) / 7.0).alias("x"))
+    probs = [0.0, 0.25, 0.5, 0.99, 1.0]
+    got = {r.p: r.value for r in quantiles.exact_quantiles(df, "x", probs).collect()}
+    assert list(got.values()) == pytest.approx(df.agg(F.percentile("x", probs).alias("q")).first().q)
