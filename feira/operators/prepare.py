@@ -8,8 +8,6 @@ aggregated per key and joined back on that key.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,24 +54,14 @@ def dedup_keep_first(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """C-03 ``drop_duplicates(subset=keys)`` with a deterministic "first" row.
 
     Spark has no file order, so "first" is the row with the smallest values of
-    the remaining columns, compared left to right with NULLs first. Keys that occur once
-    (the usual case) pass through after one count per key; only the rows of
-    repeated keys reach the struct minimum, which aggregates map-side, so a key holding
-    a third of all rows is reduced before the shuffle.
+    the remaining columns, compared left to right with NULLs first. One struct minimum per key:
+    the input is evaluated once, and a key holding a third of all rows is reduced inside the map tasks.
     """
     others = [c for c in df.columns if c not in keys]
     if not others:
         return df.distinct()
-    repeated = df.groupBy(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)]).count().filter("count > 1")
-    same = reduce(and_, [F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    once = df.join(repeated, same, "left_anti")
-    first = (
-        df.join(repeated, same, "left_semi")
-        .groupBy(*keys)
-        .agg(F.min(F.struct(*others)).alias("_first"))
-        .select(*keys, *[F.col(f"_first.{c}").alias(c) for c in others])
-    )
-    return once.select(*keys, *others).unionByName(first)
+    first = df.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in others])).alias("_first"))
+    return first.select(*[F.col(f"`{k}`") for k in keys], *[F.col("_first").getField(c).alias(c) for c in others])
 
 
 # --- C-04: centroid per zip prefix ----------------------------------------------------------
@@ -111,17 +99,9 @@ def fill_product_metadata(products: DataFrame) -> DataFrame:
 def fill_median_by_group(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
     """C-09 ``groupby(group)[c].transform(lambda x: x.fillna(x.median()))``.
 
-    Rows are counted per (group, value), with partial aggregation, and each group's running count
-    over its values picks the middle one or two: no buffer holds a group, and the window
-    sorts (with spilling) one row per distinct value. The medians (one row per
-    group) are joined back and used in ``coalesce``. A group whose values are all NULL keeps NULL, as in pandas.
+    The medians (one row per group) are joined back and used in ``coalesce``. A group whose values are all NULL keeps NULL, as in pandas.
     """
-    medians = None
-    for i, c in enumerate(cols):
-        m = group_medians(df, group, c).withColumnsRenamed({group: f"_g{i}", "median": f"_median_{c}"})
-        medians = m.withColumnRenamed(f"_g{i}", "_g") if medians is None else medians.join(
-            m, F.col("_g").eqNullSafe(F.col(f"_g{i}")), "full_outer"
-        ).withColumn("_g", F.coalesce("_g", f"_g{i}")).drop(f"_g{i}")
+    medians = group_medians(df, group, cols)
     return (
         df.join(medians, F.col(group) == F.col("_g"), how="left")
         .withColumns({c: F.coalesce(F.col(c), F.col(f"_median_{c}")) for c in cols})
@@ -129,16 +109,24 @@ def fill_median_by_group(df: DataFrame, group: str, cols: Sequence[str]) -> Data
     )
 
 
-def group_medians(df: DataFrame, group: str, column: str) -> DataFrame:
-    """(group, median): the exact interpolated median of the non-NULL values of each group."""
-    values = df.filter(F.col(column).isNotNull() & F.col(group).isNotNull()).groupBy(group, F.col(column).alias("v")).count()
-    by_value = W.partitionBy(group).orderBy("v")
-    upto = F.sum("count").over(by_value.rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = values.withColumn("upto", upto).withColumn("n", F.sum("count").over(W.partitionBy(group)))
+def group_medians(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
+    """(_g, _median_<column>, ..): the exact interpolated median of each column's non-NULL values in each group.
+
+    All columns are counted in one pass, per (group, column, value) with partial aggregation, and one window's running count
+    picks the middle one or two values of each (group, column): no buffer holds a group, and the window
+    sorts (with spilling) one row per distinct value.
+    """
+    cells = [F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("c"), F.col(c).cast("double").alias("v"))) for i, c in enumerate(cols)]
+    packed = df.filter(F.col(group).isNotNull()).select(F.col(group).alias("_g"), F.explode(F.array_compact(F.array(*cells))).alias("x"))
+    values = packed.select("_g", "x.c", "x.v").groupBy("_g", "c", "v").count()
+    part = W.partitionBy("_g", "c")
+    upto = F.sum("count").over(part.orderBy("v").rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = values.withColumn("upto", upto).withColumn("n", F.sum("count").over(part))
     low, high = F.floor((F.col("n") + 1) / 2), F.floor((F.col("n") + 2) / 2)  # positions from 1 of the middle rows
     holds = lambda at: (F.col("upto") >= at) & (F.col("upto") - F.col("count") < at)
     middle = ranked.filter(holds(low) | holds(high))
-    return middle.groupBy(group).agg(((F.min("v") + F.max("v")) / 2.0).alias("median"))
+    of = lambda i: F.when(F.col("c") == i, F.col("v"))
+    return middle.groupBy("_g").agg(*[((F.min(of(i)) + F.max(of(i))) / 2.0).alias(f"_median_{c}") for i, c in enumerate(cols)])
 
 
 def fill_products(products_raw: DataFrame) -> DataFrame:

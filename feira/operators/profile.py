@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from feira.functions import round_double
 from feira.operators.quantiles import exact_quantiles_many
@@ -64,19 +65,31 @@ def null_counts(df: DataFrame) -> DataFrame:
 def distinct_counts(df: DataFrame, approximate: bool = False, rsd: float = 0.01) -> DataFrame:
     """P-05/P-06 ``nunique()`` per column (NULL not counted).
 
-    Exact counts read each column by itself and collapse it to its distinct values inside the
-    map tasks, so no row is copied once per column; ``approximate=True`` uses HyperLogLog++ sketches
-    instead, which stay one pass with bounded memory on very large tables.
+    Exact counts take one scan: every row's values are packed as (column, text of the value), equal ones
+    collapse inside the map tasks, and only distinct values are shuffled. ``approximate=True`` uses HyperLogLog++ sketches
+    instead, whose memory doesn't grow with the distinct values.
     """
     if approximate:
         agg = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`"), rsd).alias(c) for c in df.columns])
         return _unpivot_row(agg, df.columns, "n_unique")
-    counts = None
-    for i, c in enumerate(df.columns):
-        values = df.select(F.col(f"`{c}`").alias("v")).filter("v IS NOT NULL").distinct()
-        one = values.agg(F.count(F.lit(1)).alias("n_unique")).select(F.lit(c).alias("column_name"), F.lit(i).alias("ordinal"), "n_unique")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    cells = [F.struct(F.lit(i).alias("i"), _exact_text(F.col(f"`{f.name}`"), f.dataType).alias("v")) for i, f in enumerate(df.schema.fields)]
+    values = df.select(F.explode(F.array(*cells)).alias("x")).select("x.i", "x.v").filter("v IS NOT NULL").distinct()
+    found = values.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    names = df.sparkSession.createDataFrame(list(enumerate(df.columns)), "ordinal int, column_name string")
+    return names.join(found, F.col("ordinal") == F.col("i"), "left").select("column_name", "ordinal", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_unique"))
+
+
+def _exact_text(c: Column, dtype: T.DataType) -> Column:
+    """A text that two values share if and only if Spark holds them equal."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return (c + F.lit(0.0)).cast("string")  # one zero
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_micros(c).cast("string")
+    if isinstance(dtype, T.BinaryType):
+        return F.hex(c)
+    if isinstance(dtype, (T.ArrayType, T.StructType, T.MapType)):
+        return F.to_json(c)
+    return c.cast("string")
 
 
 def unique_values(df: DataFrame, column: str) -> DataFrame:

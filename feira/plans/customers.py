@@ -5,7 +5,6 @@ A person is ``customer_unique_id``; ``customer_id`` is per order.
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,18 +19,18 @@ PERSON = "customer_unique_id"
 
 # Fixed values that must equal the reference's.
 BUYER_TYPES = ["One-Time Buyer", "Occasional", "Regular", "Loyal"]  # 1 | 2-3 | 4-6 | more
-# RFM segments as (label, condition on r, f, m): the first match wins; score 1 is the best quintile
+# RFM segments as (label, condition): the first match wins; score 1 is the best quintile
 # (SURVEY D6); 'Cannot Lose Them' is unreachable after 'At Risk' (SURVEY D7).
 RFM_SEGMENTS = [
-    ("Champions", "r >= 4 AND f >= 4 AND m >= 4"),
-    ("Loyal Customers", "r >= 3 AND f >= 3 AND m >= 3"),
-    ("Recent Customers", "r >= 4 AND f <= 2"),
-    ("Potential Loyalists", "r >= 3 AND f <= 2 AND m >= 3"),
-    ("At Risk", "r <= 2 AND f >= 3 AND m >= 3"),
-    ("Cannot Lose Them", "r <= 2 AND f >= 4 AND m >= 4"),
-    ("Hibernating", "r <= 2 AND f <= 2 AND m <= 2"),
-    ("Needs Attention", "TRUE"),
+    ("Champions", "r_score >= 4 AND f_score >= 4 AND m_score >= 4"),
+    ("Loyal Customers", "r_score >= 3 AND f_score >= 3 AND m_score >= 3"),
+    ("Recent Customers", "r_score >= 4 AND f_score <= 2"),
+    ("Potential Loyalists", "r_score >= 3 AND f_score <= 2 AND m_score >= 3"),
+    ("At Risk", "r_score <= 2 AND f_score >= 3 AND m_score >= 3"),
+    ("Cannot Lose Them", "r_score <= 2 AND f_score >= 4 AND m_score >= 4"),
+    ("Hibernating", "r_score <= 2 AND f_score <= 2 AND m_score <= 2"),
 ]
+RFM_OTHER = "Needs Attention"
 
 
 def _delivered_with_person(t: Tables, *cols: str) -> DataFrame:
@@ -124,10 +123,10 @@ def rfm_base(t: Tables) -> DataFrame:
     )
 
 
-def rfm_segment(r: str, f: str, m: str) -> F.Column:
-    """The segment of the score columns named ``r``, ``f`` and ``m``."""
+def rfm_segment() -> F.Column:
+    """The segment of the columns r_score, f_score and m_score."""
     arms = " ".join(f"WHEN {cond} THEN '{label}'" for label, cond in RFM_SEGMENTS)
-    return F.expr(re.sub(r"\b[rfm]\b(?= [<>])", lambda x: {"r": r, "f": f, "m": m}[x.group()], f"CASE {arms} END"))
+    return F.expr(f"CASE {arms} ELSE '{RFM_OTHER}' END")
 
 
 def rfm_scores(t: Tables, base: DataFrame | None = None) -> DataFrame:
@@ -148,7 +147,7 @@ def rfm_scores(t: Tables, base: DataFrame | None = None) -> DataFrame:
             RankOut("f_score", "frequency", False, "ntile", 5),
             RankOut("m_score", "monetary_dec", False, "ntile", 5),
         ],
-    ).withColumn("rfm_segment", rfm_segment("r_score", "f_score", "m_score"))
+    ).withColumn("rfm_segment", rfm_segment())
 
 
 def rfm_segments(t: Tables, scores: DataFrame | None = None) -> DataFrame:

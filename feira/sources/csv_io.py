@@ -5,9 +5,9 @@ type wherever it stands, an undeclared one is kept as text (whole-row
 operations such as duplicate counts see it), a missing one is an error, and so
 is a file whose header differs from the first one's. No type is inferred.
 Review texts may hold quotes, commas and newlines: pandas writes them quoted with
-doubled quotes, so that file is read with ``multiLine`` and ``escape='"'``. A multi-line CSV
-file cannot be split inside, so large sources should arrive as many files;
-the prepared output is written as Parquet (splittable, columnar) by default.
+doubled quotes, so that table is read by ``sources.split_csv``, whose tasks each read a part of a file; the other
+tables have no line breaks in their fields and are read by Spark's own splittable reader.
+The prepared output is written as Parquet (columnar) by default.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from feira.operators import prepare
 from feira.sources.bridge import Tables
+from feira.sources.split_csv import read_split_csv
 from feira.sources.schemas import PREPARED, RAW, RAW_FILES, RAW_TIMESTAMPS
 
 # Fixed value: the text form of timestamps in the source and prepared CSV files.
@@ -37,12 +38,15 @@ PREPARED_TABLES = {
 }
 
 
+MULTI_LINE = "order_reviews"  # the one table with line breaks inside its fields
+
+
 def _read_by_header(spark: SparkSession, path: str, declared: T.StructType, multi_line: bool) -> DataFrame:
     """A CSV file (or folder of files) with its columns bound by name; see the module docstring."""
 
     def reader() -> DataFrameReader:
         r = spark.read.option("header", True).option("quote", '"').option("escape", '"')
-        return r.option("timestampNTZFormat", CSV_TIMESTAMP).option("multiLine", multi_line)
+        return r.option("timestampNTZFormat", CSV_TIMESTAMP)
 
     header = reader().csv(path).columns  # reads the header line only
     types = {f.name: f.dataType for f in declared.fields}
@@ -50,13 +54,15 @@ def _read_by_header(spark: SparkSession, path: str, declared: T.StructType, mult
     if missing:
         raise ValueError(f"{path}: the header lacks the columns {missing}; it has {header}")
     schema = T.StructType([T.StructField(c, types.get(c, T.StringType()), True) for c in header])
+    if multi_line:
+        return read_split_csv(spark, path, schema, {"timestampNTZFormat": CSV_TIMESTAMP})
     # enforceSchema=False makes Spark compare every file's header with these names
     return reader().schema(schema).option("enforceSchema", False).csv(path)
 
 
 def read_raw_csv(spark: SparkSession, src_dir: str, name: str) -> DataFrame:
     """S-01..S-09: one raw source file (or directory of files), all its columns, typed as declared."""
-    return _read_by_header(spark, f"{src_dir.rstrip('/')}/{RAW_FILES[name]}", RAW[name], name == "order_reviews")
+    return _read_by_header(spark, f"{src_dir.rstrip('/')}/{RAW_FILES[name]}", RAW[name], name == MULTI_LINE)
 
 
 def raw_tables(spark: SparkSession, src_dir: str) -> Tables:
@@ -152,6 +158,6 @@ def read_prepared(spark: SparkSession, src_dir: str, fmt: str = "parquet") -> Ta
     frames = {}
     for name, attr in PREPARED_TABLES.items():
         path = f"{src_dir.rstrip('/')}/{name}"
-        df = _read_by_header(spark, path, PREPARED[name], True) if fmt == "csv" else spark.read.parquet(path)
+        df = _read_by_header(spark, path, PREPARED[name], name == MULTI_LINE) if fmt == "csv" else spark.read.parquet(path)
         frames[attr] = df.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in PREPARED[name].fields})
     return Tables(**frames)

@@ -55,6 +55,7 @@ SOURCES = ["orders", "lineitem", "customer", "nation", "region", "part", "suppli
 
 TARGET_FILE_BYTES = 128 * 1024 * 1024
 _opened: dict[tuple[str, str, str], Tables] = {}
+_seen: dict[str, tuple] = {}  # the last glance at each input and its full state
 _lock = threading.Lock()  # one writer per driver process, even if queries run on several threads
 
 
@@ -64,9 +65,32 @@ def _root(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/feira-warehouse"
 
 
+def _source_glance(spark: SparkSession, paths: list[str]) -> tuple:
+    """Files, bytes and change times of the source paths, by the file system itself: no Spark job."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        summary = fs.getContentSummary(path)
+        out.append((p, summary.getFileCount(), summary.getLength(), fs.getFileStatus(path).getModificationTime()))
+    return tuple(out)
+
+
 def _source_state(spark: SparkSession, sf_dir: str) -> tuple:
-    """Count, bytes, latest change and an order-free hash of the source files: one row, whatever their number."""
+    """Count, bytes, latest change and an order-free hash of the source files: one row, whatever their number.
+
+    Taken by a Spark job when the sources are first seen and whenever their file counts, bytes or change times differ from
+    those of the call before (a replaced file changes its folder's time, files don't change in place).
+    """
     paths = [f"{sf_dir.rstrip('/')}/{s}.parquet" for s in SOURCES]
+    glance = (spark.sparkContext.applicationId, _source_glance(spark, paths))
+    if _seen.get(sf_dir, (None,))[0] != glance:
+        _seen[sf_dir] = (glance, _full_state(spark, paths))
+    return _seen[sf_dir][1]
+
+
+def _full_state(spark: SparkSession, paths: list[str]) -> tuple:
     files = spark.read.format("binaryFile").load(paths).select("path", "length", F.col("modificationTime").cast("string").alias("mtime"))
     row = files.agg(
         F.count(F.lit(1)), F.sum("length"), F.max("mtime"),
