@@ -139,8 +139,8 @@ near AS (
 ), follow AS (
     SELECT word, word AS at, 0 AS d FROM formed
     UNION ALL SELECT follow.word, formed.form, d + 1 FROM follow JOIN formed ON follow.at = formed.word WHERE formed.form IS NOT NULL
-), last AS (SELECT word, arg_max(at, d) AS root FROM follow GROUP BY word)
-SELECT word, form, root, n, n_near, form_n FROM formed JOIN last USING (word)
+), ended AS (SELECT word, arg_max(at, d) AS root FROM follow GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ended USING (word)
 """
 
 
