@@ -39,7 +39,7 @@ def exact_quantiles_many(df: DataFrame, columns: Sequence[str], probs: Sequence[
         nulls, present = sizes.rows - sizes.present[n], sizes.present[n]
         spots = [(present - 1) * float(p) for p in probs] if present else []
         places[n] = sorted({nulls + at for pos in spots for at in (math.floor(pos), math.ceil(pos))})
-    found = values_at(values, places, sampled_cuts(values, "_k", names, sizes)) if sizes.rows else {}
+    found = values_at(values, places, sampled_cuts(values, "_k", names, sizes), sizes) if sizes.rows else {}
     rows = []
     for c, n in zip(columns, names):
         nulls, present = sizes.rows - sizes.present[n], sizes.present[n]

@@ -8,7 +8,7 @@ of a row is assembled from bounded pieces instead:
    ``spark.checkpoint.dir``); every later pass reads those files.
 2. **Coarse class.** Cut points of every ranked column come from a bounded hash sample
    (``operators.selection``; the only driver round trip besides the counts): one per ``ROWS_PER_CLASS`` rows, between
-   ``MIN_CUTS`` and ``MAX_CUTS``. With distinct cut values
+   none and ``MAX_CUTS``. With distinct cut values
    u1 < ... < um, a value's class is ``2j`` if it lies strictly between u_j
    and u_(j+1) and ``2j-1`` if it equals u_j — a monotone function of the
    value, found by a binary search over the cut values (log2(m) + 1

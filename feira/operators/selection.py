@@ -10,7 +10,8 @@ map-side pass. So no row is shuffled for a tile. The boundary rows are found by
    partial sums; it has at most 2 * cuts + 2 groups a column, so no task merges more than one count per group and task.
    Running sums tell the class that holds each wanted position.
 3. **Open.** In those classes alone, equal values are counted and the one at the wanted position is picked. A class that
-   is a single cut value needs no opening, however many rows have it.
+   is a single cut value needs no opening, however many rows have it. An input of less than ``ROWS_PER_CLASS`` rows has no cuts
+   and is one class.
 4. **Ties.** If a boundary falls among equal values, they are ordered by ``md5(key), key``: counted by leading hex digits of the hash (as many
    as their number asks for), then the rows of one prefix are numbered.
 
@@ -31,7 +32,7 @@ from pyspark.sql.window import Window as W
 
 NULL_CLASS = -1
 ROWS_PER_CLASS = 200_000
-MIN_CUTS, MAX_CUTS = 15, 8191
+MAX_CUTS = 8191
 SAMPLE_PER_CUT = 16
 
 
@@ -41,7 +42,7 @@ def tiebreak_hash(key: str) -> Column:
 
 def cut_count(rows: int) -> int:
     """Cut points per column for an input of ``rows`` rows."""
-    return max(MIN_CUTS, min(MAX_CUTS, rows // ROWS_PER_CLASS))
+    return min(MAX_CUTS, rows // ROWS_PER_CLASS)
 
 
 def hex_digits(repetitions: int) -> int:
@@ -132,6 +133,8 @@ def sizes_of(base: DataFrame, columns: Sequence[str], cuts: int | None = None) -
 
 def sampled_cuts(base: DataFrame, key: str, columns: Sequence[str], sizes: Sizes) -> dict[str, Cuts]:
     """Cut points of every column from a hash sample of the rows; ``key`` is unique, so the sample's size is near its aim."""
+    if not sizes.steps:
+        return {c: Cuts.of(None, sizes.rows, sizes.rows - sizes.present[c], 0) for c in columns}
     aim = SAMPLE_PER_CUT * (sizes.steps + 1)
     every = max(1, sizes.rows // aim)
     rows = base.where(F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(every)) == 0).select(*columns).collect()
@@ -152,24 +155,27 @@ class Found:
     equal: int
 
 
-def values_at(base: DataFrame, wanted: dict[str, Sequence[int]], cuts: dict[str, Cuts]) -> dict[tuple[str, int], Found]:
+def values_at(base: DataFrame, wanted: dict[str, Sequence[int]], cuts: dict[str, Cuts], sizes: Sizes) -> dict[tuple[str, int], Found]:
     """The value at each wanted position (from 0, ascending, NULLs first) of each column; steps 2 and 3 above."""
     columns = [c for c, at in wanted.items() if at]
     if not columns:
         return {}
     types = {f.name: f.dataType for f in base.schema.fields}
     classed = with_classes(base.select(*columns), [(c, cuts[c], types[c], f"cls{i}") for i, c in enumerate(columns)])
-    cells = [F.struct(F.lit(i).alias("col"), F.col(f"cls{i}").alias("cls")) for i in range(len(columns))]
-    counted = classed.select(F.explode(F.array(*cells)).alias("g")).groupBy("g.col", "g.cls").count().collect()
+    if any(cuts[c].values for c in columns):
+        cells = [F.struct(F.lit(i).alias("col"), F.col(f"cls{i}").alias("cls")) for i in range(len(columns))]
+        counted = [tuple(r) for r in classed.select(F.explode(F.array(*cells)).alias("g")).groupBy("g.col", "g.cls").count().collect()]
+    else:  # without cuts the classes are the NULLs and the rest, whose sizes are known
+        counted = [(i, cls, m) for i, c in enumerate(columns) for cls, m in ((NULL_CLASS, sizes.rows - sizes.present[c]), (0, sizes.present[c])) if m]
 
     out: dict[tuple[str, int], Found] = {}
     inside: dict[tuple[int, int], list[tuple[int, int]]] = {}  # open classes: (position within, position)
     starts: dict[tuple[int, int], int] = {}
     for i, c in enumerate(columns):
         start, classes = 0, []
-        for r in sorted((r for r in counted if r["col"] == i), key=lambda r: r["cls"]):
-            classes.append((start, r["count"], r["cls"]))
-            start += r["count"]
+        for _, cls, count in sorted(x for x in counted if x[0] == i):
+            classes.append((start, count, cls))
+            start += count
         for at in wanted[c]:
             begin, count, cls = next(x for x in classes if x[0] <= at < x[0] + x[1])
             if cls == NULL_CLASS or cls % 2:
@@ -217,10 +223,17 @@ def tie_rows(base: DataFrame, key: str, wanted: dict[tuple[str, object], tuple[i
         for g, (c, v) in enumerate(groups)
     ]
     rows = base.select(F.col(key).alias("k"), F.explode(F.array_compact(F.array(*cells))).alias("t")).select("k", "t.*")
+    if not any(hex_digits(-(-m // ROWS_PER_CLASS)) for m, _ in wanted.values()):
+        return _tie_rows(rows, groups, wanted, [(g, "", 0, wanted[x][0]) for g, x in enumerate(groups)])
     running = W.partitionBy("g").orderBy("p").rowsBetween(W.unboundedPreceding, W.currentRow)
     counts = rows.groupBy("g", "p").agg(F.count("*").alias("m")).withColumn("upto", F.sum("m").over(running))
     holds = [(F.col("g") == g) & (F.col("upto") > at) & (F.col("upto") - F.col("m") <= at) for g, x in enumerate(groups) for at in wanted[x][1]]
     prefixes = [(r["g"], r["p"], r["upto"] - r["m"], r["upto"]) for r in counts.where(reduce(lambda a, b: a | b, holds)).collect()]
+    return _tie_rows(rows, groups, wanted, prefixes)
+
+
+def _tie_rows(rows: DataFrame, groups: list, wanted: dict, prefixes: list[tuple[int, str, int, int]]) -> dict[tuple[str, object, int], tuple]:
+    """Number the rows of the given (group, prefix, first place, place behind the last) and pick the wanted ones."""
     numbered = rows.where(reduce(lambda a, b: a | b, [(F.col("g") == g) & (F.col("p") == p) for g, p, _, _ in prefixes]))
     numbered = numbered.withColumn("at", F.row_number().over(W.partitionBy("g", "p").orderBy("h", F.col("k").asc_nulls_first())) - 1)
     picks = [(g, p, at - lo, at) for g, p, lo, hi in prefixes for at in wanted[groups[g]][1] if lo <= at < hi]
@@ -257,7 +270,7 @@ def with_tiles(base: DataFrame, key: str, tiles: Sequence[Tiles], sizes: Sizes,
     wanted: dict[str, list[int]] = {}
     for (t, _), place in at.items():
         wanted.setdefault(t.column, []).append(place)
-    values = values_at(base, {c: sorted(set(p)) for c, p in wanted.items()}, cuts)
+    values = values_at(base, {c: sorted(set(p)) for c, p in wanted.items()}, cuts, sizes)
 
     ties: dict[tuple[str, object], tuple[int, set[int]]] = {}
     within: dict[tuple[Tiles, int], int | None] = {}

@@ -184,7 +184,7 @@ def test_few_cuts_still_give_exact_quantiles(spark, monkeypatch):
     from feira.operators import quantiles, selection
 
     monkeypatch.setattr(selection, "SAMPLE_PER_CUT", 1)
-    monkeypatch.setattr(selection, "MIN_CUTS", 3)
+    monkeypatch.setattr(selection, "ROWS_PER_CLASS", 700)
     df = spark.range(3000).select((F.pmod(F.xxhash64("id"), F.lit(700)) / 7.0).alias("x"))
     probs = [0.0, 0.25, 0.5, 0.99, 1.0]
     got = {r.p: r.value for r in quantiles.exact_quantiles(df, "x", probs).collect()}
