@@ -15,9 +15,9 @@ under the last one with their empty slices too, so no link is lost at any size.
 
 Pairs. Only tiles with two or more sets remain. A first round compares each
 set of a tile with the one before it and with the first one; what links is joined into components.
-A second round takes the tiles whose sets still lie in different components and
-compares all pairs between those, in blocks of bounded size (a tile with many sets is
-dealt out as pairs of blocks). Pairs inside one component can't change the
+Later rounds take the tiles whose sets still lie in different components, in blocks of bounded size (a tile with many sets is
+dealt out as pairs of blocks): in ``FOREST_ROUNDS`` of them a block gives fewer pairs than it has components, and what links is
+joined before the next; the last one gives all pairs that are still open, which are those whose bitmaps allow a link that isn't there. Pairs inside one component can't change the
 result and aren't compared (``link_counts``, which gives the links of every document, compares all pairs of a tile). In both rounds a pair's bitmaps come first: elements
 are hashed into bits, and a bit of A missing from B is an element missing from B, so
 |A| less the count of such bits bounds the intersection from above. Pairs that
@@ -46,7 +46,8 @@ BAND_RATIO = 1.35
 SEEDS = 6
 SPARE_FROM = 24  # sets below this size rely on further seeds instead of spare slices
 BLOCK = 512  # sets of a tile compared at once
-MAX_SIGNATURE_BITS = 1 << 16
+MAX_SIGNATURE_BITS = 1 << 18
+FOREST_ROUNDS = 3
 SALT_1, SALT_2, SALT_SLICE = U64(mix_int(11)), U64(mix_int(12)), U64(mix_int(13))
 
 
@@ -126,8 +127,8 @@ def tile_keys(values: np.ndarray, bands: Bands) -> np.ndarray:
 
 
 def signature(values: np.ndarray) -> bytes:
-    """A bitmap of the set: bit (hash mod bits) for every element; bits are a power of two, at least twice the size."""
-    bits = min(MAX_SIGNATURE_BITS, max(64, 1 << (2 * len(values) - 1).bit_length()))
+    """A bitmap of the set: bit (hash mod bits) for every element; bits are a power of two, at least four times the size."""
+    bits = min(MAX_SIGNATURE_BITS, max(64, 1 << (4 * len(values) - 1).bit_length()))
     flags = np.zeros(bits, np.uint8)
     flags[(values & U64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(flags, bitorder="little").tobytes()
@@ -156,35 +157,48 @@ def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
             yield np.unique(hashes[begin[i] : begin[i + 1]])
 
 
+def _named_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
 def profile(docs: DataFrame, limit: Threshold, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, h1, h2 (hashes of the whole set), sig, and keys (its tiles; null where the id is null or the task met the same set before)."""
+    """doc_id, n, h1, h2 (hashes of the whole set) and sig (null where the id is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, met = Bands(limit), set()
         for b in batches:
-            n, h1, h2, sig, keys = [], [], [], [], []
+            n, h1, h2, sig = [], [], [], []
             for named, u in zip(b.column(0).is_valid().to_pylist(), sets_of(b.column(1), limit.k)):
                 n.append(len(u))
                 h1.append(int(mix(u ^ SALT_1).sum(dtype=U64).view(np.int64)))
                 h2.append(int(mix(u ^ SALT_2).sum(dtype=U64).view(np.int64)))
-                new = named and len(u) and (h1[-1], h2[-1]) not in met
-                if new:
-                    met.add((h1[-1], h2[-1]))
-                keys.append(tile_keys(u, bands) if new else None)
-                sig.append(signature(u) if len(u) else None)
-            off = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in keys])]).astype(np.int32)
-            flat = np.concatenate([np.zeros(0, np.int64), *(x for x in keys if x is not None)])
-            none = pa.array([x is None for x in keys], pa.bool_())
+                sig.append(signature(u) if named and len(u) else None)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(off), pa.array(flat), mask=none)],
-                ["doc_id", "n", "h1", "h2", "sig", "keys"])
+                [b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "h1", "h2", "sig"])
+
+    return stored(map_arrow(_named_texts(docs, id_col, text_col), run, "doc_id long, n long, h1 long, h2 long, sig binary"))
+
+
+def _keys(docs: DataFrame, limit: Threshold, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, keys): the tiles of each named document's set, once for equal sets of a task. They are made from the texts again where they
+    are dealt out, as eight bytes for each of some hundred tiles would be several times the text on disk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands, met = Bands(limit), set()
+        for b in batches:
+            keys = []
+            for named, u in zip(b.column(0).is_valid().to_pylist(), sets_of(b.column(1), limit.k)):
+                h = (int(mix(u ^ SALT_1).sum(dtype=U64)), int(mix(u ^ SALT_2).sum(dtype=U64)))
+                new = named and len(u) and h not in met
+                if new:
+                    met.add(h)
+                keys.append(tile_keys(u, bands) if new else np.zeros(0, np.int64))
+            off = np.concatenate([[0], np.cumsum([len(x) for x in keys])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(off), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))], ["doc_id", "keys"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return stored(map_arrow(picked, run, "doc_id long, n long, h1 long, h2 long, sig binary, keys array<long>"))
+    return map_arrow(_named_texts(docs, id_col, text_col), run, "doc_id long, keys array<long>")
 
 
-def _shared_tiles(profiles: DataFrame) -> DataFrame:
+def _shared_tiles(keys: DataFrame) -> DataFrame:
     """(key, doc_id) of the tiles that hold more than one set; streams over sorted rows, holding two at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,27 +219,28 @@ def _shared_tiles(profiles: DataFrame) -> DataFrame:
             last_key, last_id = key[-1], ident[-1]
             yield pa.RecordBatch.from_arrays([pa.array(out_key), pa.array(out_id)], ["key", "doc_id"])
 
-    rows = profiles.where("keys IS NOT NULL AND doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id")
-    rows = rows.repartition("key").sortWithinPartitions("key")
-    spark = profiles.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100000")
-    out = rows.mapInArrow(run, "key long, doc_id long")
-    return out
+    rows = keys.where("doc_id IS NOT NULL").select(F.explode("keys").alias("key"), "doc_id")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "key long, doc_id long")
 
 
 def _pair_blocks(tiles: DataFrame, block: int) -> DataFrame:
     """Rows of each tile dealt into groups ``g``: the pairs (i <= j) of its blocks, ``side`` telling a group's first block."""
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("rep")) - 1
-    count = tiles.groupBy(F.col("key").alias("c_key")).agg(F.count("*").alias("c"))
-    t = tiles.withColumn("b", F.floor(rank / block)).join(count, F.col("key") == F.col("c_key"))
+    # the count is stored, so that the join is a plain one, which Spark splits at a hot tile
+    count = stored(tiles.groupBy(F.col("key").alias("c_key")).agg(F.count("*").alias("c")).where("c > 1"))
+    t = tiles.join(count, F.col("key") == F.col("c_key"))
+    t = t.withColumn("b", F.pmod(F.xxhash64("rep"), F.floor((F.col("c") - 1) / block) + 1))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / block)))
     t = t.withColumn("o", other)
     i, j = F.least("b", "o"), F.greatest("b", "o")
     return t.select(F.xxhash64("key", i, j).alias("g"), F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"), "rep", "component")
 
 
-def _candidates(tiles: DataFrame, sizes: DataFrame, limit: Threshold) -> DataFrame:
-    """Distinct pairs (a < b) of a tile whose components differ and whose sizes and bitmaps allow a link."""
+def _candidates(tiles: DataFrame, sizes: DataFrame, limit: Threshold, forest: bool = False) -> DataFrame:
+    """Distinct pairs (a < b) of a tile whose components differ and whose sizes and bitmaps allow a link.
+
+    With ``forest`` a block gives just the pairs, in order of their names, that join components which no pair before them has joined, so
+    fewer than it has components.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in column_runs(batches, "g", flush_rows=4096):
@@ -238,6 +253,13 @@ def _candidates(tiles: DataFrame, sizes: DataFrame, limit: Threshold) -> DataFra
                 words = min(len(x) for x in sigs[lo:hi])
                 s = np.stack([folded(x, words) for x in sigs[lo:hi]])
                 left = range(lo, hi) if side[lo] == 2 else [i for i in range(lo, hi) if side[i] == 0]
+                up: dict[int, int] = {}
+
+                def root(x: int) -> int:
+                    while up.get(x, x) != x:
+                        x = up[x]
+                    return x
+
                 for i in left:
                     if side[i] == 2:
                         to = np.arange(i + 1, hi)
@@ -246,12 +268,21 @@ def _candidates(tiles: DataFrame, sizes: DataFrame, limit: Threshold) -> DataFra
                     to = to[(comp[to] != comp[i]) & (limit.den * np.minimum(n[to], n[i]) >= limit.num * np.maximum(n[to], n[i]))]
                     if len(to):
                         to = to[may_link(limit, n[i], s[i - lo], n[to], s[to - lo])]
+                    if forest and len(to):
+                        joins = []
+                        for j in to:
+                            x, y = root(int(comp[i])), root(int(comp[j]))  # noqa: B023
+                            if x != y:
+                                up[max(x, y)] = min(x, y)
+                                joins.append(j)
+                        to = np.array(joins, np.int64)
+                    if len(to):
                         out_a.append(np.minimum(rep[to], rep[i]))
                         out_b.append(np.maximum(rep[to], rep[i]))
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    rows = _pair_blocks(tiles, BLOCK).join(sizes, "rep").repartition("g").sortWithinPartitions("g")
+    rows = _pair_blocks(tiles, BLOCK).join(sizes, "rep").repartition("g").sortWithinPartitions("g", "rep")
     return map_arrow(rows.select("g", "side", "rep", "component", "n", "sig"), run, "a long, b long").distinct()
 
 
@@ -279,6 +310,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, limit: Threshold, id_col: str,
     """The pairs that link, by intersecting their sorted hash arrays; only texts in pairs are read into arrays again."""
     ids = pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct()
     wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, F.col("doc_id") == F.col("w"), "left_semi")
+    wanted = wanted.withColumn("t", F.xxhash64("text")).dropDuplicates(["doc_id", "t"]).drop("t")  # repeated rows are one
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,8 +341,10 @@ def _classes(docs: DataFrame, limit: Threshold, id_col: str, text_col: str) -> t
     member = stored(usable.select("doc_id", "n", "h1", "h2").join(
         c, (F.col("n") == F.col("c_n")) & (F.col("h1") == F.col("c_h1")) & (F.col("h2") == F.col("c_h2"))).select("doc_id", "rep").distinct())
     to_rep = member.withColumnRenamed("doc_id", "m_id")
-    tiles = stored(_shared_tiles(profiles).join(to_rep, F.col("doc_id") == F.col("m_id")).select("key", "rep").distinct())
-    sizes = profiles.where("sig IS NOT NULL").select(F.col("doc_id").alias("rep"), "n", "sig")
+    tiles = stored(_shared_tiles(_keys(docs, limit, id_col, text_col)).join(to_rep, F.col("doc_id") == F.col("m_id")).select("key", "rep").distinct())
+    shared = tiles.select(F.col("rep").alias("s_rep")).distinct()
+    sizes = profiles.where("sig IS NOT NULL").join(shared, F.col("doc_id") == F.col("s_rep"), "left_semi")
+    sizes = stored(sizes.dropDuplicates(["doc_id", "n", "h1", "h2"]).select(F.col("doc_id").alias("rep"), "n", "sig"))
     return profiles, member, tiles, sizes
 
 
@@ -347,14 +381,21 @@ def jaccard_join(docs: DataFrame, limit: Threshold = Threshold(), id_col: str =
     links = _verified(stored(_bitmap_filter(near, sizes, limit)), docs, limit, id_col, text_col)
     found = components(links)
 
-    open_tiles = tiles.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    open_tiles = stored(open_tiles)
-    mixed = open_tiles.groupBy(F.col("key").alias("m_key")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_tiles = open_tiles.join(mixed, F.col("key") == F.col("m_key"), "left_semi")
-    rest = stored(_candidates(open_tiles, sizes, limit))
-    more = _verified(rest, docs, limit, id_col, text_col)
-    if not more.isEmpty():
-        found = components(links.union(more))
+    rounds, last = 0, False
+    while True:
+        open_tiles = tiles.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        open_tiles = stored(open_tiles)
+        mixed = stored(open_tiles.groupBy(F.col("key").alias("m_key")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"))
+        open_tiles = open_tiles.join(mixed, F.col("key") == F.col("m_key"), "left_semi")
+        more = _verified(stored(_candidates(open_tiles, sizes, limit, forest=not last)), docs, limit, id_col, text_col)
+        joined = not more.isEmpty()
+        if joined:
+            links = stored(links.union(more))
+            found = components(links)
+        if last:
+            break
+        rounds += 1
+        last = not joined or rounds == FOREST_ROUNDS
 
     named = member.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     named = named.groupBy(F.col("doc_id").alias("n_id")).agg(F.min("c").alias("c"))

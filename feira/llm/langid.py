@@ -119,6 +119,7 @@ def train(
         return Model([], np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(4))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
     chosen = rows.where((F.pmod("h", F.lit(1_000_003)) / 1_000_003.0) < share[F.col("lang")])
+    chosen = chosen.dropDuplicates(["lang", "h"])  # a repeated row would come whole
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

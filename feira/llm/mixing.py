@@ -74,10 +74,10 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, max_repeat
 
 
 def _cut(parts: DataFrame, left: Column, place: str) -> DataFrame:
-    """Per source the part (block or cell) in which its remainder ends, and what is left on entering it."""
+    """Per source the part (block or cell) in which its remainder ends, and what is left on entering it; none where nothing remains."""
     w = Window.partitionBy("mix_source").orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = parts.withColumn("run", F.sum("part_size").over(w))
-    crossing = run.where(F.col("run") > left).groupBy("mix_source").agg(
+    crossing = run.where((F.col("run") > left) & (left > 0)).groupBy("mix_source").agg(
         F.min_by(F.struct(F.col(place).alias("at"), (left - F.col("run") + F.col("part_size")).alias("rest")), place).alias("x")
     )
     return crossing.select(F.col("mix_source").alias("cut_source"), F.col("x.at").alias(f"cut_{place}"), F.col("x.rest").alias("rest"))

@@ -87,7 +87,8 @@ gap AS (
     FROM gap JOIN doc USING (r) GROUP BY gap.r
 )
 SELECT doc_id, strlen(text)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
-    sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+    sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256,
+    decode(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_text
 FROM doc LEFT JOIN cut USING (r)
 """
 

@@ -22,8 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fold(column: str, folds: int) -> Column:
-    """crc32 of the id as text, modulo ``folds``."""
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(folds))
+    """crc32 of the id as text (null: empty), modulo ``folds``."""
+    return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400, with_text=True)
 
 
 def op6_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:

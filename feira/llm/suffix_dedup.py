@@ -1,7 +1,11 @@
-"""Removal of long repeated byte strings by difference-cover suffix naming (operator 5).
+"""Removal of long repeated byte strings by recursive naming at content-defined anchors (operator 5).
 
 Every byte covered by an ``length``-byte string that also starts anywhere else goes.
 
+The dealt method sorts sampled suffixes and compares neighbours; here no order is made and nothing is sorted: of the
+difference-cover algorithm only the sampled triples, the recursion on names and a last step by whole prefixes remain, with
+equal names found by grouping.
+
 Sampled suffixes. The suffixes compared start at anchors: positions whose 48-byte
 gram has the least hash (leftmost among equals) of some ``window`` consecutive positions, so that equal strings
 have the same anchors inside. A document's anchors are numbered, and the difference cover
@@ -23,7 +27,8 @@ At each level a group's key is the anchor's name, the place relative to the
 anchor and the core, then a hash of all the bytes, and only counts and one occurrence of a group are kept: no
 group, however large, is collected anywhere.
 
-Names are 64-bit hashes; a decision rests on two of them of different byte ranges. Defined cases: a
+Names are 64-bit hashes; a decision rests on two of them of different byte ranges, one of a polynomial and one XXH3 of all the
+bytes. A document is known by one 64-bit hash of its id and text. Defined cases: a
 null text is empty; shorter texts than ``length`` lose nothing but count as they
 are; identical rows, ids included, are occurrences of their own; a null id keeps its row. If bytes
 left over aren't UTF-8 (a character lost a part), ``kept_text`` drops the broken rest of it.
@@ -37,6 +42,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -132,7 +138,8 @@ class Anchors:
 
     def long_names(self, which: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Names of the bytes of the strings that start in first .. last, relative to the anchors."""
-        h = self.prefix.hashes(first, last + self.length)
+        data = memoryview(self.chunk.data)
+        h = np.fromiter((xxhash.xxh3_64_intdigest(data[a:b]) for a, b in zip(first.tolist(), (last + self.length).tolist())), U64, len(first))
         return mix(h + mix((self.at[which] - first).astype(U64)) * U64(mix_int(310) | 1))
 
 

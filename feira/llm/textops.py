@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from feira.session import ensure_checkpoint_dir
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 

@@ -231,11 +231,11 @@ def learn(
     n = usable.count()
     place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_003))
     ids = usable.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("toxic"), place.alias("place"))
-    ids = stored(ids.where(F.col("place") < F.lit(1_000_003.0 * min(1.0, sample / max(n, 1)))))
+    ids = stored(ids.dropDuplicates(["l_id", "toxic"]).where(F.col("place") < F.lit(1_000_003.0 * min(1.0, sample / max(n, 1)))))
     # the sample's ids are bounded (16 bytes each of about ``sample``): the documents needn't be shuffled to meet them
     rows = docs.select(F.col(id_col).alias("d_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(
         F.broadcast(ids), F.col("d_id") == F.col("l_id")).select("text", "toxic", (F.col("place") % 2 == 0).alias("first"))
-    rows = stored(rows)
+    rows = stored(rows.dropDuplicates(["text", "toxic", "first"]))  # repeated rows don't make the sample larger
     letters = F.filter(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")), lambda w: F.length(w) >= 3)
     begins = [F.transform(F.filter(letters, lambda w: F.length(w) > n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]  # noqa: B023
     words = rows.where("first").dropDuplicates(["text"]).select("toxic", F.explode(F.array_distinct(F.concat(letters, *begins))).alias("word"))

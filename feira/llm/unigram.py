@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feira.llm.textops import Chunk, Prefix, chunks, map_arrow, ranges
+from feira.llm.textops import Chunk, chunks, map_arrow, range_hashes, ranges
 
 MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0  # below the least score, as in SentencePiece
@@ -211,6 +211,18 @@ def viterbi(v: Vocabulary, data: np.ndarray, starts: np.ndarray, ends: np.ndarra
     return ids[ranges(place[back], counts[back])], counts[back]
 
 
+def distinct_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one range of each distinct byte string, and which of these every range equals: found by hashes, decided on the bytes."""
+    _, one, which = np.unique(range_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    sizes, twin = ends - starts, one[which]
+    alike = (sizes == sizes[twin]).all() and np.array_equal(data[ranges(starts, sizes)], data[ranges(starts[twin], sizes)])
+    if not alike:  # two strings share a hash
+        names: dict[bytes, int] = {}
+        which = np.array([names.setdefault(data[a:b].tobytes(), len(names)) for a, b in zip(starts, ends)], np.int64)
+        _, one = np.unique(which, return_index=True)
+    return one, which
+
+
 def encode_chunk(v: Vocabulary, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """ids of all texts of the chunk in order, and how many each has."""
     n = len(chunk)
@@ -226,7 +238,7 @@ def encode_chunk(v: Vocabulary, chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     begin[off[:-1][filled]] = True
     starts = np.flatnonzero(begin)
     ends = np.concatenate([starts[1:], [len(data)]])
-    _, one, which = np.unique(Prefix(data).hashes(starts, ends), return_index=True, return_inverse=True)
+    one, which = distinct_ranges(data, starts, ends)
     ids, counts = viterbi(v, data, starts[one], ends[one])
     place = np.concatenate([[0], np.cumsum(counts)])[:-1]
     per_segment = counts[which]

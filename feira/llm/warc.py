@@ -221,7 +221,9 @@ def parse(data: bytes) -> dict[str, object]:
 def read_warc(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTES, with_payload: bool = True) -> DataFrame:
     """Every record of the files in ``manifest`` (path, length): RECORD_SCHEMA, one row per record."""
     splits = manifest.where(F.col("length") > 0).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    splits = splits.repartition(F.col("path"), F.col("start"))
+    # a numbered repartition, as many tasks as splits: the rows are tiny, and adaptive execution would join the tasks of another one
+    tasks = manifest.agg(F.coalesce(F.sum(F.ceil(F.col("length") / split_bytes)), F.lit(0))).first()[0]
+    splits = splits.repartition(max(1, int(tasks)), F.col("path"), F.col("start"))
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.bool_()]
 

@@ -83,7 +83,7 @@ def test_second_round_alone_finds_links(spark, rows, monkeypatch):
     limit = Threshold()
     df = spark.createDataFrame(rows, "doc_id long, text string")
     profiles = j.profile(df, limit, "doc_id", "text")
-    tiles = j._shared_tiles(profiles).selectExpr("key", "doc_id AS rep", "doc_id AS component").distinct()
+    tiles = j._shared_tiles(j._keys(df, limit, "doc_id", "text")).selectExpr("key", "doc_id AS rep", "doc_id AS component").distinct()
     sizes = profiles.where("sig IS NOT NULL").selectExpr("doc_id AS rep", "n", "sig")
     pairs = j._candidates(tiles, sizes, limit)
     links = {(r.a, r.b) for r in j._verified(pairs, df, limit, "doc_id", "text").collect()}
@@ -161,3 +161,29 @@ def test_mix_is_a_bijection_on_a_sample():
     import numpy as np
 
     assert len(np.unique(mix(np.arange(100000, dtype=U64)))) == 100000
+
+
+def test_repeated_rows_are_one(spark, text):
+    """Rows that repeat id and text multiply neither the signatures nor the verified sets."""
+    a, b = text(80), text(60)
+    df = spark.createDataFrame([(1, a, 1, "x", 2)] * 400 + [(2, a + " end", 1, "x", 2)] * 400 + [(3, b, 1, "x", 2)], SCHEMA).repartition(4)
+    got = jaccard_join(df, Threshold(3, 90, 100)).collect()
+    assert len(got) == 801 and {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_words_that_meet_in_polynomial_hashes(spark):
+    """Complementary Thue-Morse words of 1,024 letters aren't one word."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"x {word} y"), (2, f"x {other} y"), (3, f"X {word} y")]
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA)
+    assert {r.doc_id: r.component_id for r in jaccard_join(df, Threshold(3, 90, 100)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_near_copies_of_one_text(spark, rng, text):
+    """A group of near copies around the threshold: pairs come in rounds, each block giving fewer than its components."""
+    base = text(100)
+    rows = [(i, edited(rng, base, rng.choice([1, 2, 4, 6, 8]))) for i in range(150)]
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA).repartition(3)
+    limit = Threshold(5, 80, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df, limit).collect()} == brute(rows, limit)

@@ -115,3 +115,17 @@ def test_empty_table(spark, public):
 def test_pieces_across_spaces_are_refused():
     with pytest.raises(ValueError):
         unigram.vocabulary([("<unk>", 0.0, "unknown"), ("a▁b", -1.0, "normal")])
+
+
+def test_strings_that_meet_in_hashes_stay_apart(monkeypatch):
+    """Distinct segments are decided on their bytes, also where hashes meet."""
+    import numpy as np
+
+    from feira.llm import unigram
+
+    data = np.frombuffer(b"abcabdabcxyab", np.uint8)
+    starts, ends = np.array([0, 3, 6, 9, 11]), np.array([3, 6, 9, 11, 13])
+    for hashes in (unigram.range_hashes, lambda d, s, e: np.zeros(len(s), np.uint64)):
+        monkeypatch.setattr(unigram, "range_hashes", hashes)
+        one, which = unigram.distinct_ranges(data, starts, ends)
+        assert [data[starts[one[w]] : ends[one[w]]].tobytes() for w in which] == [b"abc", b"abd", b"abc", b"xy", b"ab"] and len(one) == 4

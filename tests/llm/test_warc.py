@@ -93,3 +93,13 @@ def test_forged_member_inside_raw_bytes(tmp_path):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_warc(spark, warc.write_warc(df)).count() == 0
+
+
+def test_splits_are_read_by_as_many_tasks(spark, tmp_path):
+    """The rows of the splits are tiny; adaptive execution mustn't join their tasks."""
+    pages = spark.range(300).selectExpr("id AS page_id", "concat('http://h/', id) AS url", "repeat(concat('<p>', id, sha2(cast(id AS string), 256)), 20) AS html")
+    manifest = warc.write_warc(pages)
+    total = manifest.selectExpr("sum(ceil(length / 2000.0))").first()[0]
+    records = warc.read_warc(spark, manifest, split_bytes=2000)
+    assert records.count() == 300
+    assert records.rdd.getNumPartitions() >= total > 4
