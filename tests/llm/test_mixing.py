@@ -106,5 +106,5 @@ def test_defined_cases(spark):
 def test_a_source_at_its_cap_gives_no_third_copy(spark):
     """Nothing remains behind the last pass, so not even empty documents are taken again."""
     rows = [(i, "word " * (i % 5), "s") for i in range(500)]
-    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=3.0).collect()
+    got = mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), share=3.0).collect()
     assert {r.mix_copies for r in got} == {2}
