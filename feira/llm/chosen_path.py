@@ -8,8 +8,8 @@ node of a tree chooses one or two coordinates, by its own hash alone, so that th
 the least similarity; its sets branch by the tokens they hold there. Two sets of similarity s go
 the same way at a coordinate with probability s, so a linked pair stays together down to depth d with the
 probability ``survival`` computes. Independent trees are repeated until a pair at the threshold gets into one node of the
-greatest depth in at least one of them with the probability ``recall``; pairs that part from
-the rest earlier, which are almost all, are met far more often.
+greatest depth in at least one of them with the probability ``recall``. Sets whose nodes are all compared at depth 1, which
+are almost all, need only the trees that reach the recall there; the further trees hold the sets whose node branched on.
 
 Nodes. Small nodes are compared exhaustively: bitmaps bound each overlap from above, and what passes is decided on
 the full sorted sets, inside the task. Sets known to be in one component aren't compared again, and a task
@@ -44,6 +44,7 @@ DEPTH = 8
 RECALL = 0.999999
 FIRST_TREES = 2
 NODE = 64  # sets that are compared exhaustively
+MOST_BROADCAST = 1_000_000  # row numbers (8 bytes each) that are broadcast; beyond, all sets are shuffled
 FEW, MANY = 128, 512  # blocks of the sets outside a node's largest component, and of those in it
 MAX_BITMAP_BITS = 1 << 18
 
@@ -194,23 +195,24 @@ def elements(docs: DataFrame, sets: DataFrame, limit: Threshold, id_col: str, te
     return stored(map_arrow(texts.join(wanted, (F.col("doc_id") == F.col("d")) & (F.col("t") == F.col("th"))).select("rep", "text"), run, "rep long, n long, elements binary"))
 
 
-def first_nodes(sets: DataFrame, trees: int, limit: Threshold) -> DataFrame:
-    """(tree, node, rep): the nodes of depth 1 of every tree."""
+def first_nodes(sets: DataFrame, trees: range, limit: Threshold) -> DataFrame:
+    """(tree, node, rep): the nodes of depth 1 of the trees."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = mix(np.arange(trees, dtype=U64) + U64(mix_int(43)))
+        number = np.array(trees, np.int64)
+        top = mix(number.astype(U64) + U64(mix_int(43)))
         for b in batches:
             if not b.num_rows:
                 continue
             tokens = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            row, node = branches(np.tile(top, b.num_rows), np.repeat(tokens, trees, axis=0), limit)
+            row, node = branches(np.tile(top, b.num_rows), np.repeat(tokens, len(top), axis=0), limit)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(row % trees, pa.int64()), pa.array(node.view(np.int64)), pa.array(b.column(0).to_numpy()[row // trees])], ["tree", "node", "rep"])
+                [pa.array(number[row % len(top)]), pa.array(node.view(np.int64)), pa.array(b.column(0).to_numpy()[row // len(top)])], ["tree", "node", "rep"])
 
     return map_arrow(sets.select("rep", "tokens"), run, "tree long, node long, rep long")
 
 
-def shared_first_nodes(sets: DataFrame, trees: int, limit: Threshold) -> DataFrame:
+def shared_first_nodes(sets: DataFrame, trees: range, limit: Threshold) -> DataFrame:
     """The rows of ``first_nodes`` whose node has another set, with the node's size c and least set; the nodes are made twice, which costs less than storing them."""
     every = first_nodes(sets, trees, limit)
     counts = stored(every.groupBy(F.col("node").alias("c_node")).agg(F.count("*").alias("c"), F.min("rep").alias("centre")).where("c > 1"))
@@ -284,6 +286,9 @@ def outside_pairs(members: DataFrame) -> DataFrame:
 
 
 def _grouped(blocks: DataFrame, other: DataFrame, column: str) -> DataFrame:
+    wanted = blocks.select(F.col("rep").alias("w_rep")).distinct()
+    if wanted.count() <= MOST_BROADCAST:  # few of the sets are in blocks: the others needn't be shuffled to find that out
+        other = other.join(F.broadcast(wanted), F.col("rep") == F.col("w_rep"), "left_semi")
     o = other.select(F.col("rep").alias("o_rep"), "n", column)
     return blocks.join(o, F.col("rep") == F.col("o_rep")).select("g", "part", "rep", "component", "n", column).repartition("g").sortWithinPartitions("g", "rep")
 
@@ -350,24 +355,27 @@ class Search:
             self.edges = links if self.edges is None else self.edges.union(links)
             self.found = stored(components(self.edges).select(F.col("node").alias("node_"), F.col("component").alias("component_")))
 
-    def descend(self, members: DataFrame, depth: int) -> None:
-        """Compare what the given nodes of depth 1 hold, and what the large ones' descendants hold."""
+    def descend(self, members: DataFrame, depth: int) -> DataFrame | None:
+        """Compare what the given nodes of depth 1 hold, and what the large ones' descendants hold; (rep) of those that branched."""
+        branched = None
         for level in range(1, depth + 1):
             members = open_nodes(members.select("node", "rep"), self.found)
             self.compare(dealt(members))
             members = members.where(F.col("c") > NODE)
             if members.isEmpty():
-                return
+                break
             members = open_nodes(members.select("node", "rep"), self.found)
             if members.isEmpty():
-                return
+                break
             members = with_largest(members)
             ends = F.lit(level == depth) | (F.col("outside") <= 4 * FEW)
             self.compare(outside_pairs(members.where(ends)))
             members = members.where(~ends)
             if members.isEmpty():
-                return
+                break
+            branched = stored(members.select("rep").distinct()) if branched is None else branched
             members = stored(next_nodes(members.select("node", "rep"), self.sets, self.limit))
+        return branched
 
 
 def near_duplicates(
@@ -376,14 +384,17 @@ def near_duplicates(
 ) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links, its own included), kept: a row per document."""
     member, sets = class_sets(docs, limit, id_col, text_col)
-    trees = trees_for(limit, recall, depth)
-    first = shared_first_nodes(sets, trees, limit)
+    shallow = trees_for(limit, recall, 1)
+    first = shared_first_nodes(sets, range(shallow), limit)
     active = first.select(F.col("rep").alias("a_rep")).distinct()
     sets = stored(sets.join(active, F.col("rep") == F.col("a_rep"), "left_semi"))
     state = Search(sets, elements(docs, sets, limit, id_col, text_col), limit)
     early = first.where(F.col("tree") < FIRST_TREES).withColumn("component", F.col("rep"))
     state.compare(dealt(early))
-    state.descend(first.where((F.col("tree") >= FIRST_TREES) | (F.col("c") > NODE)), depth)
+    branched = state.descend(first.where((F.col("tree") >= FIRST_TREES) | (F.col("c") > NODE)), depth)
+    if branched is not None:  # what parted from its node below depth 1 needs the trees that reach the recall there
+        deep = stored(sets.join(branched.withColumnRenamed("rep", "b_rep"), F.col("rep") == F.col("b_rep"), "left_semi"))
+        state.descend(shared_first_nodes(deep, range(shallow, trees_for(limit, recall, depth)), limit), depth)
 
     labelled = with_components(member, state.found)
     least = stored(labelled.where("component IS NOT NULL").groupBy(F.col("component").alias("l_component")).agg(F.min("doc_id").alias("least")))

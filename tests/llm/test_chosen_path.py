@@ -16,8 +16,8 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "x", 1, "y", 2, 3, 4) for i, t in rows], SCHEMA)
 
 
-def check(spark, rows, limit, parts=3):
-    got = near_duplicates(frame(spark, rows).repartition(parts), limit).collect()
+def check(spark, rows, limit, parts=3, **more):
+    got = near_duplicates(frame(spark, rows).repartition(parts), limit, **more).collect()
     assert len(got) == len(rows)
     want = brute(rows, limit)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
@@ -34,10 +34,9 @@ def test_large_nodes(spark, rng, text, monkeypatch):
     monkeypatch.setattr(chosen_path, "NODE", 4)
     monkeypatch.setattr(chosen_path, "FEW", 2)
     monkeypatch.setattr(chosen_path, "MANY", 3)
-    monkeypatch.setattr(chosen_path, "DEPTH", 2)
     base = text(120)
     group = [edited(rng, base, e) for e in [1] * 15 + [3] * 15 + [5, 6, 7, 8, 9, 10, 11, 12] * 4]
-    check(spark, list(enumerate(group + [text(50) for _ in range(5)])), Threshold(4, 80, 100))
+    check(spark, list(enumerate(group + [text(50) for _ in range(5)])), Threshold(4, 80, 100), depth=2)
 
 
 def test_repeated_rows_and_ids(spark, text):
