@@ -138,9 +138,9 @@ near AS (
     SELECT word.word, word.n, coalesce(n_near, 0) AS n_near, CASE WHEN o_n >= 10 * word.n THEN o END AS form, CASE WHEN o_n >= 10 * word.n THEN o_n END AS form_n
     FROM word LEFT JOIN best USING (word)
 ), follow AS (
-    SELECT word, word AS at, 0 AS d FROM formed
-    UNION ALL SELECT follow.word, formed.form, d + 1 FROM follow JOIN formed ON follow.at = formed.word WHERE formed.form IS NOT NULL
-), ended AS (SELECT word, arg_max(at, d) AS root FROM follow GROUP BY word)
+    SELECT word, word AS here, 0 AS d FROM formed
+    UNION ALL SELECT follow.word, formed.form, d + 1 FROM follow JOIN formed ON follow.here = formed.word WHERE formed.form IS NOT NULL
+), ended AS (SELECT word, arg_max(here, d) AS root FROM follow GROUP BY word)
 SELECT word, form, root, n, n_near, form_n FROM formed JOIN ended USING (word)
 """
 
