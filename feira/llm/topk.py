@@ -11,8 +11,9 @@ merged by rank. Every query meets every candidate, so the result is exact.
 
 Defined cases: vectors that are null, empty, or hold a null, NaN or infinite
 component take no part; a vector of fewer terms counts as 0 in the missing
-ones. Rows of one vec_id are one item: the least vector of them. Rows with a
-null id are no items. Ties go to the smaller id. A query with fewer than
+ones. Every row is an item of its own, rows that repeat an id included: each
+query row gets its own list, in which the other rows of its id may stand. Rows
+with a null id are no items. Ties go to the smaller id. A query with fewer than
 ``k`` other items gets all. Scores beyond 64 bits raise an error.
 """
 
@@ -30,17 +31,17 @@ from feira.llm.textops import stored
 CANDIDATE_BLOCK = 16384
 QUERY_BLOCK = 2048
 ROWS = 128  # query rows whose dense scores are held at once
-SCHEMA = "query_id long, vec_id long, score long"
+SCHEMA = "query long, query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: float) -> DataFrame:
-    """vec_id and its integer weights, of the vectors that take part."""
+    """A number that names the row, vec_id and the integer weights, of the vectors that take part."""
     x = F.col(vector_col)
     sound = x.isNotNull() & F.col(id_col).isNotNull() & (F.size(x) > 0) & F.forall(
         x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     w = F.transform(x, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")))
     items = vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("vec_id"), w.alias("w"))
-    return items.groupBy("vec_id").agg(F.min("w").alias("w"))
+    return items.select(F.monotonically_increasing_id().alias("item"), "vec_id", "w")
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -54,10 +55,11 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return out
 
 
-def best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k best of these candidates: (query ids, candidate ids, scores)."""
+def best(item: np.ndarray, q: np.ndarray, c_item: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query row its k best of these candidates, itself left out: (query rows by place, candidate ids, scores)."""
     order = np.argsort(cid, kind="stable")
-    cid, c = cid[order], c[order]
+    cid, c, c_item = cid[order], c[order], c_item[order]
+    place = np.argsort(c_item)  # candidates in the order of their row numbers, to find a query's own row
     terms = min(q.shape[1], c.shape[1])
     bound = terms * int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0))
     if bound >= 1 << 62:
@@ -70,7 +72,7 @@ def best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
         common = 2 * len(at) > len(cid)
         postings.append((None, c[:, t].astype(kind)) if common else (at, c[at, t].astype(kind)))
     n, out = len(cid), ([], [], [])
-    for lo in range(0, len(qid), ROWS):
+    for lo in range(0, len(item), ROWS):
         rows = q[lo : lo + ROWS]
         scores = np.zeros((len(rows), n), kind)
         for i, weights in enumerate(rows):
@@ -88,10 +90,9 @@ def best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
             key = np.empty(scores.shape, np.int64)
             for i, line in enumerate(scores):
                 key[i, np.lexsort((-np.arange(n), line))] = np.arange(n)
-        own = np.searchsorted(cid, qid[lo : lo + ROWS])
-        at_own = own < n
-        at_own[at_own] = cid[own[at_own]] == qid[lo : lo + ROWS][at_own]
-        key[np.flatnonzero(at_own), own[at_own]] = np.iinfo(np.int64).min
+        own = place[np.minimum(np.searchsorted(c_item, item[lo : lo + ROWS], sorter=place), n - 1)]
+        here = np.flatnonzero(c_item[own] == item[lo : lo + ROWS])
+        key[here, own[here]] = np.iinfo(np.int64).min
         take = min(k + 1, n)
         top = np.argpartition(key, n - take, axis=1)[:, n - take :]
         top_keys = np.take_along_axis(key, top, axis=1)
@@ -99,7 +100,7 @@ def best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
         top = np.take_along_axis(top, rank, axis=1)
         real = np.take_along_axis(key, top, axis=1) != np.iinfo(np.int64).min
         r, _ = np.nonzero(real)
-        out[0].append(qid[lo + r])
+        out[0].append(lo + r)
         out[1].append(cid[top[real]])
         out[2].append(np.take_along_axis(scores, top, axis=1)[real].astype(np.int64))
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)
@@ -109,24 +110,24 @@ def top_k(
     vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
     scale: float = 64.0, candidate_block: int = CANDIDATE_BLOCK, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each item where ``is_query`` (a condition on vec_id) holds,
-    its k highest integer inner products with all other items."""
+    """query_id, rank (from 1), vec_id, score: for each row where ``is_query`` (a condition on vec_id) holds,
+    its k highest integer inner products with all other rows."""
     items = stored(quantised(vectors, id_col, vector_col, scale))
     n = items.count()
     n_queries = items.where(is_query).count()
     n_c, n_q = max(1, math.ceil(n / candidate_block)), max(1, math.ceil(n_queries / query_block))
-    candidates = items.select("vec_id", "w", F.pmod(F.xxhash64("vec_id"), F.lit(n_c)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
-    queries = items.where(is_query).select("vec_id", "w", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"), F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).alias("qb"))
+    candidates = items.select("item", "vec_id", "w", F.pmod(F.xxhash64("item"), F.lit(n_c)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"))
+    queries = items.where(is_query).select("item", "vec_id", "w", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).alias("cb"), F.pmod(F.xxhash64("item"), F.lit(n_q)).alias("qb"))
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+    def scores(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
-            got = best(left["vec_id"].to_numpy(), _matrix(left["w"]), right["vec_id"].to_numpy(), _matrix(right["w"]), k)
+            at, vec_id, score = best(left["item"].to_numpy(), _matrix(left["w"]), right["item"].to_numpy(), right["vec_id"].to_numpy(), _matrix(right["w"]), k)
         else:
-            got = (np.zeros(0, np.int64),) * 3
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), got)))
+            at = vec_id = score = np.zeros(0, np.int64)
+        return pa.table({"query": left["item"].to_numpy()[at], "query_id": left["vec_id"].to_numpy()[at], "vec_id": vec_id, "score": score})
 
     key = [F.col("cb").cast("long"), F.col("qb").cast("long")]
-    partial = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInArrow(score, SCHEMA)
-    by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    partial = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInArrow(scores, SCHEMA)
+    by_query = Window.partitionBy("query").orderBy(F.desc("score"), F.asc("vec_id"))
     ranked = partial.withColumn("rank", F.row_number().over(by_query)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -11,16 +11,12 @@ from feira.llm.topk import top_k
 
 
 def brute(rows, k, scale, every):
-    items = {}
-    for i, x in rows:
-        if i is None or not x or any(v is None or not math.isfinite(v) for v in x):
-            continue
-        w = [math.floor(scale * v) for v in x]
-        items[i] = min(items[i], w) if i in items else w
+    sound = [(i, x) for i, x in rows if i is not None and x and all(v is not None and math.isfinite(v) for v in x)]
+    items = [(i, [math.floor(scale * v) for v in x]) for i, x in sound]
     out = []
-    for q, w in items.items():
+    for at, (q, w) in enumerate(items):
         if q % every == 0:
-            scored = sorted((-sum(a * b for a, b in zip(w, c)), i) for i, c in items.items() if i != q)[:k]
+            scored = sorted((-sum(a * b for a, b in zip(w, c)), i) for other, (i, c) in enumerate(items) if other != at)[:k]
             out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -45,6 +41,20 @@ def test_ties_and_few_rows(spark):
     assert result(df.where("vec_id = 0"), 20, 64.0, 20) == []
 
 
+def test_rows_of_one_id_are_items_of_their_own(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [3.0, 0.0]), (20, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert result(df, 20, 64.0, 20) == [(20, 1, 1, 12288), (20, 2, 1, 4096)]
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (20, [2.0, 0.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert result(df, 20, 64.0, 20) == [(20, 1, 3, 8192), (20, 1, 20, 8192), (20, 2, 3, 4096), (20, 2, 20, 8192)]
+
+
+@pytest.mark.parametrize("blocks", [{}, {"candidate_block": 40, "query_block": 8}])
+def test_a_row_repeated_very_often(spark, rng, blocks):
+    rows = [(40, [0.5, 0.25])] * 120 + [(i, [rng.uniform(-1, 1), rng.uniform(-1, 1)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert result(df, 20, 64.0, 20, **blocks) == brute(rows, 20, 64.0, 20)
+
+
 def test_large_weights(spark):
     rows = [(i, [float(2**20 + i), float(i)]) for i in range(60)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
