@@ -6,16 +6,18 @@ A person is ``customer_unique_id``; ``customer_id`` is per order.
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from feira.functions import day_diff, first_of_month, money, month_diff, ratio_round
+from feira.functions import day_diff, money, ratio_round
+from feira.functions.numeric import ColumnOrName
 from feira.operators.ranking import RankOut, with_global_ranks
 from feira.plans.common import delivered_orders, item_value
 from feira.sources.bridge import Tables
 
 PERSON = "customer_unique_id"
+WORD = 64  # months in a word of an activity bitset
 
 # Fixed values that must equal the reference's.
 BUYER_TYPES = ["One-Time Buyer", "Occasional", "Regular", "Loyal"]  # 1 | 2-3 | 4-6 | more
@@ -63,30 +65,68 @@ def repeat_purchase_rate(t: Tables) -> DataFrame:
     )
 
 
+def month_index(date: ColumnOrName) -> Column:
+    """Months since year 0 as BIGINT."""
+    return (F.year(date) * 12 + F.month(date) - 1).cast("bigint")
+
+
+def words_of(months: DataFrame, month: str) -> list[int]:
+    """The numbers (month / 64) of the bitset words that hold a month; a century has twenty."""
+    found = months.agg(F.collect_set(F.expr(f"`{month}` div {WORD}")).alias("words")).first()
+    return sorted(found["words"])
+
+
+def activity_bitsets(months: DataFrame, key: str, month: str, words: list[int]) -> DataFrame:
+    """One row per key: the months in which it has a row, as a bitset of 64-bit words (``months_<word>``; bit i is month 64 * word + i),
+    and whether it has a row without a month. ``bit_or`` merges, so a key's rows become one row map-side, however many they are."""
+    place, bit = F.expr(f"`{month}` div {WORD}"), F.expr(f"shiftleft(1L, CAST(`{month}` % {WORD} AS INT))")
+    sets = [F.coalesce(F.bit_or(F.when(place == w, bit)), F.lit(0).cast("bigint")).alias(f"months_{w}") for w in words]
+    return months.groupBy(key).agg(*sets, F.max(F.col(month).isNull()).alias("undated"))
+
+
+def active_months(words: list[int]) -> Column:
+    """The months of a bitset as an array of month numbers, with a NULL at the end if the key has a row without a month."""
+
+    def months_in(word: int) -> Column:
+        held = F.filter(F.sequence(F.lit(0), F.lit(WORD - 1)), lambda i: F.getbit(F.col(f"months_{word}"), i) == 1)
+        return F.transform(held, lambda i: i + F.lit(WORD * word).cast("bigint"))
+
+    none = F.expr("CAST(array() AS ARRAY<BIGINT>)")
+    return F.concat(none, *map(months_in, words), F.when(F.col("undated"), F.array(F.lit(None).cast("bigint"))).otherwise(none))
+
+
 def cohort_retention(t: Tables) -> DataFrame:
     """V-05 vw_cohort_retention: active persons per (first-order month, months since).
 
-    Each person contributes one row per active month: (person, month) pairs are
-    de-duplicated first (map-side), so a person holds at most one row per month
-    and the per-person window that finds the cohort month is bounded by the
-    number of months. Active persons per cell are then plain row counts, and
-    the cohort size is the cell with month_number 0.
+    A person's orders become one bitset of active months (``bit_or``, merged
+    map-side). Persons of equal bitsets are counted next, so the bits of a
+    pattern are read once for all of them; its first bit is the cohort month.
+    Active persons per cell are then sums of those counts, and the cohort size
+    is the cell with month_number 0. Nothing is shuffled per (person, month),
+    and no window runs per person. The words are those that any order's month
+    falls into, so one odd date adds one word.
     """
     months = (
         _delivered_with_person(t, "order_purchase_timestamp")
         .filter(F.col(PERSON).isNotNull())
-        .select(PERSON, first_of_month("order_purchase_timestamp").alias("order_month"))
-        .distinct()
+        .select(PERSON, month_index("order_purchase_timestamp").alias("order_month"))
+    )
+    words = words_of(delivered_orders(t, "order_purchase_timestamp").select(month_index("order_purchase_timestamp").alias("order_month")), "order_month")
+    persons = activity_bitsets(months, PERSON, "order_month", words)
+    patterns = (
+        persons.groupBy(*[c for c in persons.columns if c != PERSON]).agg(F.count(F.lit(1)).alias("persons"))
+        .withColumn("active", active_months(words))
     )
-    cohort = F.min("order_month").over(W.partitionBy(PERSON))
     cells = (
-        months.withColumn("cohort_month", cohort)
-        .groupBy("cohort_month", month_diff("cohort_month", "order_month").alias("month_number"))
-        .agg(F.count(F.lit(1)).alias("active_customers"))
+        patterns.withColumn("cohort", F.array_min("active"))
+        .select("cohort", "persons", F.explode("active").alias("order_month"))
+        .groupBy("cohort", (F.col("order_month") - F.col("cohort")).alias("month_number"))
+        .agg(F.sum("persons").alias("active_customers"))
     )
-    size = F.sum(F.when(F.col("month_number") == 0, F.col("active_customers"))).over(W.partitionBy("cohort_month"))
+    size = F.sum(F.when(F.col("month_number") == 0, F.col("active_customers"))).over(W.partitionBy("cohort"))
+    cohort_month = F.make_date(F.floor(F.col("cohort") / 12).cast("int"), (F.col("cohort") % 12 + 1).cast("int"), F.lit(1))
     return cells.withColumn("cohort_customers", size).select(
-        "cohort_month",
+        cohort_month.alias("cohort_month"),
         "cohort_customers",
         "month_number",
         "active_customers",
