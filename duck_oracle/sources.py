@@ -57,4 +57,10 @@ PREPARED = {
 
 PUBLISHED = {f"s12_vw_{key.split('_', 1)[1]}": sql for key, sql in VIEWS.items()}
 
-SOURCES = {**RAW, **PREPARED, **PUBLISHED}
+REFRESHED = {
+    "s11_refreshed_revenue_trends": VIEWS["v01_revenue_trends"],
+    "s11_refreshed_payment_methods": VIEWS["v10_payment_method_analysis"],
+    "s11_refreshed_monthly_payments": VIEWS["v11_monthly_revenue_by_payment"],
+}
+
+SOURCES = {**RAW, **PREPARED, **REFRESHED, **PUBLISHED}

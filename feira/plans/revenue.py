@@ -51,6 +51,11 @@ def revenue_trends(t: Tables) -> DataFrame:
         F.sum("price").alias("product"),
         F.sum("freight_value").alias("freight"),
     )
+    return trends_of_orders(t, per_order)
+
+
+def trends_of_orders(t: Tables, per_order: DataFrame) -> DataFrame:
+    """V-01 from the item sums of every order."""
     monthly = (
         delivered_orders(t, "customer_id", "order_purchase_timestamp")
         .join(per_order, on="order_id")

@@ -41,7 +41,7 @@ PREPARED_TABLES = {
 MULTI_LINE = "order_reviews"  # the one table with line breaks inside its fields
 
 
-def _read_by_header(spark: SparkSession, path: str, declared: T.StructType, multi_line: bool) -> DataFrame:
+def _read_by_header(spark: SparkSession, path: str | list[str], declared: T.StructType, multi_line: bool) -> DataFrame:
     """A CSV file (or folder of files) with its columns bound by name; see the module docstring."""
 
     def reader() -> DataFrameReader:
@@ -65,6 +65,11 @@ def read_raw_csv(spark: SparkSession, src_dir: str, name: str) -> DataFrame:
     return _read_by_header(spark, f"{src_dir.rstrip('/')}/{RAW_FILES[name]}", RAW[name], name == MULTI_LINE)
 
 
+def read_csv_files(spark: SparkSession, paths: list[str], name: str) -> DataFrame:
+    """The given files of one source without line breaks in its fields, typed as declared."""
+    return _read_by_header(spark, paths, RAW[name], False)
+
+
 def raw_tables(spark: SparkSession, src_dir: str) -> Tables:
     """The nine raw sources as a ``Tables`` (raw names: orders_raw, order_items_raw, ...)."""
     r = {name: read_raw_csv(spark, src_dir, name) for name in RAW_FILES}
