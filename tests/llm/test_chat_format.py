@@ -27,6 +27,14 @@ def expected(rows):
     return out
 
 
+def test_long_conversations(spark):
+    """More turns than a group, one role throughout or changing, with a loss text at every place of a group."""
+    rows = [(1, i, ("user", "assistant", "assistant")[i * i % 7 % 3], f"é{i} <{'x' * (i % 5)}>~") for i in range(1000)]
+    rows += [(2, i, "assistant", "y" * (i % 3)) for i in range(300)] + [(3, i, "user", "z") for i in range(129)]
+    back = digests(read_back(format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.n_blocks) for r in back.collect()} == expected(rows)
+
+
 @pytest.fixture
 def chats(spark):
     df = spark.createDataFrame([(*r, "extra") for r in ROWS], "conv_id long, turn long, role string, text string, formatted string")
