@@ -12,7 +12,9 @@ The prepared output is written as Parquet (columnar) by default.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from collections.abc import Callable, Iterable, Mapping
+
+from pyspark.sql import DataFrame, DataFrameReader, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +41,15 @@ PREPARED_TABLES = {
 
 
 MULTI_LINE = "order_reviews"  # the one table with line breaks inside its fields
+# A compressed CSV file is read by one task, so it holds at most this many rows.
+ROWS_PER_COMPRESSED_FILE = 250_000
+
+# The sources' folder, or each source's own folder by its table name.
+Sources = str | Mapping[str, str]
+
+
+def folder_of(src: Sources, name: str) -> str:
+    return src if isinstance(src, str) else src[name]
 
 
 def _read_by_header(spark: SparkSession, path: str | list[str], declared: T.StructType, multi_line: bool) -> DataFrame:
@@ -70,22 +81,6 @@ def read_csv_files(spark: SparkSession, paths: list[str], name: str) -> DataFram
     return _read_by_header(spark, paths, RAW[name], False)
 
 
-def raw_tables(spark: SparkSession, src_dir: str) -> Tables:
-    """The nine raw sources as a ``Tables`` (raw names: orders_raw, order_items_raw, ...)."""
-    r = {name: read_raw_csv(spark, src_dir, name) for name in RAW_FILES}
-    return Tables(
-        orders_raw=r["orders"],
-        order_items_raw=r["order_items"],
-        order_payments=r["order_payments"],
-        order_reviews_raw=r["order_reviews"],
-        customers=r["customers"],
-        products_raw=r["products"],
-        sellers=r["sellers"],
-        categories=r["categories"],
-        geolocation_raw=r["geoloc"],
-    )
-
-
 # Raw table name -> Tables attribute holding the (bridged) raw frame.
 RAW_TABLES = {
     "customers": "customers",
@@ -100,69 +95,86 @@ RAW_TABLES = {
 }
 
 
-def export_raw_csv(t: Tables, out_dir: str) -> None:
-    """Write raw tables as the nine source CSV files (one directory each, header, source column order).
+def raw_tables(spark: SparkSession, src: Sources, names: Iterable[str] = tuple(RAW_TABLES)) -> Tables:
+    """The raw sources as a ``Tables`` (raw names: orders_raw, order_items_raw, ...), all nine unless ``names`` says which."""
+    return Tables(**{RAW_TABLES[name]: read_raw_csv(spark, folder_of(src, name), name) for name in names})
+
+
+def _csv_writer(df: DataFrame, name: str, compression: str | None) -> DataFrameWriter:
+    """A CSV writer; the table with line breaks inside its fields stays plain, so that its files can be split."""
+    writer = (
+        df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"')
+        .option("timestampNTZFormat", CSV_TIMESTAMP)
+    )
+    if compression and name != MULTI_LINE:
+        writer = writer.option("compression", compression).option("maxRecordsPerFile", ROWS_PER_COMPRESSED_FILE)
+    return writer
+
+
+def export_raw_csv(t: Tables, out_dir: str, names: Iterable[str] = tuple(RAW_TABLES), compression: str | None = None) -> None:
+    """Write raw tables as source CSV files (one directory each, header, source column order), all nine unless ``names`` says which.
 
     Columns missing from a frame are written empty; timestamps use the
     sources' ``yyyy-MM-dd HH:mm:ss`` text form.
     """
-    for name, attr in RAW_TABLES.items():
-        df = getattr(t, attr)
+    for name in names:
+        df = getattr(t, RAW_TABLES[name])
         declared = [f.name for f in RAW[name].fields]
         cols = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in declared]
         cols += [F.col(c) for c in df.columns if c not in declared]
-        (
-            df.select(*cols).write.mode("overwrite")
-            .option("header", True).option("quote", '"').option("escape", '"')
-            .option("timestampNTZFormat", CSV_TIMESTAMP)
-            .csv(f"{out_dir.rstrip('/')}/{RAW_FILES[name]}")
-        )
-
-
-def prepare_tables(raw: Tables) -> Tables:
-    """The notebook's preparation of every table (cells between load and export)."""
-    orders = prepare.add_dq_flags(prepare.parse_timestamps(raw.orders_raw, RAW_TIMESTAMPS["orders"]))
-    items = prepare.parse_timestamps(raw.order_items_raw, RAW_TIMESTAMPS["order_items"])
-    reviews = prepare.parse_timestamps(
-        prepare.fill_comment(prepare.drop_columns(raw.order_reviews_raw, ["review_comment_title"])),
-        RAW_TIMESTAMPS["order_reviews"],
-    )
-    return Tables(
-        orders=orders,
-        order_items=items,
-        order_payments=raw.order_payments,
-        order_reviews=reviews,
-        customers=raw.customers,
-        products=prepare.dim_products(raw.products_raw, raw.categories),
-        sellers=raw.sellers,
-        categories=raw.categories,
-        geoloc=prepare.geo_centroids(raw.geolocation_raw),
-    )
+        _csv_writer(df.select(*cols), name, compression).csv(f"{out_dir.rstrip('/')}/{RAW_FILES[name]}")
+
+
+def _prepared_reviews(raw: Tables) -> DataFrame:
+    reviews = prepare.fill_comment(prepare.drop_columns(raw.order_reviews_raw, ["review_comment_title"]))
+    return prepare.parse_timestamps(reviews, RAW_TIMESTAMPS["order_reviews"])
+
+
+# The notebook's preparation of every table (cells between load and export).
+PREPARATION: dict[str, Callable[[Tables], DataFrame]] = {
+    "customers": lambda raw: raw.customers,
+    "geoloc": lambda raw: prepare.geo_centroids(raw.geolocation_raw),
+    "order_items": lambda raw: prepare.parse_timestamps(raw.order_items_raw, RAW_TIMESTAMPS["order_items"]),
+    "order_payments": lambda raw: raw.order_payments,
+    "order_reviews": _prepared_reviews,
+    "orders": lambda raw: prepare.add_dq_flags(prepare.parse_timestamps(raw.orders_raw, RAW_TIMESTAMPS["orders"])),
+    "products": lambda raw: prepare.dim_products(raw.products_raw, raw.categories),
+    "sellers": lambda raw: raw.sellers,
+    "categories": lambda raw: raw.categories,
+}
+
+
+def sources_of(name: str) -> list[str]:
+    """The raw sources that a prepared table is made of."""
+    return ["products", "categories"] if name == "products" else [name]
+
+
+def prepare_tables(raw: Tables, names: Iterable[str] = tuple(PREPARED_TABLES)) -> Tables:
+    """The prepared tables, all nine unless ``names`` says which."""
+    return Tables(**{PREPARED_TABLES[name]: PREPARATION[name](raw) for name in names})
 
 
-def write_prepared(t: Tables, out_dir: str, fmt: str = "parquet") -> None:
-    """S-10: write the nine prepared tables (``fmt`` 'parquet' or 'csv' with header; NULL as empty).
+def write_prepared(
+    t: Tables, out_dir: str, fmt: str = "parquet", names: Iterable[str] = tuple(PREPARED_TABLES), compression: str | None = None
+) -> None:
+    """S-10: write prepared tables (``fmt`` 'parquet' or 'csv' with header; NULL as empty), all nine unless ``names`` says which.
 
     CSV booleans are written ``true``/``false`` (Spark's form; pandas writes ``True``/``False``).
     """
-    for name, attr in PREPARED_TABLES.items():
-        df = getattr(t, attr)
-        writer = df.write.mode("overwrite")
+    for name in names:
+        df = getattr(t, PREPARED_TABLES[name])
         path = f"{out_dir.rstrip('/')}/{name}"
         if fmt == "csv":
-            (
-                writer.option("header", True).option("quote", '"').option("escape", '"')
-                .option("timestampNTZFormat", CSV_TIMESTAMP).csv(path)
-            )
+            _csv_writer(df, name, compression).csv(path)
         else:
-            writer.parquet(path)
+            df.write.mode("overwrite").parquet(path)
 
 
-def read_prepared(spark: SparkSession, src_dir: str, fmt: str = "parquet") -> Tables:
-    """Prepared tables written by ``write_prepared``, with their declared schemas."""
+def read_prepared(spark: SparkSession, src_dir: str, fmt: str = "parquet", names: Iterable[str] = tuple(PREPARED_TABLES)) -> Tables:
+    """Prepared tables written by ``write_prepared``, with their declared schemas, all nine unless ``names`` says which."""
     frames = {}
-    for name, attr in PREPARED_TABLES.items():
+    for name in names:
         path = f"{src_dir.rstrip('/')}/{name}"
         df = _read_by_header(spark, path, PREPARED[name], name == MULTI_LINE) if fmt == "csv" else spark.read.parquet(path)
-        frames[attr] = df.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in PREPARED[name].fields})
+        frames[PREPARED_TABLES[name]] = df.withColumns({f.name: F.col(f.name).cast(f.dataType) for f in PREPARED[name].fields})
     return Tables(**frames)

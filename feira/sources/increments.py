@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from feira.operators import prepare
 from feira.session import ensure_checkpoint_dir
 from feira.sources.bridge import Tables
-from feira.sources.csv_io import read_csv_files
+from feira.sources.csv_io import Sources, folder_of, read_csv_files
 from feira.sources.schemas import RAW_FILES, RAW_TIMESTAMPS
 
 FILE, BATCH = "__source_file", "__batch"
@@ -151,11 +151,11 @@ PAYMENTS = Partials(
     {"payments": "1", "value_sum": "payment_value", "value_n": "if(payment_value IS NULL, 0, 1)"})
 
 
-def refreshed(spark: SparkSession, src_dir: str, part: Partials) -> DataFrame:
-    """The merged partials of one of the nine CSV sources below ``src_dir``."""
-    return merged(spark, part, f"{src_dir.rstrip('/')}/{RAW_FILES[part.name]}")
+def refreshed(spark: SparkSession, src: Sources, part: Partials) -> DataFrame:
+    """The merged partials of one of the nine CSV sources."""
+    return merged(spark, part, f"{folder_of(src, part.name).rstrip('/')}/{RAW_FILES[part.name]}")
 
 
-def refreshed_orders(spark: SparkSession, src_dir: str) -> Tables:
+def refreshed_orders(spark: SparkSession, src: Sources) -> Tables:
     """The refreshed orders as a ``Tables``, for the views' own helpers."""
-    return Tables(orders=refreshed(spark, src_dir, ORDERS))
+    return Tables(orders=refreshed(spark, src, ORDERS))

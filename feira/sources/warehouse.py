@@ -35,6 +35,7 @@ import json
 import math
 import threading
 import uuid
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
@@ -54,6 +55,7 @@ RAW = ["orders_raw", "order_items_raw", "order_reviews_raw", "products_raw", "ge
 SOURCES = ["orders", "lineitem", "customer", "nation", "region", "part", "supplier"]
 
 TARGET_FILE_BYTES = 128 * 1024 * 1024
+CSV_COMPRESSION = "gzip"  # of the stored CSV sources and prepared files
 _opened: dict[tuple[str, str, str], Tables] = {}
 _seen: dict[str, tuple] = {}  # the last glance at each input and its full state
 _lock = threading.Lock()  # one writer per driver process, even if queries run on several threads
@@ -208,40 +210,45 @@ def _open(spark: SparkSession, sf_dir: str, key: str, buckets: int, bucketed: bo
     return frames
 
 
-def raw_csv_dir(spark: SparkSession, sf_dir: str) -> str:
-    """Folder holding the raw tables of ``sf_dir`` as the nine source CSV files, exported once.
+def raw_csv_dir(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder holding one raw table of ``sf_dir`` as its source CSV files, exported once.
 
-    Lets the whole reference pipeline (CSV sources -> preparation -> views)
-    run on the given data; keyed and completed like the prepared store.
+    Lets the reference pipeline (CSV sources -> preparation -> views) run on the given data; keyed and completed
+    like the prepared store. Every table has a store of its own, so a query writes the sources it reads and no others.
     """
     from feira.sources.csv_io import export_raw_csv
 
     key = _fingerprint(_source_state(spark, sf_dir), 0, False)
-    store = f"{_root(spark)}/raw-csv-{key}"
+    store = f"{_root(spark)}/raw-csv-v2-{key}/{name}"
     with _lock:
         run = _completed_run(spark, store)
         if run is None:
             run = uuid.uuid4().hex[:12]
-            export_raw_csv(load_tables(spark, sf_dir), f"{store}/{run}")
+            export_raw_csv(load_tables(spark, sf_dir), f"{store}/{run}", [name], CSV_COMPRESSION)
             _publish(spark, store, run)
     return f"{store}/{run}"
 
 
-def prepared_csv_dir(spark: SparkSession, sf_dir: str) -> str:
-    """Folder holding the nine prepared tables as CSV, produced once from the raw CSV sources.
+def raw_csv_dirs(spark: SparkSession, sf_dir: str, names: Iterable[str]) -> dict[str, str]:
+    return {name: raw_csv_dir(spark, sf_dir, name) for name in names}
+
+
+def prepared_csv_dir(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Folder holding one prepared table as CSV, produced once from the raw CSV sources it is made of.
 
     This is the notebook's path end to end: read the raw files, prepare, write
     the prepared files (S-10).
     """
-    from feira.sources.csv_io import prepare_tables, raw_tables, write_prepared
+    from feira.sources.csv_io import prepare_tables, raw_tables, sources_of, write_prepared
 
-    raw = raw_csv_dir(spark, sf_dir)
+    raw = raw_csv_dirs(spark, sf_dir, sources_of(name))
     key = _fingerprint(_source_state(spark, sf_dir), 0, False)
-    store = f"{_root(spark)}/prepared-csv-v2-{key}"
+    store = f"{_root(spark)}/prepared-csv-v3-{key}/{name}"
     with _lock:
         run = _completed_run(spark, store)
         if run is None:
             run = uuid.uuid4().hex[:12]
-            write_prepared(prepare_tables(raw_tables(spark, raw)), f"{store}/{run}", fmt="csv")
+            tables = prepare_tables(raw_tables(spark, raw, raw), [name])
+            write_prepared(tables, f"{store}/{run}", "csv", [name], CSV_COMPRESSION)
             _publish(spark, store, run)
     return f"{store}/{run}"

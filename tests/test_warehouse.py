@@ -44,3 +44,17 @@ def test_changed_input_gives_the_new_result(spark, tmp_path):
     pq.write_table(half, folder / "orders.parquet")
     after = warehouse.warehouse_tables(spark, str(folder)).orders.count()
     assert after == half.num_rows < before
+
+
+def test_a_csv_query_writes_its_own_sources_only(spark, tmp_path, monkeypatch):
+    """Each source has a store of its own: a query exports what it reads, in compressed files of bounded length."""
+    from feira.sources import csv_io
+
+    monkeypatch.setattr(warehouse, "_root", lambda s: str(tmp_path))
+    monkeypatch.setattr(csv_io, "ROWS_PER_COMPRESSED_FILE", 200)
+    rows = load_tables(spark, SF_SMALL).order_items.count()
+    assert entry.queries()["s10_order_items"](spark, SF_SMALL).count() == rows > 200
+    assert {p.name for store in tmp_path.iterdir() for p in store.iterdir()} == {"order_items"}
+    assert len(list(tmp_path.glob("raw-csv-*/order_items/*/*.csv/*.csv.gz"))) >= rows // 200
+    assert entry.queries()["s10_products"](spark, SF_SMALL).count() > 0
+    assert {p.name for p in next(tmp_path.glob("raw-csv-*")).iterdir()} == {"order_items", "products", "categories"}
