@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from feira.sources.bridge import Tables
 
@@ -80,5 +81,13 @@ def wcount_if(cond: Column, w: Column | None = None) -> Column:
     return F.sum(F.when(F.coalesce(cond, F.lit(False)), w).otherwise(F.lit(0)))
 
 
+def first_of(*keys: str, by: str) -> Column:
+    """1 in one row of every group of equal ``keys``, else 0: its sum counts distinct groups.
+
+    The rows are sorted by the keys, with spilling, and numbered as they pass; no hash table holds a task's groups.
+    """
+    return (F.row_number().over(W.partitionBy(*keys).orderBy(by)) == 1).cast("int")
+
+
 def item_value() -> Column:
     return F.col("price") + F.col("freight_value")

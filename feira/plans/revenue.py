@@ -19,6 +19,7 @@ from feira.plans.common import (
     RV_SUM,
     RV_SUMSQ,
     delivered_orders,
+    first_of,
     item_value,
     with_review_weights,
     wsum,
@@ -112,9 +113,10 @@ def per_category(t: Tables) -> DataFrame:
     rows = delivered_item_groups(t, "product_id").join(products, on="product_id")
     return (
         rows.filter(F.col("category_name").isNotNull())
+        .withColumn("first", first_of("order_id", "category_name", by="product_id"))
         .groupBy("category_name")
         .agg(
-            F.countDistinct("order_id").alias("total_orders"),
+            F.sum("first").alias("total_orders"),
             wsum(F.col("units")).alias("units_sold"),
             F.round(wsum(F.col("price_sum")), 2).alias("revenue_dec"),
             wsum(F.col("price_n")).alias("n_price"),

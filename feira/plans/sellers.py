@@ -11,6 +11,7 @@ from feira.plans.common import (
     RV_N,
     RV_SUM,
     delivered_orders,
+    first_of,
     wcount,
     wcount_if,
     weight,
@@ -29,7 +30,8 @@ def per_seller(t: Tables) -> DataFrame:
     """Per-seller aggregate of V-08 before its ranks, the review fan-out as weights.
 
     Items collapse to (order, seller, product) inside the map tasks, before the
-    joins; the two distinct counts then run over those groups.
+    joins. A seller's first row of every order is marked, and the rows collapse to (seller, product), so that both
+    distinct counts become sums and no row is copied for them.
     """
     groups = t.order_items.groupBy("order_id", "seller_id", "product_id").agg(
         F.count(F.lit(1)).alias("items"),
@@ -37,19 +39,30 @@ def per_seller(t: Tables) -> DataFrame:
         F.sum("price").alias("price_sum"),
         F.count("price").alias("price_n"),
     )
+    seller = ["seller_id", "seller_city", "seller_state"]
     rows = with_review_weights(
         groups.join(delivered_orders(t, "order_purchase_timestamp"), on="order_id"), t
-    ).join(t.sellers.select("seller_id", "seller_city", "seller_state"), on="seller_id")
-    return rows.groupBy("seller_id", "seller_city", "seller_state").agg(
-        F.countDistinct("order_id").alias("total_orders"),
-        wsum(F.col("units")).alias("units_sold"),
-        F.round(wsum(F.col("price_sum")), 2).alias("revenue_dec"),
-        wsum(F.col("price_n")).alias("n_price"),
-        F.sum(F.col(RV_SUM) * F.col("items")).alias("score_sum"),
-        F.sum(F.col(RV_N) * F.col("items")).alias("score_n"),
-        F.countDistinct("product_id").alias("unique_products"),
-        F.min("order_purchase_timestamp").alias("first_sale"),
-        F.max("order_purchase_timestamp").alias("last_sale"),
+    ).join(t.sellers.select(*seller), on="seller_id")
+    per_product = rows.withColumn("first", first_of("order_id", *seller, by="product_id")).groupBy(*seller, "product_id").agg(
+        F.sum("first").alias("orders"),
+        wsum(F.col("units")).alias("units"),
+        wsum(F.col("price_sum")).alias("revenue"),
+        wsum(F.col("price_n")).alias("n"),
+        F.sum(F.col(RV_SUM) * F.col("items")).alias("s_sum"),
+        F.sum(F.col(RV_N) * F.col("items")).alias("s_n"),
+        F.min("order_purchase_timestamp").alias("first_at"),
+        F.max("order_purchase_timestamp").alias("last_at"),
+    )
+    return per_product.groupBy(*seller).agg(
+        F.sum("orders").alias("total_orders"),
+        F.sum("units").alias("units_sold"),
+        F.round(F.sum("revenue"), 2).alias("revenue_dec"),
+        F.sum("n").alias("n_price"),
+        F.sum("s_sum").alias("score_sum"),
+        F.sum("s_n").alias("score_n"),
+        F.count("product_id").alias("unique_products"),
+        F.min("first_at").alias("first_sale"),
+        F.max("last_at").alias("last_sale"),
     ).select(
         "seller_id",
         "seller_city",

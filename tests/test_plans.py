@@ -62,3 +62,10 @@ def test_items_collapse_per_order_before_any_join(spark):
         assert joins and union > max(joins[:1]) and between
     counts = per_seller(tables).where("seller_id = 1").collect()
     assert counts and counts[0].units_sold >= 3000
+
+
+def test_distinct_orders_need_no_hash_table_of_orders(spark):
+    """V-02 and V-08 count distinct orders and products by marking rows: no row is copied (Expand), no key of an aggregate is (category, order)."""
+    t = load_tables(spark, SF_SMALL)
+    assert "Expand" not in _plan(plans.revenue.per_category(t)) + _plan(plans.sellers.per_seller(t))
+    assert "keys=[category_name, order_id" not in re.sub(r"#\d+L?", "", _plan(plans.revenue.per_category(t)))
