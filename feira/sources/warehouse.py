@@ -2,11 +2,11 @@
 
 The reference prepares its tables once (notebook -> prepared files -> warehouse
 tables) and runs each view against the stored tables. ``warehouse_tables``
-does the same: the first call for a source directory runs the preparation
-and writes the nine prepared tables (and the raw sources that preparation
-changes, for profiling) as Parquet under the session's
-``spark.checkpoint.dir`` (the cluster's shared folder); later calls, in this
-session or another, register and read them.
+does the same, table by table: the first query for a source directory that asks for
+a prepared table (or, for profiling, a raw source that preparation changes)
+prepares it and writes it as Parquet under the session's
+``spark.checkpoint.dir`` (the cluster's shared folder); later ones, in this
+session or another, register and read it.
 
 Layout. Every table is written as it comes from the scan of its source: files
 follow the scan's partitions, so their number grows with the data and no
@@ -35,8 +35,7 @@ import json
 import math
 import threading
 import uuid
-from collections.abc import Iterable
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +44,7 @@ from pyspark.sql import functions as F
 from feira.session import ensure_checkpoint_dir
 from feira.sources.bridge import Tables, load_tables
 
-LAYOUT_VERSION = "4"
+LAYOUT_VERSION = "5"
 BUCKET_KEY = "order_id"
 FACTS = ["orders", "order_items", "order_payments", "order_reviews"]
 DIMENSIONS = ["customers", "products", "sellers", "categories", "geoloc"]
@@ -137,43 +136,38 @@ def _register(spark: SparkSession, name: str, path: str, bucketed: bool, buckets
     return spark.table(name)
 
 
-def _write(spark: SparkSession, t: Tables, folder: str, key: str, buckets: int, bucketed: bool) -> None:
-    """Write the tables into ``folder`` as concurrent jobs (they are independent)."""
-
-    def write_fact(table: str) -> None:
-        df = getattr(t, table)
-        name, path = _table_name(key, table), f"{folder}/{table}"
-        if bucketed:
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-            (
-                df.repartition(buckets, BUCKET_KEY)
-                .write.mode("overwrite")
-                .bucketBy(buckets, BUCKET_KEY)
-                .sortBy(BUCKET_KEY)
-                .option("path", path)
-                .saveAsTable(name)
-            )
-        else:
-            spread(df).write.mode("overwrite").parquet(path)
-
-    def write_dimension(table: str) -> None:
-        getattr(t, table).write.mode("overwrite").parquet(f"{folder}/{table}")
-
-    def write_raw(table: str) -> None:
-        spread(getattr(t, table)).write.mode("overwrite").parquet(f"{folder}/{table}")
-
-    cores = t.orders.sparkSession.sparkContext.defaultParallelism
-
-    def spread(df: DataFrame) -> DataFrame:
-        return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-    for table in FACTS + DIMENSIONS + RAW:  # build the lazy frames on this thread
-        getattr(t, table)
-    with ThreadPoolExecutor(max_workers=4) as pool:
-        jobs = [pool.submit(write_fact, f) for f in FACTS] + [pool.submit(write_dimension, d) for d in DIMENSIONS]
-        jobs += [pool.submit(write_raw, r) for r in RAW]
-        for job in jobs:
-            job.result()
+def _write(t: Tables, table: str, path: str, name: str, buckets: int, bucketed: bool) -> None:
+    df = getattr(t, table)
+    spark = df.sparkSession
+    if bucketed and table in FACTS:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        (
+            df.repartition(buckets, BUCKET_KEY)
+            .write.mode("overwrite")
+            .bucketBy(buckets, BUCKET_KEY)
+            .sortBy(BUCKET_KEY)
+            .option("path", path)
+            .saveAsTable(name)
+        )
+        return
+    cores = spark.sparkContext.defaultParallelism
+    if table not in DIMENSIONS and df.rdd.getNumPartitions() < cores:
+        df = df.repartition(cores)
+    df.write.mode("overwrite").parquet(path)
+
+
+class StoredTables(Tables):
+    """The tables of a store; each is found or written when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, open_table: Callable[[str], DataFrame]):
+        super().__init__(spark, sf_dir)
+        self._open_table = open_table
+
+    def _get(self, name: str) -> DataFrame:
+        with _lock:
+            if name not in self._frames:
+                self._frames[name] = self._open_table(name)
+            return self._frames[name]
 
 
 def warehouse_tables(
@@ -186,28 +180,21 @@ def warehouse_tables(
     memo = (spark.sparkContext.applicationId, sf_dir, key)
     with _lock:
         if memo not in _opened:
-            _opened[memo] = Tables(spark, sf_dir, **_open(spark, sf_dir, key, buckets, bucketed))
+            _opened[memo] = StoredTables(spark, sf_dir, lambda table: _open(spark, sf_dir, key, table, buckets, bucketed))
         return _opened[memo]
 
 
-def _open(spark: SparkSession, sf_dir: str, key: str, buckets: int, bucketed: bool) -> dict[str, DataFrame]:
-    """Find (or write) the store ``key`` of ``sf_dir`` and return its tables as DataFrames."""
-    store = f"{_root(spark)}/{key}"
+def _open(spark: SparkSession, sf_dir: str, key: str, table: str, buckets: int, bucketed: bool) -> DataFrame:
+    """Find (or write) one table of the store ``key`` of ``sf_dir``."""
+    store = f"{_root(spark)}/{key}/{table}"
     run = _completed_run(spark, store)
     if run is None:
         run = uuid.uuid4().hex[:12]
-        _write(spark, load_tables(spark, sf_dir), f"{store}/{run}", f"{key}_{run}", buckets, bucketed)
+        _write(load_tables(spark, sf_dir), table, f"{store}/{run}", _table_name(f"{key}_{run}", table), buckets, bucketed)
         _publish(spark, store, run)
-    folder = f"{store}/{run}"
-    if bucketed:
-        frames = {
-            table: _register(spark, _table_name(f"{key}_{run}", table), f"{folder}/{table}", True, buckets)
-            for table in FACTS
-        }
-    else:
-        frames = {table: spark.read.parquet(f"{folder}/{table}") for table in FACTS}
-    frames.update({table: spark.read.parquet(f"{folder}/{table}") for table in DIMENSIONS + RAW})
-    return frames
+    if bucketed and table in FACTS:
+        return _register(spark, _table_name(f"{key}_{run}", table), f"{store}/{run}", True, buckets)
+    return spark.read.parquet(f"{store}/{run}")
 
 
 def raw_csv_dir(spark: SparkSession, sf_dir: str, name: str) -> str:

@@ -58,3 +58,10 @@ def test_a_csv_query_writes_its_own_sources_only(spark, tmp_path, monkeypatch):
     assert len(list(tmp_path.glob("raw-csv-*/order_items/*/*.csv/*.csv.gz"))) >= rows // 200
     assert entry.queries()["s10_products"](spark, SF_SMALL).count() > 0
     assert {p.name for p in next(tmp_path.glob("raw-csv-*")).iterdir()} == {"order_items", "products", "categories"}
+
+
+def test_a_view_stores_the_tables_it_reads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warehouse, "_root", lambda s: str(tmp_path))
+    monkeypatch.setattr(warehouse, "_opened", {})
+    assert entry.queries()["v16_installments_analysis"](spark, SF_SMALL).count() == 12
+    assert {p.name for p in next(tmp_path.iterdir()).iterdir()} == {"orders", "order_payments", "order_reviews"}
