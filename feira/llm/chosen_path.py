@@ -13,11 +13,13 @@ are almost all, need only the trees that reach the recall there; the further tre
 
 Nodes. Small nodes are compared exhaustively: bitmaps bound each overlap from above, and what passes is decided on
 the full sorted sets, inside the task. Sets known to be in one component aren't compared again, and a task
-gives at most one link less than it has sets. Larger nodes are first dealt at random into blocks of bounded
-size, each with the node's least set as its centre, which are compared in the same way; when that has been joined into components,
-nodes of one component are closed. In one with few sets outside its largest component those are compared with all others, as pairs of blocks; the
-rest branch on, and at the greatest depth are compared in that way too. Two trees are dealt before the others, so a group of near copies is mostly
-one component when the rest see it. A node's sets are never collected together.
+gives at most one link less than it has sets. Larger nodes of depth 1 are first dealt at random into blocks of bounded
+size, each with the node's least set as its centre, which are compared in the same way and joined into components; two of the trees before the
+others, so a group of near copies is mostly one component when the rest see it. From then on
+nodes of one component are closed. In one with few sets outside its largest component those are compared with all others; the
+rest branch on, and at the greatest depth are compared in that way too. The blocks of all depths and trees below are compared
+together at the end. The sets outside a largest component and those in it are dealt into blocks of one bounded size, every one of the former with every one of the
+latter, so where the former fill one block no set of the latter is dealt twice. A node's sets are never collected together.
 
 Defined cases: rows are the documents; a null or empty text, or one without words, has size 0 and links with
 nothing; fewer than k words are one shingle; a null id keeps its row, with a null component, and is kept; of rows that
@@ -29,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +48,7 @@ RECALL = 0.999999
 FIRST_TREES = 2
 NODE = 64  # sets that are compared exhaustively
 MOST_BROADCAST = 1_000_000  # row numbers (8 bytes each) that are broadcast; beyond, all sets are shuffled
-FEW, MANY = 128, 512  # blocks of the sets outside a node's largest component, and of those in it
+FEW, MANY = 128, 512  # a node with up to 4 * FEW sets outside its largest component doesn't branch; blocks of the sets outside it, and of those in it
 MAX_BITMAP_BITS = 1 << 18
 
 
@@ -220,18 +223,18 @@ def shared_first_nodes(sets: DataFrame, trees: range, limit: Threshold) -> DataF
 
 
 def next_nodes(members: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """(node, rep): the children of the nodes."""
+    """(node, rep, component): the children of the nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            tokens = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            tokens = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint32).reshape(-1, COORDINATES)
             row, node = branches(b.column(0).to_numpy().view(U64), tokens, limit)
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(b.column(1).to_numpy()[row])], ["node", "rep"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *(pa.array(b.column(i).to_numpy()[row]) for i in (1, 2))], ["node", "rep", "component"])
 
     s = sets.select(F.col("rep").alias("s_rep"), "tokens")
-    return map_arrow(members.join(s, F.col("rep") == F.col("s_rep")).select("node", "rep", "tokens"), run, "node long, rep long")
+    return map_arrow(members.join(s, F.col("rep") == F.col("s_rep")).select("node", "rep", "component", "tokens"), run, "node long, rep long, component long")
 
 
 def with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -242,14 +245,15 @@ def with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
         *members.columns, F.coalesce("component_", "rep").alias("component"))
 
 
-def open_nodes(members: DataFrame, found: DataFrame | None) -> DataFrame:
-    """(node, rep, component, c, centre): the members of nodes that hold more than one component, with the node's size and least set."""
-    labelled = with_components(members, found)
+def open_nodes(members: DataFrame) -> DataFrame:
+    """(node, rep, component) of nodes that hold more than one component, with the node's size c, its least set, its largest component and
+    the number of its sets outside that."""
+    sizes = members.groupBy("node", "component").agg(F.count("*").alias("m"), F.min("rep").alias("least"))
     # both sides are stored, so the join is a plain one, which Spark splits at a hot node
-    labelled = stored(labelled) if found is not None else labelled
-    sizes = stored(labelled.groupBy("node").agg(F.count("*").alias("c"), F.min("rep").alias("centre"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-                   .where("lo < hi").select(F.col("node").alias("c_node"), "c", "centre"))
-    return stored(labelled.join(sizes, F.col("node") == F.col("c_node")).select("node", "rep", "component", "c", "centre"))
+    top = stored(sizes.groupBy(F.col("node").alias("t_node")).agg(
+        F.sum("m").alias("c"), F.min("least").alias("centre"), F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("ways"))
+        .where("ways > 1").select("t_node", "c", "centre", F.col("top.component").alias("largest"), (F.col("c") - F.col("top.m")).alias("outside")))
+    return stored(members.join(top, F.col("node") == F.col("t_node")).drop("t_node"))
 
 
 def dealt(members: DataFrame) -> DataFrame:
@@ -261,22 +265,14 @@ def dealt(members: DataFrame) -> DataFrame:
     return t.select(F.xxhash64("node", "at").alias("g"), F.lit(2).cast("long").alias("part"), "rep", "component")
 
 
-def with_largest(members: DataFrame) -> DataFrame:
-    """The members of each node with the node's largest component and the number of its sets outside it."""
-    sizes = members.groupBy("node", "component").agg(F.count("*").alias("m"), F.first("c").alias("c"))
-    top = stored(sizes.groupBy(F.col("node").alias("t_node")).agg(F.max(F.struct("m", "component")).alias("top"), F.first("c").alias("t_c"))
-                 .select("t_node", F.col("top.component").alias("largest"), (F.col("t_c") - F.col("top.m")).alias("outside")))
-    return stored(members.join(top, F.col("node") == F.col("t_node")).drop("t_node"))
-
-
 def outside_pairs(members: DataFrame) -> DataFrame:
     """(g, part, rep, component): pairs of blocks in which every set outside a node's largest component meets all other sets of
     the node. ``part`` is 2 in a block met with itself, else 0 and 1 for the two blocks."""
     out = F.col("component") != F.col("largest")
-    own = F.when(out, F.pmod(F.xxhash64("rep"), F.ceil(F.col("outside") / FEW))).otherwise(F.pmod(F.xxhash64("rep"), F.ceil((F.col("c") - F.col("outside")) / MANY)))
-    t = members.withColumn("out", out).withColumn("own", own)
-    few = F.sequence(F.lit(0).cast("long"), F.ceil(F.col("outside") / FEW) - 1)
-    many = F.sequence(F.lit(0).cast("long"), F.ceil((F.col("c") - F.col("outside")) / MANY) - 1)
+    few_blocks, many_blocks = F.ceil(F.col("outside") / MANY), F.ceil((F.col("c") - F.col("outside")) / MANY)
+    t = members.withColumn("out", out).withColumn("own", F.pmod(F.xxhash64("rep"), F.when(out, few_blocks).otherwise(many_blocks)))
+    few = F.sequence(F.lit(0).cast("long"), few_blocks - 1)
+    many = F.sequence(F.lit(0).cast("long"), many_blocks - 1)
     part = F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).cast("long")
     among = t.where("out").withColumn("o", F.explode(few)).select(
         F.xxhash64("node", F.least("own", "o"), F.greatest("own", "o"), F.lit(1)).alias("g"), part.alias("part"), "rep", "component")
@@ -355,27 +351,21 @@ class Search:
             self.edges = links if self.edges is None else self.edges.union(links)
             self.found = stored(components(self.edges).select(F.col("node").alias("node_"), F.col("component").alias("component_")))
 
-    def descend(self, members: DataFrame, depth: int) -> DataFrame | None:
-        """Compare what the given nodes of depth 1 hold, and what the large ones' descendants hold; (rep) of those that branched."""
-        branched = None
+    def labelled(self, members: DataFrame) -> DataFrame:
+        return stored(with_components(members.select("node", "rep"), self.found))
+
+    def descend(self, members: DataFrame, depth: int) -> tuple[list[DataFrame], DataFrame | None]:
+        """The blocks to compare of the given open nodes of depth 1 and of the large ones' descendants, and (rep) of the sets that branched."""
+        blocks, branched = [], None
         for level in range(1, depth + 1):
-            members = open_nodes(members.select("node", "rep"), self.found)
-            self.compare(dealt(members))
-            members = members.where(F.col("c") > NODE)
-            if members.isEmpty():
-                break
-            members = open_nodes(members.select("node", "rep"), self.found)
-            if members.isEmpty():
-                break
-            members = with_largest(members)
             ends = F.lit(level == depth) | (F.col("outside") <= 4 * FEW)
-            self.compare(outside_pairs(members.where(ends)))
-            members = members.where(~ends)
+            blocks += [dealt(members.where(F.col("c") <= NODE)), outside_pairs(members.where((F.col("c") > NODE) & ends))]
+            members = members.where((F.col("c") > NODE) & ~ends)
             if members.isEmpty():
                 break
             branched = stored(members.select("rep").distinct()) if branched is None else branched
-            members = stored(next_nodes(members.select("node", "rep"), self.sets, self.limit))
-        return branched
+            members = open_nodes(stored(next_nodes(members.select("node", "rep", "component"), self.sets, self.limit)))
+        return blocks, branched
 
 
 def near_duplicates(
@@ -391,10 +381,16 @@ def near_duplicates(
     state = Search(sets, elements(docs, sets, limit, id_col, text_col), limit)
     early = first.where(F.col("tree") < FIRST_TREES).withColumn("component", F.col("rep"))
     state.compare(dealt(early))
-    branched = state.descend(first.where((F.col("tree") >= FIRST_TREES) | (F.col("c") > NODE)), depth)
-    if branched is not None:  # what parted from its node below depth 1 needs the trees that reach the recall there
+    wide = open_nodes(state.labelled(first.where((F.col("tree") >= FIRST_TREES) | (F.col("c") > NODE))))
+    state.compare(dealt(wide))
+    # the small nodes are done; what parted from a larger one below depth 1 needs the trees that reach the recall there
+    large = open_nodes(state.labelled(wide.where(F.col("c") > NODE)))
+    blocks, branched = state.descend(large, depth)
+    if branched is not None:
         deep = stored(sets.join(branched.withColumnRenamed("rep", "b_rep"), F.col("rep") == F.col("b_rep"), "left_semi"))
-        state.descend(shared_first_nodes(deep, range(shallow, trees_for(limit, recall, depth)), limit), depth)
+        more = shared_first_nodes(deep, range(shallow, trees_for(limit, recall, depth)), limit)
+        blocks += state.descend(open_nodes(state.labelled(more)), depth)[0]
+    state.compare(reduce(DataFrame.union, blocks))
 
     labelled = with_components(member, state.found)
     least = stored(labelled.where("component IS NOT NULL").groupBy(F.col("component").alias("l_component")).agg(F.min("doc_id").alias("least")))

@@ -74,3 +74,31 @@ def test_trees_reach_the_recall():
     limit = Threshold(4, 80, 100)
     n = trees_for(limit, RECALL, 8)
     assert (1 - survival(0.8, 1.25, 8)) ** n <= 1 - RECALL < (1 - survival(0.8, 1.25, 8)) ** (n - 1)
+
+
+def test_largest_component_is_dealt_once(spark):
+    """A set of a node's largest component is in one block, with all sets outside that component, while these fill one block."""
+    from pyspark.sql import functions as F
+
+    members = spark.range(1500).select(
+        F.lit(9).cast("long").alias("node"), F.col("id").alias("rep"), F.when(F.col("id") < 1000, 0).otherwise(F.col("id")).alias("component"),
+        F.lit(1500).cast("long").alias("c"), F.lit(0).cast("long").alias("centre"), F.lit(0).cast("long").alias("largest"), F.lit(500).cast("long").alias("outside"))
+    rows = chosen_path.outside_pairs(members).collect()
+    blocks = {}
+    for r in rows:
+        blocks.setdefault(r.g, {0: set(), 1: set(), 2: set()})[r.part].add(r.rep)
+    largest, outside = set(range(1000)), set(range(1000, 1500))
+    assert sorted(r.rep for r in rows if r.rep in largest) == sorted(largest)
+    assert outside in [b[2] for b in blocks.values()]
+    assert {x for b in blocks.values() if outside <= b[0] for x in b[1]} == largest
+
+
+def test_depths_are_compared_together(spark, rng, text, monkeypatch):
+    """However deep large nodes branch: two of the trees, the nodes of depth 1, and all below them in one step."""
+    monkeypatch.setattr(chosen_path, "NODE", 4)
+    monkeypatch.setattr(chosen_path, "FEW", 1)
+    steps, compare = [], chosen_path.Search.compare
+    monkeypatch.setattr(chosen_path.Search, "compare", lambda self, blocks: (steps.append(1), compare(self, blocks))[1])
+    passage = text(60)
+    check(spark, [(i, passage + " " + text(25)) for i in range(40)], Threshold(4, 80, 100), depth=3)
+    assert len(steps) <= 3
