@@ -14,11 +14,12 @@ of its links. Sets with more empty slices are also tiled under further hash seed
 under the last one with their empty slices too, so no link is lost at any size.
 
 Pairs. Only tiles with two or more sets remain. A first round compares each
-set of a tile with the one before it and with the first one; what links is joined into components.
-Later rounds take the tiles whose sets still lie in different components, in blocks of bounded size (a tile with many sets is
-dealt out as pairs of blocks): in ``FOREST_ROUNDS`` of them a block gives fewer pairs than it has components, and what links is
-joined before the next; the last one gives all pairs that are still open, which are those whose bitmaps allow a link that isn't there. Pairs inside one component can't change the
-result and aren't compared (``link_counts``, which gives the links of every document, compares all pairs of a tile). In both rounds a pair's bitmaps come first: elements
+set of a tile with the one before it and with the first one, which are all pairs of up to three sets; what links is joined into components.
+Larger tiles whose sets still lie in different components are then dealt, once, into blocks of bounded size (a tile with many sets is
+dealt out as pairs of blocks). In up to ``FOREST_ROUNDS`` rounds a block gives fewer pairs than it has components, and what links is
+joined before the next. A block is done when all pairs it has given link, as those it kept back lie in one component then; only
+the others go on to the next round, and the last one gives all pairs that are still open, which are those of blocks whose bitmaps allow a link that isn't there. Pairs inside one component can't change the
+result and aren't compared (``link_counts``, which gives the links of every document, compares all pairs of a tile). In all rounds a pair's bitmaps come first: elements
 are hashed into bits, and a bit of A missing from B is an element missing from B, so
 |A| less the count of such bits bounds the intersection from above. Pairs that
 pass are decided by intersecting their sorted hash arrays.
@@ -48,6 +49,8 @@ SPARE_FROM = 24  # sets below this size rely on further seeds instead of spare s
 BLOCK = 512  # sets of a tile compared at once
 MAX_SIGNATURE_BITS = 1 << 18
 FOREST_ROUNDS = 3
+FIRST_ROUND = 3  # sets of a tile of which the first round compares all pairs
+MOST_BROADCAST = 1_000_000  # ids (8 bytes each) that are broadcast; beyond, all texts are shuffled
 SALT_1, SALT_2, SALT_SLICE = U64(mix_int(11)), U64(mix_int(12)), U64(mix_int(13))
 
 
@@ -87,7 +90,7 @@ class Bands:
             low, high = self.low[band], self.low[band + 1] - 1
             num, den = self.limit.num, self.limit.den
             least = max(1, -(-low * num // den))
-            need = high * (den - num) // num + 1
+            need = 2 * high * (den - num) // (num + den) + 1  # |A| + |B| less twice the least intersection, and one more
             spare = 0
             if least >= SPARE_FROM:
                 empty = lambda k: k * (1 - 1 / k) ** least
@@ -235,18 +238,24 @@ def _pair_blocks(tiles: DataFrame, block: int) -> DataFrame:
     return t.select(F.xxhash64("key", i, j).alias("g"), F.when(F.col("b") == F.col("o"), 2).when(F.col("b") < F.col("o"), 0).otherwise(1).alias("side"), "rep", "component")
 
 
-def _candidates(tiles: DataFrame, sizes: DataFrame, limit: Threshold, forest: bool = False) -> DataFrame:
-    """Distinct pairs (a < b) of a tile whose components differ and whose sizes and bitmaps allow a link.
+def _candidates(tiles: DataFrame, sizes: DataFrame, limit: Threshold) -> DataFrame:
+    """Distinct pairs (a < b) of a tile whose components differ and whose sizes and bitmaps allow a link."""
+    return _block_pairs(_pair_blocks(tiles, BLOCK), sizes, limit).select("a", "b").distinct()
+
+
+def _block_pairs(blocks: DataFrame, sizes: DataFrame, limit: Threshold, forest: bool = False) -> DataFrame:
+    """(a, b, g, held): pairs (a < b) of a block whose components differ and whose sizes and bitmaps allow a link; a pair comes
+    once for each block that has it.
 
     With ``forest`` a block gives just the pairs, in order of their names, that join components which no pair before them has joined, so
-    fewer than it has components.
+    fewer than it has components; ``held`` tells that it kept others back.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in column_runs(batches, "g", flush_rows=4096):
-            side, rep, comp, n = (table[c].to_numpy() for c in ("side", "rep", "component", "n"))
+            g, side, rep, comp, n = (table[c].to_numpy() for c in ("g", "side", "rep", "component", "n"))
             sigs = [np.frombuffer(x, U64) for x in table["sig"].to_pylist()]
-            out_a, out_b = [], []
+            out_a, out_b, out_g, out_held = [], [], [], []
             for lo, hi in zip(starts[:-1], starts[1:]):
                 if comp[lo:hi].min() == comp[lo:hi].max():
                     continue
@@ -254,6 +263,7 @@ def _candidates(tiles: DataFrame, sizes: DataFrame, limit: Threshold, forest: bo
                 s = np.stack([folded(x, words) for x in sigs[lo:hi]])
                 left = range(lo, hi) if side[lo] == 2 else [i for i in range(lo, hi) if side[i] == 0]
                 up: dict[int, int] = {}
+                held, given = False, 0
 
                 def root(x: int) -> int:
                     while up.get(x, x) != x:
@@ -275,15 +285,19 @@ def _candidates(tiles: DataFrame, sizes: DataFrame, limit: Threshold, forest: bo
                             if x != y:
                                 up[max(x, y)] = min(x, y)
                                 joins.append(j)
+                        held |= len(joins) < len(to)
                         to = np.array(joins, np.int64)
                     if len(to):
                         out_a.append(np.minimum(rep[to], rep[i]))
                         out_b.append(np.maximum(rep[to], rep[i]))
+                        given += len(to)
+                out_g.append(np.full(given, g[lo]))
+                out_held.append(np.full(given, held))
             if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b, out_g, out_held)], ["a", "b", "g", "held"])
 
-    rows = _pair_blocks(tiles, BLOCK).join(sizes, "rep").repartition("g").sortWithinPartitions("g", "rep")
-    return map_arrow(rows.select("g", "side", "rep", "component", "n", "sig"), run, "a long, b long").distinct()
+    rows = blocks.join(sizes, "rep").repartition("g").sortWithinPartitions("g", "rep")
+    return map_arrow(rows.select("g", "side", "rep", "component", "n", "sig"), run, "a long, b long, g long, held boolean")
 
 
 def _bitmap_filter(pairs: DataFrame, sizes: DataFrame, limit: Threshold) -> DataFrame:
@@ -309,7 +323,10 @@ def _bitmap_filter(pairs: DataFrame, sizes: DataFrame, limit: Threshold) -> Data
 def _verified(pairs: DataFrame, docs: DataFrame, limit: Threshold, id_col: str, text_col: str) -> DataFrame:
     """The pairs that link, by intersecting their sorted hash arrays; only texts in pairs are read into arrays again."""
     ids = pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct()
-    wanted = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(ids, F.col("doc_id") == F.col("w"), "left_semi")
+    ids = stored(ids)
+    if ids.count() <= MOST_BROADCAST:  # few of the texts are in pairs: the others needn't be shuffled to find that out
+        ids = F.broadcast(ids)
+    wanted = _named_texts(docs, id_col, text_col).join(ids, F.col("doc_id") == F.col("w"), "left_semi")
     wanted = wanted.withColumn("t", F.xxhash64("text")).dropDuplicates(["doc_id", "t"]).drop("t")  # repeated rows are one
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,6 +388,10 @@ def link_counts(docs: DataFrame, limit: Threshold = Threshold(), id_col: str = "
     return named.join(single, F.col("node") == F.col("m_node"), "left").select("doc_id", n_links.alias("n_links"))
 
 
+def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found, F.col("rep") == F.col("node"), "left").select(*rows.columns, F.coalesce("component", "rep").alias("component"))
+
+
 def jaccard_join(docs: DataFrame, limit: Threshold = Threshold(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest id reachable by links, its own included): a row per document."""
     profiles, member, tiles, sizes = _classes(docs, limit, id_col, text_col)
@@ -381,21 +402,29 @@ def jaccard_join(docs: DataFrame, limit: Threshold = Threshold(), id_col: str =
     links = _verified(stored(_bitmap_filter(near, sizes, limit)), docs, limit, id_col, text_col)
     found = components(links)
 
-    rounds, last = 0, False
-    while True:
-        open_tiles = tiles.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-        open_tiles = stored(open_tiles)
-        mixed = stored(open_tiles.groupBy(F.col("key").alias("m_key")).agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi"))
-        open_tiles = open_tiles.join(mixed, F.col("key") == F.col("m_key"), "left_semi")
-        more = _verified(stored(_candidates(open_tiles, sizes, limit, forest=not last)), docs, limit, id_col, text_col)
+    labelled = stored(_with_component(tiles, found))
+    mixed = labelled.groupBy(F.col("key").alias("m_key")).agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    mixed = stored(mixed.where((F.col("c") > FIRST_ROUND) & (F.col("lo") < F.col("hi"))).select("m_key"))
+    blocks = stored(_pair_blocks(labelled.join(mixed, F.col("key") == F.col("m_key"), "left_semi"), BLOCK).select("g", "side", "rep"))
+    joined = True
+    for number in range(FOREST_ROUNDS + 1):
+        if blocks.isEmpty():
+            break
+        last = not joined or number == FOREST_ROUNDS
+        given = stored(_block_pairs(_with_component(blocks, found), sizes, limit, forest=not last))
+        if given.isEmpty():
+            break
+        more = _verified(stored(given.select("a", "b").distinct()), docs, limit, id_col, text_col)
         joined = not more.isEmpty()
         if joined:
             links = stored(links.union(more))
             found = components(links)
         if last:
             break
-        rounds += 1
-        last = not joined or rounds == FOREST_ROUNDS
+        linked = more.select(F.col("a").alias("l_a"), F.col("b").alias("l_b"))
+        failed = given.where("held").join(linked, (F.col("a") == F.col("l_a")) & (F.col("b") == F.col("l_b")), "left_anti")
+        failed = stored(failed.select(F.col("g").alias("f_g")).distinct())
+        blocks = stored(blocks.join(failed, F.col("g") == F.col("f_g"), "left_semi"))
 
     named = member.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     named = named.groupBy(F.col("doc_id").alias("n_id")).agg(F.min("c").alias("c"))

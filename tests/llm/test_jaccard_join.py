@@ -187,3 +187,46 @@ def test_near_copies_of_one_text(spark, rng, text):
     df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in rows], SCHEMA).repartition(3)
     limit = Threshold(5, 80, 100)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df, limit).collect()} == brute(rows, limit)
+
+
+def test_compared_blocks_are_not_compared_again(spark, rng, text, monkeypatch):
+    """The first round has compared all pairs of tiles of three sets; a block whose given pairs all link is done."""
+    from feira.llm import jaccard_join as j
+
+    rounds, verified = [], j._verified
+    monkeypatch.setattr(j, "_verified", lambda *a: (rounds.append(1), verified(*a))[1])
+    limit = Threshold()
+    few = [(10 * f + i, edited(rng, base, 12)) for f, base in enumerate([text(150) for _ in range(4)]) for i in range(3)]
+    df = spark.createDataFrame(few, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df, limit).collect()} == brute(few, limit)
+    assert len(rounds) == 1
+    rounds.clear()
+    base = text(300)
+    near = [(i, edited(rng, base, 1)) for i in range(40)]
+    df = spark.createDataFrame(near, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df, limit).collect()} == brute(near, limit)
+    assert len(rounds) <= 2
+
+
+def test_few_texts_in_pairs_shuffle_no_others(spark, text, monkeypatch):
+    from feira.llm import jaccard_join as j
+
+    plans, kept = [], j.stored
+    monkeypatch.setattr(j, "stored", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), kept(df))[1])
+    docs = spark.createDataFrame([(i, text(20)) for i in range(30)], "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert j._verified(pairs, docs, Threshold(), "doc_id", "text").count() == 0
+    semi = [p for p in plans if "LeftSemi" in p]
+    assert len(semi) == 1 and "rightHint=(strategy=broadcast)" in semi[0]
+
+
+def test_stars_need_no_further_round(spark, monkeypatch):
+    from feira.llm import graph
+
+    written, kept = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df: (written.append(1), kept(df))[1])
+    edges = spark.createDataFrame([(1, 5), (6, 1), (8, 7), (7, 7)], "a long, b long")
+    assert {(r.node, r.component) for r in components(edges).collect()} == {(1, 1), (5, 1), (6, 1), (7, 7), (8, 7)}
+    assert len(written) == 1
+    chain = spark.createDataFrame([(1, 2), (3, 2), (3, 4)], "a long, b long")
+    assert {(r.node, r.component) for r in components(chain).collect()} == {(i, 1) for i in range(1, 5)}
