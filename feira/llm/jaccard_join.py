@@ -15,11 +15,9 @@ under the last one with their empty slices too, so no link is lost at any size.
 
 Pairs. Only tiles with two or more sets remain. A first round compares each
 set of a tile with the one before it and with the first one, which are all pairs of up to three sets; what links is joined into components.
-Larger tiles whose sets still lie in different components are then dealt, once, into blocks of bounded size (a tile with many sets is
-dealt out as pairs of blocks). In up to ``FOREST_ROUNDS`` rounds a block gives fewer pairs than it has components, and what links is
-joined before the next. A block is done when all pairs it has given link, as those it kept back lie in one component then; only
-the others go on to the next round, and the last one gives all pairs that are still open, which are those of blocks whose bitmaps allow a link that isn't there. Pairs inside one component can't change the
-result and aren't compared (``link_counts``, which gives the links of every document, compares all pairs of a tile). In all rounds a pair's bitmaps come first: elements
+Larger tiles whose sets still lie in different components are then compared in one round of blocks of bounded size (see ``blocks``):
+near copies of one text share very many tiles, so tiles with the same largest component become one node where that deals out fewer rows. Pairs inside one component can't change the
+result and aren't compared (``link_counts``, which gives the links of every document, compares all pairs of a tile). In both rounds a pair's bitmaps come first: elements
 are hashed into bits, and a bit of A missing from B is an element missing from B, so
 |A| less the count of such bits bounds the intersection from above. Pairs that
 pass are decided by intersecting their sorted hash arrays.
@@ -33,13 +31,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feira.llm.blocks import MOST_BROADCAST, Threshold, all_pairs, bitmap, block_links, folded, may_link, merged_nodes, open_nodes, possible_rows
 from feira.llm.graph import components
 from feira.llm.textops import U64, chunks, column_runs, map_arrow, mix, mix_int, shingles, stored, word_hashes
 
@@ -47,28 +45,10 @@ BAND_RATIO = 1.35
 SEEDS = 6
 SPARE_FROM = 24  # sets below this size rely on further seeds instead of spare slices
 BLOCK = 512  # sets of a tile compared at once
-MAX_SIGNATURE_BITS = 1 << 18
-FOREST_ROUNDS = 3
 FIRST_ROUND = 3  # sets of a tile of which the first round compares all pairs
-MOST_BROADCAST = 1_000_000  # ids (8 bytes each) that are broadcast; beyond, all texts are shuffled
 SALT_1, SALT_2, SALT_SLICE = U64(mix_int(11)), U64(mix_int(12)), U64(mix_int(13))
 
 
-@dataclass(frozen=True)
-class Threshold:
-    """Linked: den * intersection >= num * union."""
-
-    k: int = 3
-    num: int = 90
-    den: int = 100
-
-    def linked(self, size_a: int, size_b: int, shared: int) -> bool:
-        return self.den * shared >= self.num * (size_a + size_b - shared)
-
-    def least_shared(self, size_a: int, size_b: int) -> int:
-        return -(-self.num * (size_a + size_b) // (self.num + self.den))
-
-
 class Bands:
     """The size bands and each one's slices."""
 
@@ -129,29 +109,6 @@ def tile_keys(values: np.ndarray, bands: Bands) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def signature(values: np.ndarray) -> bytes:
-    """A bitmap of the set: bit (hash mod bits) for every element; bits are a power of two, at least four times the size."""
-    bits = min(MAX_SIGNATURE_BITS, max(64, 1 << (4 * len(values) - 1).bit_length()))
-    flags = np.zeros(bits, np.uint8)
-    flags[(values & U64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(flags, bitorder="little").tobytes()
-
-
-def folded(sig: np.ndarray, words: int) -> np.ndarray:
-    """A bitmap (uint64 words) folded to fewer words: the bits of the hash modulo the smaller size."""
-    while len(sig) > words:
-        sig = sig[: len(sig) // 2] | sig[len(sig) // 2 :]
-    return sig
-
-
-def may_link(limit: Threshold, n_a: np.ndarray, sig_a: np.ndarray, n_b: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
-    """Whether the bit counts leave room for enough shared elements; bitmaps broadcast against each other, words last."""
-    only_a = np.bitwise_count(sig_a & ~sig_b).sum(axis=-1, dtype=np.int64)
-    only_b = np.bitwise_count(sig_b & ~sig_a).sum(axis=-1, dtype=np.int64)
-    bound = np.minimum(n_a - only_a, n_b - only_b)
-    return limit.den * bound >= limit.num * (n_a + n_b - bound)
-
-
 def sets_of(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     for c in chunks(column):
@@ -174,7 +131,7 @@ def profile(docs: DataFrame, limit: Threshold, id_col: str, text_col: str) -> Da
                 n.append(len(u))
                 h1.append(int(mix(u ^ SALT_1).sum(dtype=U64).view(np.int64)))
                 h2.append(int(mix(u ^ SALT_2).sum(dtype=U64).view(np.int64)))
-                sig.append(signature(u) if named and len(u) else None)
+                sig.append(bitmap(u).tobytes() if named and len(u) else None)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n", "h1", "h2", "sig"])
 
@@ -240,36 +197,24 @@ def _pair_blocks(tiles: DataFrame, block: int) -> DataFrame:
 
 def _candidates(tiles: DataFrame, sizes: DataFrame, limit: Threshold) -> DataFrame:
     """Distinct pairs (a < b) of a tile whose components differ and whose sizes and bitmaps allow a link."""
-    return _block_pairs(_pair_blocks(tiles, BLOCK), sizes, limit).select("a", "b").distinct()
-
+    return _block_pairs(_pair_blocks(tiles, BLOCK), sizes, limit).distinct()
 
-def _block_pairs(blocks: DataFrame, sizes: DataFrame, limit: Threshold, forest: bool = False) -> DataFrame:
-    """(a, b, g, held): pairs (a < b) of a block whose components differ and whose sizes and bitmaps allow a link; a pair comes
-    once for each block that has it.
 
-    With ``forest`` a block gives just the pairs, in order of their names, that join components which no pair before them has joined, so
-    fewer than it has components; ``held`` tells that it kept others back.
-    """
+def _block_pairs(blocks: DataFrame, sizes: DataFrame, limit: Threshold) -> DataFrame:
+    """(a, b): pairs (a < b) of a block whose components differ and whose sizes and bitmaps allow a link; a pair comes
+    once for each block that has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in column_runs(batches, "g", flush_rows=4096):
-            g, side, rep, comp, n = (table[c].to_numpy() for c in ("g", "side", "rep", "component", "n"))
+            side, rep, comp, n = (table[c].to_numpy() for c in ("side", "rep", "component", "n"))
             sigs = [np.frombuffer(x, U64) for x in table["sig"].to_pylist()]
-            out_a, out_b, out_g, out_held = [], [], [], []
+            out_a, out_b = [], []
             for lo, hi in zip(starts[:-1], starts[1:]):
                 if comp[lo:hi].min() == comp[lo:hi].max():
                     continue
                 words = min(len(x) for x in sigs[lo:hi])
                 s = np.stack([folded(x, words) for x in sigs[lo:hi]])
                 left = range(lo, hi) if side[lo] == 2 else [i for i in range(lo, hi) if side[i] == 0]
-                up: dict[int, int] = {}
-                held, given = False, 0
-
-                def root(x: int) -> int:
-                    while up.get(x, x) != x:
-                        x = up[x]
-                    return x
-
                 for i in left:
                     if side[i] == 2:
                         to = np.arange(i + 1, hi)
@@ -278,26 +223,14 @@ def _block_pairs(blocks: DataFrame, sizes: DataFrame, limit: Threshold, forest:
                     to = to[(comp[to] != comp[i]) & (limit.den * np.minimum(n[to], n[i]) >= limit.num * np.maximum(n[to], n[i]))]
                     if len(to):
                         to = to[may_link(limit, n[i], s[i - lo], n[to], s[to - lo])]
-                    if forest and len(to):
-                        joins = []
-                        for j in to:
-                            x, y = root(int(comp[i])), root(int(comp[j]))  # noqa: B023
-                            if x != y:
-                                up[max(x, y)] = min(x, y)
-                                joins.append(j)
-                        held |= len(joins) < len(to)
-                        to = np.array(joins, np.int64)
                     if len(to):
                         out_a.append(np.minimum(rep[to], rep[i]))
                         out_b.append(np.maximum(rep[to], rep[i]))
-                        given += len(to)
-                out_g.append(np.full(given, g[lo]))
-                out_held.append(np.full(given, held))
             if out_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b, out_g, out_held)], ["a", "b", "g", "held"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_a, out_b)], ["a", "b"])
 
     rows = blocks.join(sizes, "rep").repartition("g").sortWithinPartitions("g", "rep")
-    return map_arrow(rows.select("g", "side", "rep", "component", "n", "sig"), run, "a long, b long, g long, held boolean")
+    return map_arrow(rows.select("g", "side", "rep", "component", "n", "sig"), run, "a long, b long")
 
 
 def _bitmap_filter(pairs: DataFrame, sizes: DataFrame, limit: Threshold) -> DataFrame:
@@ -320,22 +253,28 @@ def _bitmap_filter(pairs: DataFrame, sizes: DataFrame, limit: Threshold) -> Data
     return map_arrow(both, run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, limit: Threshold, id_col: str, text_col: str) -> DataFrame:
-    """The pairs that link, by intersecting their sorted hash arrays; only texts in pairs are read into arrays again."""
-    ids = pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))).distinct()
-    ids = stored(ids)
-    if ids.count() <= MOST_BROADCAST:  # few of the texts are in pairs: the others needn't be shuffled to find that out
+def _full_sets(ids: DataFrame, docs: DataFrame, limit: Threshold, id_col: str, text_col: str) -> DataFrame:
+    """(rep, n, elements): the sorted hash arrays of the texts of the ids ``w``; only these texts are read into arrays again."""
+    ids = stored(ids.distinct())
+    if ids.count() <= MOST_BROADCAST:  # few of the texts are wanted: the others needn't be shuffled to find that out
         ids = F.broadcast(ids)
     wanted = _named_texts(docs, id_col, text_col).join(ids, F.col("doc_id") == F.col("w"), "left_semi")
     wanted = wanted.withColumn("t", F.xxhash64("text")).dropDuplicates(["doc_id", "t"]).drop("t")  # repeated rows are one
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([u.tobytes() for u in sets_of(b.column(1), limit.k)], pa.binary())], ["doc_id", "elements"])
+            found = list(sets_of(b.column(1), limit.k))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(u) for u in found], pa.int64()), pa.array([u.tobytes() for u in found], pa.binary())], ["rep", "n", "elements"])
+
+    return stored(map_arrow(wanted, arrays, "rep long, n long, elements binary"))
 
-    sets = stored(map_arrow(wanted, arrays, "doc_id long, elements binary"))
-    a = sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("x"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("y"))
+
+def _verified(pairs: DataFrame, docs: DataFrame, limit: Threshold, id_col: str, text_col: str) -> DataFrame:
+    """The pairs that link, by intersecting their sorted hash arrays."""
+    sets = _full_sets(pairs.select(F.col("a").alias("w")).union(pairs.select(F.col("b").alias("w"))), docs, limit, id_col, text_col)
+    a = sets.select(F.col("rep").alias("a"), F.col("elements").alias("x"))
+    b = sets.select(F.col("rep").alias("b"), F.col("elements").alias("y"))
 
     def intersect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -403,28 +342,12 @@ def jaccard_join(docs: DataFrame, limit: Threshold = Threshold(), id_col: str =
     found = components(links)
 
     labelled = stored(_with_component(tiles, found))
-    mixed = labelled.groupBy(F.col("key").alias("m_key")).agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = stored(mixed.where((F.col("c") > FIRST_ROUND) & (F.col("lo") < F.col("hi"))).select("m_key"))
-    blocks = stored(_pair_blocks(labelled.join(mixed, F.col("key") == F.col("m_key"), "left_semi"), BLOCK).select("g", "side", "rep"))
-    joined = True
-    for number in range(FOREST_ROUNDS + 1):
-        if blocks.isEmpty():
-            break
-        last = not joined or number == FOREST_ROUNDS
-        given = stored(_block_pairs(_with_component(blocks, found), sizes, limit, forest=not last))
-        if given.isEmpty():
-            break
-        more = _verified(stored(given.select("a", "b").distinct()), docs, limit, id_col, text_col)
-        joined = not more.isEmpty()
-        if joined:
-            links = stored(links.union(more))
-            found = components(links)
-        if last:
-            break
-        linked = more.select(F.col("a").alias("l_a"), F.col("b").alias("l_b"))
-        failed = given.where("held").join(linked, (F.col("a") == F.col("l_a")) & (F.col("b") == F.col("l_b")), "left_anti")
-        failed = stored(failed.select(F.col("g").alias("f_g")).distinct())
-        blocks = stored(blocks.join(failed, F.col("g") == F.col("f_g"), "left_semi"))
+    merged, others = merged_nodes(open_nodes(labelled.withColumnRenamed("key", "node"), beyond=FIRST_ROUND), BLOCK)
+    possible = possible_rows(all_pairs(merged, BLOCK).union(all_pairs(others, BLOCK)), sizes, limit)
+    if not possible.isEmpty():
+        more = block_links(possible, _full_sets(possible.select(F.col("rep").alias("w")), docs, limit, id_col, text_col), limit)
+        if not more.isEmpty():  # a component is named by one of its sets
+            found = components(links.union(more))
 
     named = member.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("c"))
     named = named.groupBy(F.col("doc_id").alias("n_id")).agg(F.min("c").alias("c"))

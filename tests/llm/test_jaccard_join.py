@@ -230,3 +230,17 @@ def test_stars_need_no_further_round(spark, monkeypatch):
     assert len(written) == 1
     chain = spark.createDataFrame([(1, 2), (3, 2), (3, 4)], "a long, b long")
     assert {(r.node, r.component) for r in components(chain).collect()} == {(i, 1) for i in range(1, 5)}
+
+
+def test_near_copies_are_compared_once(spark, rng, text, monkeypatch):
+    """Texts that share very many tiles with a group of near copies without a link to it: few rows are dealt out for all these tiles."""
+    from feira.llm import jaccard_join as j
+
+    dealt, possible = [], j.possible_rows
+    monkeypatch.setattr(j, "possible_rows", lambda blocks, *a: (dealt.append(blocks.count()), possible(blocks, *a))[1])
+    base = text(300)
+    rows = [(i, edited(rng, base, 2)) for i in range(40)] + [(100 + i, edited(rng, base, 30)) for i in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    limit = Threshold(5, 80, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join(df, limit).collect()} == brute(rows, limit)
+    assert len(dealt) == 1 and dealt[0] <= 10 * len(rows)
