@@ -16,7 +16,8 @@ the full sorted sets, inside the task. Sets known to be in one component aren't
 gives at most one link less than it has sets. Larger nodes of depth 1 are first dealt at random into blocks of bounded
 size, each with the node's least set as its centre, which are compared in the same way and joined into components; two of the trees before the
 others, so a group of near copies is mostly one component when the rest see it. From then on
-nodes of one component are closed. In one with few sets outside its largest component those are compared with all others; the
+nodes of one component are closed. Those that have at least half their sets in the same largest component are compared as one node (see
+``blocks``), as near copies of one text are in most trees' nodes. In one with few sets outside its largest component those are compared with all others; the
 rest branch on, and at the greatest depth are compared in that way too. The blocks of all depths and trees below are compared
 together at the end. The sets outside a largest component and those in it are dealt into blocks of one bounded size, every one of the former with every one of the
 latter, so where the former fill one block no set of the latter is dealt twice. A node's sets are never collected together.
@@ -38,18 +39,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from feira.llm.blocks import Threshold, all_pairs, bitmap, block_links, merged_nodes, open_nodes, outside_pairs, possible_rows  # noqa: F401
 from feira.llm.graph import components
-from feira.llm.jaccard_join import Threshold, folded, may_link, sets_of
-from feira.llm.textops import U64, column_runs, map_arrow, mix, mix_int, stored
+from feira.llm.jaccard_join import sets_of
+from feira.llm.textops import U64, map_arrow, mix, mix_int, stored
 
 COORDINATES = 64
 DEPTH = 8
 RECALL = 0.999999
 FIRST_TREES = 2
 NODE = 64  # sets that are compared exhaustively
-MOST_BROADCAST = 1_000_000  # row numbers (8 bytes each) that are broadcast; beyond, all sets are shuffled
-FEW, MANY = 128, 512  # a node with up to 4 * FEW sets outside its largest component doesn't branch; blocks of the sets outside it, and of those in it
-MAX_BITMAP_BITS = 1 << 18
+FEW, MANY = 128, 512  # a node with up to 4 * FEW sets outside its largest component doesn't branch; sets of a block
 
 
 def least_similarity(limit: Threshold) -> float:
@@ -102,50 +102,6 @@ def embedding(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bitmap(values: np.ndarray) -> np.ndarray:
-    """Bit (hash modulo bits) for every element, four bits or more an element, as 64-bit words."""
-    bits = min(MAX_BITMAP_BITS, max(64, 1 << (4 * len(values) - 1).bit_length()))
-    flags = np.zeros(bits, np.uint8)
-    flags[(values & U64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(flags, bitorder="little").view(U64)
-
-
-class Joined:
-    """Union-find over the components present in one block."""
-
-    def __init__(self, labels: np.ndarray):
-        self.label, self.of = np.unique(labels, return_inverse=True)
-        self.up = list(range(len(self.label)))
-
-    def find(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-
-def possible_pairs(part: np.ndarray, n: np.ndarray, maps: list[np.ndarray], limit: Threshold) -> Iterator[tuple[int, np.ndarray]]:
-    """For each set of a block the sets it is to be compared with whose sizes and bitmaps allow a link; every pair comes once.
-
-    Sets of the block meet each other where ``part`` is 2, else those of part 0 meet those of part 1.
-    """
-    words = np.array([len(x) for x in maps])
-    for w in np.unique(words):
-        smallest = np.flatnonzero(words == w)
-        have = np.flatnonzero((words >= w) & (limit.num * n <= limit.den * n[smallest].max()))
-        folds = np.stack([folded(maps[i], w) for i in have])
-        for i in smallest:
-            ok = (part[have] == 2) | (part[have] != part[i])
-            ok &= (words[have] > w) | (have > i)
-            ok &= limit.den * np.minimum(n[have], n[i]) >= limit.num * np.maximum(n[have], n[i])
-            at = np.flatnonzero(ok)
-            if len(at):
-                own = folds[np.searchsorted(have, i)]
-                at = at[may_link(limit, n[i], own, n[have[at]], folds[at])]
-            if len(at):
-                yield int(i), have[at]
-
-
 def class_sets(docs: DataFrame, limit: Threshold, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, rep) of every document, and (rep, d, th, n, tokens, sig) of every class; ``rep`` is the row number that
     names a class, ``d`` and ``th`` the id and a hash of the text where its set can be made again."""
@@ -245,17 +201,6 @@ def with_components(members: DataFrame, found: DataFrame | None) -> DataFrame:
         *members.columns, F.coalesce("component_", "rep").alias("component"))
 
 
-def open_nodes(members: DataFrame) -> DataFrame:
-    """(node, rep, component) of nodes that hold more than one component, with the node's size c, its least set, its largest component and
-    the number of its sets outside that."""
-    sizes = members.groupBy("node", "component").agg(F.count("*").alias("m"), F.min("rep").alias("least"))
-    # both sides are stored, so the join is a plain one, which Spark splits at a hot node
-    top = stored(sizes.groupBy(F.col("node").alias("t_node")).agg(
-        F.sum("m").alias("c"), F.min("least").alias("centre"), F.max(F.struct("m", "component")).alias("top"), F.count("*").alias("ways"))
-        .where("ways > 1").select("t_node", "c", "centre", F.col("top.component").alias("largest"), (F.col("c") - F.col("top.m")).alias("outside")))
-    return stored(members.join(top, F.col("node") == F.col("t_node")).drop("t_node"))
-
-
 def dealt(members: DataFrame) -> DataFrame:
     """(g, part, rep, component): every node as one block, large ones dealt at random into several, each with the node's centre."""
     blocks = F.ceil(F.col("c") / NODE)
@@ -265,74 +210,6 @@ def dealt(members: DataFrame) -> DataFrame:
     return t.select(F.xxhash64("node", "at").alias("g"), F.lit(2).cast("long").alias("part"), "rep", "component")
 
 
-def outside_pairs(members: DataFrame) -> DataFrame:
-    """(g, part, rep, component): pairs of blocks in which every set outside a node's largest component meets all other sets of
-    the node. ``part`` is 2 in a block met with itself, else 0 and 1 for the two blocks."""
-    out = F.col("component") != F.col("largest")
-    few_blocks, many_blocks = F.ceil(F.col("outside") / MANY), F.ceil((F.col("c") - F.col("outside")) / MANY)
-    t = members.withColumn("out", out).withColumn("own", F.pmod(F.xxhash64("rep"), F.when(out, few_blocks).otherwise(many_blocks)))
-    few = F.sequence(F.lit(0).cast("long"), few_blocks - 1)
-    many = F.sequence(F.lit(0).cast("long"), many_blocks - 1)
-    part = F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).cast("long")
-    among = t.where("out").withColumn("o", F.explode(few)).select(
-        F.xxhash64("node", F.least("own", "o"), F.greatest("own", "o"), F.lit(1)).alias("g"), part.alias("part"), "rep", "component")
-    left = t.where("out").withColumn("o", F.explode(many)).select(F.xxhash64("node", "own", "o", F.lit(2)).alias("g"), F.lit(0).cast("long").alias("part"), "rep", "component")
-    right = t.where("NOT out").withColumn("o", F.explode(few)).select(F.xxhash64("node", "o", "own", F.lit(2)).alias("g"), F.lit(1).cast("long").alias("part"), "rep", "component")
-    return among.union(left).union(right)
-
-
-def _grouped(blocks: DataFrame, other: DataFrame, column: str) -> DataFrame:
-    wanted = blocks.select(F.col("rep").alias("w_rep")).distinct()
-    if wanted.count() <= MOST_BROADCAST:  # few of the sets are in blocks: the others needn't be shuffled to find that out
-        other = other.join(F.broadcast(wanted), F.col("rep") == F.col("w_rep"), "left_semi")
-    o = other.select(F.col("rep").alias("o_rep"), "n", column)
-    return blocks.join(o, F.col("rep") == F.col("o_rep")).select("g", "part", "rep", "component", "n", column).repartition("g").sortWithinPartitions("g", "rep")
-
-
-def _candidates(blocks: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """The rows of a block that have a possible partner there in another component."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in column_runs(batches, "g", flush_rows=2048):
-            cols = {c: table[c].to_numpy() for c in ("part", "component", "n")}
-            maps = [np.frombuffer(x, U64) for x in table["sig"].to_pylist()]
-            keep = np.zeros(table.num_rows, bool)
-            for lo, hi in zip(starts[:-1], starts[1:]):
-                comp, n, part = (cols[c][lo:hi] for c in ("component", "n", "part"))
-                if comp.min() == comp.max():
-                    continue
-                for i, to in possible_pairs(part, n, maps[lo:hi], limit):
-                    to = to[comp[to] != comp[i]]
-                    if len(to):
-                        keep[lo + i] = keep[lo + to] = True
-            yield from table.select(["g", "part", "rep", "component"]).filter(pa.array(keep)).combine_chunks().to_batches()
-
-    return stored(map_arrow(_grouped(blocks, sets, "sig"), run, "g long, part long, rep long, component long"))
-
-
-def _links(candidates: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """(a, b): components that a link joins, found on the full sets; a block gives fewer links than it has components."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, starts in column_runs(batches, "g", flush_rows=512):
-            part_all, comp_all, n_all = (table[c].to_numpy() for c in ("part", "component", "n"))
-            out: list[tuple[int, int]] = []
-            for lo, hi in zip(starts[:-1], starts[1:]):
-                part, n = part_all[lo:hi], n_all[lo:hi]
-                sets = [np.frombuffer(x, U64) for x in table["elements"].slice(lo, hi - lo).to_pylist()]
-                joined = Joined(comp_all[lo:hi])
-                for i, to in possible_pairs(part, n, [bitmap(u) for u in sets], limit):
-                    for j in to:
-                        x, y = joined.find(joined.of[i]), joined.find(joined.of[j])
-                        if x != y and limit.linked(n[i], n[j], len(np.intersect1d(sets[i], sets[j], assume_unique=True))):
-                            joined.up[y] = x
-                            out.append((int(joined.label[x]), int(joined.label[y])))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out]), pa.array([b for _, b in out])], ["a", "b"])
-
-    return stored(map_arrow(_grouped(candidates, sets, "elements"), run, "a long, b long"))
-
-
 class Search:
     """The components found so far, as (node_, component_), and how blocks extend them."""
 
@@ -342,10 +219,10 @@ class Search:
         self.edges: DataFrame | None = None
 
     def compare(self, blocks: DataFrame) -> None:
-        candidates = _candidates(blocks, self.sets, self.limit)
+        candidates = possible_rows(blocks, self.sets, self.limit)
         if candidates.isEmpty():
             return
-        links = _links(candidates, self.full, self.limit)
+        links = block_links(candidates, self.full, self.limit)
         if not links.isEmpty():
             # a component is named by one of its classes, so all links together give the new components
             self.edges = links if self.edges is None else self.edges.union(links)
@@ -359,8 +236,9 @@ class Search:
         blocks, branched = [], None
         for level in range(1, depth + 1):
             ends = F.lit(level == depth) | (F.col("outside") <= 4 * FEW)
-            blocks += [dealt(members.where(F.col("c") <= NODE)), outside_pairs(members.where((F.col("c") > NODE) & ends))]
-            members = members.where((F.col("c") > NODE) & ~ends)
+            merged, others = merged_nodes(members.where(F.col("c") > NODE), MANY)
+            blocks += [dealt(members.where(F.col("c") <= NODE)), all_pairs(merged, MANY), all_pairs(others.where(ends), MANY)]
+            members = others.where(~ends)
             if members.isEmpty():
                 break
             branched = stored(members.select("rep").distinct()) if branched is None else branched
@@ -382,9 +260,10 @@ def near_duplicates(
     early = first.where(F.col("tree") < FIRST_TREES).withColumn("component", F.col("rep"))
     state.compare(dealt(early))
     wide = open_nodes(state.labelled(first.where((F.col("tree") >= FIRST_TREES) | (F.col("c") > NODE))))
-    state.compare(dealt(wide))
-    # the small nodes are done; what parted from a larger one below depth 1 needs the trees that reach the recall there
-    large = open_nodes(state.labelled(wide.where(F.col("c") > NODE)))
+    merged, others = merged_nodes(wide.where(F.col("c") > NODE), MANY)
+    state.compare(dealt(wide.where(F.col("c") <= NODE)).union(dealt(others)).union(all_pairs(merged, MANY)))
+    # the small and the merged nodes are done; what parted from another one below depth 1 needs the trees that reach the recall there
+    large = open_nodes(state.labelled(others))
     blocks, branched = state.descend(large, depth)
     if branched is not None:
         deep = stored(sets.join(branched.withColumnRenamed("rep", "b_rep"), F.col("rep") == F.col("b_rep"), "left_semi"))

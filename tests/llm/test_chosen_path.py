@@ -102,3 +102,15 @@ def test_depths_are_compared_together(spark, rng, text, monkeypatch):
     passage = text(60)
     check(spark, [(i, passage + " " + text(25)) for i in range(40)], Threshold(4, 80, 100), depth=3)
     assert len(steps) <= 3
+
+
+def test_near_copies_do_not_branch(spark, rng, text, monkeypatch):
+    """Sets outside a group of near copies meet it in one node, however many trees hold both."""
+    monkeypatch.setattr(chosen_path, "NODE", 8)
+    monkeypatch.setattr(chosen_path, "FEW", 1)
+    branched, deeper = [], chosen_path.next_nodes
+    monkeypatch.setattr(chosen_path, "next_nodes", lambda members, *a: (branched.append(members.count()), deeper(members, *a))[1])
+    base = text(200)
+    rows = [(i, edited(rng, base, 1)) for i in range(60)] + [(100 + i, edited(rng, base, 14)) for i in range(14)]
+    check(spark, rows, Threshold(4, 80, 100), depth=3)
+    assert sum(branched) <= 40
