@@ -137,24 +137,29 @@ def merged_nodes(members: DataFrame, many: int = MANY) -> tuple[DataFrame, DataF
 
 def all_pairs(members: DataFrame, many: int = MANY) -> DataFrame:
     """(g, part, rep, component): every node as one block, or a larger one as pairs of blocks."""
-    whole = members.where(F.col("c") <= many).select(F.xxhash64("node", F.lit(0)).alias("g"), F.lit(2).cast("long").alias("part"), "rep", "component")
-    return whole.union(outside_pairs(members.where(F.col("c") > many), many))
+    return outside_pairs(members, many, F.col("c") <= many)
 
 
-def outside_pairs(members: DataFrame, most: int = MANY) -> DataFrame:
+def outside_pairs(members: DataFrame, most: int = MANY, whole: Column | None = None) -> DataFrame:
     """(g, part, rep, component): pairs of blocks in which every set outside a node's largest component meets all other sets of
-    the node. ``part`` is 2 in a block met with itself, else 0 and 1 for the two blocks."""
+    the node; nodes for which ``whole`` holds are one block. ``part`` is 2 in a block met with itself, else 0 and 1 for the two blocks.
+
+    One pass over the members, so a plan that deals many of them out stays small."""
+    whole = F.lit(False) if whole is None else whole
     out = F.col("component") != F.col("largest")
-    few_blocks, many_blocks = F.ceil(F.col("outside") / most), F.ceil((F.col("c") - F.col("outside")) / most)
-    t = members.withColumn("out", out).withColumn("own", F.pmod(F.xxhash64("rep"), F.when(out, few_blocks).otherwise(many_blocks)))
-    few = F.sequence(F.lit(0).cast("long"), few_blocks - 1)
-    many = F.sequence(F.lit(0).cast("long"), many_blocks - 1)
-    part = F.when(F.col("own") == F.col("o"), 2).when(F.col("own") < F.col("o"), 0).otherwise(1).cast("long")
-    among = t.where("out").withColumn("o", F.explode(few)).select(
-        F.xxhash64("node", F.least("own", "o"), F.greatest("own", "o"), F.lit(1)).alias("g"), part.alias("part"), "rep", "component")
-    left = t.where("out").withColumn("o", F.explode(many)).select(F.xxhash64("node", "own", "o", F.lit(2)).alias("g"), F.lit(0).cast("long").alias("part"), "rep", "component")
-    right = t.where("NOT out").withColumn("o", F.explode(few)).select(F.xxhash64("node", "o", "own", F.lit(2)).alias("g"), F.lit(1).cast("long").alias("part"), "rep", "component")
-    return among.union(left).union(right)
+    few, many = F.ceil(F.col("outside") / most), F.ceil((F.col("c") - F.col("outside")) / most)
+    # a set outside is in a pair of blocks with each block of such sets, then with each of the largest component's; one of the latter with each of the former
+    times = F.when(F.col("whole"), 1).when(F.col("out"), F.col("few") + F.col("many")).otherwise(F.col("few"))
+    t = members.select("node", "rep", "component", whole.alias("whole"), out.alias("out"), few.alias("few"), many.alias("many")).select(
+        "*", F.pmod(F.xxhash64("rep"), F.when(F.col("out"), F.col("few")).otherwise(F.col("many"))).alias("own"),
+        F.explode(F.sequence(F.lit(0).cast("long"), times.cast("long") - 1)).alias("o"))
+    among = F.col("out") & (F.col("o") < F.col("few"))
+    g = (F.when(F.col("whole"), F.xxhash64("node", F.lit(0)))
+         .when(among, F.xxhash64("node", F.least("own", "o"), F.greatest("own", "o"), F.lit(1)))
+         .when(F.col("out"), F.xxhash64("node", "own", F.col("o") - F.col("few"), F.lit(2))).otherwise(F.xxhash64("node", "o", "own", F.lit(2))))
+    part = (F.when(F.col("whole") | (among & (F.col("own") == F.col("o"))), 2)
+            .when(among, F.when(F.col("own") < F.col("o"), 0).otherwise(1)).when(F.col("out"), 0).otherwise(1))
+    return t.select(g.alias("g"), part.cast("long").alias("part"), "rep", "component")
 
 
 def _grouped(blocks: DataFrame, other: DataFrame, column: str) -> DataFrame:

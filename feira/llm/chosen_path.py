@@ -232,18 +232,18 @@ class Search:
         return stored(with_components(members.select("node", "rep"), self.found))
 
     def descend(self, members: DataFrame, depth: int) -> tuple[list[DataFrame], DataFrame | None]:
-        """The blocks to compare of the given open nodes of depth 1 and of the large ones' descendants, and (rep) of the sets that branched."""
-        blocks, branched = [], None
+        """The nodes to compare of the given open ones of depth 1 and of the large ones' descendants, and (rep) of the sets that branched."""
+        nodes, branched = [], None
         for level in range(1, depth + 1):
             ends = F.lit(level == depth) | (F.col("outside") <= 4 * FEW)
             merged, others = merged_nodes(members.where(F.col("c") > NODE), MANY)
-            blocks += [dealt(members.where(F.col("c") <= NODE)), all_pairs(merged, MANY), all_pairs(others.where(ends), MANY)]
+            nodes += [t.select("node", "rep", "component", "c", "largest", "outside") for t in (members.where(F.col("c") <= NODE), merged, others.where(ends))]
             members = others.where(~ends)
             if members.isEmpty():
                 break
             branched = stored(members.select("rep").distinct()) if branched is None else branched
             members = open_nodes(stored(next_nodes(members.select("node", "rep", "component"), self.sets, self.limit)))
-        return blocks, branched
+        return nodes, branched
 
 
 def near_duplicates(
@@ -264,12 +264,13 @@ def near_duplicates(
     state.compare(dealt(wide.where(F.col("c") <= NODE)).union(dealt(others)).union(all_pairs(merged, MANY)))
     # the small and the merged nodes are done; what parted from another one below depth 1 needs the trees that reach the recall there
     large = open_nodes(state.labelled(others))
-    blocks, branched = state.descend(large, depth)
+    nodes, branched = state.descend(large, depth)
     if branched is not None:
         deep = stored(sets.join(branched.withColumnRenamed("rep", "b_rep"), F.col("rep") == F.col("b_rep"), "left_semi"))
         more = shared_first_nodes(deep, range(shallow, trees_for(limit, recall, depth)), limit)
-        blocks += state.descend(open_nodes(state.labelled(more)), depth)[0]
-    state.compare(reduce(DataFrame.union, blocks))
+        nodes += state.descend(open_nodes(state.labelled(more)), depth)[0]
+    # stored, so that the plans of the comparison read one table, however many depths there were
+    state.compare(all_pairs(stored(reduce(DataFrame.union, nodes)), MANY))
 
     labelled = with_components(member, state.found)
     least = stored(labelled.where("component IS NOT NULL").groupBy(F.col("component").alias("l_component")).agg(F.min("doc_id").alias("least")))

@@ -68,3 +68,13 @@ def test_a_name_with_two_sets(spark):
     assert sorted(r.rep for r in possible.collect()) == [1, 2, 3]
     links = {frozenset((r.a, r.b)) for r in blocks.block_links(possible, sets, limit).collect()}
     assert links == {frozenset((1, 2)), frozenset((1, 3))}
+
+
+def test_all_pairs_reads_its_members_once(spark):
+    """Whole nodes and pairs of blocks come out of one pass over the members."""
+    nodes = {k: [*range(100 * k, 100 * k + 20 * k)] for k in range(1, 4)}
+    rows = [(k, x, 0 if x % 100 < 10 else x) for k, sets in nodes.items() for x in sets]
+    dealt = blocks.all_pairs(blocks.open_nodes(spark.createDataFrame(rows, "node long, rep long, component long")), 20)
+    assert dealt._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    met = pairs_of(dealt.collect())
+    assert met >= {(a, b) for s in nodes.values() for a in s for b in s if a < b and b % 100 >= 10}

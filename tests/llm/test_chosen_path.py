@@ -114,3 +114,19 @@ def test_near_copies_do_not_branch(spark, rng, text, monkeypatch):
     rows = [(i, edited(rng, base, 1)) for i in range(60)] + [(100 + i, edited(rng, base, 14)) for i in range(14)]
     check(spark, rows, Threshold(4, 80, 100), depth=3)
     assert sum(branched) <= 40
+
+
+def test_plans_do_not_grow_with_the_depth(spark, rng, text, monkeypatch):
+    """What the nodes of all depths and trees are dealt out of is one table, read once."""
+    monkeypatch.setattr(chosen_path, "NODE", 4)
+    monkeypatch.setattr(chosen_path, "FEW", 1)
+    scans, compare = [], chosen_path.Search.compare
+
+    def counted(self, blocks):
+        scans.append(blocks._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        compare(self, blocks)
+
+    monkeypatch.setattr(chosen_path.Search, "compare", counted)
+    passage = text(60)
+    check(spark, [(i, passage + " " + text(25)) for i in range(40)], Threshold(4, 80, 100), depth=3)
+    assert max(scans) <= 3 and scans[-1] == 1
